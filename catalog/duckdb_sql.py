@@ -204,6 +204,10 @@ def escaped(text: str) -> str:
     return f"replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
+PREVIEW = f"""CASE WHEN code = '' THEN '[no code stored for this fragment]'
+  ELSE array_to_string(list_slice(l, 1, 8), {NL}) || CASE WHEN len(l) > 8 THEN {NL} || '...' ELSE '' END END"""
+
+
 def graph_text(symbol: str, callers: str, callees: str) -> str:
     return f"""array_to_string(list_concat(
       ['graph LR' || {NL} || '  target["' || {symbol} || '"]'],
@@ -356,6 +360,12 @@ ranked AS (
 SELECT query_id, rank, key AS doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10""",
     "fragment_search": f"""
 WITH {HITS} SELECT query_id, rank, type, symbol, file_path, round(score, 6) AS score FROM hits""",
+    "single_search": f"""
+WITH {HITS},
+cut AS (
+  SELECT *, {lines_of(rf"regexp_replace(code, '\A{S}+|{S}+\z', '', 'g')")} AS l FROM hits WHERE query_id = 0)
+SELECT rank, type, substr(symbol, 1, 55) AS symbol, substr(file_path, 1, 40) AS file_path, {PREVIEW} AS preview,
+  round(score, 6) AS score FROM cut""",
     "search_context": f"""
 WITH {HITS}, {edges_of()}, {neighbours(10)}
 SELECT query_id, rank, type, substr(symbol, 1, 55) AS symbol, substr(file_path, 1, 40) AS file_path,
@@ -367,9 +377,7 @@ WITH {NAMES},
 shown AS (SELECT file_path, CASE WHEN file_path LIKE '%.txt' THEN '' ELSE code END AS code FROM coded),
 cut AS (
   SELECT file_path, code, {lines_of(rf"regexp_replace(code, '\A{S}+|{S}+\z', '', 'g')")} AS l FROM shown)
-SELECT file_path, CASE WHEN code = '' THEN '[no code stored for this fragment]'
-  ELSE {"array_to_string(list_slice(l, 1, 8), chr(10))"}
-    || CASE WHEN len(l) > 8 THEN {NL} || '...' ELSE '' END END AS preview FROM cut""",
+SELECT file_path, {PREVIEW} AS preview FROM cut""",
     "report_rows": f"""
 WITH {HITS}, {edges_of()}, {neighbours(12)}
 SELECT query_id, rank, round(score, 6) AS score,

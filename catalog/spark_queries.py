@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sourceloom.functions import encoder, java, text, vectors
 from sourceloom.operators import embed, fragments, graph, incremental, similarity
 from sourceloom.plans import index, report, reset, search, summary
-from sourceloom.session import cut_lineage, scratch_dir
+from sourceloom.session import scratch_dir
 from sourceloom.sources import files
 from sourceloom.sources.store import CorpusStore
 from sourceloom.streaming.incremental import index_stream as start_index_stream
@@ -23,7 +23,16 @@ ENCODER = encoder.HashingEncoder(64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal out a table of fewer splits than cores; a table of many splits stays as read.
+
+    The test tables are one file with one row group each and would occupy one core.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 # -- derived inputs ------------------------------------------------------------
@@ -88,13 +97,6 @@ def java_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fragments.call_edges_of(java_names(spark, sf_dir))
 
 
-def java_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus as rows of the sources table."""
-    hashed = incremental.with_hash(java_files(spark, sf_dir))
-    rows = index.source_rows(hashed, ENCODER).withColumn("source_key", F.col("file_path"))
-    return rows.where((F.col("n_fragments") > 0) & vectors.is_valid(F.col("embedding")))
-
-
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.concat(F.lit("/docs/"), F.col("doc_id").cast("string")).alias("file_path"), F.md5("text").alias("hash"))
@@ -378,18 +380,29 @@ def text_search(spark, sf_dir):
     return near.select("query_id", "rank", F.col("key").alias("doc_id"), shown_score())
 
 
+def java_store(spark, sf_dir, label) -> CorpusStore:
+    store = CorpusStore(spark, scratch_dir(spark, label))
+    index.index_files(java_files(spark, sf_dir), store, ENCODER)
+    return store
+
+
 def fragment_search(spark, sf_dir):
-    hits = search.search_sources(java_sources(spark, sf_dir), benchmark_queries(spark, sf_dir), 10, ENCODER)
+    store = java_store(spark, sf_dir, "fragment-search")
+    hits = search.search(store, benchmark_queries(spark, sf_dir), 10, ENCODER)
     return hits.select("query_id", "rank", "type", "symbol", "file_path", shown_score())
 
 
-def _hits_with_context(spark, sf_dir, n, context_top):
-    hits = search.search_sources(java_sources(spark, sf_dir), benchmark_queries(spark, sf_dir), 10, ENCODER)
-    return search.with_context(cut_lineage(hits), java_edges(spark, sf_dir), n, context_top)
+def single_search(spark, sf_dir):
+    """One query text: the first benchmark text."""
+    store = java_store(spark, sf_dir, "single-search")
+    asked = table(spark, sf_dir, "benchmark").where("item_id = 0").first()["text"]
+    hits = search.search_display(search.search(store, asked, 10, ENCODER), show_code=True)
+    return hits.select("rank", "type", "symbol", "file_path", "preview", shown_score())
 
 
 def search_context(spark, sf_dir):
-    rows = search.search_display(_hits_with_context(spark, sf_dir, search.SEARCH_NEIGHBOURS, search.CONTEXT_TOP))
+    store = java_store(spark, sf_dir, "search-context")
+    rows = search.search_display(search.search(store, benchmark_queries(spark, sf_dir), 10, ENCODER, with_graph=True))
     return rows.select(
         "query_id", "rank", "type", "symbol", "file_path", joined("callers").alias("callers"), joined("callees").alias("callees")
     )
@@ -401,7 +414,8 @@ def code_preview(spark, sf_dir):
 
 
 def report_rows(spark, sf_dir):
-    rows = report.report_rows(_hits_with_context(spark, sf_dir, report.REPORT_NEIGHBOURS, None))
+    store = java_store(spark, sf_dir, "report-rows")
+    rows = report.report(store, benchmark_queries(spark, sf_dir), 10, ENCODER)
     return rows.select("query_id", "rank", shown_score(), "title", "meta", "snippet", "graph")
 
 
@@ -444,24 +458,20 @@ def index_runs(spark, sf_dir):
 
 
 def index_summary(spark, sf_dir):
-    store = new_store(spark, "index-summary")
-    index.index_files(java_files(spark, sf_dir), store, ENCODER)
-    return summary.index_summary(store)
+    return summary.index_summary(java_store(spark, sf_dir, "index-summary"))
 
 
 def index_fragments(spark, sf_dir):
     """Stored fragments after a run and a full rescan, which appends."""
-    store, corpus = new_store(spark, "index-fragments"), java_files(spark, sf_dir)
-    index.index_files(corpus, store, ENCODER)
-    index.index_files(corpus, store, ENCODER, full_rescan=True)
+    store = java_store(spark, sf_dir, "index-fragments")
+    index.index_files(java_files(spark, sf_dir), store, ENCODER, full_rescan=True)
     return store.fragments().groupBy("file_path", "type", "symbol").agg(F.count("*").alias("copies"))
 
 
 def index_latest(spark, sf_dir):
     """The same with only the newest version of each file."""
-    store, corpus = new_store(spark, "index-latest"), java_files(spark, sf_dir)
-    index.index_files(corpus, store, ENCODER)
-    index.index_files(corpus, store, ENCODER, full_rescan=True)
+    store = java_store(spark, sf_dir, "index-latest")
+    index.index_files(java_files(spark, sf_dir), store, ENCODER, full_rescan=True)
     rows = store.fragments(latest_only=True)
     return rows.groupBy("file_path", "type", "symbol").agg(F.count("*").alias("copies"))
 
@@ -498,9 +508,7 @@ def index_stream(spark, sf_dir):
 
 
 def purge_counts(spark, sf_dir):
-    store = new_store(spark, "purge")
-    index.index_files(java_files(spark, sf_dir), store, ENCODER)
-    return reset.reset(store)
+    return reset.reset(java_store(spark, sf_dir, "purge"))
 
 
 QUERIES = {
@@ -541,6 +549,7 @@ QUERIES = {
     "embed_errors": embed_errors,
     "text_search": text_search,
     "fragment_search": fragment_search,
+    "single_search": single_search,
     "search_context": search_context,
     "code_preview": code_preview,
     "report_rows": report_rows,

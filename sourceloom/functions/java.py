@@ -51,11 +51,15 @@ def local_calls(call_sites: Column, methods: Column) -> Column:
     """Call sites naming a method of the same file, less the fixed names.
 
     The two set operations are hash-based and shrink the list that the
-    order-keeping filter has to search.
+    order-keeping filter has to search. Through the one-item array that list is bound
+    to a lambda variable and built once per file, not once per call site.
     """
     stop = F.array(*[F.lit(name) for name in NOT_CALLS])
     known = F.array_except(F.array_intersect(call_sites, methods), stop)
-    return F.filter(call_sites, lambda c: F.array_contains(known, c))
+    kept = F.transform(
+        F.array(known), lambda names: F.filter(call_sites, lambda c: F.array_contains(names, c))
+    )
+    return F.get(kept, F.lit(0))
 
 
 def class_fqn(package: Column, name: Column) -> Column:
