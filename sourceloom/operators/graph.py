@@ -6,12 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.operators.ranking import top_n
-from sourceloom.operators.sizing import any_of, broadcast_if_small, few_values
+from sourceloom.operators.sizing import BROADCAST_ROWS, any_of, at_most, broadcast_if_small, few_values
 
 
 def new_edges(existing: DataFrame, found: DataFrame) -> DataFrame:
-    """Found edges that are not in the graph yet."""
-    return found.select("caller", "callee").distinct().join(existing, ["caller", "callee"], "left_anti")
+    """Found edges that are not in the graph yet.
+
+    The graph only grows, the edges found in one run are often few: then their callers
+    are broadcast and the rest of the graph stays out of the shuffle.
+    """
+    found = found.select("caller", "callee").distinct()
+    callers = found.select("caller").distinct()
+    if at_most(callers, BROADCAST_ROWS):
+        existing = existing.join(F.broadcast(callers), "caller", "left_semi")
+    return found.join(existing, ["caller", "callee"], "left_anti")
 
 
 def merge_edges(existing: DataFrame, found: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -32,12 +33,15 @@ def check_k(k: int) -> None:
 def top_k(base: DataFrame, query: Sequence[float], k: int, *tie_break: str) -> DataFrame:
     """The k best rows for one vector, with their score in place of the vector.
 
-    The score is a JVM expression and the sort keeps k rows per task.
+    The score is a JVM expression and the sort keeps k rows per task. Rows without a
+    vector score null and sort last; they are dropped behind the limit, because a filter
+    in front would make Spark work out a computed vector twice.
     """
     check_k(k)
-    score = cosine(F.col("embedding"), literal_vector(query))
-    scored = base.where(is_valid(F.col("embedding"))).withColumn("score", score).drop("embedding")
-    return scored.orderBy(F.desc("score"), *tie_break).limit(k)
+    vector = F.col("embedding")
+    score = F.when(is_valid(vector), cosine(vector, literal_vector(query)))
+    scored = base.withColumn("score", score).drop("embedding")
+    return scored.orderBy(F.desc("score"), *tie_break).limit(k).where(F.col("score").isNotNull())
 
 
 def top_k_batch(
@@ -47,18 +51,17 @@ def top_k_batch(
 
     While the query vectors fit the byte limit, each task scores its rows against all
     of them and passes on k rows per query: the base is read once and never shuffled.
-    Larger sets of queries go through block_join_top_k.
+    Larger sets of queries go through block_join_top_k. Rows and queries without a
+    vector are passed over where vectors are read.
     """
     check_k(k)
-    base = base.where(is_valid(F.col("embedding"))).select("key", "embedding")
-    queries = queries.where(is_valid(F.col("embedding"))).select("query_id", "embedding")
-    first = queries.select(F.size("embedding").alias("dim")).first()
-    width = first["dim"] if first else 1
+    base, queries = base.select("key", "embedding"), queries.select("query_id", "embedding")
+    first = queries.select("embedding").where(is_valid(F.col("embedding"))).first()
+    width = len(first["embedding"]) if first else 1
     most = max(1, query_bytes // (4 * width))
     held = queries.limit(most + 1).toArrow()
     if held.num_rows <= most:
-        ids = held["query_id"].to_pylist()
-        vectors = _matrix(held["embedding"], width)
+        ids, vectors = _vectors(held, "query_id", width)
         near = base.mapInArrow(_scan_scorer(ids, vectors, k), _near_schema(base))
     else:
         near = block_join_top_k(base, queries, k, width, block_rows)
@@ -85,8 +88,8 @@ def block_join_top_k(base: DataFrame, queries: DataFrame, k: int, width: int, bl
     right = queries.select("*", block("query_id", query_blocks).alias("q"), every(base_blocks).alias("b"))
 
     def score(base_part: pa.Table, query_part: pa.Table) -> pa.Table:
-        best = _Best(query_part["query_id"].to_pylist(), _matrix(query_part["embedding"], width), k)
-        best.add(base_part["key"].to_pylist(), _matrix(base_part["embedding"], width))
+        best = _Best(*_vectors(query_part, "query_id", width), k)
+        best.add(*_vectors(base_part, "key", width))
         return best.table(base_part.schema.field("key").type)
 
     cells = left.groupBy("b", "q").cogroup(right.groupBy("b", "q"))
@@ -99,15 +102,16 @@ def _near_schema(base: DataFrame) -> StructType:
     ).add("score", "double")
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    """Rows of a list column as one matrix; any other width fails the job."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-    if len(lengths) and (lengths != width).any():
+def _vectors(rows: pa.Table | pa.RecordBatch, id_column: str, width: int) -> tuple[list, np.ndarray]:
+    """Ids and vectors as one matrix, without the rows that have no vector; a vector of
+    another width fails the job."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(rows["embedding"]), 0))
+    if not (lengths > 0).all():
+        rows, lengths = rows.filter(pa.array(lengths > 0)), lengths[lengths > 0]
+    if (lengths != width).any():
         raise ValueError(f"vector lengths differ: {width} and {lengths[lengths != width][0]}")
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(-1, width)
+    values = np.asarray(pc.list_flatten(rows["embedding"]))
+    return rows[id_column].to_pylist(), values.astype(np.float64).reshape(-1, width)
 
 
 def _scan_scorer(ids: list[int], vectors: np.ndarray, k: int):
@@ -118,7 +122,7 @@ def _scan_scorer(ids: list[int], vectors: np.ndarray, k: int):
         best, key_type = _Best(ids, vectors.astype(np.float64), k), None
         for batch in batches:
             key_type = batch.schema.field("key").type
-            best.add(batch.column("key").to_pylist(), _matrix(batch.column("embedding"), width))
+            best.add(*_vectors(batch, "key", width))
         if key_type is not None:
             yield from best.table(key_type).to_batches()
 

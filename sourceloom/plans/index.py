@@ -35,9 +35,9 @@ def index_files(
     the run becomes visible, hashes included, when its log row is written last.
     """
     encoder = encoder or HashingEncoder()
-    run = store.last_run() + 1
+    last, known = store.progress()
+    run = last + 1
     hashed = with_hash(files)
-    known = store.state_rows()
     changed = changed_files(
         hashed, store.file_hashes(), full_rescan=full_rescan or known == 0, state_rows=known
     )
@@ -47,8 +47,8 @@ def index_files(
     store.write_run("sources", run, rows)
 
     written = store.read_run("sources", run)
-    found = call_edges_of(written) if with_graph else call_edges_of(written.limit(0))
-    store.write_run("call_edges", run, new_edges(store.call_edges(), found))
+    found = call_edges_of(written if with_graph else written.limit(0))
+    store.write_run("call_edges", run, new_edges(store.call_edges(), found) if known else found)
 
     discovered = files.select("file_path").count()
     processed = written.count()

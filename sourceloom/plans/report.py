@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions import text as t
 from sourceloom.plans.search import search, with_context
-from sourceloom.session import cut_lineage
 from sourceloom.sources.store import CorpusStore
 
 REPORT_NEIGHBOURS = 12
@@ -25,7 +24,7 @@ def report(
     hits = search(store, queries, k, encoder, latest_only=latest_only)
     if not with_graph:
         return report_rows(hits)
-    return report_rows(with_context(cut_lineage(hits), store.call_edges(), REPORT_NEIGHBOURS, None))
+    return report_rows(with_context(hits, store.call_edges(), REPORT_NEIGHBOURS, None))
 
 
 def report_rows(hits: DataFrame) -> DataFrame:

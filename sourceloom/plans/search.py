@@ -12,7 +12,7 @@ from sourceloom.operators.fragments import fragments_of
 from sourceloom.operators.graph import neighbours
 from sourceloom.operators.ranking import top_n
 from sourceloom.operators.similarity import check_k, top_k, top_k_batch
-from sourceloom.operators.sizing import any_of, broadcast_if_small, few_values
+from sourceloom.operators.sizing import BROADCAST_ROWS, any_of, at_most, few_values
 from sourceloom.session import cut_lineage
 from sourceloom.sources.store import CorpusStore
 
@@ -40,7 +40,7 @@ def search(
         raise ValueError(f"the corpus is encoded with {indexed}, not {(encoder.name, encoder.dim)}")
     hits = search_sources(store.searchable(latest_only), queries, k, encoder)
     if with_graph:
-        hits = with_context(cut_lineage(hits), store.call_edges(), SEARCH_NEIGHBOURS, CONTEXT_TOP)
+        hits = with_context(hits, store.call_edges(), SEARCH_NEIGHBOURS, CONTEXT_TOP)
     return hits
 
 
@@ -49,15 +49,23 @@ def search_sources(sources: DataFrame, queries: str | DataFrame, k: int, encoder
 
     All fragments of a file share one vector, so files are scored, not fragments: the
     k best fragments sit in the k best files, and only those files are opened up. A few
-    keys become a filter, so that their code is found by Bloom filter and not by a scan.
+    keys become a filter, so that their rows are found by Bloom filter and not by a
+    scan. Names are ranked before any code is fetched.
     """
     near = cut_lineage(nearest_sources(sources, queries, k, encoder))
     few = few_values(near, "source_key")
     wanted = sources if few is None else sources.where(any_of(F.col("source_key"), few))
-    opened = fragments_of(wanted.join(broadcast_if_small(near), "source_key"))
+    small = at_most(near, BROADCAST_ROWS // max(k, 1))
+
+    def side(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if small else rows
+
+    opened = fragments_of(wanted.drop("code", "embedding").join(side(near), "source_key"))
     order = [F.desc("score"), F.col("source_key"), F.col("symbol"), F.col("type")]
-    columns = ["query_id", "rank", "score", "type", "symbol", "file_path", "code"]
-    return top_n(opened, ["query_id"], order, k).select(*columns)
+    ranked = top_n(opened, ["query_id"], order, k)
+    columns = ["query_id", "rank", "score", "type", "symbol", "file_path"]
+    named = ranked.select("source_key", *columns)
+    return wanted.select("source_key", "code").join(side(named), "source_key").select(*columns, "code")
 
 
 def nearest_sources(sources: DataFrame, queries: str | DataFrame, k: int, encoder) -> DataFrame:

@@ -46,12 +46,13 @@ class CorpusStore:
     def runs(self) -> DataFrame:
         return self._all("runs")
 
-    def last_run(self) -> int:
-        return self.runs().agg(F.coalesce(F.max("run"), F.lit(0))).first()[0]
+    def progress(self) -> tuple[int, int]:
+        """Last run and rows in ``sources`` so far, from the run log alone."""
+        row = self.runs().agg(F.max("run").alias("run"), F.sum("processed").alias("rows")).first()
+        return row["run"] or 0, row["rows"] or 0
 
-    def state_rows(self) -> int:
-        """Rows in ``sources`` so far, from the run log alone."""
-        return self.runs().agg(F.coalesce(F.sum("processed"), F.lit(0))).first()[0]
+    def last_run(self) -> int:
+        return self.progress()[0]
 
     def encoder(self) -> tuple[str, int] | None:
         """Name and width of the encoder of the last run."""
