@@ -88,13 +88,14 @@ class ModelEncoder:
                     return None
 
             for batch in batches:
-                present = batch.dropna()
+                texts = batch.dropna().tolist()
                 try:
-                    vectors = [list(map(float, v)) for v in model(present.tolist())] if len(present) else []
-                    if len(vectors) != len(present):
+                    vectors = [list(map(float, v)) for v in model(texts)] if texts else []
+                    if len(vectors) != len(texts):
                         raise ValueError("the model returned another number of vectors")
                 except Exception:
-                    vectors = [one(t) for t in present]
-                yield pd.Series(vectors, index=present.index, dtype=object).reindex(batch.index)
+                    vectors = [one(t) for t in texts]
+                found = iter(vectors)
+                yield pd.Series([None if missing else next(found) for missing in batch.isna()], dtype=object)
 
         return encode(text)

@@ -21,13 +21,16 @@ NOT_CALLS = (
 PACKAGE = rf"(?md)^{INLINE_SPACE}*+package{SPACE}++([\p{{L}}\p{{N}}_.]++){SPACE}*+;"
 CLASS = rf"class{SPACE}++({WORD}++)"
 # A modifier, anything on its line, a name, parameters on one line, a brace. The name is
-# the first that fits. Where no parameter list closes before a brace on the rest of the
-# line, only a name at the end of the line or on the next can fit; going straight there
-# keeps a long line of modifiers and calls from costing one scan per pair of them.
+# the first that fits. Two additions leave the matches as they are and keep long lines
+# linear. Where no parameter list closes before a brace on the rest of the line, only a
+# name at the end of the line or on the next can fit, so the search goes straight there.
+# And where a modifier leads nowhere, no later one on its line can lead anywhere either:
+# the last branch skips the line, with an empty name.
 METHOD = (
-    rf"(?:public|protected|private)"
-    rf"(?:(?=[^\n]*\){SPACE}*+\{{)[^\n]*?|[^\n]*?(?=(?:{INLINE_SPACE}++{WORD}++)?{INLINE_SPACE}*+\n))"
+    rf"(?:public|protected|private)(?:"
+    rf"(?:(?=[^\n]*?\){SPACE}*+\{{)[^\n]*?|[^\n]*?(?=(?:{INLINE_SPACE}++{WORD}++)?{INLINE_SPACE}*+\n))"
     rf"{SPACE}++({WORD}++){SPACE}*+\([^\n]*?\){SPACE}*+\{{"
+    rf"|[^\n]*+)"
 )
 # The look-behind changes no match: a name that fails from its start fails from within.
 CALL = rf"((?<!{WORD}){WORD}++){SPACE}*+\("
@@ -45,7 +48,7 @@ def classes_of(text: Column) -> Column:
 
 def methods_of(text: Column) -> Column:
     """All declared method names in order, duplicates kept."""
-    return F.regexp_extract_all(text, F.lit(METHOD), F.lit(1))
+    return F.array_remove(F.regexp_extract_all(text, F.lit(METHOD), F.lit(1)), "")
 
 
 def call_sites_of(text: Column) -> Column:
