@@ -17,7 +17,7 @@ def to_vector(value: Column) -> Column:
 
 
 def literal_vector(values: Sequence[float]) -> Column:
-    return F.lit([float(v) for v in values]).cast("array<double>")
+    return F.lit([float(v) for v in values]).cast("array<float>")
 
 
 def is_valid(vector: Column) -> Column:

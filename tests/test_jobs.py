@@ -16,7 +16,7 @@ def folder(tmp_path):
     (root / "a b" / "deep" / "Foo.JAVA").write_text("/* Licensed to X */\n" + FOO)
     (root / "N.java").write_text(N)
     (root / "[x]{y}.java").write_text("class Odd { }")
-    (root / "Empty.java").write_text("")
+    (root / "Blank.java").write_text("\n")
     (root / "readme.txt").write_text("class NotJava { }")
     return root
 
@@ -34,7 +34,7 @@ def last(store):
 def test_scan(spark, folder):
     assert any_case_glob(".java") == "*.[jJ][aA][vV][aA]"
     got = {r.file_path.removeprefix(str(folder)) for r in scan_files(spark, str(folder)).collect()}
-    assert got == {"/a b/deep/Foo.JAVA", "/N.java", "/[x]{y}.java", "/Empty.java"}
+    assert got == {"/a b/deep/Foo.JAVA", "/N.java", "/[x]{y}.java", "/Blank.java"}
 
 
 def test_incremental_runs(store, folder):
@@ -47,23 +47,23 @@ def test_incremental_runs(store, folder):
     edges = store.call_edges().count()
 
     (folder / "N.java").write_text(N.replace("a()", "z()"))
-    (folder / "Empty.java").unlink()
+    (folder / "Blank.java").unlink()
     (folder / "Copy.java").write_text("class Odd { }")
     sl.index_folder(store, str(folder))
     assert last(store) == (4, 2, 2)
     assert store.fragments().count() == first + 3 + 1
     assert store.fragments(latest_only=True).count() == first + 1
-    assert store.call_edges().count() == edges + 4
-    assert store.call_edges().distinct().count() == edges + 4
+    assert store.call_edges().count() == edges + 3
+    assert store.call_edges().distinct().count() == edges + 3
     hashes = store.file_hashes()
     assert hashes.count() == 5 and hashes.select("file_path").distinct().count() == 5
 
     sl.index_folder(store, str(folder), full_rescan=True)
     assert last(store) == (4, 0, 4)
     assert store.fragments().count() == first + 4 + (first + 1)
-    assert store.call_edges().count() == edges + 4
+    assert store.call_edges().count() == edges + 3
     metrics = {r.metric: r.value for r in sl.index_summary(store).collect()}
-    assert metrics["calls"] == edges + 4 and metrics["processed"] == 4
+    assert metrics["calls"] == edges + 3 and metrics["processed"] == 4
     assert metrics["fragments"] == store.fragments().count()
     assert metrics["methods"] == store.methods().count()
 
