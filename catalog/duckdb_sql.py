@@ -386,6 +386,9 @@ SELECT query_id, rank, round(score, 6) AS score,
   {escaped(f"array_to_string(list_slice({lines_of('code')}, 1, 60), {NL})")} AS snippet,
   {escaped(graph_text("symbol", "coalesce(n.callers, [])", "coalesce(n.callees, [])"))} AS graph
 FROM hits LEFT JOIN neighbours n ON hits.symbol = n.target""",
+    "report_written": f"""
+WITH {HITS}
+SELECT query_id, rank, {escaped("type || ' · ' || symbol")} AS title, NULL::VARCHAR AS graph FROM hits""",
     "graph_text": f"""
 WITH {LINKS}, {neighbours(12)}
 SELECT target, {graph_text("target", "callers", "callees")} AS graph FROM neighbours""",
@@ -401,6 +404,11 @@ SELECT type, substr(symbol, 1, 60) AS symbol, dims, head FROM (
 SELECT 1 AS run, count(*) AS discovered, 0 AS skipped, count(*) AS processed FROM documents
 UNION ALL SELECT 2, count(*), count_if(lang <> 'de'), count_if(lang = 'de') FROM documents
 UNION ALL SELECT 3, count(*), 0, count(*) FROM documents""",
+    "index_hashes": f"""
+WITH {CORPUS}
+SELECT file_path, md5(CASE WHEN lang = 'de' THEN source_text || '// edited' || {NL} ELSE source_text END) AS hash
+FROM corpus""",
+    "index_edges": f"WITH {EDGES} SELECT caller, callee FROM edges",
     "index_summary": f"""
 WITH {EDGES}, {fragments_of("file_path")}
 SELECT 'discovered' AS metric, count(*) AS value FROM corpus

@@ -419,6 +419,14 @@ def report_rows(spark, sf_dir):
     return rows.select("query_id", "rank", shown_score(), "title", "meta", "snippet", "graph")
 
 
+def report_written(spark, sf_dir):
+    """The report as written, without graph."""
+    store = java_store(spark, sf_dir, "report-written")
+    rows = report.report(store, benchmark_queries(spark, sf_dir), 10, ENCODER, with_graph=False)
+    report.write_report(rows, f"{store.root}/report")
+    return spark.read.parquet(f"{store.root}/report").select("query_id", "rank", "title", "graph")
+
+
 def graph_text(spark, sf_dir):
     near = graph.neighbours(link_edges_of(spark, sf_dir), 12)
     return near.select("target", text.graph_text(F.col("target"), F.col("callers"), F.col("callees")).alias("graph"))
@@ -445,8 +453,8 @@ def index_preview(spark, sf_dir):
     return summary.preview_rows(rows)
 
 
-def index_runs(spark, sf_dir):
-    """Run log of three runs: all files, again with the German ones edited, full rescan."""
+def three_runs(spark, sf_dir) -> CorpusStore:
+    """A store after three runs: all files, again with the German ones edited, full rescan."""
     store, corpus = new_store(spark, "index-runs"), java_files(spark, sf_dir)
     edited = F.when(
         F.startswith("file_path", F.lit("/corpus/de/")), F.concat("content", F.lit(bytearray(b"// edited\n")))
@@ -454,7 +462,21 @@ def index_runs(spark, sf_dir):
     index.index_files(corpus, store, ENCODER)
     index.index_files(corpus.withColumn("content", edited), store, ENCODER)
     index.index_files(corpus.withColumn("content", edited), store, ENCODER, full_rescan=True)
-    return store.runs().select("run", "discovered", "skipped", "processed")
+    return store
+
+
+def index_runs(spark, sf_dir):
+    return three_runs(spark, sf_dir).runs().select("run", "discovered", "skipped", "processed")
+
+
+def index_hashes(spark, sf_dir):
+    """Current hashes after the same runs."""
+    return three_runs(spark, sf_dir).file_hashes()
+
+
+def index_edges(spark, sf_dir):
+    """The stored graph after the same runs: edges found again stay single."""
+    return three_runs(spark, sf_dir).call_edges()
 
 
 def index_summary(spark, sf_dir):
@@ -553,10 +575,13 @@ QUERIES = {
     "search_context": search_context,
     "code_preview": code_preview,
     "report_rows": report_rows,
+    "report_written": report_written,
     "graph_text": graph_text,
     "html_escape": html_escape,
     "index_preview": index_preview,
     "index_runs": index_runs,
+    "index_hashes": index_hashes,
+    "index_edges": index_edges,
     "index_summary": index_summary,
     "index_fragments": index_fragments,
     "index_latest": index_latest,

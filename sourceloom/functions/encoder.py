@@ -13,7 +13,7 @@ from sourceloom.functions.text import WORD
 
 def tokens_of(text: Column) -> Column:
     """Lower-case words; camelCase names are split at the case change."""
-    split = F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")
+    split = F.regexp_replace(text, "(?=[A-Z])(?<=[a-z0-9])", " ")
     return F.regexp_extract_all(F.lower(split), F.lit(f"{WORD}+"), F.lit(0))
 
 

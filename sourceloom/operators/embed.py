@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions.vectors import is_valid
+from sourceloom.operators.sizing import broadcast_if_small
+from sourceloom.session import cut_lineage
+
+# Vectors with their text hashes that may be broadcast.
+BROADCAST_BYTES = 128 << 20
 
 
 def embed(rows: DataFrame, text: str, encoder, into: str = "embedding") -> DataFrame:
@@ -17,12 +22,14 @@ def embed_distinct(rows: DataFrame, text: str, encoder, into: str = "embedding")
     """One encoding per distinct text, joined back by its hash.
 
     Worth its shuffle when the encoder is an expensive model. Copies of a text collapse
-    before the shuffle of distinct texts. The join is by hash; a text that much of the
-    corpus repeats makes a skewed partition there, which adaptive execution splits.
+    before the shuffle of distinct texts, and the vectors are materialised, so the model
+    runs once. They are broadcast if they fit; otherwise a text that much of the corpus
+    repeats makes a skewed join partition, which adaptive execution splits.
     """
     keyed = rows.withColumn("_text_hash", F.md5(text))
     once = keyed.select("_text_hash", F.col(text).alias("_text")).dropDuplicates(["_text_hash"])
-    vectors = embed(once, "_text", encoder, into).drop("_text")
+    vectors = cut_lineage(embed(once, "_text", encoder, into).drop("_text"))
+    vectors = broadcast_if_small(vectors, BROADCAST_BYTES // (4 * encoder.dim + 64))
     return keyed.join(vectors, "_text_hash", "left").drop("_text_hash")
 
 

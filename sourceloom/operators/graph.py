@@ -62,7 +62,7 @@ def neighbours(edges: DataFrame, n: int = 10, targets: DataFrame | None = None)
     if few is not None:
         ends = ends.where(any_of(F.col("target"), few))
     elif targets is not None:
-        ends = ends.join(broadcast_if_small(targets.distinct()), "target", "left_semi")
+        ends = ends.join(broadcast_if_small(targets), "target", "left_semi")
     near = top_n(ends, ["target", "side"], [F.col("name")], n)
 
     def names(side: str) -> Column:

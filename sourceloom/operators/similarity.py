@@ -19,9 +19,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from sourceloom.functions.vectors import SCORE_GRID, cosine, is_valid, literal_vector
 from sourceloom.operators.ranking import top_n
 
-# Bytes of query vectors that travel with a task; beyond it both sides are cut in blocks.
+# Bytes of query vectors that travel with a task; beyond it both sides are cut in blocks,
+# the queries by the same limit and the base by rows.
 QUERY_BYTES = 8 << 20
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 65_536
 _TILE_CELLS = 4 << 20
 
 
@@ -64,19 +65,21 @@ def top_k_batch(
         ids, vectors = _vectors(held, "query_id", width)
         near = base.mapInArrow(_scan_scorer(ids, vectors, k), _near_schema(base))
     else:
-        near = block_join_top_k(base, queries, k, width, block_rows)
+        near = block_join_top_k(base, queries, k, width, block_rows, most)
     return top_n(near, ["query_id"], [F.desc("score"), F.col("key")], k)
 
 
-def block_join_top_k(base: DataFrame, queries: DataFrame, k: int, width: int, block_rows: int) -> DataFrame:
+def block_join_top_k(
+    base: DataFrame, queries: DataFrame, k: int, width: int, base_rows: int, query_rows: int
+) -> DataFrame:
     """k candidates per query and pair of blocks, for any number of queries.
 
     Rows fall into blocks by a hash of their own id, so blocks are even whatever the
     data repeats. Each block meets each block of the other side once; a pair of blocks
     passes on k rows per query, never its pairs.
     """
-    base_blocks = max(1, -(-base.count() // block_rows))
-    query_blocks = max(1, -(-queries.count() // block_rows))
+    base_blocks = max(1, -(-base.count() // base_rows))
+    query_blocks = max(1, -(-queries.count() // query_rows))
 
     def block(name: str, n: int):
         return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions import text as t
-from sourceloom.plans.search import search, with_context
+from sourceloom.plans.search import search
 from sourceloom.sources.store import CorpusStore
 
 REPORT_NEIGHBOURS = 12
@@ -21,10 +21,10 @@ def report(
     latest_only: bool = False,
 ) -> DataFrame:
     """One escaped section per hit: title, meta line, code snippet, graph markup."""
-    hits = search(store, queries, k, encoder, latest_only=latest_only)
-    if not with_graph:
-        return report_rows(hits)
-    return report_rows(with_context(hits, store.call_edges(), REPORT_NEIGHBOURS, None))
+    hits = search(
+        store, queries, k, encoder, with_graph, latest_only, neighbour_limit=REPORT_NEIGHBOURS, context_top=None
+    )
+    return report_rows(hits)
 
 
 def report_rows(hits: DataFrame) -> DataFrame:

@@ -27,9 +27,12 @@ def search(
     encoder=None,
     with_graph: bool = False,
     latest_only: bool = False,
+    neighbour_limit: int = SEARCH_NEIGHBOURS,
+    context_top: int | None = CONTEXT_TOP,
 ) -> DataFrame:
     """The k most similar fragments per query: (query_id, rank, score, type, symbol,
-    file_path, code), plus callers and callees for the first ranks with ``with_graph``.
+    file_path, code), plus callers and callees for the first ranks with ``with_graph``
+    (all ranks for ``context_top=None``).
 
     ``queries`` is one text or a table (query_id, text).
     """
@@ -38,34 +41,47 @@ def search(
     indexed = store.encoder()
     if indexed and indexed != (encoder.name, encoder.dim):
         raise ValueError(f"the corpus is encoded with {indexed}, not {(encoder.name, encoder.dim)}")
-    hits = search_sources(store.searchable(latest_only), queries, k, encoder)
+    files = store.sources()
+    ranked = rank_fragments(store.searchable(latest_only), files, queries, k, encoder)
+    hits = ranked
     if with_graph:
-        hits = with_context(hits, store.call_edges(), SEARCH_NEIGHBOURS, CONTEXT_TOP)
-    return hits
+        hits = with_context(ranked, store.call_edges(), neighbour_limit, context_top)
+    return fetch_code(files, hits, ranked)
 
 
-def search_sources(sources: DataFrame, queries: str | DataFrame, k: int, encoder) -> DataFrame:
-    """Top k fragments over a table of indexed files.
+def rank_fragments(
+    searchable: DataFrame, files: DataFrame, queries: str | DataFrame, k: int, encoder
+) -> DataFrame:
+    """Top k fragments over the searchable files, without their code.
 
     All fragments of a file share one vector, so files are scored, not fragments: the
-    k best fragments sit in the k best files, and only those files are opened up. A few
-    keys become a filter, so that their rows are found by Bloom filter and not by a
-    scan. Names are ranked before any code is fetched.
+    k best fragments sit in the k best files, and only those files are opened up. The
+    result is narrow and read several times, so it is materialised.
     """
-    near = cut_lineage(nearest_sources(sources, queries, k, encoder))
-    few = few_values(near, "source_key")
-    wanted = sources if few is None else sources.where(any_of(F.col("source_key"), few))
-    small = at_most(near, BROADCAST_ROWS // max(k, 1))
-
-    def side(rows: DataFrame) -> DataFrame:
-        return F.broadcast(rows) if small else rows
-
-    opened = fragments_of(wanted.drop("code", "embedding").join(side(near), "source_key"))
+    near = cut_lineage(nearest_sources(searchable, queries, k, encoder))
+    found = lookup(files.drop("code", "embedding"), near)
     order = [F.desc("score"), F.col("source_key"), F.col("symbol"), F.col("type")]
-    ranked = top_n(opened, ["query_id"], order, k)
-    columns = ["query_id", "rank", "score", "type", "symbol", "file_path"]
-    named = ranked.select("source_key", *columns)
-    return wanted.select("source_key", "code").join(side(named), "source_key").select(*columns, "code")
+    columns = ["query_id", "rank", "score", "type", "symbol", "file_path", "source_key"]
+    return cut_lineage(top_n(fragments_of(found), ["query_id"], order, k).select(*columns))
+
+
+def fetch_code(files: DataFrame, hits: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Add the code of each hit's file."""
+    code = files.select("source_key", "code")
+    return lookup(code, hits, ranked).select(*[c for c in hits.columns if c != "source_key"], "code")
+
+
+def lookup(files: DataFrame, hits: DataFrame, sized: DataFrame | None = None) -> DataFrame:
+    """Join hits to their files by key. A few keys become a filter, so that Bloom
+    filters find their rows; otherwise the hits are broadcast if they are few enough.
+    ``sized`` is a cheap stand-in with the same keys and number of rows."""
+    sized = hits if sized is None else sized
+    few = few_values(sized, "source_key")
+    if few is not None:
+        files = files.where(any_of(F.col("source_key"), few))
+    if at_most(sized, BROADCAST_ROWS):
+        hits = F.broadcast(hits)
+    return files.join(hits, "source_key")
 
 
 def nearest_sources(sources: DataFrame, queries: str | DataFrame, k: int, encoder) -> DataFrame:
