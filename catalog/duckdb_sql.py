@@ -328,7 +328,8 @@ WITH {EDGES}, {neighbours(10)}
 SELECT target, {join_names("callers")} AS callers, {join_names("callees")} AS callees FROM neighbours""",
     "callers_lookup": f"WITH {LINKS} SELECT caller AS name FROM edges WHERE callee = '/the' ORDER BY 1 LIMIT 10",
     "callees_lookup": f"""
-WITH {LINKS} SELECT callee AS name FROM edges WHERE caller = 'thther.example.org' ORDER BY 1 LIMIT 12""",
+WITH {LINKS} SELECT callee AS name FROM edges WHERE caller = (
+  SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) FROM pages WHERE page_id = 0) ORDER BY 1 LIMIT 12""",
     "valid_vectors": f"WITH {MIXED} SELECT vec_id, len(v) AS dims FROM mixed WHERE len(v) > 0",
     "vector_norms": f"""
 WITH {MIXED}

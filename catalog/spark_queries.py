@@ -311,7 +311,10 @@ def callers_lookup(spark, sf_dir):
 
 
 def callees_lookup(spark, sf_dir):
-    return graph.callees_of(link_edges_of(spark, sf_dir), "thther.example.org", 12)
+    """Link targets of one host: that of the first page."""
+    page = table(spark, sf_dir, "pages").where("page_id = 0").select("url").first()
+    host = page["url"].split("//")[1].split("/")[0]
+    return graph.callees_of(link_edges_of(spark, sf_dir), host, 12)
 
 
 # -- vectors ---------------------------------------------------------------------
