@@ -181,13 +181,18 @@ HITS = (
     + ","
     + scores("d", "q")
     + """
-, hits AS (
+, best_files AS (
   SELECT * FROM (
-    SELECT s.query_id, s.score, f.type, f.symbol, f.file_path, f.code,
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS place FROM scored)
+  WHERE place <= 10),
+ranked AS (
+  SELECT * FROM (
+    SELECT s.query_id, s.score, f.type, f.symbol, f.file_path,
       row_number() OVER (PARTITION BY s.query_id
         ORDER BY s.score DESC, f.file_path, f.symbol, f.type) AS rank
-    FROM scored s JOIN fragments f ON f.file_path = s.key)
-  WHERE rank <= 10)"""
+    FROM best_files s JOIN fragments f ON f.file_path = s.key)
+  WHERE rank <= 10),
+hits AS (SELECT r.*, c.code FROM ranked r JOIN coded c USING (file_path))"""
 )
 
 

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
+    con = duckdb.connect(config={"max_temp_directory_size": "2GB"})
     for path in Path(SF).glob("*.parquet"):
         con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     return con
