@@ -340,21 +340,21 @@ WITH {LINKS} SELECT callee AS name FROM edges WHERE caller = (
 WITH {MIXED}
 SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm,
   round(list_dot_product(v, list_reverse(v)), 6) AS dot_reversed,
-  round({cosine("v", "list_reverse(v)")}, 6) AS cosine_reversed
+  {cosine("v", "list_reverse(v)")} AS cosine_reversed
 FROM mixed WHERE len(v) > 0""",
     "cosine_topk": f"""
 WITH wide AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 scored AS (
   SELECT b.vec_id, b.label, {cosine("b.v", "q.v")} AS score
   FROM wide b, (SELECT v FROM wide WHERE vec_id = 0) q)
-SELECT vec_id, label, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, vec_id LIMIT 10""",
+SELECT vec_id, label, score FROM scored ORDER BY scored.score DESC, vec_id LIMIT 10""",
     "knn_batch": f"""
 WITH wide AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 scored AS (
   SELECT q.vec_id AS query_id, b.vec_id, {cosine("b.v", "q.v")} AS score FROM wide q CROSS JOIN wide b),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
-SELECT query_id, vec_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10""",
+SELECT query_id, vec_id, rank, score FROM ranked WHERE rank <= 10""",
     "hash_embed": f"WITH {vectors_of('d', 'documents', 'doc_id', 'text')} {DENSE}",
     "embed_dedup_join": f"WITH {vectors_of('d', 'documents', 'doc_id', 'text')} {DENSE}",
     "embed_errors": "SELECT doc_id FROM documents WHERE lang = 'es'",
@@ -363,15 +363,15 @@ WITH {vectors_of("d", "documents", "doc_id", "text")}, {vectors_of("q", "benchma
 {scores("d", "q")},
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM scored)
-SELECT query_id, rank, key AS doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10""",
+SELECT query_id, rank, key AS doc_id, score FROM ranked WHERE rank <= 10""",
     "fragment_search": f"""
-WITH {HITS} SELECT query_id, rank, type, symbol, file_path, round(score, 6) AS score FROM hits""",
+WITH {HITS} SELECT query_id, rank, type, symbol, file_path, score FROM hits""",
     "single_search": f"""
 WITH {HITS},
 cut AS (
   SELECT *, {lines_of(rf"regexp_replace(code, '\A{S}+|{S}+\z', '', 'g')")} AS l FROM hits WHERE query_id = 0)
 SELECT rank, type, substr(symbol, 1, 55) AS symbol, substr(file_path, 1, 40) AS file_path, {PREVIEW} AS preview,
-  round(score, 6) AS score FROM cut""",
+  score FROM cut""",
     "search_context": f"""
 WITH {HITS}, {edges_of()}, {neighbours(10)}
 SELECT query_id, rank, type, substr(symbol, 1, 55) AS symbol, substr(file_path, 1, 40) AS file_path,
@@ -386,7 +386,7 @@ cut AS (
 SELECT file_path, {PREVIEW} AS preview FROM cut""",
     "report_rows": f"""
 WITH {HITS}, {edges_of()}, {neighbours(12)}
-SELECT query_id, rank, round(score, 6) AS score,
+SELECT query_id, rank, score,
   {escaped("type || ' · ' || symbol")} AS title,
   {escaped("'File: ' || file_path || ' · Score: ' || printf('%.4f', score)")} AS meta,
   {escaped(f"array_to_string(list_slice({lines_of('code')}, 1, 60), {NL})")} AS snippet,

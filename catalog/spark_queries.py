@@ -144,10 +144,6 @@ def joined(names: str) -> Column:
     return F.array_join(names, ",")
 
 
-def shown_score() -> Column:
-    return F.round("score", 6).alias("score")
-
-
 # -- scans, decoding, hashing ----------------------------------------------------
 
 
@@ -332,14 +328,14 @@ def vector_norms(spark, sf_dir):
         "vec_id",
         F.round(vectors.norm(own), 6).alias("norm"),
         F.round(vectors.dot(own, F.reverse(own)), 6).alias("dot_reversed"),
-        F.round(vectors.cosine(own, F.reverse(own)), 6).alias("cosine_reversed"),
+        vectors.cosine(own, F.reverse(own)).alias("cosine_reversed"),
     )
 
 
 def cosine_topk(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
     query = emb.where("vec_id = 0").select("embedding").first()["embedding"]
-    return similarity.top_k(emb, query, 10, "vec_id").select("vec_id", "label", shown_score())
+    return similarity.top_k(emb, query, 10, "vec_id").select("vec_id", "label", "score")
 
 
 def knn_batch(spark, sf_dir):
@@ -349,7 +345,7 @@ def knn_batch(spark, sf_dir):
         emb.select(F.col("vec_id").alias("query_id"), "embedding"),
         10,
     )
-    return near.select("query_id", F.col("key").alias("vec_id"), "rank", shown_score())
+    return near.select("query_id", F.col("key").alias("vec_id"), "rank", "score")
 
 
 def hash_embed(spark, sf_dir):
@@ -380,7 +376,7 @@ def text_search(spark, sf_dir):
     docs = embed.embed(table(spark, sf_dir, "documents"), "text", ENCODER)
     asked = embed.embed(benchmark_queries(spark, sf_dir), "text", ENCODER)
     near = similarity.top_k_batch(docs.select(F.col("doc_id").alias("key"), "embedding"), asked, 10)
-    return near.select("query_id", "rank", F.col("key").alias("doc_id"), shown_score())
+    return near.select("query_id", "rank", F.col("key").alias("doc_id"), "score")
 
 
 def java_store(spark, sf_dir, label) -> CorpusStore:
@@ -392,7 +388,7 @@ def java_store(spark, sf_dir, label) -> CorpusStore:
 def fragment_search(spark, sf_dir):
     store = java_store(spark, sf_dir, "fragment-search")
     hits = search.search(store, benchmark_queries(spark, sf_dir), 10, ENCODER)
-    return hits.select("query_id", "rank", "type", "symbol", "file_path", shown_score())
+    return hits.select("query_id", "rank", "type", "symbol", "file_path", "score")
 
 
 def single_search(spark, sf_dir):
@@ -400,7 +396,7 @@ def single_search(spark, sf_dir):
     store = java_store(spark, sf_dir, "single-search")
     asked = table(spark, sf_dir, "benchmark").where("item_id = 0").first()["text"]
     hits = search.search_display(search.search(store, asked, 10, ENCODER), show_code=True)
-    return hits.select("rank", "type", "symbol", "file_path", "preview", shown_score())
+    return hits.select("rank", "type", "symbol", "file_path", "preview", "score")
 
 
 def search_context(spark, sf_dir):
@@ -419,7 +415,7 @@ def code_preview(spark, sf_dir):
 def report_rows(spark, sf_dir):
     store = java_store(spark, sf_dir, "report-rows")
     rows = report.report(store, benchmark_queries(spark, sf_dir), 10, ENCODER)
-    return rows.select("query_id", "rank", shown_score(), "title", "meta", "snippet", "graph")
+    return rows.select("query_id", "rank", "score", "title", "meta", "snippet", "graph")
 
 
 def report_written(spark, sf_dir):
