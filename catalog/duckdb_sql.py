@@ -394,7 +394,8 @@ SELECT query_id, rank, score,
 FROM hits LEFT JOIN neighbours n ON hits.symbol = n.target""",
     "report_written": f"""
 WITH {HITS}
-SELECT query_id, rank, {escaped("type || ' · ' || symbol")} AS title, NULL::VARCHAR AS graph FROM hits""",
+SELECT query_id, rank, {escaped("type || ' · ' || symbol")} AS title,
+  {escaped("'File: ' || file_path || ' · Score: ' || printf('%.4f', score)")} AS meta FROM hits""",
     "graph_text": f"""
 WITH {LINKS}, {neighbours(12)}
 SELECT target, {graph_text("target", "callers", "callees")} AS graph FROM neighbours""",

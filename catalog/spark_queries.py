@@ -423,7 +423,7 @@ def report_written(spark, sf_dir):
     store = java_store(spark, sf_dir, "report-written")
     rows = report.report(store, benchmark_queries(spark, sf_dir), 10, ENCODER, with_graph=False)
     report.write_report(rows, f"{store.root}/report")
-    return spark.read.parquet(f"{store.root}/report").select("query_id", "rank", "title", "graph")
+    return spark.read.parquet(f"{store.root}/report").select("query_id", "rank", "title", "meta")
 
 
 def graph_text(spark, sf_dir):

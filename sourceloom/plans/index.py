@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions.encoder import HashingEncoder
-from sourceloom.operators.embed import embed
+from sourceloom.operators.embed import embed, embed_distinct
 from sourceloom.operators.fragments import call_edges_of, read_sources
 from sourceloom.operators.graph import new_edges
 from sourceloom.operators.incremental import changed_files, with_hash
@@ -14,19 +14,26 @@ from sourceloom.sources.files import JAVA, scan_files
 from sourceloom.sources.store import CorpusStore
 
 
-def source_rows(files: DataFrame, encoder) -> DataFrame:
+def source_rows(files: DataFrame, encoder, distinct_texts: bool = False) -> DataFrame:
     """Rows of the ``sources`` table for hashed files. Only files with fragments are
-    encoded, once each: all fragments of a file share its code."""
+    encoded, once each: all fragments of a file share its code. ``distinct_texts``
+    encodes copies of a text once, which pays for an expensive model."""
+    attach = embed_distinct if distinct_texts else embed
     return (
         read_sources(files)
         .withColumn("_encode", F.when(F.col("n_fragments") > 0, F.col("code")))
-        .transform(embed, "_encode", encoder)
+        .transform(attach, "_encode", encoder)
         .drop("_encode")
     )
 
 
 def index_files(
-    files: DataFrame, store: CorpusStore, encoder=None, full_rescan: bool = False, with_graph: bool = True
+    files: DataFrame,
+    store: CorpusStore,
+    encoder=None,
+    full_rescan: bool = False,
+    with_graph: bool = True,
+    distinct_texts: bool = False,
 ) -> int:
     """Index (file_path, content) rows and return the run number.
 
@@ -41,7 +48,7 @@ def index_files(
     changed = changed_files(
         hashed, store.file_hashes(), full_rescan=full_rescan or known == 0, state_rows=known
     )
-    rows = source_rows(changed, encoder).withColumn(
+    rows = source_rows(changed, encoder, distinct_texts).withColumn(
         "source_key", F.concat(F.col("file_path"), F.lit("\u0000"), F.lit(f"{run:010d}"))
     )
     store.write_run("sources", run, rows)
@@ -65,7 +72,14 @@ def index_files(
 
 
 def index_folder(
-    store: CorpusStore, root: str, encoder=None, full_rescan: bool = False, with_graph: bool = True, suffix: str = JAVA
+    store: CorpusStore,
+    root: str,
+    encoder=None,
+    full_rescan: bool = False,
+    with_graph: bool = True,
+    distinct_texts: bool = False,
+    suffix: str = JAVA,
 ) -> int:
     """Index all files with the suffix below a folder."""
-    return index_files(scan_files(store.spark, root, suffix), store, encoder, full_rescan, with_graph)
+    files = scan_files(store.spark, root, suffix)
+    return index_files(files, store, encoder, full_rescan, with_graph, distinct_texts)

@@ -12,12 +12,14 @@ from sourceloom.operators.fragments import fragments_of
 from sourceloom.operators.graph import neighbours
 from sourceloom.operators.ranking import top_n
 from sourceloom.operators.similarity import check_k, top_k, top_k_batch
-from sourceloom.operators.sizing import BROADCAST_ROWS, any_of, at_most, few_values
+from sourceloom.operators.sizing import any_of, at_most, few_values
 from sourceloom.session import cut_lineage
 from sourceloom.sources.store import CorpusStore
 
 CONTEXT_TOP = 5
 SEARCH_NEIGHBOURS = 10
+# Hits with their neighbour lists, of about a kilobyte each, that may be broadcast.
+HIT_ROWS = 100_000
 
 
 def search(
@@ -79,7 +81,7 @@ def lookup(files: DataFrame, hits: DataFrame, sized: DataFrame | None = None) ->
     few = few_values(sized, "source_key")
     if few is not None:
         files = files.where(any_of(F.col("source_key"), few))
-    if at_most(sized, BROADCAST_ROWS):
+    if at_most(sized, HIT_ROWS):
         hits = F.broadcast(hits)
     return files.join(hits, "source_key")
 
@@ -91,6 +93,8 @@ def nearest_sources(sources: DataFrame, queries: str | DataFrame, k: int, encode
     if isinstance(queries, str):
         asked = spark.createDataFrame([(0, queries)], "query_id long, text string")
         vector = embed(asked, "text", encoder).first()["embedding"]
+        if not vector:
+            raise ValueError("the query text could not be encoded")
         near = top_k(base, vector, k, "key").select(F.lit(0).cast("long").alias("query_id"), "key", "score")
     else:
         near = top_k_batch(base, embed(queries, "text", encoder), k).drop("rank")

@@ -90,6 +90,15 @@ def test_failed_encodings_are_reported_and_skipped(store, folder):
         sl.search(store, "x")
 
 
+def test_copies_are_encoded_once(store, folder):
+    (folder / "Copy1.java").write_text(N)
+    (folder / "Copy2.java").write_text(N)
+    sl.index_folder(store, str(folder), sl.ModelEncoder("stub", 2, load_stub), distinct_texts=True)
+    assert store.fragments().count() == 7 + 6 and last(store) == (6, 0, 6)
+    rows = store.searchable().select("code", "embedding").collect()
+    assert all(r.embedding == [float(len(r.code)), 1.0] for r in rows)
+
+
 def test_without_graph(store, folder):
     sl.index_folder(store, str(folder), with_graph=False)
     assert store.call_edges().count() == 0 and store.fragments().count() == 7
