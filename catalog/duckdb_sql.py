@@ -407,6 +407,10 @@ SELECT type, substr(symbol, 1, 60) AS symbol, dims, head FROM (
     '[' || array_to_string(list_transform(embedding[1:5], lambda x: printf('%.4f', x::DOUBLE)), ', ')
       || ' ...]' AS head
   FROM embeddings ORDER BY type, symbol LIMIT 25)""",
+    "index_preview_stored": f"""
+WITH {FRAGMENTS}
+SELECT type, substr(symbol, 1, 60) AS symbol, 64 AS dims FROM (
+  SELECT * FROM fragments ORDER BY file_path, type, symbol LIMIT 25)""",
     "index_runs": """
 SELECT 1 AS run, count(*) AS discovered, 0 AS skipped, count(*) AS processed FROM documents
 UNION ALL SELECT 2, count(*), count_if(lang <> 'de'), count_if(lang = 'de') FROM documents

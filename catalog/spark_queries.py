@@ -452,6 +452,11 @@ def index_preview(spark, sf_dir):
     return summary.preview_rows(rows)
 
 
+def index_preview_stored(spark, sf_dir):
+    """The same for a stored corpus."""
+    return summary.index_preview(java_store(spark, sf_dir, "preview")).select("type", "symbol", "dims")
+
+
 def three_runs(spark, sf_dir) -> CorpusStore:
     """A store after three runs: all files, again with the German ones edited, full rescan."""
     store, corpus = new_store(spark, "index-runs"), java_files(spark, sf_dir)
@@ -578,6 +583,7 @@ QUERIES = {
     "graph_text": graph_text,
     "html_escape": html_escape,
     "index_preview": index_preview,
+    "index_preview_stored": index_preview_stored,
     "index_runs": index_runs,
     "index_hashes": index_hashes,
     "index_edges": index_edges,

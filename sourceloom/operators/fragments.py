@@ -60,7 +60,7 @@ def fragments_of(sources: DataFrame) -> DataFrame:
             "symbol", F.when(is_class, java.class_fqn(F.col("package"), F.col("name"))).otherwise(full_name)
         )
         .withColumn("calls", F.when(is_class, F.col("calls")).otherwise(full_calls))
-        .drop("name", "package", "classes", "methods", "n_fragments")
+        .drop("name", "package", "classes", "methods", "n_fragments", "dims")
     )
 
 

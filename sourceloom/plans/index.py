@@ -23,6 +23,7 @@ def source_rows(files: DataFrame, encoder, distinct_texts: bool = False) -> Data
         read_sources(files)
         .withColumn("_encode", F.when(F.col("n_fragments") > 0, F.col("code")))
         .transform(attach, "_encode", encoder)
+        .withColumn("dims", F.coalesce(F.size("embedding"), F.lit(0)))
         .drop("_encode")
     )
 

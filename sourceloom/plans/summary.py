@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions import text as t
+from sourceloom.operators.fragments import fragments_of
 from sourceloom.operators.graph import graph_counts
 from sourceloom.sources.store import CorpusStore
 
@@ -44,4 +45,12 @@ def preview_rows(fragments: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
 
 
 def index_preview(store: CorpusStore, n: int = PREVIEW_ROWS) -> DataFrame:
-    return preview_rows(store.fragments(), n)
+    """The first n stored fragments by path, type and symbol.
+
+    Each file has a fragment, so the first n fragments lie within the paths of the first
+    n files: only files up to that path are opened up.
+    """
+    files = store.searchable()
+    first = files.select("file_path").orderBy("file_path").limit(n)
+    last_path = first.agg(F.max("file_path")).first()[0]
+    return preview_rows(fragments_of(files.where(F.col("file_path") <= last_path)), n)

@@ -30,6 +30,7 @@ SOURCES = StructType(
         StructField("methods", ArrayType(StringType())),
         StructField("calls", ArrayType(StringType())),
         StructField("n_fragments", IntegerType()),
+        StructField("dims", IntegerType()),
         StructField("embedding", ArrayType(FloatType())),
         RUN,
     ]

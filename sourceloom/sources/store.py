@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sourceloom.functions.vectors import is_valid
 from sourceloom.operators.fragments import fragments_of
 from sourceloom.operators.graph import method_nodes
 from sourceloom.schemas import CALL_EDGES, RUNS, SOURCES
@@ -76,15 +75,16 @@ class CorpusStore:
         return self._latest().select("file_path", "hash")
 
     def searchable(self, latest_only: bool = False) -> DataFrame:
-        """Files with at least one fragment and a vector."""
-        return self.sources(latest_only).where((F.col("n_fragments") > 0) & is_valid(F.col("embedding")))
+        """Files with at least one fragment and a vector. The width is a column of its
+        own, so that the filter reaches Parquet and the vectors need not be read."""
+        return self.sources(latest_only).where("n_fragments > 0 and dims > 0")
 
     def fragments(self, latest_only: bool = False) -> DataFrame:
         return fragments_of(self.searchable(latest_only))
 
     def index_errors(self) -> DataFrame:
         """Fragments left out because their text could not be encoded."""
-        failed = self.sources().where((F.col("n_fragments") > 0) & ~is_valid(F.col("embedding")))
+        failed = self.sources().where("n_fragments > 0 and dims = 0")
         return fragments_of(failed).select("run", "file_path", "type", "symbol")
 
     def call_edges(self) -> DataFrame:

@@ -62,6 +62,9 @@ def test_incremental_runs(store, folder):
     assert last(store) == (4, 0, 4)
     assert store.fragments().count() == first + 4 + (first + 1)
     assert store.call_edges().count() == edges + 3
+    assert [r.symbol for r in sl.index_preview(store).collect()] == [
+        r.symbol for r in store.fragments().orderBy("file_path", "type", "symbol").limit(25).collect()
+    ]
     metrics = {r.metric: r.value for r in sl.index_summary(store).collect()}
     assert metrics["calls"] == edges + 3 and metrics["processed"] == 4
     assert metrics["fragments"] == store.fragments().count()
@@ -186,3 +189,16 @@ def test_stored_plans_prune_and_push_down(store, folder):
     edges = plan_of(store.call_edges().where("callee = 'a'"))
     assert "EqualTo(callee,a)" in edges
     assert [f.name for f in SOURCES.fields] == store.sources().columns
+
+
+def test_each_expression_runs_once_per_file(spark):
+    from sourceloom.operators.incremental import with_hash
+    from sourceloom.plans.index import source_rows
+
+    files = spark.createDataFrame([("/A.java", b"class A")], "file_path string, content binary")
+    frame = source_rows(with_hash(files), sl.HashingEncoder())
+    with_strings = spark._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "extended")
+    plan = with_strings.split("== Physical Plan ==")[1]
+    for part in ("sort_array(", "(?:public|protected", "md5(content", "array_except("):
+        assert plan.count(part) == 1, part
+    assert "Exchange" not in plan and "Python" not in plan

@@ -112,3 +112,16 @@ def test_graph_text(spark, callers, callees):
     want += [f'  caller_{key(c)}(["{c}"]) --> target' for c in callers]
     want += [f'  target --> callee_{key(c)}(["{c}"]) ' for c in callees]
     assert got == "\n".join(want)
+
+
+def test_scratch_folder_follows_the_session(spark):
+    from types import SimpleNamespace
+
+    from sourceloom.session import scratch_dir
+
+    def fake(value):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: value))
+
+    assert scratch_dir(fake("/shared/x/"), "a").startswith("/shared/x/a-")
+    assert "/sourceloom-scratch/a-" in scratch_dir(fake(None), "a")
+    assert scratch_dir(spark, "a") != scratch_dir(spark, "a")
