@@ -7,11 +7,13 @@ are broken explicitly. ``base`` has columns ``key`` and ``embedding``, ``queries
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -25,6 +27,10 @@ QUERY_BYTES = 8 << 20
 BLOCK_ROWS = 65_536
 _TILE_CELLS = 4 << 20
 
+# The scorers below travel to the executors as code, so that the package need not be
+# installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def check_k(k: int) -> None:
     if k < 0:

@@ -99,3 +99,18 @@ def test_vector_columns(spark):
         vectors.cosine(F.col("embedding"), F.array(F.lit(0.0), F.lit(0.0))),
     ).first()
     assert tuple(row) == (5.0, 11.0, 0.0)
+
+
+def test_executors_do_not_need_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    tests = Path(__file__).resolve().parent
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, str(tests / "elsewhere.py"), str(tests.parent)],
+        cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180,
+    )
+    assert "passed" in done.stdout, done.stderr[-2000:]
