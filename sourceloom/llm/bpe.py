@@ -14,6 +14,7 @@ common to the window and a side joins the pairs of both.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 from collections.abc import Iterator
 
@@ -26,7 +27,8 @@ from sourceloom.llm.common import row_key, table, text_batches, whole_text
 
 LEAF_CHARS = 32_768
 MARGIN = 16  # longer than the special token, and than what a pre-token looks ahead
-CACHED_UNITS = 400_000
+CACHED_UNITS = 200_000
+BATCH = 1_000_000  # characters at a time
 # A space that is not followed by a visible character starts no unit.
 _ODD_SPACE = re.compile(r" (?:[\s᠎​﻿]|\Z)")
 
@@ -104,27 +106,34 @@ class Coder:
         return b"".join(map(self.bytes_of.__getitem__, numbers)).decode("utf-8", "replace")
 
     def stretch(self, text: str) -> Stretch:
-        """A text with its tokens and the byte offsets at which pre-tokens start."""
-        ids = np.frombuffer(self.encode_batch([text])[0], dtype="<u4").astype(np.int64)
+        """A text with its tokens."""
+        return Stretch(self, text.encode(), np.frombuffer(self.encode_batch([text])[0], dtype="<u4"))
+
+    def starts_of_pretokens(self, text: str) -> np.ndarray:
+        """Byte offsets at which pre-tokens and special tokens start."""
         starts, at = [], 0
-        pieces = re.split("(" + "|".join(map(re.escape, self.specials)) + ")", text) if self.specials else [text]
-        for piece in pieces:
+        for piece in re.split("(" + "|".join(map(re.escape, self.specials)) + ")", text) if self.specials else [text]:
             if piece in self.specials:
                 starts.append(at)
             elif piece:
                 widths = np.cumsum([0, *(len(c.encode()) for c in piece)])
                 starts += [at + int(widths[b]) for _, (b, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
             at += len(piece.encode())
-        return Stretch(text.encode(), ids, np.array(starts, dtype=np.int64), self.lengths)
+        return np.array(starts, dtype=np.int64)
 
 
 class Stretch:
-    """Tokens of a piece of text; offsets are in bytes and count from its start."""
+    """A piece of text and its tokens; offsets are in bytes and count from its start."""
+
+    def __init__(self, coder: Coder, data: bytes, ids: np.ndarray):
+        self.coder, self.data, self.ids = coder, data, ids
+        self.ends = np.cumsum(coder.lengths[ids]) if len(ids) else np.zeros(0, dtype=np.int64)
+        self.starts = self.ends - coder.lengths[ids] if len(ids) else self.ends
 
-    def __init__(self, data: bytes, ids: np.ndarray, pre: np.ndarray, lengths: np.ndarray):
-        self.data, self.ids, self.pre = data, ids, pre
-        self.ends = np.cumsum(lengths[ids]) if len(ids) else np.zeros(0, dtype=np.int64)
-        self.starts = self.ends - lengths[ids] if len(ids) else self.ends
+    @functools.cached_property
+    def pre(self) -> np.ndarray:
+        """Where pre-tokens start; only texts that are long without a space need this."""
+        return self.coder.starts_of_pretokens(self.data.decode())
 
 
 def _inside_letters(data: bytes, at: int) -> bool:
@@ -136,9 +145,17 @@ def _inside_letters(data: bytes, at: int) -> bool:
     return before.isalpha() and after.isalpha()
 
 
-def _left_edge(left: Stretch, w: int) -> tuple[int, bool]:
+def _unit_starts(data: bytes) -> list[int]:
+    """Offsets of spaces before ASCII letters; each starts a pre-token wherever the text is cut."""
+    return [m.start() for m in re.finditer(rb" (?=[A-Za-z])", data)]
+
+
+def _left_edge(left: Stretch, w: int, near: int) -> tuple[int, bool]:
     """Where the window starts, and whether that is the start of a pre-token of the whole."""
     c = len(left.data)
+    low = max(0, c - near)
+    if units := [u for u in _unit_starts(left.data[low:]) if low + u <= c - MARGIN]:
+        return low + units[-1], True
     i = bisect.bisect_right(left.pre, c - max(w, MARGIN)) - 1
     if i >= 0 and left.pre[i] >= c - 4 * w:
         return int(left.pre[i]), True
@@ -152,60 +169,64 @@ def _left_edge(left: Stretch, w: int) -> tuple[int, bool]:
     return 0, True
 
 
-def _right_edge(right: Stretch, w: int) -> int:
+def _right_edge(right: Stretch, w: int, near: int) -> tuple[int, bool]:
+    """Where the window ends, and whether both sides are sure to have a pre-token start there."""
     n = len(right.data)
+    if units := [u for u in _unit_starts(right.data[:near]) if u >= MARGIN]:
+        return units[0], True
     for offsets in (right.pre, right.starts):
         i = bisect.bisect_left(offsets, w)
         while i < len(offsets) and offsets[i] <= 4 * w:
             if offsets is right.pre or _inside_letters(right.data, int(offsets[i])):
-                return int(offsets[i])
+                return int(offsets[i]), False
             i += 1
-    return n
+    return n, True
 
 
-def concatenate(coder: Coder, left: Stretch, right: Stretch, w: int = 64) -> Stretch:
-    """The stretch of both texts together, as if encoded in one piece."""
+def concatenate(left: Stretch, right: Stretch, w: int = 64, near: int = 2048) -> Stretch:
+    """The stretch of both texts together, as if encoded in one piece.
+
+    ``w`` is the first width of the window on each side, ``near`` how far a space before
+    a letter is looked for, where the window can end without further proof.
+    """
     if not left.data or not right.data:
         return right if not left.data else left
-    c, data = len(left.data), left.data + right.data
+    coder, c, data = left.coder, len(left.data), left.data + right.data
     while True:
-        a, whole_left = _left_edge(left, w)
-        b = c + _right_edge(right, w)
+        a, sure_left = _left_edge(left, w, near)
+        edge, sure_right = _right_edge(right, w, near)
+        b = c + edge
         window = coder.stretch(data[a:b].decode())
-        starts, ends, pre = window.starts + a, window.ends + a, window.pre + a
+        starts, ends = (window.starts + a).tolist(), (window.ends + a).tolist()
         first, keep = 0, a
-        if not whole_left:  # a token that the window shares with the left side
+        if not sure_left:  # a token that the window shares with the left side
             seen = dict(zip(left.starts.tolist(), left.ends.tolist()))
-            first = next((k for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())) if e <= c - MARGIN and seen.get(s) == e and _inside_letters(data, s) and _inside_letters(data, e)), -1)
-            keep = int(starts[first]) if first >= 0 else -1
+            first = next((k for k, (s, e) in enumerate(zip(starts, ends)) if e <= c - MARGIN and seen.get(s) == e and _inside_letters(data, s) and _inside_letters(data, e)), -1)
+            keep = starts[first] if first >= 0 else -1
         last, resume = len(window.ids), b
-        if b < len(data):
-            shared = np.intersect1d(pre, right.pre + c)
+        if not sure_right:
+            shared = np.intersect1d(window.pre + a, right.pre + c)
             shared = shared[(shared >= c) & (shared <= b - MARGIN)]
             if len(shared):
                 resume = int(shared[0])
-                last = int(np.searchsorted(starts, resume))
+                last = bisect.bisect_left(starts, resume)
             else:
                 seen = dict(zip((right.starts + c).tolist(), (right.ends + c).tolist()))
-                last = next((k for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())) if s > c and e <= b - MARGIN and seen.get(s) == e and _inside_letters(data, s) and _inside_letters(data, e)), -1)
-                resume = int(starts[last]) if last >= 0 else -1
+                last = next((k for k, (s, e) in enumerate(zip(starts, ends)) if s > c and e <= b - MARGIN and seen.get(s) == e and _inside_letters(data, s) and _inside_letters(data, e)), -1)
+                resume = starts[last] if last >= 0 else -1
         if first >= 0 and last >= first and keep <= resume:
             head = int(np.searchsorted(left.starts, keep))
-            tail = int(np.searchsorted(right.starts, resume - c)) if resume < len(data) else len(right.ids)
-            ids = np.concatenate([left.ids[:head], window.ids[first:last], right.ids[tail:]])
-            marks = np.concatenate([left.pre[left.pre < keep], pre[(pre >= keep) & (pre <= resume)], right.pre[right.pre + c > resume] + c])
-            if not whole_left:
-                marks = np.concatenate([left.pre[left.pre <= keep], marks[marks > keep]])
-            return Stretch(data, ids, np.unique(marks), coder.lengths)
+            tail = int(np.searchsorted(right.starts, resume - c))
+            return Stretch(coder, data, np.concatenate([left.ids[:head], window.ids[first:last], right.ids[tail:]]))
         if a == 0 and b == len(data):
             return coder.stretch(data.decode())
         w *= 2
 
 
-def encode_tree(coder: Coder, leaves: list[Stretch]) -> Stretch:
+def encode_tree(leaves: list[Stretch], w: int = 64, near: int = 2048) -> Stretch:
+    """Concatenate neighbours until one stretch is left."""
     while len(leaves) > 1:
-        pairs = [concatenate(coder, *leaves[i : i + 2]) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
-        leaves = pairs
+        leaves = [concatenate(*leaves[i : i + 2], w, near) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
     return leaves[0]
 
 
@@ -242,28 +263,26 @@ def encode(docs: DataFrame, definition: str, doc_id: str = "doc_id", text: str =
 
     def direct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = coder_of(definition)
-        for part in text_batches(frames, "text"):
+        for part in text_batches(frames, "text", BATCH):
             yield pd.DataFrame({"doc_id": part["doc_id"], "ids": coder.encode_batch(part["text"].tolist())})
 
     def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = coder_of(definition)
-        for frame in frames:
-            made = [coder.stretch(t) for t in frame["text"]]
-            yield pd.DataFrame({"_key": frame["_key"], "at": frame["at"], "data": [s.data for s in made], "ids": [s.ids.astype("<u4").tobytes() for s in made], "pre": [s.pre.astype("<u4").tobytes() for s in made]})
+        for part in text_batches(frames, "text", BATCH):
+            yield pd.DataFrame({"_key": part["_key"], "at": part["at"], "text": part["text"], "ids": coder.encode_batch(part["text"].tolist())})
 
     def trees(key, frame: pd.DataFrame) -> pd.DataFrame:
         coder = coder_of(definition)
         frame = frame.sort_values("at")
-        parts = [Stretch(d, np.frombuffer(i, "<u4").astype(np.int64), np.frombuffer(p, "<u4").astype(np.int64), coder.lengths) for d, i, p in zip(frame["data"], frame["ids"], frame["pre"])]
-        ids = encode_tree(coder, parts).ids.astype("<u4").tobytes()
-        return pd.DataFrame({"_key": [key[0]], "ids": [ids]})
+        parts = [Stretch(coder, t.encode(), np.frombuffer(i, "<u4")) for t, i in zip(frame["text"], frame["ids"])]
+        return pd.DataFrame({"_key": [key[0]], "ids": [encode_tree(parts).ids.astype("<u4").tobytes()]})
 
     short_ids = rows.where(~long).mapInPandas(direct, f"doc_id {kind}, ids binary")
     whole = rows.where(long).withColumn("_key", F.to_json(row_key("doc_id", "text")))
     once = whole.groupBy("_key").agg(F.first("text").alias("text"))
     numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / leaf_chars).cast("int"))
     cut = once.select("_key", F.explode(F.transform(numbers, lambda i: F.struct(i.alias("at"), F.substring("text", i * leaf_chars + 1, F.lit(leaf_chars)).alias("text")))).alias("_leaf")).select("_key", "_leaf.at", "_leaf.text")
-    coded = cut.repartition("_key", "at").mapInPandas(leaves, "_key string, at int, data binary, ids binary, pre binary")
+    coded = cut.repartition("_key", "at").mapInPandas(leaves, "_key string, at int, text string, ids binary")
     tree_ids = coded.groupBy("_key").applyInPandas(trees, "_key string, ids binary")
     return short_ids.unionByName(whole.select("doc_id", "_key").join(tree_ids, "_key").select("doc_id", "ids"))
 
