@@ -50,3 +50,4 @@ def text_batches(frames: Iterable[pd.DataFrame], text: str, chars: int = BATCH_C
         group = (frame[text].str.len().cumsum() // chars).to_numpy()
         for _, part in frame.groupby(group, sort=False):
             yield part
+

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sourceloom.llm import bpe, chat, decontaminate, secrets
+from sourceloom.llm import bpe, chat, decontaminate, lcp, pii, secrets
 
 QUERIES = {
+    "op1_shape_crf": pii.op1_shape_crf,
     "op4_prefix_targets": chat.op4_prefix_targets,
     "op5_secret_ownership": secrets.op5_secret_ownership,
     "op8_bpe_trees": bpe.op8_bpe_trees,
     "op9_benchmark_windows": decontaminate.op9_benchmark_windows,
+    "op10_phrase_fingerprints": lcp.op10_phrase_fingerprints,
 }
 
 SQL = {
