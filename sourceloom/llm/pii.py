@@ -442,13 +442,17 @@ def in_kind_order(spans) -> Column:
     return F.array_sort(keyed)
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def op1_shape_crf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train(labelled_table(spark).unionByName(pattern_labelled(docs)))
     found = find_personal_data(docs, model)
     return found.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[_count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(joined("base"), 256).alias("base_sha256"),
         joined(in_kind_order(F.concat("base", "added"))).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
