@@ -20,15 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from sourceloom.llm.common import row_key, table, text_batches, whole_text
+from sourceloom.llm.common import row_key, table, whole_text
 
 LEAF_CHARS = 32_768
 MARGIN = 16  # longer than the special token, and than what a pre-token looks ahead
-CACHED_UNITS = 200_000
-BATCH = 1_000_000  # characters at a time
+CACHED_UNITS = 250_000
+BATCH = 400_000  # characters at a time
+TOGETHER = 512
 # A space that is not followed by a visible character starts no unit.
 _ODD_SPACE = re.compile(r" (?:[\s᠎​﻿]|\Z)")
 
@@ -68,13 +71,18 @@ class Coder:
         self.cache: dict[str, bytes] = {}
 
     def _fill(self, units: list[str]) -> None:
+        """Encode distinct units, a few hundred in one string, and cut the tokens at their ends."""
         if len(self.cache) + len(units) > CACHED_UNITS:
             self.cache.clear()
-        for at in range(0, len(units), 4096):
-            some = units[at : at + 4096]
-            coded = self.tokenizer.encode_batch_fast([" " + u for u in some], add_special_tokens=False)
-            for unit, one in zip(some, coded):
-                self.cache[unit] = np.array(one.ids, dtype="<u4").tobytes()
+        for at in range(0, len(units), TOGETHER):
+            some = [" " + u for u in units[at : at + TOGETHER]]
+            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, dtype="<u4")
+            sizes = np.cumsum([len(u.encode()) for u in some])
+            stops = np.searchsorted(np.cumsum(self.lengths[ids]), sizes, side="left") + 1
+            data, begin = ids.tobytes(), 0
+            for unit, stop in zip(units[at : at + TOGETHER], (stops * 4).tolist()):
+                self.cache[unit] = data[begin:stop]
+                begin = stop
 
     @staticmethod
     def units(text: str) -> tuple[str, list[str]]:
@@ -101,6 +109,15 @@ class Coder:
         heads = self.tokenizer.encode_batch_fast([h for h, _ in split], add_special_tokens=False)
         return [np.array(h.ids, dtype="<u4").tobytes() + b"".join(map(cache.__getitem__, rest)) for h, (_, rest) in zip(heads, split)]
 
+    def runs(self, texts: list[str]) -> Iterator[tuple[list[str], list[bytes]]]:
+        """Texts in runs of about ``BATCH`` characters with their ids."""
+        at, size = 0, 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= BATCH or i + 1 == len(texts):
+                yield texts[at : i + 1], self.encode_batch(texts[at : i + 1])
+                at, size = i + 1, 0
+
     def decode(self, ids: bytes) -> str:
         numbers = np.frombuffer(ids, dtype="<u4").tolist()
         return b"".join(map(self.bytes_of.__getitem__, numbers)).decode("utf-8", "replace")
@@ -250,8 +267,9 @@ def read_definition(path: str) -> str:
     return text
 
 
-def encode(docs: DataFrame, definition: str, doc_id: str = "doc_id", text: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """One row per document: doc_id, ids (binary, little-endian uint32).
+def encode(docs: DataFrame, definition: str, doc_id: str = "doc_id", text: str = "text", leaf_chars: int = LEAF_CHARS, decoded: bool = False) -> DataFrame:
+    """One row per document: doc_id, ids (binary, little-endian uint32), and on demand
+    ``text``, decoded from these ids, special tokens included.
 
     Null and empty texts give no ids. Rows stay rows, null and repeated ids included;
     other columns are not looked at. Texts up to ``leaf_chars`` characters never move;
@@ -260,58 +278,66 @@ def encode(docs: DataFrame, definition: str, doc_id: str = "doc_id", text: str =
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
     long = F.length("text") > leaf_chars
+    made = "ids binary, text string" if decoded else "ids binary"
+
+    def columns(coder: Coder, ids: list[bytes]) -> dict:
+        return {"ids": pa.array(ids, pa.binary())} | ({"text": pa.array(map(coder.decode, ids), pa.string())} if decoded else {})
 
-    def direct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(definition)
-        for part in text_batches(frames, "text", BATCH):
-            yield pd.DataFrame({"doc_id": part["doc_id"], "ids": coder.encode_batch(part["text"].tolist())})
+        for batch in batches:
+            at = 0
+            for texts, ids in coder.runs(batch.column("text").to_pylist()):
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, len(texts))} | columns(coder, ids))
+                at += len(texts)
 
-    def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(definition)
-        for part in text_batches(frames, "text", BATCH):
-            yield pd.DataFrame({"_key": part["_key"], "at": part["at"], "text": part["text"], "ids": coder.encode_batch(part["text"].tolist())})
+        for batch in batches:
+            at = 0
+            for texts, ids in coder.runs(batch.column("text").to_pylist()):
+                same = batch.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([*same.columns, pa.array(ids, pa.binary())], names=["_key", "at", "text", "ids"])
+                at += len(texts)
 
     def trees(key, frame: pd.DataFrame) -> pd.DataFrame:
         coder = coder_of(definition)
         frame = frame.sort_values("at")
-        parts = [Stretch(coder, t.encode(), np.frombuffer(i, "<u4")) for t, i in zip(frame["text"], frame["ids"])]
-        return pd.DataFrame({"_key": [key[0]], "ids": [encode_tree(parts).ids.astype("<u4").tobytes()]})
+        ids = encode_tree([Stretch(coder, t.encode(), np.frombuffer(i, "<u4")) for t, i in zip(frame["text"], frame["ids"])]).ids.astype("<u4").tobytes()
+        return pd.DataFrame({"_key": [key[0]], "ids": [ids]} | ({"text": [coder.decode(ids)]} if decoded else {}))
 
-    short_ids = rows.where(~long).mapInPandas(direct, f"doc_id {kind}, ids binary")
+    short_ids = rows.where(~long).mapInArrow(direct, f"doc_id {kind}, {made}")
     whole = rows.where(long).withColumn("_key", F.to_json(row_key("doc_id", "text")))
     once = whole.groupBy("_key").agg(F.first("text").alias("text"))
     numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / leaf_chars).cast("int"))
     cut = once.select("_key", F.explode(F.transform(numbers, lambda i: F.struct(i.alias("at"), F.substring("text", i * leaf_chars + 1, F.lit(leaf_chars)).alias("text")))).alias("_leaf")).select("_key", "_leaf.at", "_leaf.text")
-    coded = cut.repartition("_key", "at").mapInPandas(leaves, "_key string, at int, text string, ids binary")
-    tree_ids = coded.groupBy("_key").applyInPandas(trees, "_key string, ids binary")
-    return short_ids.unionByName(whole.select("doc_id", "_key").join(tree_ids, "_key").select("doc_id", "ids"))
+    coded = cut.repartition("_key", "at").mapInArrow(leaves, "_key string, at int, text string, ids binary")
+    tree_ids = coded.groupBy("_key").applyInPandas(trees, f"_key string, {made}")
+    return short_ids.unionByName(whole.select("doc_id", "_key").join(tree_ids, "_key").drop("_key"))
 
 
 def decode(coded: DataFrame, definition: str, ids: str = "ids") -> DataFrame:
     """``coded`` with a column ``text`` decoded from its ids, special tokens included; null ids are empty."""
-    others = [c for c in coded.columns if c not in (ids, "text")]
-    rows = coded.select(*others, F.coalesce(F.col(ids), F.lit(b"").cast("binary")).alias(ids))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", text string"
+    others = [f for f in coded.schema if f.name not in (ids, "text")]
+    rows = coded.select(*[f.name for f in others], F.coalesce(F.col(ids), F.lit(b"").cast("binary")).alias(ids))
+    schema = StructType([*others, StructField(ids, BinaryType()), StructField("text", StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(definition)
-        for frame in frames:
-            frame["text"] = [coder.decode(i) for i in frame[ids]]
-            yield frame
+        for batch in batches:
+            texts = pa.array(map(coder.decode, batch.column(ids).to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "text"])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op8_bpe_trees(spark, sf_dir):
     import public_tokenizers
 
     definition = read_definition(public_tokenizers.path("byte_bpe_50k.json"))
-    coded = encode(table(spark, sf_dir, "documents"), definition)
-    return decode(coded, definition).select(
+    return encode(table(spark, sf_dir, "documents"), definition, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
-
-
