@@ -101,8 +101,12 @@ def sketches(texts: list[str], levels: tuple[int, ...] = LEVELS, size: int = SKE
     return [keys[a : min(b, a + size)].astype(np.uint32) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def packed(sketch: np.ndarray) -> bytes:
+    return sketch.astype(">u4").tobytes()
+
+
 def written(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+    return packed(sketch).hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
@@ -130,7 +134,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).mapInPandas(run, f"doc_id {kind}, n_chars long, fingerprint string")
 
 
-_RESULT = ("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+# Digests travel as bytes and become hex at the end.
+_MADE = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _compared(pairs: pd.DataFrame) -> pd.DataFrame:
@@ -151,9 +156,9 @@ def _compared(pairs: pd.DataFrame) -> pd.DataFrame:
         {
             "doc_id": pairs["doc_id"].to_numpy(),
             "n_chars": [len(t) for t in texts],
-            "edited_sha256": [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in edited],
-            "fingerprint": [written(s) for s in made[:n]],
-            "edited_fingerprint": [written(s) for s in made[n : 2 * n]],
+            "edited_sha256": [hashlib.sha256(t.encode("utf-8", "replace")).digest() for t in edited],
+            "fingerprint": [packed(s) for s in made[:n]],
+            "edited_fingerprint": [packed(s) for s in made[n : 2 * n]],
             "near_edited": [likeness(a, b) for a, b in zip(made[:n], made[n : 2 * n])],
             "near_next": [likeness(a, b) for a, b in zip(made[:n], after)],
         }
@@ -164,7 +169,7 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """Fingerprints compared with those of an edited text and of the next document.
 
     The next document is that of the next smaller id, and of the largest for the smallest;
-    ties follow the text, and null ids come last. In the edited text the last third is
+    ties follow a hash of the text, and null ids come last. In the edited text the last third is
     replaced by the start of the next document. Null texts are empty. A table of one row
     is its own successor; an empty table gives no rows.
 
@@ -174,8 +179,10 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
     order = [F.desc_nulls_last("doc_id"), F.col("text")]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = f"part int, role string, doc_id {kind}, {_RESULT}, text string"
+    # Ranges are sampled on the driver, by hashes instead of texts where ids are equal.
+    spread = [order[0], F.xxhash64("text")]
+    ranged = rows.repartitionByRange(*spread).sortWithinPartitions(*spread, order[1])
+    schema = f"part int, role string, doc_id {kind}, {_MADE}, text string"
 
     def inside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -200,7 +207,8 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             yield edge("last", held)
 
     made = stored(ranged.mapInPandas(inside, schema), "fingerprints")
-    result = ["doc_id", *(c.split()[0] for c in _RESULT.split(", "))]
+    shown = [c.split() for c in _MADE.split(", ")]
+    result = ["doc_id", *(F.lower(F.hex(c)).alias(c) if t == "binary" else F.col(c) for c, t in shown)]
     parts = sorted(r[0] for r in made.where(F.col("role") == "first").select("part").collect())  # one number per range
     if not parts:
         return made.select(*result)
@@ -213,8 +221,8 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             if len(frame):
                 yield _compared(frame)
 
-    edges = last.join(first, "follows").select("doc_id", "text", "next").mapInPandas(at_edges, f"doc_id {kind}, {_RESULT}")
-    return made.where(F.col("role") == "done").select(*result).unionByName(edges)
+    edges = last.join(first, "follows").select("doc_id", "text", "next").mapInPandas(at_edges, f"doc_id {kind}, {_MADE}")
+    return made.where(F.col("role") == "done").select(*result).unionByName(edges.select(*result))
 
 
 def op10_phrase_fingerprints(spark, sf_dir):
