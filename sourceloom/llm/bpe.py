@@ -17,6 +17,7 @@ import bisect
 import functools
 import re
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -300,7 +301,7 @@ def encode(docs: DataFrame, definition: str, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([*same.columns, pa.array(ids, pa.binary())], names=["_key", "at", "text", "ids"])
                 at += len(texts)
 
-    def trees(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def trees(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         coder = coder_of(definition)
         frame = frame.sort_values("at")
         ids = encode_tree([Stretch(coder, t.encode(), np.frombuffer(i, "<u4")) for t, i in zip(frame["text"], frame["ids"])]).ids.astype("<u4").tobytes()

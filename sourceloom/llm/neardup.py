@@ -247,7 +247,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """``docs`` with one row of each class, that of the smallest (id, hash) key; all columns stay."""
     found = near_duplicates(docs, doc_id, text, **options).where(F.col("_key") == F.col("class_key")).select(F.col("_key").alias("_kept")).distinct()
     key = F.to_json(row_key(doc_id, text))
-    return docs.join(found, key == F.col("_kept"), "left_semi").dropDuplicates([doc_id, text])
+    # Repeated rows share a key and lie in one partition after the join.
+    return docs.join(found, key == F.col("_kept")).dropDuplicates(["_kept"]).select(*[docs[c] for c in docs.columns])
 
 
 def op2_order_minhash(spark, sf_dir):

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from sourceloom.llm import bpe, chat, decontaminate, lcp, pii, secrets
+from sourceloom.llm import bpe, chat, decontaminate, lcp, neardup, pii, ppm, quality, secrets, warczip
 
 QUERIES = {
     "op1_shape_crf": pii.op1_shape_crf,
+    "op2_order_minhash": neardup.op2_order_minhash,
+    "op3_zip_packages": warczip.op3_zip_packages,
     "op4_prefix_targets": chat.op4_prefix_targets,
     "op5_secret_ownership": secrets.op5_secret_ownership,
+    "op6_ppm_score": ppm.op6_ppm_score,
+    "op7_kneser_ney": quality.op7_kneser_ney,
     "op8_bpe_trees": bpe.op8_bpe_trees,
     "op9_benchmark_windows": decontaminate.op9_benchmark_windows,
     "op10_phrase_fingerprints": lcp.op10_phrase_fingerprints,
 }
 
+# The others cannot be told in SQL; tests compare them with brute force.
 SQL = {
     "op4_prefix_targets": chat.SQL,
     "op9_benchmark_windows": decontaminate.SQL,
