@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.llm.common import row_key, stored, table, text_batches, whole_text
-from sourceloom.llm.wordarrays import ALNUM, MULTIPLIER, gram_hashes, mixed, word_hashes
+from sourceloom.llm.wordarrays import ALNUM, MULTIPLIER, gram_hashes, mixed, powers, word_hashes
 
 K = 5  # words of a k-mer
 SIMILARITY = 0.8  # 1 - edits / words of the longer text
@@ -44,6 +44,12 @@ def occurrence_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     return np.where(times > 0, mixed(kmers + times * MULTIPLIER), kmers)
 
 
+def sequence_hash(words: np.ndarray) -> int:
+    """A hash of all words in order, as a signed 64-bit number."""
+    h = (words * powers(len(words))).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(words))
+    return int(mixed(h).view(np.int64)[0])
+
+
 def order_sketches(words: np.ndarray, k: int = K, sketches: int = SKETCHES, minima: int = MINIMA) -> np.ndarray:
     """One hash per sketch: its smallest occurrence-labelled k-mers, in text order."""
     kmers = occurrence_kmers(words, k)
@@ -51,16 +57,18 @@ def order_sketches(words: np.ndarray, k: int = K, sketches: int = SKETCHES, mini
     out = np.zeros(sketches, dtype=np.uint64)
     if not n:
         return out
-    seeds = mixed(np.arange(1, sketches + 1, dtype=np.uint64) * MULTIPLIER)[:, None]
-    smallest, place = np.full((sketches, 0), 0, dtype=np.uint64), np.zeros((sketches, 0), dtype=np.int64)
-    for at in range(0, len(kmers), 65_536):  # parts bound the memory of a very long text
-        h = (kmers[at : at + 65_536][None, :] ^ seeds) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        near = np.argpartition(h, n - 1, axis=1)[:, :n] if h.shape[1] > n else np.tile(np.arange(h.shape[1]), (sketches, 1))
-        smallest = np.concatenate([smallest, np.take_along_axis(h, near, 1)], axis=1)
-        place = np.concatenate([place, near + at], axis=1)
-    best = np.argsort(smallest, axis=1, kind="stable")[:, :n]
-    place = np.sort(np.take_along_axis(place, best, 1), axis=1)
+    x = (kmers >> np.uint64(32)).astype(np.uint32)
+    seeds = mixed(np.arange(1, 2 * sketches + 1, dtype=np.uint64) * MULTIPLIER).astype(np.uint32).reshape(2, sketches, 1)
+    smallest, place = [], []
+    for at in range(0, len(x), 65_536):  # parts bound the memory of a very long text
+        h = x[None, at : at + 65_536] * (seeds[0] | np.uint32(1)) + seeds[1]
+        for _ in range(min(n, h.shape[1])):
+            best = h.argmin(axis=1)[:, None]
+            smallest.append(np.take_along_axis(h, best, 1))
+            place.append(best + at)
+            np.put_along_axis(h, best, np.uint32(0xFFFFFFFF), 1)
+    best = np.argsort(np.concatenate(smallest, axis=1), axis=1, kind="stable")[:, :n]
+    place = np.sort(np.take_along_axis(np.concatenate(place, axis=1), best, 1), axis=1)
     for j in range(n):
         out = mixed(out * MULTIPLIER + kmers[place[:, j]])
     return out
@@ -204,7 +212,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for part in text_batches(frames, "text", BATCH):
             same, keys = [], []
             for w, h in zip(own_words(part["text"].tolist()), part["same"]):
-                same.append(int(mixed(gram_hashes(w, len(w)) + np.uint64(len(w))).view(np.int64)[0]) if len(w) else int(h))
+                same.append(sequence_hash(w) if len(w) else int(h))
                 keys.append(keys_of(order_sketches(w, k, sketches)).view(np.int64) if len(w) else np.zeros(0, np.int64))
             yield part[["_key", "doc_id"]].assign(same=same, keys=keys)
 
