@@ -250,7 +250,7 @@ def write_packages(pages: DataFrame, folder: str, page_id: str = "page_id", html
 
 
 def read_packages(manifest: DataFrame, payload: bool = True) -> DataFrame:
-    """The records of the packages at ``path``: page, url, record_type, refers_to,
+    """The records of the packages of a manifest (path, bytes): page, url, record_type, refers_to,
     payload_bytes, payload_digest, and on demand the payload, null for revisits."""
 
     def locate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,7 +274,9 @@ def read_packages(manifest: DataFrame, payload: bool = True) -> DataFrame:
                 yield pd.DataFrame([parsed(r) for r in members_of(data)], columns=columns)
 
     ranges = manifest.select("path").mapInPandas(locate, "path string, at long, bytes long")
-    return ranges.repartition("path", "at").mapInPandas(read_ranges, schema)
+    # As many tasks as the bytes call for; the rows alone would look too small to spread.
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    return ranges.repartition(max(1, total // RANGE_BYTES), "path", "at").mapInPandas(read_ranges, schema)
 
 
 def op3_zip_packages(spark, sf_dir):
