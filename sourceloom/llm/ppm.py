@@ -150,7 +150,7 @@ def corpus_counts(training: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    frame = rows.select("key", "n").toPandas().sort_values("key")
+    frame = rows.select("key", "n").toArrow().sort_by("key")
     return frame["key"].to_numpy().astype(np.uint32), frame["n"].to_numpy().astype(np.int64)
 
 
@@ -179,7 +179,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held: Col
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, vocabulary = n_words + ends, distinct + (ends > 0)
     frequent = F.col("n") >= tokens / HEAD
-    head = words.where(frequent).select("key", "n").toPandas().sort_values("key")
+    head = words.where(frequent).select("key", "n").toArrow().sort_by("key")
     tail = words.where(~frequent).select("key", F.log10(F.col("n") + 1).alias("log_n"))
     shared_words = spark.sparkContext.broadcast((head["key"].to_numpy(), np.log10(head["n"].to_numpy() + 1.0)))
     codes1, n1 = _arrays(codes.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")))
