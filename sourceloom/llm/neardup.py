@@ -2,8 +2,8 @@
 
 A sketch takes the smallest occurrence-labelled k-mers of words under one hash function and
 keeps their order in the text, so that it follows edit similarity. Texts that share a key
-of sketches are candidates. Within a key, each text is compared with the smallest and the
-largest id of the key only; links of different texts are verified by an alignment of their
+of sketches are candidates. Within a key, each text is compared with the smallest id of
+the key only; links of different texts are verified by an alignment of their
 words within a band, and groups are the connected components of verified links.
 """
 
@@ -168,24 +168,29 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     return edits_within(a, b, most) <= most
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, root): the smallest id that each linked id is connected with.
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, root) of each linked id: ids with the same root are connected.
 
-    Each round hooks every node to the smallest label among its neighbours and then
-    follows labels one step, until nothing changes. Rounds are stored in the shared
-    folder; only their counters come to the driver.
+    Each round points every node to the smallest of its neighbours and itself, follows
+    that pointer twice, and contracts: links get the names of where their ends point to,
+    and those inside one node vanish. A star is gone after one round, a path halves.
+    Rounds are stored in the shared folder; only a row count comes to the driver.
     """
-    both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    edges = stored(both.distinct(), "edges")
-    labels = stored(edges.groupBy("id").agg(F.least(F.min("other"), F.first("id")).alias("root")), "labels")
+    edges, labels = links.select("a", "b"), None
     for _ in range(rounds):
-        near = edges.join(labels.select(F.col("id").alias("other"), F.col("root").alias("theirs")), "other").groupBy("id").agg(F.min("theirs").alias("theirs"))
-        hooked = labels.join(near, "id").select("id", F.least("root", "theirs").alias("hooked"), "root")
-        jumped = hooked.join(labels.select(F.col("id").alias("hooked"), F.col("root").alias("further")), "hooked", "left")
-        step = stored(jumped.select("id", F.least("hooked", F.coalesce("further", "hooked")).alias("root"), F.col("root").alias("was")), "labels")
-        changed = step.where(F.col("root") != F.col("was")).limit(1).count()
-        labels = step.select("id", "root")
-        if not changed:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        point = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("to")), "points")
+        twice = point.join(point.select(F.col("id").alias("to"), F.col("to").alias("root")), "to").select("id", "root")
+        jump = stored(twice, "jumps")
+        to = lambda side: jump.select(F.col("id").alias(side), F.col("root").alias(f"{side}_root"))
+        moved = edges.join(to("a"), "a").join(to("b"), "b").where(F.col("a_root") != F.col("b_root"))
+        edges = stored(moved.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "edges")
+        if labels is None:
+            labels = jump
+        else:
+            renamed = jump.select(F.col("id").alias("root"), F.col("root").alias("further"))
+            labels = stored(labels.join(renamed, "root", "left").select("id", F.coalesce("further", "root").alias("root")), "labels")
+        if not edges.limit(1).count():
             return labels
     raise RuntimeError("components did not settle")
 
@@ -201,7 +206,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A link is lost only if none of the keys, over all sketches and depths, brings the two
     texts to one representative. Each text gives a fixed number of keys, minima and maxima
-    of a key are combined before the shuffle, and a text meets at most two others per key.
+    of a key are combined before the shuffle, and a text meets at most one other per key.
     """
 
     def own_words(texts: list[str]) -> list[np.ndarray]:
@@ -222,8 +227,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # ``same`` is a hash of the words, and the id of a distinct text from here on.
     dealt = made.select("same", "keys").dropDuplicates(["same"]).select(F.col("same").alias("id"), F.explode("keys").alias("key"))
     ends = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") < F.col("high"))
-    meets = dealt.join(ends, "key").select("id", F.explode(F.array("low", "high")).alias("with")).where(F.col("id") != F.col("with"))
-    pairs = stored(meets.select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).distinct(), "pairs")
+    meets = dealt.join(ends.select("key", "low"), "key").where(F.col("id") != F.col("low"))
+    pairs = stored(meets.select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct()
     reps = made.groupBy("same").agg(F.min("_key").alias("_key")).join(involved, "same")
 
