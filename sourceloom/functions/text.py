@@ -64,7 +64,7 @@ def lines_of(text: Column) -> Column:
 
 def code_preview(code: Column, n: int = 8) -> Column:
     """The first n lines of the trimmed code, then ``...`` if there are more."""
-    lines = lines_of(F.regexp_replace(code, rf"\A{SPACE}++|{SPACE}++\z", ""))
+    lines = lines_of(F.regexp_replace(code, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", ""))
     head = F.array_join(F.slice(lines, 1, n), "\n")
     shown = F.when(F.size(lines) > n, F.concat(head, F.lit("\n..."))).otherwise(head)
     return F.when(F.coalesce(code, F.lit("")) == "", F.lit(NO_CODE)).otherwise(shown)

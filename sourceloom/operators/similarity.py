@@ -62,7 +62,10 @@ def top_k_batch(
     vector are passed over where vectors are read.
     """
     check_k(k)
-    base, queries = base.select("key", "embedding"), queries.select("query_id", "embedding")
+    # Both paths compute with the same 32-bit vectors; rows without a key cannot be named.
+    vector = F.col("embedding").cast("array<float>").alias("embedding")
+    base = base.where(F.col("key").isNotNull()).select("key", vector)
+    queries = queries.select("query_id", vector)
     first = queries.select("embedding").where(is_valid(F.col("embedding"))).first()
     width = len(first["embedding"]) if first else 1
     most = max(1, query_bytes // (4 * width))

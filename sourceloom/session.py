@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,11 +34,13 @@ def build_session(app: str = "sourceloom", master: str | None = None, **conf: st
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared folder of ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) does a local temporary folder
-    stand in for it.
+    Only where a local session names none (tests) does a temporary folder stand in for
+    it; on a cluster the setting is needed, as executors share no local folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = os.path.join(tempfile.gettempdir(), "sourceloom-scratch")
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

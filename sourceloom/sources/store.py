@@ -117,4 +117,6 @@ class CorpusStore:
         self.write_run("runs", run, row.coalesce(1))
 
     def clear(self, name: str) -> None:
-        self._empty(name).write.mode("overwrite").partitionBy("run").parquet(self.path(name))
+        # A dynamic overwrite of no partitions would remove nothing.
+        writer = self._empty(name).write.mode("overwrite").option("partitionOverwriteMode", "static")
+        writer.partitionBy("run").parquet(self.path(name))
