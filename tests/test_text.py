@@ -119,9 +119,13 @@ def test_scratch_folder_follows_the_session(spark):
 
     from sourceloom.session import scratch_dir
 
-    def fake(value):
-        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: value))
+    def fake(value, master="local[2]"):
+        context = SimpleNamespace(master=master)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: value), sparkContext=context)
 
     assert scratch_dir(fake("/shared/x/"), "a").startswith("/shared/x/a-")
     assert "/sourceloom-scratch/a-" in scratch_dir(fake(None), "a")
     assert scratch_dir(spark, "a") != scratch_dir(spark, "a")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            scratch_dir(fake(None, master), "a")
