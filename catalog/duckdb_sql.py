@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from sourceloom.functions.java import NOT_CALLS
-
 S = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 W = r"[\p{L}\p{N}_]"
 LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -13,7 +11,12 @@ PACKAGE = rf"(?m)^{S}*package{S}+([\p{{L}}\p{{N}}_.]+){S}*;"
 CLASS = rf"class{S}+({W}+)"
 METHOD = rf"(?:public|protected|private)[^\n]*?{S}+({W}+){S}*\([^\n]*?\){S}*\{{"
 CALL = rf"({W}+){S}*\("
-STOP = ", ".join(f"'{name}'" for name in NOT_CALLS)
+# Names that are never taken for a call.
+STOP = """
+'if', 'for', 'while', 'switch', 'catch', 'return', 'new', 'throw', 'try', 'else',
+'do', 'synchronized', 'super', 'this', 'eval',
+'String', 'INT', 'ROW', 'FIELD', 'FLOAT', 'BOOLEAN', 'explicit',
+'hashCode', 'equals', 'toString', 'clone', 'finalize', 'wait', 'notify', 'notifyAll'"""
 NL = "chr(10)"
 GRID = "round({0} * 1e9) / 1e9"
 
@@ -354,6 +357,13 @@ scored AS (
   SELECT q.vec_id AS query_id, b.vec_id, {cosine("b.v", "q.v")} AS score FROM wide q CROSS JOIN wide b),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, vec_id, rank, score FROM ranked WHERE rank <= 10""",
+    "knn_blocks": f"""
+WITH wide AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+scored AS (
+  SELECT 'v' || q.vec_id AS query_id, b.vec_id, {cosine("b.v", "q.v")} AS score FROM wide q CROSS JOIN wide b),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, vec_id, rank, score FROM ranked WHERE rank <= 10""",
     "hash_embed": f"WITH {vectors_of('d', 'documents', 'doc_id', 'text')} {DENSE}",
     "embed_dedup_join": f"WITH {vectors_of('d', 'documents', 'doc_id', 'text')} {DENSE}",

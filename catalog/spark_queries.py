@@ -348,6 +348,19 @@ def knn_batch(spark, sf_dir):
     return near.select("query_id", F.col("key").alias("vec_id"), "rank", "score")
 
 
+def knn_blocks(spark, sf_dir):
+    """The same with text ids, on the path for more query vectors than travel with a task."""
+    emb = table(spark, sf_dir, "embeddings")
+    near = similarity.top_k_batch(
+        emb.select(F.col("vec_id").alias("key"), "embedding"),
+        emb.select(F.concat(F.lit("v"), "vec_id").alias("query_id"), "embedding"),
+        10,
+        query_bytes=200 * 4 * 64,
+        block_rows=700,
+    )
+    return near.select("query_id", F.col("key").alias("vec_id"), "rank", "score")
+
+
 def hash_embed(spark, sf_dir):
     rows = embed.embed(table(spark, sf_dir, "documents"), "text", ENCODER)
     return rows.select("doc_id", _whole_numbers("embedding"))
@@ -570,6 +583,7 @@ QUERIES = {
     "vector_norms": vector_norms,
     "cosine_topk": cosine_topk,
     "knn_batch": knn_batch,
+    "knn_blocks": knn_blocks,
     "hash_embed": hash_embed,
     "embed_dedup_join": embed_dedup_join,
     "embed_errors": embed_errors,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,30 +68,36 @@ class ModelEncoder:
     """Runs a user's model in Arrow batches on the executors.
 
     ``load`` is called once per Python worker and returns a function from a list of
-    texts to a sequence of vectors. A text the model fails on gets a null vector; the
-    rest of its batch is kept.
+    texts to a sequence of vectors. A text the model fails on, or for which it returns
+    another width than ``dim``, gets a null vector; the rest of its batch is kept.
     """
 
     def __init__(self, name: str, dim: int, load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]]):
         self.name, self.dim, self.load = name, dim, load
 
     def column(self, text: Column) -> Column:
-        load = self.load
+        load, dim = self.load, self.dim
 
         @F.pandas_udf("array<float>")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
 
+            def vector(values) -> np.ndarray:
+                found = np.asarray(values, dtype=np.float32)
+                if found.shape != (dim,):
+                    raise ValueError("the model returned a vector of another width")
+                return found
+
             def one(text: str):
                 try:
-                    return list(map(float, model([text])[0]))
+                    return vector(model([text])[0])
                 except Exception:
                     return None
 
             for batch in batches:
                 texts = batch.dropna().tolist()
                 try:
-                    vectors = [list(map(float, v)) for v in model(texts)] if texts else []
+                    vectors = [vector(v) for v in model(texts)] if texts else []
                     if len(vectors) != len(texts):
                         raise ValueError("the model returned another number of vectors")
                 except Exception:

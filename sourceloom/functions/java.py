@@ -13,23 +13,28 @@ from sourceloom.functions.text import INLINE_SPACE, SPACE, WORD
 
 # Names that are never taken for a call.
 NOT_CALLS = (
-    "if for while switch catch return new throw try else do synchronized super this eval "
-    "String INT ROW FIELD FLOAT BOOLEAN explicit hashCode equals toString clone finalize "
-    "wait notify notifyAll"
-).split()
+    "if", "for", "while", "switch", "catch", "return", "new", "throw", "try", "else",
+    "do", "synchronized", "super", "this", "eval",
+    "String", "INT", "ROW", "FIELD", "FLOAT", "BOOLEAN", "explicit",
+    "hashCode", "equals", "toString", "clone", "finalize", "wait", "notify", "notifyAll",
+)
 
 PACKAGE = rf"(?md)^{INLINE_SPACE}*+package{SPACE}++([\p{{L}}\p{{N}}_.]++){SPACE}*+;"
 CLASS = rf"class{SPACE}++({WORD}++)"
 # A modifier, anything on its line, a name, parameters on one line, a brace. The name is
-# the first that fits. Two additions leave the matches as they are and keep long lines
-# linear. Where no parameter list closes before a brace on the rest of the line, only a
-# name at the end of the line or on the next can fit, so the search goes straight there.
+# the first that fits. Three things leave the matches as they are and keep long lines
+# linear. Of the names that are followed by a parenthesis on the modifier's line only the
+# first is tried: where no parameter list closes before a brace behind it, none does
+# behind a later one. Then only a name at the end of the line or on the next can fit.
 # And where a modifier leads nowhere, no later one on its line can lead anywhere either:
-# the last branch skips the line, with an empty name.
+# the last branch skips the line, with an empty name. Blanks before a name are taken from
+# their start, as a try from within them ends alike.
+_BLANKS = rf"(?<!{SPACE}){SPACE}++"
 METHOD = (
-    rf"(?:public|protected|private)(?:"
-    rf"(?:(?=[^\n]*?\){SPACE}*+\{{)[^\n]*?|[^\n]*?(?=(?:{INLINE_SPACE}++{WORD}++)?{INLINE_SPACE}*+\n))"
-    rf"{SPACE}++({WORD}++){SPACE}*+\([^\n]*?\){SPACE}*+\{{"
+    rf"(?:public|protected|private)(?:(?:"
+    rf"(?>[^\n]*?(?<!{SPACE}){INLINE_SPACE}++(?={WORD}++{INLINE_SPACE}*+\())"
+    rf"|[^\n]*?(?<!{SPACE})(?=(?:{INLINE_SPACE}++{WORD}++)?{INLINE_SPACE}*+\n){_BLANKS}"
+    rf")({WORD}++){SPACE}*+\([^\n]*?\){SPACE}*+\{{"
     rf"|[^\n]*+)"
 )
 # The look-behind changes no match: a name that fails from its start fails from within.

@@ -25,7 +25,7 @@ _BLOCK = rf"(?s)\A{SPACE}*+/\*(.*?)\*/{SPACE}*+"
 _LINES = rf"\A{SPACE}*+(?://[^\n]*+\n)++{SPACE}*+"
 
 _REPLACEMENT = "\ufffd"
-_STAND_IN = "\ufdd0"  # a noncharacter, never assigned
+_ESCAPE = "\ufdd0"
 
 NO_CODE = "[no code stored for this fragment]"
 
@@ -33,14 +33,16 @@ NO_CODE = "[no code stored for this fragment]"
 def decode_source(content: Column) -> Column:
     """Bytes to text: invalid UTF-8 bytes dropped, line ends normalised to LF.
 
-    A replacement character that is really in the file is kept: it is parked on a
-    noncharacter while the invalid bytes are removed.
+    A replacement character that is really in the file is kept: it is escaped while the
+    invalid bytes are removed, and so is the escape character itself.
     """
     raw = content.cast("string")
-    parked = F.make_valid_utf8(F.replace(raw, F.lit(_REPLACEMENT), F.lit(_STAND_IN)))
-    cleaned = F.replace(
-        F.replace(parked, F.lit(_REPLACEMENT), F.lit("")), F.lit(_STAND_IN), F.lit(_REPLACEMENT)
-    )
+    escaped = raw
+    for char, code in ((_ESCAPE, _ESCAPE + "e"), (_REPLACEMENT, _ESCAPE + "r")):
+        escaped = F.replace(escaped, F.lit(char), F.lit(code))
+    cleaned = F.replace(F.make_valid_utf8(escaped), F.lit(_REPLACEMENT), F.lit(""))
+    for char, code in ((_REPLACEMENT, _ESCAPE + "r"), (_ESCAPE, _ESCAPE + "e")):
+        cleaned = F.replace(cleaned, F.lit(code), F.lit(char))
     return F.regexp_replace(F.coalesce(F.try_validate_utf8(raw), cleaned), r"\r\n?", "\n")
 
 
@@ -58,8 +60,12 @@ def strip_line_banner(text: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines without their ends; a final line end opens no further line."""
-    parts = F.split(text, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    # The one-item array binds the split to a lambda variable, so it is made once per row.
+    cut = F.transform(
+        F.array(F.split(text, LINE_END)),
+        lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
+    )
+    return F.get(cut, F.lit(0))
 
 
 def code_preview(code: Column, n: int = 8) -> Column:
@@ -83,7 +89,8 @@ def html_escape(text: Column) -> Column:
 
 
 def fixed4(value: Column) -> Column:
-    """A number with four decimals, exact halves to even as in C and Python."""
+    """A number with four decimals. The shortest decimal form is rounded, halves to even;
+    C rounds the binary value, which can differ in the last digit of such halves."""
     return F.format_string("%.4f", F.bround(value.cast("double"), 4))
 
 

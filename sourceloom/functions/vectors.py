@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,14 @@ def on_grid(score: Column) -> Column:
     return F.rint(score * F.lit(SCORE_GRID)) / F.lit(SCORE_GRID)
 
 
+def cosine_to(vector: Column, values: Sequence[float]) -> Column:
+    """Cosine similarity to one fixed vector, whose norm is worked out once, not per row."""
+    fixed = np.asarray(values, dtype=np.float32).astype(np.float64)
+    length = math.sqrt(float(fixed @ fixed))
+    score = F.try_divide(dot(vector, literal_vector(values)), norm(vector) * F.lit(length))
+    return on_grid(F.coalesce(score, F.lit(0.0)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, 0.0 where either vector has no length."""
     return on_grid(F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0)))

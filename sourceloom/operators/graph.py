@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from sourceloom.operators.ranking import top_n
 from sourceloom.operators.sizing import BROADCAST_ROWS, any_of, at_most, broadcast_if_small, few_values
+from sourceloom.session import cut_lineage
 
 
 def new_edges(existing: DataFrame, found: DataFrame) -> DataFrame:
     """Found edges that are not in the graph yet.
 
     The graph only grows, the edges found in one run are often few: then their callers
-    are broadcast and the rest of the graph stays out of the shuffle.
+    are broadcast and the rest of the graph stays out of the shuffle. The found edges are
+    read three times, so they are materialised.
     """
-    found = found.select("caller", "callee").distinct()
+    found = cut_lineage(found.select("caller", "callee").distinct())
     callers = found.select("caller").distinct()
     if at_most(callers, BROADCAST_ROWS):
         existing = existing.join(F.broadcast(callers), "caller", "left_semi")

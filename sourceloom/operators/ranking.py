@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+LEAST_SALTS = 64
 
 
 def top_n(rows: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -22,7 +22,9 @@ def top_n(rows: DataFrame, group: Sequence[str], order: Sequence[Column], n: int
     limit = int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if n > limit:
         salted = Window.partitionBy(*group, "_salt").orderBy(*order)
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c not in group]), F.lit(SALTS))
+        # As many parts as the shuffle has, so that a hot group is spread over all tasks.
+        salts = max(LEAST_SALTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c not in group]), F.lit(salts))
         rows = (
             rows.withColumn("_salt", salt)
             .withColumn("_near", F.row_number().over(salted))

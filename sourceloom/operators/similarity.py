@@ -16,15 +16,20 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
-from sourceloom.functions.vectors import SCORE_GRID, cosine, is_valid, literal_vector
+from sourceloom.functions.vectors import SCORE_GRID, cosine_to, is_valid
 from sourceloom.operators.ranking import top_n
+from sourceloom.session import cut_lineage
 
-# Bytes of query vectors that travel with a task; beyond it both sides are cut in blocks,
-# the queries by the same limit and the base by rows.
+# Bytes of query vectors that travel with a task, and of the hits a task holds for them;
+# beyond either both sides are cut in blocks, the queries by the same limits and the base
+# by rows and bytes.
 QUERY_BYTES = 8 << 20
+STATE_BYTES = 512 << 20
+HIT_BYTES = 200  # a score and a key with the tuple that holds them
 BLOCK_ROWS = 65_536
+BLOCK_BYTES = 128 << 20
 _TILE_CELLS = 4 << 20
 
 # The scorers below travel to the executors as code, so that the package need not be
@@ -46,7 +51,7 @@ def top_k(base: DataFrame, query: Sequence[float], k: int, *tie_break: str) -> D
     """
     check_k(k)
     vector = F.col("embedding")
-    score = F.when(is_valid(vector), cosine(vector, literal_vector(query)))
+    score = F.when(is_valid(vector), cosine_to(vector, query))
     scored = base.withColumn("score", score).drop("embedding")
     return scored.orderBy(F.desc("score"), *tie_break).limit(k).where(F.col("score").isNotNull())
 
@@ -56,23 +61,30 @@ def top_k_batch(
 ) -> DataFrame:
     """(query_id, key, score, rank) of the k best keys for every query.
 
-    While the query vectors fit the byte limit, each task scores its rows against all
-    of them and passes on k rows per query: the base is read once and never shuffled.
-    Larger sets of queries go through block_join_top_k. Rows and queries without a
-    vector are passed over where vectors are read.
+    While the query vectors and their hits fit the byte limits, each task scores its rows
+    against all of them and passes on k rows per query: the base is read once and never
+    shuffled. Larger sets of queries go through block_join_top_k. Rows and queries without
+    a vector are passed over where vectors are read. ``query_id`` may have any type, but
+    each value only once.
     """
     check_k(k)
     # Both paths compute with the same 32-bit vectors; rows without a key cannot be named.
     vector = F.col("embedding").cast("array<float>").alias("embedding")
     base = base.where(F.col("key").isNotNull()).select("key", vector)
-    queries = queries.select("query_id", vector)
+    # Read several times, and costly if a model encodes it.
+    queries = cut_lineage(queries.select("query_id", vector))
+    twice = queries.groupBy("query_id").count().where("count > 1").first()
+    if twice:
+        raise ValueError(f"query_id {twice['query_id']!r} occurs {twice['count']} times")
     first = queries.select("embedding").where(is_valid(F.col("embedding"))).first()
     width = len(first["embedding"]) if first else 1
-    most = max(1, query_bytes // (4 * width))
+    most = max(1, min(query_bytes // (4 * width), STATE_BYTES // (HIT_BYTES * max(k, 1))))
+    block_rows = max(1, min(block_rows, BLOCK_BYTES // (8 * width)))
     held = queries.limit(most + 1).toArrow()
     if held.num_rows <= most:
         ids, vectors = _vectors(held, "query_id", width)
-        near = base.mapInArrow(_scan_scorer(ids, vectors, k), _near_schema(base))
+        scorer = _scan_scorer(ids, vectors, k, held.schema.field("query_id").type)
+        near = base.mapInArrow(scorer, _near_schema(base, queries))
     else:
         near = block_join_top_k(base, queries, k, width, block_rows, most)
     return top_n(near, ["query_id"], [F.desc("score"), F.col("key")], k)
@@ -102,16 +114,15 @@ def block_join_top_k(
     def score(base_part: pa.Table, query_part: pa.Table) -> pa.Table:
         best = _Best(*_vectors(query_part, "query_id", width), k)
         best.add(*_vectors(base_part, "key", width))
-        return best.table(base_part.schema.field("key").type)
+        return best.table(query_part.schema.field("query_id").type, base_part.schema.field("key").type)
 
     cells = left.groupBy("b", "q").cogroup(right.groupBy("b", "q"))
-    return cells.applyInArrow(score, _near_schema(base))
+    return cells.applyInArrow(score, _near_schema(base, queries))
 
 
-def _near_schema(base: DataFrame) -> StructType:
-    return StructType(
-        [StructField("query_id", LongType()), StructField("key", base.schema["key"].dataType)]
-    ).add("score", "double")
+def _near_schema(base: DataFrame, queries: DataFrame) -> StructType:
+    ids = [StructField("query_id", queries.schema["query_id"].dataType), StructField("key", base.schema["key"].dataType)]
+    return StructType(ids).add("score", "double")
 
 
 def _vectors(rows: pa.Table | pa.RecordBatch, id_column: str, width: int) -> tuple[list, np.ndarray]:
@@ -126,7 +137,7 @@ def _vectors(rows: pa.Table | pa.RecordBatch, id_column: str, width: int) -> tup
     return rows[id_column].to_pylist(), values.astype(np.float64).reshape(-1, width)
 
 
-def _scan_scorer(ids: list[int], vectors: np.ndarray, k: int):
+def _scan_scorer(ids: list, vectors: np.ndarray, k: int, id_type: pa.DataType):
     width = vectors.shape[1]
     vectors = vectors.astype(np.float32)
 
@@ -136,7 +147,7 @@ def _scan_scorer(ids: list[int], vectors: np.ndarray, k: int):
             key_type = batch.schema.field("key").type
             best.add(*_vectors(batch, "key", width))
         if key_type is not None:
-            yield from best.table(key_type).to_batches()
+            yield from best.table(id_type, key_type).to_batches()
 
     return scan
 
@@ -144,7 +155,7 @@ def _scan_scorer(ids: list[int], vectors: np.ndarray, k: int):
 class _Best:
     """Running top k of each query over the rows seen so far."""
 
-    def __init__(self, ids: list[int], vectors: np.ndarray, k: int):
+    def __init__(self, ids: list, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.norms = np.linalg.norm(vectors, axis=1)
         self.best: list[list[tuple[float, object]]] = [[] for _ in ids]
@@ -180,11 +191,11 @@ class _Best:
         if len(found):
             self.best[i] = sorted(have + [(-scores[j], keys[j]) for j in found])[:k]
 
-    def table(self, key_type: pa.DataType) -> pa.Table:
+    def table(self, id_type: pa.DataType, key_type: pa.DataType) -> pa.Table:
         flat = [(i, key, -neg) for i, near in zip(self.ids, self.best) for neg, key in near]
         return pa.table(
             {
-                "query_id": pa.array([f[0] for f in flat], pa.int64()),
+                "query_id": pa.array([f[0] for f in flat], id_type),
                 "key": pa.array([f[1] for f in flat], key_type),
                 "score": pa.array([float(f[2]) for f in flat], pa.float64()),
             }

@@ -40,8 +40,10 @@ def index_files(
 
     The changed files go to ``sources`` in one pass. Edges and counters are then read
     back from what was written, so they describe the same bytes as the fragments, and
-    the run becomes visible, hashes included, when its log row is written last.
+    the run becomes visible, hashes included, when its log row is written last. Rows
+    without a path cannot be told apart or found again; they are not files and not counted.
     """
+    files = files.where(F.col("file_path").isNotNull())
     encoder = encoder or HashingEncoder()
     last, known = store.progress()
     run = last + 1

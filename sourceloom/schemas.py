@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql.types import (
     ArrayType,
     BinaryType,
-    DoubleType,
     FloatType,
     IntegerType,
     LongType,
@@ -60,13 +59,3 @@ BINARY_FILES = StructType(
         StructField("content", BinaryType()),
     ]
 )
-
-FILE_HASHES = StructType([StructField("file_path", StringType()), StructField("hash", StringType())])
-
-SCORED = StructType(
-    [
-        StructField("query_id", LongType()),
-        StructField("key", StringType()),
-        StructField("score", DoubleType()),
-    ]
-)

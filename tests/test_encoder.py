@@ -46,6 +46,16 @@ def test_model_failures_stay_single(spark):
     assert {r.id for r in failed_rows(embed(table, "text", model)).collect()} == {i for i in got if got[i] is None}
 
 
+def load_uneven():
+    return lambda texts: [[float(len(t))] * (3 if t == "wide" else 2) for t in texts]
+
+
+def test_another_width_is_a_failure(spark):
+    table = spark.createDataFrame([(1, "ab"), (2, "wide"), (3, "abc")], "id int, text string").coalesce(1)
+    got = {r.id: r.embedding for r in embed(table, "text", ModelEncoder("uneven", 2, load_uneven)).collect()}
+    assert got == {1: [2.0, 2.0], 2: None, 3: [3.0, 3.0]}
+
+
 def test_one_encoding_per_distinct_text(spark):
     rows = [(i, "hot" if i % 3 else f"text {i}") for i in range(300)]
     table = spark.createDataFrame(rows, "id int, text string")

@@ -101,6 +101,8 @@ def test_long_lines_do_not_explode(values):
     start = time.time()
     assert values(java.methods_of, cases) == [[], [], ["a"], ["a"] * 10_000]
     assert values(java.package_of, ["\n" * 200_000]) == [None]
+    calls, blanks = "public ){" + " f(" * 300_000, "public " + " " * 1_000_000 + "x"
+    assert values(java.methods_of, [calls, blanks, calls + " g\n(int a) {"]) == [[], [], ["g"]]
     assert time.time() - start < 30
 
 

@@ -57,6 +57,30 @@ def test_blocks_give_the_same(spark, data):
     assert rows_of(near) == brute(base, queries, 7)
 
 
+def test_both_paths_agree_on_doubles_and_text_ids(spark):
+    rng = np.random.default_rng(5)
+    base = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(1500)]
+    asked = [(f"q{i}", [float(x) for x in rng.normal(size=6)]) for i in range(9)]
+
+    def rows(kind):
+        return spark.createDataFrame(base, "key long, embedding array<double>"), spark.createDataFrame(
+            asked, "query_id string, embedding array<double>"
+        )
+
+    scan = top_k_batch(*rows(0), 1000)
+    blocks = top_k_batch(*rows(0), 1000, query_bytes=64, block_rows=400)
+    columns = ["query_id", "rank", "key", "score"]
+    got = [sorted(map(tuple, frame.select(*columns).collect())) for frame in (scan, blocks)]
+    assert got[0] == got[1] and len(got[0]) == 9 * 1000
+
+
+def test_null_keys_and_repeated_queries(spark):
+    base = frame(spark, [(None, [1.0, 0.0]), (2, [1.0, 1.0])])
+    assert [r.key for r in top_k_batch(base, frame(spark, [(1, [1.0, 0.0])], "query_id"), 5).collect()] == [2]
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        top_k_batch(base, frame(spark, [(1, [1.0, 0.0]), (1, [0.0, 1.0])], "query_id"), 5)
+
+
 def test_string_keys(spark):
     base = [("b", [1, 0]), ("é", [1, 0]), ("a", [0, 1]), ("Z", [1, 0])]
     near = top_k_batch(frame(spark, base, kind="string"), frame(spark, [(1, [1, 0])], "query_id"), 3)

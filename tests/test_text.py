@@ -129,3 +129,12 @@ def test_scratch_folder_follows_the_session(spark):
     for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
         with pytest.raises(ValueError):
             scratch_dir(fake(None, master), "a")
+
+
+def test_noncharacters_survive_decoding(values):
+    raw = "a\ufdd0e\ufdd0r\ufffd".encode() + b"\xff" + "\ufdd0b".encode()
+    assert values(text.decode_source, [raw], "binary") == ["a\ufdd0e\ufdd0r\ufffd\ufdd0b"]
+
+
+def test_long_blank_runs_do_not_explode(values):
+    assert values(text.code_preview, ["a" + " " * 1_000_000 + "b", " " * 1_000_000]) == ["a" + " " * 1_000_000 + "b", ""]
