@@ -1,6 +1,7 @@
 """The operators on small tables: brute force, round trips, and odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zipfile
@@ -251,6 +252,50 @@ def test_ppm_shards_agree(spark):
 # -- 7: quality
 
 
+def kneser_ney_by_hand(trusted, texts):
+    """Log-probabilities by the recursive definition, over dictionaries of words."""
+    framed = lambda t: ["<s>", "<s>", *(t or "").lower().split(), "</s>"]
+    tri = Counter(tuple(w[i - 2 : i + 1]) for w in map(framed, trusted) for i in range(2, len(w)))
+    bi = Counter(g[1:] for g in tri)
+    uni = Counter(g[1:] for g in bi)
+
+    def discount(counts):
+        n = Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        raw = [1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 1.0, 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+        d = [min(max(x, 0.1), i + 0.9) for i, x in enumerate(raw)]
+        return lambda c: d[min(c, 3) - 1] if c else 0.0
+
+    def prob(gram):
+        counts, d = {1: (uni, d1), 2: (bi, d2), 3: (tri, d3)}[len(gram)]
+        following = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+        lower = prob(gram[1:]) if len(gram) > 1 else 1 / (len(uni) + 1)
+        if not following:
+            return lower
+        total, lost = sum(following.values()), sum(map(d, following.values()))
+        c = counts.get(gram, 0)
+        return (c - d(c)) / total + lost / total * lower
+
+    d1, d2, d3 = discount(uni), discount(bi), discount(tri)
+    return [sum(math.log(prob(tuple(w[i - 2 : i + 1]))) for i in range(2, len(w))) for w in map(framed, texts)]
+
+
+@pytest.mark.parametrize("head", [1, 400_000])
+def test_kneser_ney_by_definition(spark, monkeypatch, head):
+    monkeypatch.setattr(quality, "HEAD", head)  # 1: nearly all n-grams are joined, none applied at once
+    rng = random.Random(11)
+    make = lambda n: " ".join(rng.choice("aa b c d ee F g h".split()) for _ in range(n))
+    trusted = [make(rng.randrange(12)) for _ in range(40)]
+    texts = [*trusted[:5], *(make(rng.randrange(30)) for _ in range(20)), "", None, "zz a zz b", trusted[0]]
+    docs = spark.createDataFrame([(f"d{i}" if i else None, t, "en") for i, t in enumerate(texts)], "doc_id string, text string, lang string")
+    found = quality.perplexities(docs.repartition(3), spark.createDataFrame([(t,) for t in trusted], "text string"))
+    got = {r.doc_id: r.log_prob for r in found.collect()}
+    want = kneser_ney_by_hand(trusted, texts)
+    assert found.count() == len(texts)
+    for i, w in enumerate(want):
+        assert got[f"d{i}" if i else None] == pytest.approx(w, abs=1e-9)
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
