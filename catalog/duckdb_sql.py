@@ -258,6 +258,15 @@ def cosine(a: str, b: str) -> str:
     return f"CASE WHEN {lengths} = 0 THEN 0.0 ELSE {GRID.format(f'({dot} / {lengths})')} END"
 
 
+REPORT = f"""
+WITH {HITS}, {edges_of()}, {neighbours(12)}
+SELECT query_id, rank, score,
+  {escaped("type || ' · ' || symbol")} AS title,
+  {escaped("'File: ' || file_path || ' · Score: ' || printf('%.4f', score)")} AS meta,
+  {escaped(f"array_to_string(list_slice({lines_of('code')}, 1, 60), {NL})")} AS snippet,
+  {escaped(graph_text("symbol", "coalesce(n.callers, [])", "coalesce(n.callees, [])"))} AS graph
+FROM hits LEFT JOIN neighbours n ON hits.symbol = n.target"""
+
 SQL = {
     "scan_filter": f"WITH {CORPUS} SELECT doc_id, file_path FROM corpus WHERE lower(file_path) LIKE '%.java'",
     "field_defaults": f"""
@@ -368,6 +377,10 @@ SELECT query_id, vec_id, rank, score FROM ranked WHERE rank <= 10""",
     "hash_embed": f"WITH {vectors_of('d', 'documents', 'doc_id', 'text')} {DENSE}",
     "embed_dedup_join": f"WITH {vectors_of('d', 'documents', 'doc_id', 'text')} {DENSE}",
     "embed_errors": "SELECT doc_id FROM documents WHERE lang = 'es'",
+    "model_embed": """
+SELECT doc_id, CASE WHEN encoded THEN length(text) END AS n_chars,
+  CASE WHEN encoded THEN length(text) - length(replace(text, 'e', '')) END AS n_e
+FROM (SELECT doc_id, text, NOT contains(text, '@') AND length(text) % 5 <> 0 AS encoded FROM documents)""",
     "text_search": f"""
 WITH {vectors_of("d", "documents", "doc_id", "text")}, {vectors_of("q", "benchmark", "item_id", "text")},
 {scores("d", "q")},
@@ -394,18 +407,12 @@ shown AS (SELECT file_path, CASE WHEN file_path LIKE '%.txt' THEN '' ELSE code E
 cut AS (
   SELECT file_path, code, {lines_of(rf"regexp_replace(code, '\A{S}+|{S}+\z', '', 'g')")} AS l FROM shown)
 SELECT file_path, {PREVIEW} AS preview FROM cut""",
-    "report_rows": f"""
-WITH {HITS}, {edges_of()}, {neighbours(12)}
-SELECT query_id, rank, score,
-  {escaped("type || ' · ' || symbol")} AS title,
-  {escaped("'File: ' || file_path || ' · Score: ' || printf('%.4f', score)")} AS meta,
-  {escaped(f"array_to_string(list_slice({lines_of('code')}, 1, 60), {NL})")} AS snippet,
-  {escaped(graph_text("symbol", "coalesce(n.callers, [])", "coalesce(n.callees, [])"))} AS graph
-FROM hits LEFT JOIN neighbours n ON hits.symbol = n.target""",
+    "report_rows": REPORT,
     "report_written": f"""
 WITH {HITS}
 SELECT query_id, rank, {escaped("type || ' · ' || symbol")} AS title,
   {escaped("'File: ' || file_path || ' · Score: ' || printf('%.4f', score)")} AS meta FROM hits""",
+    "report_graph_written": REPORT,
     "graph_text": f"""
 WITH {LINKS}, {neighbours(12)}
 SELECT target, {graph_text("target", "callers", "callees")} AS graph FROM neighbours""",
@@ -421,6 +428,9 @@ SELECT type, substr(symbol, 1, 60) AS symbol, dims, head FROM (
 WITH {FRAGMENTS}
 SELECT type, substr(symbol, 1, 60) AS symbol, 64 AS dims FROM (
   SELECT * FROM fragments ORDER BY file_path, type, symbol LIMIT 25)""",
+    "index_errors": f"""
+WITH {FRAGMENTS}
+SELECT 1 AS run, file_path, type, symbol FROM fragments WHERE contains(code, '@') OR length(code) % 5 = 0""",
     "index_runs": """
 SELECT 1 AS run, count(*) AS discovered, 0 AS skipped, count(*) AS processed FROM documents
 UNION ALL SELECT 2, count(*), count_if(lang <> 'de'), count_if(lang = 'de') FROM documents

@@ -381,6 +381,28 @@ def embed_errors(spark, sf_dir):
     return embed.failed_rows(embed.embed(docs, "text", ENCODER)).select("doc_id")
 
 
+def picky_model() -> encoder.ModelEncoder:
+    """A stand-in for a user's model: the length of a text and its count of the letter e.
+    It fails on texts with an @ and returns a third number for lengths that 5 divides."""
+
+    def load():
+        def one(text: str) -> list[float]:
+            if "@" in text:
+                raise ValueError("not encoded")
+            return [float(len(text)), float(text.count("e"))] + [0.0] * (len(text) % 5 == 0)
+
+        return lambda texts: [one(t) for t in texts]
+
+    return encoder.ModelEncoder("picky", 2, load)
+
+
+def model_embed(spark, sf_dir):
+    """Vectors of a model that fails on some texts."""
+    rows = embed.embed(table(spark, sf_dir, "documents"), "text", picky_model())
+    number = lambda i: F.get("embedding", F.lit(i)).cast("long")
+    return rows.select("doc_id", number(0).alias("n_chars"), number(1).alias("n_e"))
+
+
 # -- search and report -----------------------------------------------------------
 
 
@@ -439,6 +461,14 @@ def report_written(spark, sf_dir):
     return spark.read.parquet(f"{store.root}/report").select("query_id", "rank", "title", "meta")
 
 
+def report_graph_written(spark, sf_dir):
+    """The report as written, with graph."""
+    store = java_store(spark, sf_dir, "report-graph-written")
+    rows = report.report(store, benchmark_queries(spark, sf_dir), 10, ENCODER)
+    report.write_report(rows, f"{store.root}/report")
+    return spark.read.parquet(f"{store.root}/report")
+
+
 def graph_text(spark, sf_dir):
     near = graph.neighbours(link_edges_of(spark, sf_dir), 12)
     return near.select("target", text.graph_text(F.col("target"), F.col("callers"), F.col("callees")).alias("graph"))
@@ -482,6 +512,13 @@ def three_runs(spark, sf_dir) -> CorpusStore:
     return store
 
 
+def index_errors(spark, sf_dir):
+    """Fragments of files that the model could not encode."""
+    store = new_store(spark, "index-errors")
+    index.index_files(java_files(spark, sf_dir), store, picky_model())
+    return store.index_errors()
+
+
 def index_runs(spark, sf_dir):
     return three_runs(spark, sf_dir).runs().select("run", "discovered", "skipped", "processed")
 
@@ -587,6 +624,7 @@ QUERIES = {
     "hash_embed": hash_embed,
     "embed_dedup_join": embed_dedup_join,
     "embed_errors": embed_errors,
+    "model_embed": model_embed,
     "text_search": text_search,
     "fragment_search": fragment_search,
     "single_search": single_search,
@@ -594,10 +632,12 @@ QUERIES = {
     "code_preview": code_preview,
     "report_rows": report_rows,
     "report_written": report_written,
+    "report_graph_written": report_graph_written,
     "graph_text": graph_text,
     "html_escape": html_escape,
     "index_preview": index_preview,
     "index_preview_stored": index_preview_stored,
+    "index_errors": index_errors,
     "index_runs": index_runs,
     "index_hashes": index_hashes,
     "index_edges": index_edges,

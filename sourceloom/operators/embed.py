@@ -29,7 +29,7 @@ def embed_distinct(rows: DataFrame, text: str, encoder, into: str = "embedding")
     keyed = rows.withColumn("_text_hash", F.md5(text))
     once = keyed.select("_text_hash", F.col(text).alias("_text")).dropDuplicates(["_text_hash"])
     vectors = cut_lineage(embed(once, "_text", encoder, into).drop("_text"))
-    vectors = broadcast_if_small(vectors, BROADCAST_BYTES // (4 * encoder.dim + 64))
+    vectors = broadcast_if_small(vectors, BROADCAST_BYTES // (4 * encoder.dim + 64), None)
     return keyed.join(vectors, "_text_hash", "left").drop("_text_hash")
 
 

@@ -17,7 +17,6 @@ def changed_files(
     files: DataFrame,
     state: DataFrame,
     full_rescan: bool = False,
-    state_rows: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Files whose (path, hash) is not in the state; all of them on a full rescan.
@@ -25,14 +24,13 @@ def changed_files(
     ``files`` may carry wide columns, so they are kept out of shuffles where possible:
     a small state is broadcast; beside a large one the anti join runs on paths and
     hashes alone, and if few files changed their paths are broadcast to pick up the
-    rest. Only a large change of a large corpus shuffles whole rows. ``state_rows`` is
-    an upper bound of the size of the state, counted here if not known.
+    rest. Only a large change of a large corpus shuffles whole rows. Sizes are measured
+    in rows and bytes, of the state itself and not of the versions it was made from.
     """
     if full_rescan:
         return files
     keys = ["file_path", "hash"]
-    small = at_most(state, broadcast_rows) if state_rows is None else state_rows <= broadcast_rows
-    if small:
+    if at_most(state, broadcast_rows):
         return files.join(F.broadcast(state), keys, "left_anti")
     changed = cut_lineage(files.select(*keys).join(state, keys, "left_anti"))
     return files.join(broadcast_if_small(changed, broadcast_rows), keys, "left_semi")

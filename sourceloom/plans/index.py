@@ -48,9 +48,7 @@ def index_files(
     last, known = store.progress()
     run = last + 1
     hashed = with_hash(files)
-    changed = changed_files(
-        hashed, store.file_hashes(), full_rescan=full_rescan or known == 0, state_rows=known
-    )
+    changed = changed_files(hashed, store.file_hashes(), full_rescan=full_rescan or known == 0)
     rows = source_rows(changed, encoder, distinct_texts).withColumn(
         "source_key", F.concat(F.col("file_path"), F.lit("\u0000"), F.lit(f"{run:010d}"))
     )

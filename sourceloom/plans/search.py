@@ -12,13 +12,13 @@ from sourceloom.operators.fragments import fragments_of
 from sourceloom.operators.graph import neighbours
 from sourceloom.operators.ranking import top_n
 from sourceloom.operators.similarity import check_k, top_k, top_k_batch
-from sourceloom.operators.sizing import any_of, at_most, few_values
+from sourceloom.operators.sizing import any_of, at_most, broadcast_if_small, few_values
 from sourceloom.session import cut_lineage
 from sourceloom.sources.store import CorpusStore
 
 CONTEXT_TOP = 5
 SEARCH_NEIGHBOURS = 10
-# Hits with their neighbour lists, of about a kilobyte each, that may be broadcast.
+# Hits with their neighbour lists that may be broadcast; their bytes are checked too.
 HIT_ROWS = 100_000
 
 
@@ -47,8 +47,8 @@ def search(
     ranked = rank_fragments(store.searchable(latest_only), files, queries, k, encoder)
     hits = ranked
     if with_graph:
-        hits = with_context(ranked, store.call_edges(), neighbour_limit, context_top)
-    return fetch_code(files, hits, ranked)
+        hits = cut_lineage(with_context(ranked, store.call_edges(), neighbour_limit, context_top))
+    return fetch_code(files, hits)
 
 
 def rank_fragments(
@@ -67,22 +67,24 @@ def rank_fragments(
     return cut_lineage(top_n(fragments_of(found), ["query_id"], order, k).select(*columns))
 
 
-def fetch_code(files: DataFrame, hits: DataFrame, ranked: DataFrame) -> DataFrame:
+def fetch_code(files: DataFrame, hits: DataFrame) -> DataFrame:
     """Add the code of each hit's file."""
     code = files.select("source_key", "code")
-    return lookup(code, hits, ranked).select(*[c for c in hits.columns if c != "source_key"], "code")
+    return lookup(code, hits).select(*[c for c in hits.columns if c != "source_key"], "code")
 
 
-def lookup(files: DataFrame, hits: DataFrame, sized: DataFrame | None = None) -> DataFrame:
-    """Join hits to their files by key. A few keys become a filter, so that Bloom
-    filters find their rows; otherwise the hits are broadcast if they are few enough.
-    ``sized`` is a cheap stand-in with the same keys and number of rows."""
-    sized = hits if sized is None else sized
-    few = few_values(sized, "source_key")
+def lookup(files: DataFrame, hits: DataFrame) -> DataFrame:
+    """Join materialised hits to their files by key. A few keys become a filter, so that
+    Bloom filters find their rows. Hits are broadcast if they are few enough; of more, the
+    distinct keys are, and only files that were hit are shuffled to meet them."""
+    few = few_values(hits, "source_key")
     if few is not None:
         files = files.where(any_of(F.col("source_key"), few))
-    if at_most(sized, HIT_ROWS):
-        hits = F.broadcast(hits)
+    if at_most(hits, HIT_ROWS):
+        return files.join(F.broadcast(hits), "source_key")
+    if few is None:
+        keys = cut_lineage(hits.select("source_key").distinct())
+        files = files.join(broadcast_if_small(keys), "source_key", "left_semi")
     return files.join(hits, "source_key")
 
 

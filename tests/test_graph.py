@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from sourceloom.operators import graph
 from sourceloom.operators.incremental import changed_files, scan_counters, upsert_hashes
 from sourceloom.operators.ranking import top_n
+from sourceloom.operators.sizing import at_most
 from tests.conftest import plan_of
 
 EDGE = "caller string, callee string"
@@ -104,3 +105,11 @@ def test_counters_and_upsert(scans):
     assert tuple(scan_counters(files, state, full_rescan=True).first()) == (4, 0, 4)
     got = {r.file_path: r.hash for r in upsert_hashes(state, files).collect()}
     assert got == {"same": "1", "edited": "2", "new": "3", "moved": "1", "gone": "9"}
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([("aé", ["bc", None], 1), (None, None, 2)], "s string, l array<string>, n int")
+    assert at_most(rows, 2) and not at_most(rows, 1)
+    size = 2 * 3 * 16 + 3 + 2
+    assert at_most(rows, 2, size) and not at_most(rows, 2, size - 1)
+    assert at_most(rows.limit(0), 0, 0) and at_most(rows, 2, None)

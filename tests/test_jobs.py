@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import sourceloom as sl
+from sourceloom.plans import search as search_plan
 from sourceloom.schemas import SOURCES
 from sourceloom.sources.files import any_case_glob, files_from_table, scan_files
 from tests.conftest import plan_of
@@ -140,6 +141,17 @@ def test_search_and_report(spark, store, folder):
     assert shown.preview.endswith("\n...") and len(shown.preview.splitlines()) == 9
 
 
+def test_only_hit_files_meet_many_hits(spark, store, folder, monkeypatch):
+    sl.index_folder(store, str(folder))
+    texts = spark.createDataFrame([(1, "help run foo"), (2, "tostring b")], "query_id long, text string")
+    few = sl.search(store, texts, k=2, with_graph=True)
+    monkeypatch.setattr(search_plan, "HIT_ROWS", 0)
+    monkeypatch.setattr(search_plan, "few_values", lambda *_: None)
+    many = sl.search(store, texts, k=2, with_graph=True)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    assert "BroadcastHashJoin LeftSemi" in plan_of(many) and "LeftSemi" not in plan_of(few)
+
+
 def test_search_context_covers_the_first_five(store, tmp_path, spark):
     code = "".join(f"public void m{i}() {{ }}\n" for i in range(8))
     files = spark.createDataFrame([("/M.java", bytearray(code.encode()))], "file_path string, content binary")
