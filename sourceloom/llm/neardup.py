@@ -2,7 +2,8 @@
 
 A sketch takes the smallest occurrence-labelled k-mers of words under one hash function and
 keeps their order in the text, so that it follows edit similarity. Texts that share a key
-of sketches are candidates. Within a key, each text is compared with the smallest id of
+are candidates: one minimum of five words, a sketch of two of three words, or, for short
+texts, any three words in a row. Within a key, each text is compared with the smallest id of
 the key only; links of different texts are verified by an alignment of their
 words within a band, and groups are the connected components of verified links.
 """
@@ -22,10 +23,12 @@ from sourceloom.llm.wordarrays import ALNUM, MULTIPLIER, gram_hashes, mixed, pow
 K = 5  # words of a k-mer
 SIMILARITY = 0.8  # 1 - edits / words of the longer text
 SKETCHES = 24
-MINIMA = 2  # k-mers of a sketch
-# A key joins so many neighbouring sketches: one for recall, more so that a key which many
-# unlike texts share, through a common passage, is split into finer ones.
-DEPTHS = (1, 2, 4)
+MINIMA = 2  # k-mers of a sketch of shorter k-mers
+# At similarity 0.8 the edits leave three words in a row of any text of six words or more,
+# and two of five words, wherever they are.
+SHORT_K = 3
+SHORT_WORDS = 34  # texts up to this length are met by each of their shorter k-mers
+TINY_WORDS = 5
 FEW = 40  # edits up to which diagonals are followed
 BATCH = 500_000
 
@@ -74,14 +77,24 @@ def order_sketches(words: np.ndarray, k: int = K, sketches: int = SKETCHES, mini
     return out
 
 
-def keys_of(sketches: np.ndarray, depths: tuple[int, ...] = DEPTHS) -> np.ndarray:
-    """Keys of all runs of sketches of each depth; runs wrap around."""
-    keys = []
-    for depth in depths:
-        h = np.arange(len(sketches), dtype=np.uint64) + np.uint64(depth * 1000)
-        for j in range(depth):
-            h = mixed(h * MULTIPLIER + np.roll(sketches, -j))
-        keys.append(h)
+def keys_of(words: np.ndarray, k: int = K, sketches: int = SKETCHES) -> np.ndarray:
+    """Keys of a text; texts that share one are candidates.
+
+    One minimum of ``k`` words per hash function, for recall at scattered edits; one order
+    sketch of shorter k-mers per function, which edits at regular distances leave; and all
+    shorter k-mers of a short text, so that no two short texts that are alike are missed.
+    """
+
+    def named(kind: int, h: np.ndarray) -> np.ndarray:
+        return mixed(h * MULTIPLIER + np.uint64(kind * 1000))
+
+    short = min(SHORT_K, k)
+    index = np.arange(sketches, dtype=np.uint64)
+    keys = [named(1, order_sketches(words, k, sketches, 1) + index), named(2, order_sketches(words, short, sketches) + index)]
+    if len(words) <= SHORT_WORDS:
+        keys.append(named(3, occurrence_kmers(words, short)))
+    if len(words) <= TINY_WORDS:
+        keys.append(named(4, occurrence_kmers(words, 2)))
     return np.concatenate(keys)
 
 
@@ -204,8 +217,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if they are equal. ``n_links`` counts the verified links of the row's representative.
     Rows stay rows, repeated ones and null ids included; an empty table gives no rows.
 
-    A link is lost only if none of the keys, over all sketches and depths, brings the two
-    texts to one representative. Each text gives a fixed number of keys, minima and maxima
+    A link is lost only if none of the keys brings the two texts to one representative. Each text gives a fixed number of keys, minima and maxima
     of a key are combined before the shuffle, and a text meets at most one other per key.
     """
 
@@ -218,7 +230,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             same, keys = [], []
             for w, h in zip(own_words(part["text"].tolist()), part["same"]):
                 same.append(sequence_hash(w) if len(w) else int(h))
-                keys.append(keys_of(order_sketches(w, k, sketches)).view(np.int64) if len(w) else np.zeros(0, np.int64))
+                keys.append(keys_of(w, k, sketches).view(np.int64) if len(w) else np.zeros(0, np.int64))
             yield part[["_key", "doc_id"]].assign(same=same, keys=keys)
 
     kind = docs.schema[doc_id].dataType.simpleString()

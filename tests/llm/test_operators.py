@@ -143,6 +143,39 @@ def test_groups_with_a_shared_passage(spark):
             assert (classes[a] == classes[b]) == (group[a] == group[b])
 
 
+def with_edits(rng, words, edits, fresh):
+    at = set(rng.sample(range(len(words)), edits))
+    return [fresh() if i in at else w for i, w in enumerate(words)]
+
+
+def test_candidates_at_the_least_similarity():
+    """Recall of the keys against all pairs, 20 % of the words substituted."""
+    rng = random.Random(7)
+    fresh = lambda: rng.getrandbits(60)
+
+    def met(a, b):
+        x, y = (neardup.keys_of(np.array(w, dtype=np.uint64)) for w in (a, b))
+        return bool(len(np.intersect1d(x, y)))
+
+    for n in (5, 9, 10, 20, 34):  # short texts: each pair, wherever the edits are
+        for _ in range(200):
+            a = [fresh() for _ in range(n)]
+            assert met(a, with_edits(rng, a, n // 5, fresh))
+    for n in (35, 60, 300):
+        bases = [[fresh() for _ in range(n)] for _ in range(300)]
+        assert sum(met(a, with_edits(rng, a, n // 5, fresh)) for a in bases) >= 0.98 * 300
+        regular = sum(met(a, [fresh() if i % 5 == 4 else w for i, w in enumerate(a)]) for a in bases)
+        assert regular >= 0.7 * 300
+        assert not any(met(a, b) for a, b in zip(bases, bases[1:]))
+
+
+def test_one_word_changed_in_short_texts(spark):
+    texts = ["a b c d e f g h i", "a b c d x f g h i", "p q r s t", "p q y s t", "k l m n o", "z z z z z"]
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    kind = {r["doc_id"]: r["class_key"] for r in got}
+    assert kind[0] == kind[1] and kind[2] == kind[3] and len(set(kind.values())) == 4
+
+
 def test_components_of_a_path(spark):
     links = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(100, 101)], "a long, b long"))
     roots = {r["id"]: r["root"] for r in neardup.components(links).collect()}
