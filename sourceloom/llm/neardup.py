@@ -3,9 +3,11 @@
 A sketch takes the smallest occurrence-labelled k-mers of words under one hash function and
 keeps their order in the text, so that it follows edit similarity. Texts that share a key
 are candidates: one minimum of five words, a sketch of two of three words, or, for short
-texts, any three words in a row. Within a key, each text is compared with the smallest id of
-the key only; links of different texts are verified by an alignment of their
-words within a band, and groups are the connected components of verified links.
+texts, any three words in a row. Links are verified by an alignment of the words within a
+band, and groups are the connected components of verified links. Within a key, each text is
+first compared with the smallest id of the key, which joins most families of copies. Then
+all pairs of a key that are not in one group yet are compared: in blocks, by bounds that
+every pair of alike texts meets, and by alignment where they are met.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SHORT_K = 3
 SHORT_WORDS = 34  # texts up to this length are met by each of their shorter k-mers
 TINY_WORDS = 5
 FEW = 40  # edits up to which diagonals are followed
+BLOCK = 512  # texts of a key that one task compares with as many others
+BAG = 256  # counters of a bag of words
 BATCH = 500_000
 
 
@@ -181,6 +185,65 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     return edits_within(a, b, most) <= most
 
 
+def word_bag(words: np.ndarray) -> bytes:
+    """How many words fall on each of ``BAG`` counters, up to 255."""
+    return np.minimum(np.bincount((words % np.uint64(BAG)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes()
+
+
+def may_be_alike(roots: np.ndarray, blocks: np.ndarray, lengths: np.ndarray, bags: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of texts with different roots that the bounds leave.
+
+    If there are two blocks, pairs lie across them. An edit changes the length by one at
+    most, and takes at most one word from the bag of each text.
+    """
+    across = blocks.min() != blocks.max()
+    bags = bags.astype(np.int16)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(roots) - 1):
+        most = (np.maximum(lengths[i + 1 :], lengths[i]) * (1 - similarity) + 1e-9).astype(np.int64)
+        open_ = (roots[i + 1 :] != roots[i]) & (np.abs(lengths[i + 1 :] - lengths[i]) <= most)
+        if across:
+            open_ &= blocks[i + 1 :] != blocks[i]
+        at = np.flatnonzero(open_)
+        if not len(at):
+            continue
+        gap = bags[i + 1 + at] - bags[i]
+        lost = (np.abs(gap).sum(axis=1, dtype=np.int64) + np.abs(gap.sum(axis=1, dtype=np.int64))) // 2
+        at = at[lost <= most[at]]
+        left.append(np.full(len(at), i))
+        right.append(i + 1 + at)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def pairs_left(met: DataFrame, roots: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all pairs within a key that have different roots and may be alike.
+
+    ``met`` has (id, key, n) with the n texts of each key, ``bags`` (id, n_words, bag).
+    Keys of the same texts are taken once. A key of many texts is cut into blocks that
+    meet pairwise, each two in one row, so that no row and no task holds the whole key.
+    """
+    crowd = met.where(F.col("n") > 2).join(roots, "id", "left").select("id", "key", "n", F.coalesce("root", "id").alias("root"))
+    open_keys = crowd.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.bit_xor(F.xxhash64("id")).alias("_who"), F.first("n").alias("_n"))
+    open_keys = open_keys.where(F.col("_low") < F.col("_high")).groupBy("_who", "_n").agg(F.min("key").alias("key")).select("key")
+    last = F.ceil(F.col("n") / BLOCK).cast("int") - 1
+    cut = crowd.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), last + 1).cast("int"))
+    dealt = cut.select("*", F.explode(F.sequence(F.lit(0), last)).alias("other")).join(bags, "id")
+    unit = ["key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    units = dealt.groupBy(*unit).agg(F.collect_list(F.struct("id", "root", "block", "n_words", "bag")).alias("m"))
+    units = units.select(*[F.col(f"m.{c}").alias(c) for c in ("id", "root", "block", "n_words", "bag")])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for ids, root, block, n_words, bag in zip(*(frame[c] for c in ("id", "root", "block", "n_words", "bag"))):
+                ids, root, block, n_words = (np.asarray(x, dtype=np.int64) for x in (ids, root, block, n_words))
+                bag = np.frombuffer(b"".join(bag), dtype=np.uint8).reshape(len(ids), BAG)
+                i, j = may_be_alike(root, block, n_words, bag, similarity)
+                if len(i):
+                    yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+
+    return units.mapInPandas(run, "a long, b long").distinct()
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) of each linked id: ids with the same root are connected.
 
@@ -214,11 +277,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts are compared as words: runs of letters and digits, ASCII letters lower-cased.
     Equal word sequences form one class from the start, represented by its smallest key,
     so copies are never paired. Texts without words (null ones included) are alike only
-    if they are equal. ``n_links`` counts the verified links of the row's representative.
+    if they are equal. ``n_links`` counts the verified links of the row's representative
+    that make the class; it is no count of all alike texts, as pairs that are in one class
+    already are not compared.
     Rows stay rows, repeated ones and null ids included; an empty table gives no rows.
 
-    A link is lost only if none of the keys brings the two texts to one representative. Each text gives a fixed number of keys, minima and maxima
-    of a key are combined before the shuffle, and a text meets at most one other per key.
+    Alike texts end in different classes only if none of the keys, and no other text, brings
+    them together. Each text gives a bounded number of keys, and minima and maxima of a key
+    are combined before the shuffle. The work beyond that grows with the pairs within a key
+    that are of different classes.
     """
 
     def own_words(texts: list[str]) -> list[np.ndarray]:
@@ -238,28 +305,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     made = stored(keyed.mapInPandas(sketch, f"_key string, doc_id {kind}, same long, keys array<long>"), "sketches")
     # ``same`` is a hash of the words, and the id of a distinct text from here on.
     dealt = made.select("same", "keys").dropDuplicates(["same"]).select(F.col("same").alias("id"), F.explode("keys").alias("key"))
-    ends = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") < F.col("high"))
-    meets = dealt.join(ends.select("key", "low"), "key").where(F.col("id") != F.col("low"))
+    ends = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where(F.col("low") < F.col("high"))
+    met = stored(dealt.join(ends.select("key", "low", "n"), "key"), "meetings")
+    meets = met.where(F.col("id") != F.col("low"))
     pairs = stored(meets.select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct()
     reps = made.groupBy("same").agg(F.min("_key").alias("_key")).join(involved, "same")
 
     def words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in text_batches(frames, "text", BATCH):
-            words = [w.astype(np.uint32).tobytes() for w in own_words(part["text"].tolist())]
-            yield pd.DataFrame({"id": part["id"], "words": words})
+            words = own_words(part["text"].tolist())
+            coded, bags = [w.astype(np.uint32).tobytes() for w in words], [word_bag(w) for w in words]
+            yield pd.DataFrame({"id": part["id"], "n_words": [len(w) for w in words], "bag": bags, "words": coded})
 
     fetched = keyed.select("_key", "text").join(reps.withColumnRenamed("same", "id"), "_key").select("id", "text")
-    texts = stored(fetched.mapInPandas(words_of, "id long, words binary").dropDuplicates(["id"]), "words")
-    compared = pairs.join(texts.select(F.col("id").alias("a"), F.col("words").alias("left")), "a").join(texts.select(F.col("id").alias("b"), F.col("words").alias("right")), "b").select("a", "b", "left", "right")
-
+    texts = stored(fetched.mapInPandas(words_of, "id long, n_words long, bag binary, words binary").dropDuplicates(["id"]), "words")
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             good = [alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for x, y in zip(frame["left"], frame["right"])]
             yield frame.loc[np.array(good, dtype=bool), ["a", "b"]]
 
-    links = stored(compared.mapInPandas(verify, "a long, b long"), "links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        side = lambda end, name: texts.select(F.col("id").alias(end), F.col("words").alias(name))
+        compared = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")
+        return stored(compared.mapInPandas(verify, "a long, b long"), "links")
+
+    links = verified(pairs)
     roots = components(links)
+    left = pairs_left(met, roots, texts.select("id", "n_words", "bag"), similarity)
+    more = verified(stored(left.join(pairs, ["a", "b"], "left_anti"), "pairs-left"))
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     linked = roots.join(degree, "id").withColumnRenamed("id", "same")
     rooted = made.select("_key", "doc_id", "same").join(linked, "same", "left")

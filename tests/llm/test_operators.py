@@ -176,6 +176,38 @@ def test_one_word_changed_in_short_texts(spark):
     assert kind[0] == kind[1] and kind[2] == kind[3] and len(set(kind.values())) == 4
 
 
+def test_close_copies_in_a_family_of_one_template(spark, monkeypatch):
+    """Members too far from each other to be linked, each with one close copy."""
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    passage = [word() for _ in range(60)]
+    texts = []
+    for _ in range(40):
+        member = [word() for _ in range(40)] + passage
+        texts += [member, with_edits(rng, member, 12, word)]
+    got = neardup.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)).collect()
+    kind = {r["doc_id"]: r["class_key"] for r in got}
+    most = int(0.2 * 100 + 1e-9)
+    for a in range(len(texts)):
+        for b in range(a):
+            assert (kind[a] == kind[b]) == (sum(x != y for x, y in zip(texts[a], texts[b])) <= most), (a, b)
+
+
+def test_bounds_leave_every_alike_pair():
+    rng = random.Random(12)
+    texts = []
+    for _ in range(30):
+        base = [rng.randint(0, 400) for _ in range(rng.randint(1, 60))]
+        texts += [base, [x for x in base if rng.random() < 0.9], [rng.randint(0, 400) if rng.random() < 0.1 else x for x in base]]
+    texts = [np.array(t or [1], dtype=np.uint64) for t in texts]
+    bags = np.stack([np.frombuffer(neardup.word_bag(t), np.uint8) for t in texts])
+    n = len(texts)
+    i, j = neardup.may_be_alike(np.arange(n), np.zeros(n, int), np.array([len(t) for t in texts]), bags)
+    alike = {(a, b) for a in range(n) for b in range(a + 1, n) if neardup.alike(texts[a], texts[b])}
+    assert len(alike) > 30 and alike <= set(zip(i.tolist(), j.tolist())) and len(i) < n * n / 10
+
+
 def test_components_of_a_path(spark):
     links = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(100, 101)], "a long, b long"))
     roots = {r["id"]: r["root"] for r in neardup.components(links).collect()}
