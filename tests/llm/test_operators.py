@@ -369,6 +369,22 @@ def test_classifier_on_held_out_labels(spark):
     assert shares[1] > 0.98 and shares[0] < 0.4
 
 
+def test_each_language_has_its_own_threshold(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(("one", "two", "three", "four")) for _ in range(30)), "en") for i in range(300)]
+    rows += [(1000 + i, " ".join(rng.choice(("ein", "zwei", "drei", "vier")) for _ in range(30)), "de") for i in range(12)]
+    rows += [(2000 + i, " ".join(rng.choice(("un", "deux", "trois", "quatre")) for _ in range(30)), "fr") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.where("lang <> 'fr'").select("doc_id", F.lit(1).alias("quality"))
+    judged = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
+    held = {r[0] for r in quality.trusted_split(docs, labels)[1].collect()}
+    for first, n, lang in ((0, 300, "en"), (1000, 12, "de")):
+        own = [judged[i]["perplexity"] for i in range(first, first + n) if i in held]
+        threshold, = {judged[i]["threshold"] for i in range(first, first + n)}
+        assert own and threshold in own and threshold >= sorted(own)[int(0.99 * len(own)) - 1], lang
+    assert all(judged[2000 + i]["threshold"] is None and judged[2000 + i]["keep"] for i in range(5))
+
+
 # -- 8: tokens
 
 
