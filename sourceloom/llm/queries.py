@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sourceloom.llm import bpe, chat, decontaminate, lcp, neardup, pii, ppm, quality, secrets, warczip
+from sourceloom.llm import bpe, chat, decontaminate, lcp, neardup, pii, ppm, quality, secrets, warczip, whitening
 
 QUERIES = {
     "op1_shape_crf": pii.op1_shape_crf,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe_trees": bpe.op8_bpe_trees,
     "op9_benchmark_windows": decontaminate.op9_benchmark_windows,
     "op10_phrase_fingerprints": lcp.op10_phrase_fingerprints,
+    "op13_chebyshev_whitening": whitening.op13_chebyshev_whitening,
 }
 
 # The others cannot be told in SQL; tests compare them with brute force.
