@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sourceloom.llm import bpe, chat, decontaminate, lcp, neardup, packing, pii, ppm, quality, secrets, warczip, whitening
+from sourceloom.llm import bpe, chat, collocations, decontaminate, lcp, neardup, packing, pii, ppm, quality, secrets, warczip, whitening
 
 QUERIES = {
     "op1_shape_crf": pii.op1_shape_crf,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe_trees": bpe.op8_bpe_trees,
     "op9_benchmark_windows": decontaminate.op9_benchmark_windows,
     "op10_phrase_fingerprints": lcp.op10_phrase_fingerprints,
+    "op11_collocation_automata": collocations.op11_collocation_automata,
     "op12_window_packing": packing.op12_window_packing,
     "op13_chebyshev_whitening": whitening.op13_chebyshev_whitening,
 }
@@ -23,4 +24,5 @@ QUERIES = {
 SQL = {
     "op4_prefix_targets": chat.SQL,
     "op9_benchmark_windows": decontaminate.SQL,
+    "op11_collocation_automata": collocations.SQL,
 }
