@@ -61,7 +61,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def _valid(kind: str, found: str) -> bool:
     digits = "".join(c for c in found if "0" <= c <= "9")
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        parts = [p.lstrip("0") for p in found.split(".")]  # int() refuses very long runs
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     return 9 <= len(digits) <= 15

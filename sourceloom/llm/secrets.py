@@ -24,37 +24,73 @@ ADDED = (
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, "PRIVATE KEY"),
     ("login", r"://[A-Za-z0-9._%-]+:([^\s:/@]{6,})@", 1, "://"),
 )
-NO_SPANS = "array<struct<kind:string,rank:int,start:int,end:int,value:string>>"
+NO_SPANS = "array<struct<kind:string,rank:int,start:int,end:int,from:int,to:int,value:string>>"
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it stands in there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(numbers: Column, join, first: int) -> Column:
+    """The running ``join`` of an array of whole numbers, from ``first`` on.
+
+    The array is cut into about as many parts as a part has numbers, so that n numbers
+    take n to the power of 1.5 steps, and nothing grows by copies of itself.
+    """
+
+    def fold(part: Column, start: Column) -> Column:
+        return F.aggregate(part, start, join)
+
+    def each(part: Column, start: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(part)), lambda i: fold(F.slice(part, F.lit(1), i), start))
+
+    def whole(n: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(n))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / width).cast("int")), lambda i: F.slice(n, i * width + 1, width))
+        return bound(cut, lambda parts: bound(F.transform(parts, lambda p: fold(p, F.lit(first))), lambda ends: inner(parts, ends)))
+
+    def inner(parts: Column, ends: Column) -> Column:
+        starts = F.transform(F.sequence(F.lit(0), F.size(ends) - 1), lambda i: F.when(i == 0, F.lit(first)).otherwise(fold(F.slice(ends, F.lit(1), F.greatest(i, F.lit(1))), F.lit(first))))
+        return F.flatten(F.zip_with(parts, starts, each))
+
+    return bound(numbers, lambda n: F.when(F.size(n) == 0, F.array().cast("array<int>")).otherwise(whole(n)))
 
 
 def located(text: Column, kind: str, rank: int, pattern: str, group: int, least: int, might: Column) -> Column:
-    """Spans of all matches, in code points: the text between matches gives the offsets.
+    """Spans of all matches, in code points (start, end) and bytes (from, to).
 
-    ``least`` is the least length of the value; shorter matches are dropped after the
-    search, as a matched place is not tried again. Texts without a match are scanned once.
+    The text between matches gives the offsets, as running sums. ``least`` is the least
+    length of the value; shorter matches are dropped after the search, as a matched place
+    is not tried again. Texts without a match are scanned once.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    sizes = F.arrays_zip(F.transform(F.slice(gaps, F.lit(1), F.size(found)), F.length).alias("gap"), found.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(NO_SPANS).alias("spans"))
-
-    def step(state, item):
-        begin = state["at"] + item["gap"]
-        end = begin + F.length(item["match"])
-        value = F.regexp_extract(item["match"], pattern, group) if group else item["match"]
-        span = F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), begin.alias("start"), end.alias("end"), value.alias("value"))
+
+    def spans(found: Column, gaps: Column) -> Column:
+        ends = running(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m)), lambda a, b: a + b, 0)
+        stops = running(F.zip_with(gaps, found, lambda g, m: F.octet_length(g) + F.octet_length(m)), lambda a, b: a + b, 0)
+        return F.transform(F.arrays_zip(found.alias("match"), ends.alias("end"), stops.alias("to")), span)
+
+    def span(m: Column) -> Column:
+        match, end, to = m["match"], m["end"], m["to"]
+        value = F.regexp_extract(match, pattern, group) if group else match
         return F.struct(
-            end.alias("at"),
-            F.concat(F.coalesce(state["spans"], F.lit(None).cast(NO_SPANS), F.array().cast(NO_SPANS)), F.array(span)).alias("spans"),
+            F.lit(kind).alias("kind"),
+            F.lit(rank).alias("rank"),
+            (end - F.length(match)).alias("start"),
+            end.alias("end"),
+            (to - F.octet_length(match)).alias("from"),
+            to.alias("to"),
+            value.alias("value"),
         )
 
-    spans = F.aggregate(sizes, start, step, lambda s: s["spans"])
-    kept = F.filter(spans, lambda s: F.length(s["value"]) >= least)
-    return F.when(might & text.rlike(pattern), kept).otherwise(F.array().cast(NO_SPANS))
+    all_found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = lambda found: F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    kept = bound(all_found, lambda found: bound(gaps(found), lambda g: F.filter(spans(found, g), lambda s: F.length(s["value"]) >= least)))
+    return F.when(might & text.rlike(pattern), kept).otherwise(F.array()).cast(NO_SPANS)
 
 
 def candidate_spans(text: Column) -> Column:
-    """All candidate spans of a text: base kinds and added ones that overlap none of them."""
+    """All candidate spans of a text: base kinds, and added ones, which may overlap them."""
     base = [
         located(text, "assign", 0, ASSIGN, 2, 6, text.contains(":") | text.contains("=")),
         located(text, "access", 1, ACCESS, 0, 20, text.contains("AKIA")),
@@ -94,12 +130,13 @@ def _judged(found: DataFrame, widely: int) -> DataFrame:
         .withColumn("n_repositories", F.coalesce("n_repositories", one))
         .withColumn("verdict", F.when(F.col("n_owners") >= widely, "example").when(F.col("n_owners") == 1, "live").otherwise("shared"))
     )
-    span = F.struct("_s.start", "_s.rank", "_s.end", "_s.kind", "n_owners", "n_repositories", "verdict")
+    span = F.struct("_s.start", "_s.rank", "_s.end", "_s.kind", "n_owners", "n_repositories", "verdict", "_s.from", "_s.to")
     return judged.groupBy("_key").agg(F.array_sort(F.collect_set(span)).alias("spans"))
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str | None = "source", repository: Column | None = None, widely: int = 3) -> DataFrame:
-    """One row per document: doc_id, spans (start, rank, end, kind, n_owners, n_repositories, verdict).
+    """One row per document: doc_id, spans (start, rank, end, kind, n_owners, n_repositories, verdict,
+    and the offsets in bytes: from, to).
 
     A candidate is an ``example`` if at least ``widely`` owners hold its value, else
     ``live`` if it belongs to one owner, else ``shared``. Without an owner column, or
@@ -119,15 +156,23 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ow
 
 
 def without_spans(text: Column, spans: Column, mark: str) -> Column:
-    """Text with each run of overlapping spans, given in order of start, replaced by ``mark``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """Text with each run of overlapping spans, given in order of start, replaced by ``mark``.
+
+    A run starts where no earlier span reaches; the text is cut there by byte offsets.
+    """
+    reach = running(F.transform(spans, lambda s: s["to"]), lambda a, b: F.greatest(a, b), 0)
+    before = bound(reach, lambda r: F.concat(F.array(F.lit(0)), F.slice(r, F.lit(1), F.size(r) - 1)))
+    starts = F.filter(F.zip_with(spans, before, lambda s, b: F.struct(b.alias("after"), s["from"].alias("at"))), lambda p: p["at"] >= p["after"])
+
+    def cut(data: Column, start: Column, size: Column) -> Column:
+        return F.substring(data, start + 1, size).cast("string")
 
-    def step(state, span):
-        ahead = F.concat(state["out"], F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.lit(mark))
-        apart = span["start"] >= state["at"]
-        return F.struct(F.when(apart, ahead).otherwise(state["out"]).alias("out"), F.greatest(state["at"], span["end"]).alias("at"))
+    def rest(data: Column) -> Column:
+        end = F.array_max(F.transform(spans, lambda s: s["to"]))
+        kept = F.transform(starts, lambda p: cut(data, p["after"], p["at"] - p["after"]))
+        return F.array_join(F.concat(kept, F.array(cut(data, end, F.octet_length(data)))), mark)
 
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(bound(text.cast("binary"), rest))
 
 
 def redact_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str | None = "source", repository: Column | None = None, widely: int = 3, mark: str = "[secret]") -> DataFrame:
@@ -136,12 +181,12 @@ def redact_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts without such a candidate stay as they are, null ones included.
     """
     found = _found(docs, doc_id, text, owner, repository)
-    real = _judged(found, widely).select("_key", F.filter("spans", lambda s: s["verdict"] != "example").alias("_spans"))
-    real = real.where(F.size("_spans") > 0).withColumnRenamed("_key", "_secret_key")
+    real = _judged(found, widely).select(F.col("_key").alias("_secret_key"), F.filter("spans", lambda s: s["verdict"] != "example").alias("_real"))
+    real = real.where(F.size("_real") > 0)
     key = row_key(doc_id, text)
-    clean = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(without_spans(F.col(text), F.col("_spans"), mark))
+    clean = F.when(real["_real"].isNull(), docs[text]).otherwise(without_spans(docs[text], real["_real"], mark))
     columns = [clean.alias(text) if c == text else docs[c] for c in docs.columns]
-    return docs.join(real, key == F.col("_secret_key"), "left").select(*columns)
+    return docs.join(real, key == real["_secret_key"], "left").select(*columns)
 
 
 def joined(spans: Column) -> Column:
