@@ -12,7 +12,6 @@ besides.
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +37,10 @@ CACHED_UNITS = 1_000_000
 BATCH = 2_000_000  # characters at a time
 TOGETHER = 1024
 _ENDS = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
-_BREAKS = str.maketrans("\n\r\t", "   ")
+_SPACES = bytes.maketrans(b"\n\r\t", b"   ")
+_LOWER = bytes.maketrans(b"\n\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"   abcdefghijklmnopqrstuvwxyz")
+# A single sign behind a letter and before a space is a token of its own.
+_SIGN = re.compile(rb"(?<=[a-z])([.,;:!?])(?= )")
 
 
 class _Units(dict):
@@ -55,10 +57,11 @@ class _Units(dict):
 
 
 class WordCoder:
-    """A tokenizer that drops white space, in one worker.
+    """A tokenizer that drops white space and case, in one worker.
 
-    Its tokens never cross a space, so that the words between spaces are encoded apart, each
-    distinct one once while the cache lasts. A definition that does otherwise is refused.
+    Its tokens never cross a space, nor the place before a sign that follows a letter, so
+    that what lies between is encoded apart, each distinct unit once while the cache lasts.
+    A definition that does otherwise is refused.
     """
 
     def __init__(self, definition: str, end: int = END):
@@ -70,66 +73,88 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.end = end
         special = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()]
         if any(" " in t.content or t.lstrip or t.rstrip or t.single_word for _, t in special):
             raise ValueError("an added token reaches beyond a word")
-        sample = "one, two\n\tThree's  é1 " + "".join(t.content for _, t in special)
-        apart = [i for w in sample.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        if self.tokenizer.encode(sample, add_special_tokens=False).ids != apart:
-            raise ValueError("words of this tokenizer cannot be encoded apart")
+        self.special = [t.content.encode() for _, t in special]
         # An added token that is split off before all else can stand between units.
-        marks = [(i, t.content) for i, t in special if not t.normalized]
+        marks = [(i, t.content.encode()) for i, t in special if not t.normalized]
         self.mark = marks[-1] if marks else None
-        self._reset()
-
-    def _reset(self) -> None:
+        sample = "One, TWO\n\tThree's  É1 ok. no; A: b! c? " + "".join(t.content for _, t in special)
+        apart = [i for w in self.cut(sample) for i in self._alone(w)]
+        if self._alone(sample.encode()) != apart:
+            raise ValueError("words of this tokenizer cannot be encoded apart")
         self.units = _Units()
         self.units[None] = 0  # the end of a document
-        self.flat = np.array([self.end], dtype="<u4")
-        self.starts, self.sizes = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
+        self.flat = np.array([end], dtype="<u4")
+        self.starts, self.sizes, self.used = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
         self.ends = np.zeros(1, dtype=bool)
 
-    def _ids(self, units: list[str]) -> list[np.ndarray]:
-        alone = lambda u: np.array(self.tokenizer.encode(u, add_special_tokens=False).ids, dtype="<u4")
-        if self.mark is None:
-            return [alone(u) for u in units]
-        number, content = self.mark
-        out: list[np.ndarray] = []
+    def cut(self, text: str) -> list[bytes]:
+        """The units of a text."""
+        data = text.encode("utf-8", "replace")
+        if any(s in data.lower() for s in self.special):  # the case of these counts
+            return data.translate(_SPACES).split(b" ")
+        return _SIGN.sub(rb" \1", data.translate(_LOWER)).split(b" ")
+
+    def _alone(self, unit: bytes) -> list[int]:
+        return self.tokenizer.encode(unit.decode(), add_special_tokens=False).ids
+
+    def _learn(self, units: list[bytes]) -> None:
+        """Encode new units, many in one string with marks between them."""
+        flat, sizes = [self.flat], []
         for at in range(0, len(units), TOGETHER):
             some = units[at : at + TOGETHER]
-            joined = content.join("" if "<" in u or content in u else u for u in some)
-            ids = alone(joined)
-            cut = np.flatnonzero(ids == number)
-            parts = np.split(ids, cut)
-            out += [alone(u) if "<" in u or content in u else p[1:] if i else p for i, (u, p) in enumerate(zip(some, parts))]
-        return out
+            if self.mark is None or any(b"<" in u for u in some):
+                ids = [np.array(self._alone(u), dtype="<u4") for u in some]
+                sizes.append(np.array([len(i) for i in ids], dtype=np.int64))
+                flat += ids
+                continue
+            number, content = self.mark
+            ids = np.array(self._alone(content.join(some)), dtype="<u4")
+            marks = np.flatnonzero(ids == number)
+            sizes.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+            flat.append(ids[ids != number])
+        sizes = np.concatenate(sizes)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat = np.concatenate(flat).astype("<u4")
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used = np.concatenate([self.used, np.zeros(len(sizes), dtype=np.int64)])
+        self.ends = np.concatenate([self.ends, np.array([bool(_ENDS.search(u.decode())) for u in units])])
+
+    def _trim(self) -> None:
+        """Keep the more used half of a full cache."""
+        self.used[0] = np.iinfo(np.int64).max
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: CACHED_UNITS // 2])
+        units = list(self.units)
+        self.units = _Units()
+        self.units.update((units[i], n) for n, i in enumerate(keep.tolist()))
+        sizes = self.sizes[keep]
+        offsets = np.cumsum(sizes) - sizes
+        self.flat = self.flat[np.repeat(self.starts[keep] - offsets, sizes) + np.arange(int(sizes.sum()))]
+        self.starts, self.sizes, self.ends, self.used = offsets, sizes, self.ends[keep], self.used[keep]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All tokens, the number of tokens of each text, and the places where sentences end."""
         if len(self.units) > CACHED_UNITS:
-            self._reset()
+            self._trim()
         words: list = []
         counts = np.empty(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
-            part = text.translate(_BREAKS).split(" ") if not text.isspace() else []
+            part = self.cut(text)
             words += part
             words.append(None)
             counts[i] = len(part) + 1
         number = np.fromiter(map(self.units.__getitem__, words), dtype=np.int64, count=len(words))
         if self.units.new:
             new, self.units.new = self.units.new, []
-            ids = self._ids(new)
-            sizes = np.array([len(x) for x in ids], dtype=np.int64)
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.flat = np.concatenate([self.flat, *ids]).astype("<u4")
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.ends = np.concatenate([self.ends, np.array([bool(_ENDS.search(u)) for u in new])])
+            self._learn(new)
+        self.used += np.bincount(number, minlength=len(self.used))
         sizes = self.sizes[number]
         stops = np.cumsum(sizes)
         place = np.repeat(self.starts[number] - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)
         lengths = np.diff(stops[np.cumsum(counts) - 1], prepend=0)
-        return self.flat[place], lengths, stops[self.ends[number]]
+        return self.flat[place], lengths, np.unique(stops[self.ends[number]])
 
 
 _CODERS: dict[tuple[str, int], WordCoder] = {}
@@ -181,32 +206,32 @@ def plan(at: np.ndarray, price: np.ndarray, window: int) -> np.ndarray:
     where = np.full(int(at[-1]) + 1, -1, dtype=np.int32)
     where[at] = np.arange(n, dtype=np.int32)
     powers = [1 << s for s in range(window.bit_length()) if 1 << s <= window]
-    before: list[list[int]] = [[] for _ in range(n)]
+    before: list = [()] * n
     for size in powers:
         hit = np.flatnonzero(at >= size)
         from_ = where[at[hit] - size]
         good = from_ >= 0
         for j, i in zip(hit[good].tolist(), from_[good].tolist()):
-            before[j].append(i)
+            before[j] = (*before[j], i)
     spot, cost = at.tolist(), price.tolist()
-    best, back = [0] * n, [0] * n
-    queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (best + place, place, index), rising
+    best, back, keys = [0] * n, [0] * n, [0] * n  # keys: best + place
+    queue, head = [0], 0  # places in the window with rising keys
     for j in range(1, n):
         p = spot[j]
         low = p - window
-        while queue[0][1] < low:
-            queue.popleft()
-        key, _, i = queue[0]
-        value = key - low
+        while spot[queue[head]] < low:
+            head += 1
+        i = queue[head]
+        value = keys[i] - low
         for b in before[j]:
             if best[b] < value:
                 value, i = best[b], b
         value += cost[j] + SEQUENCE
         best[j], back[j] = value, i
-        key = value + p
-        while queue and queue[-1][0] >= key:
+        keys[j] = key = value + p
+        while len(queue) > head and keys[queue[-1]] >= key:
             queue.pop()
-        queue.append((key, p, j))
+        queue.append(j)
     cuts, j = [], n - 1
     while j:
         cuts.append(spot[j])

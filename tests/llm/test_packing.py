@@ -55,7 +55,7 @@ def test_plan_is_the_cheapest(seed):
 
 
 def test_units_equal_the_library(definition):
-    texts = ["", " ", "Hello,  WORLD's\tend.\n\nNext é1 ２ ﬁ", "a <|endoftext|> b<|startoftext|>c <|END", "x" * 5000, "İ Σας ΣΑΣ ́ ̸a", " a b\x0bc\x85d\x1ce", "<|endoftext|>", "word " * 3000, "\U0001f600‍ 中文。次"]
+    texts = ["", " ", "Hello,  WORLD's\tend.\n\nNext é1 ２ ﬁ", "a <|endoftext|> b<|startoftext|>c <|END", "<|ENDOFTEXT|> A. b.. C?! d.e f, ́g é. ß; ", "<|EndOfText|>a. <|endoftext|>", "x" * 5000, "İ Σας ΣΑΣ ́ ̸a", " a b\x0bc\x85d\x1ce", "<|endoftext|>", "word " * 3000, "\U0001f600‍ 中文。次"]
     coder = packing.WordCoder(definition)
     for _ in range(2):  # without and with what the cache holds
         ids, lengths, ends = coder.encode(texts)
@@ -64,6 +64,18 @@ def test_units_equal_the_library(definition):
     assert len(ends) and (np.diff(ends) > 0).all() and ends[-1] <= len(ids)
 
 
+def test_a_full_cache_keeps_what_is_used(definition, monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_UNITS", 20)
+    rng = np.random.default_rng(2)
+    coder = packing.WordCoder(definition)
+    for _ in range(30):
+        texts = [" ".join(f"word{int(x)}" for x in rng.zipf(1.5, size=12) % 300) + "." for _ in range(3)]
+        ids, lengths, _ = coder.encode(texts)
+        for got, want in zip(np.split(ids, np.cumsum(lengths)[:-1]), library_ids(texts)):
+            assert got.tolist() == want.tolist()
+    assert len(coder.units) < 80
+
+
 def check_pieces(rows, want):
     """``want``: a list of id arrays per doc_id."""
     sequences, documents = defaultdict(list), defaultdict(list)
