@@ -20,6 +20,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -107,12 +108,16 @@ class Counted:
             for _ in range(k):
                 rest, number = np.divmod(rest, len(order) + 1)
                 columns.append(names.take(pa.array(number - 1)))
-            lang = pa.array([self.lang] * len(rest), pa.string())
-            yield pa.RecordBatch.from_arrays([lang, *columns[::-1], pa.array(counts[some : some + ROWS])], names=["lang", *word_names(k), "n"])
+            gram = pc.binary_join_element_wise(*columns[::-1], "\t")
+            gram = pc.binary_join_element_wise(gram, pa.scalar(self.lang, pa.string()), " ")
+            yield pa.RecordBatch.from_arrays([gram, pa.array(counts[some : some + ROWS])], names=["gram", "n"])
 
 
 def shard_ngrams(texts: DataFrame, k: int, known: Filter | None = None) -> DataFrame:
-    """(lang, w1.., n): counts of n-grams of ``k`` words, sorted within what a task passes on."""
+    """(gram, n): counts of n-grams of ``k`` words, sorted within what a task passes on.
+
+    A gram is its words with tabs between, a space and the language: neither stands in a word.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +141,7 @@ def shard_ngrams(texts: DataFrame, k: int, known: Filter | None = None) -> DataF
         for counted in held.values():
             yield from counted.ngrams(k, filter_)
 
-    schema = "lang string, " + "".join(f"{w} string, " for w in word_names(k)) + "n long"
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(run, "gram string, n long")
 
 
 def in_runs(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
@@ -218,12 +222,14 @@ def frequent_ngrams(texts: DataFrame, longest: int, least: int) -> tuple[DataFra
     """
     names, known, levels, totals = word_names(longest), None, [], None
     for k in range(1, longest + 1):
-        shards = stored(shard_ngrams(texts, k, known), "shards")
-        key = ["lang", *names[:k]]
-        sums = shards.repartitionByRange(*key).groupBy(*key).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        grams = stored(sums, "ngrams")
+        # Nearly all grams are distinct, so that dictionaries would be built in vain.
+        shards = stored(shard_ngrams(texts, k, known), "shards", **{"parquet.enable.dictionary": "false"})
+        sums = shards.repartitionByRange("gram").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        words = F.split(F.substring_index("gram", " ", 1), "\t")
+        lang = F.expr("substr(gram, instr(gram, ' ') + 1)").alias("lang")
+        grams = stored(sums.select(lang, *[words[i].alias(w) for i, w in enumerate(names[:k])], "n"), "ngrams")
         if totals is None:
-            totals = stored(shards.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+            totals = stored(shards.select(lang, "n").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
         if k < longest:
             known = frequent_filter(grams, k)
         missing = [F.lit(None).cast("string").alias(w) for w in names[k:]]

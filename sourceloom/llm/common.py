@@ -27,15 +27,15 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.struct(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.xxhash64(whole_text(text)).alias("hash"))
 
 
-def stored(rows: DataFrame, label: str) -> DataFrame:
-    """Write rows once to the shared folder and read them back.
+def stored(rows: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write rows once to the shared folder, with the options of the writer, and read them back.
 
     The copy outlives lost executors, is evaluated once however often it is read, and
     gives the planner its true size.
     """
     spark = rows.sparkSession
     path = scratch_dir(spark, label)
-    rows.write.parquet(path)
+    rows.write.options(**options).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 

@@ -41,7 +41,7 @@ def texts(seed, docs=120):
     out = []
     for _ in range(docs):
         body = [rng.choices(words, weights)[0] + rng.choice(["", "", "", ".", ",", "\n", "\t", "!?", " "]) for _ in range(rng.randint(0, 60))]
-        out.append((rng.choice(["en", "en", "de", None]), " ".join(body)))
+        out.append((rng.choice(["en", "en", "a\tlang ", None]), " ".join(body)))
     return out
 
 
