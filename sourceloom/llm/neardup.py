@@ -2,12 +2,17 @@
 
 A sketch takes the smallest occurrence-labelled k-mers of words under one hash function and
 keeps their order in the text, so that it follows edit similarity. Texts that share a key
-are candidates: one minimum of five words, a sketch of two of three words, or, for short
-texts, any three words in a row. Links are verified by an alignment of the words within a
-band, and groups are the connected components of verified links. Within a key, each text is
-first compared with the smallest id of the key, which joins most families of copies. Then
-all pairs of a key that are not in one group yet are compared: in blocks, by bounds that
-every pair of alike texts meets, and by alignment where they are met.
+are candidates: a sketch of two k-mers of three words, one minimum of five words, or, for
+short texts, any three words in a row. Links are verified by an alignment of the words within
+a band, and groups are the connected components of verified links.
+
+Pairs are taken in rounds. Each text is first compared with the smallest id that it meets,
+then with the smallest id of each of its keys that is not in its group by then; this joins
+most families of copies. Where a key still holds several groups, pairs across them are
+tested by bounds that all alike texts meet. Texts of a key that many share meet there by
+their rarest words instead, of which alike texts have one in common. Of the pairs that are
+left, some for each two groups are aligned, then more, until the groups are one or no pair
+is left.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceloom.llm.common import row_key, stored, table, text_batches, whole_text
@@ -24,16 +29,22 @@ from sourceloom.llm.wordarrays import ALNUM, MULTIPLIER, gram_hashes, mixed, pow
 
 K = 5  # words of a k-mer
 SIMILARITY = 0.8  # 1 - edits / words of the longer text
-SKETCHES = 24
-MINIMA = 2  # k-mers of a sketch of shorter k-mers
+SKETCHES = 8  # hash functions that take one minimum of K words
+ORDERED = 5  # order sketches of shorter k-mers for each of them
+MINIMA = 2  # k-mers of an order sketch
 # At similarity 0.8 the edits leave three words in a row of any text of six words or more,
 # and two of five words, wherever they are.
 SHORT_K = 3
 SHORT_WORDS = 34  # texts up to this length are met by each of their shorter k-mers
 TINY_WORDS = 5
 FEW = 40  # edits up to which diagonals are followed
-BLOCK = 512  # texts of a key that one task compares with as many others
+BLOCK = 512  # texts that one task compares with as many others
+BLOCK_WORDS = 4_000_000  # and the words they have
+FREQUENT = 100_000  # words whose frequency counts; all others are taken to be rarer
 BAG = 256  # counters of a bag of words
+FINE = 4  # times as many are used where the first bound is met
+FIRST = 2  # pairs of two groups that are aligned in the first round, and by how much
+MORE = 8  # more in each later one
 BATCH = 500_000
 
 
@@ -57,49 +68,97 @@ def sequence_hash(words: np.ndarray) -> int:
     return int(mixed(h).view(np.int64)[0])
 
 
-def order_sketches(words: np.ndarray, k: int = K, sketches: int = SKETCHES, minima: int = MINIMA) -> np.ndarray:
-    """One hash per sketch: its smallest occurrence-labelled k-mers, in text order."""
-    kmers = occurrence_kmers(words, k)
-    n = min(minima, len(kmers))
-    out = np.zeros(sketches, dtype=np.uint64)
-    if not n:
-        return out
+def labelled_kmers(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The occurrence-labelled k-mers of many texts with words, and where those of each start.
+
+    A text of fewer words has one k-mer, of all of them.
+    """
+    ends = np.cumsum(counts)
+    kmers = gram_hashes(words, k) if len(words) >= k else words[:0]
+    place = np.arange(len(words)) - np.repeat(ends - counts, counts)
+    whole = place[: len(kmers)] + k <= np.repeat(counts, counts)[: len(kmers)]
+    sizes = np.maximum(counts - k + 1, 1)
+    out = np.empty(int(sizes.sum()), dtype=np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    short = np.flatnonzero(counts < k)
+    mark = np.ones(len(out), dtype=bool)
+    mark[starts[short]] = False
+    out[mark] = kmers[whole]
+    for i in short.tolist():
+        out[starts[i]] = gram_hashes(words[ends[i] - counts[i] : ends[i]], k)[0]
+    own = out ^ mixed(np.repeat(np.arange(len(counts), dtype=np.uint64), sizes) * MULTIPLIER)
+    order = np.argsort(own, kind="stable")
+    same = np.flatnonzero(own[order][1:] == own[order][:-1]) + 1
+    if len(same):
+        new = np.ones(len(out), dtype=bool)
+        new[same] = False
+        first = np.flatnonzero(new)
+        times = np.empty(len(out), dtype=np.uint64)
+        times[order] = (np.arange(len(out)) - np.repeat(first, np.diff(first, append=len(out)))).astype(np.uint64)
+        out = np.where(times > 0, mixed(out + times * MULTIPLIER), out)
+    return out, starts
+
+
+def order_sketches(kmers: np.ndarray, starts: np.ndarray, sketches: int, minima: int, seed: int) -> np.ndarray:
+    """One row per text and one hash per sketch: its ``minima`` smallest k-mers (one or two), in text order."""
     x = (kmers >> np.uint64(32)).astype(np.uint32)
-    seeds = mixed(np.arange(1, 2 * sketches + 1, dtype=np.uint64) * MULTIPLIER).astype(np.uint32).reshape(2, sketches, 1)
-    smallest, place = [], []
-    for at in range(0, len(x), 65_536):  # parts bound the memory of a very long text
-        h = x[None, at : at + 65_536] * (seeds[0] | np.uint32(1)) + seeds[1]
-        for _ in range(min(n, h.shape[1])):
-            best = h.argmin(axis=1)[:, None]
-            smallest.append(np.take_along_axis(h, best, 1))
-            place.append(best + at)
-            np.put_along_axis(h, best, np.uint32(0xFFFFFFFF), 1)
-    best = np.argsort(np.concatenate(smallest, axis=1), axis=1, kind="stable")[:, :n]
-    place = np.sort(np.take_along_axis(np.concatenate(place, axis=1), best, 1), axis=1)
-    for j in range(n):
-        out = mixed(out * MULTIPLIER + kmers[place[:, j]])
+    place = np.arange(len(kmers), dtype=np.uint64)
+    low = np.uint64(0xFFFFFFFF)
+    seeds = mixed((np.arange(2 * sketches, dtype=np.uint64) + np.uint64(2 * seed + 1)) * MULTIPLIER).astype(np.uint32)
+    out = np.empty((len(starts), sketches), dtype=np.uint64)
+    for s in range(sketches):
+        h = ((x * (seeds[2 * s] | np.uint32(1)) + seeds[2 * s + 1]).astype(np.uint64) << np.uint64(32)) | place
+        first = (np.minimum.reduceat(h, starts) & low).astype(np.int64)
+        sketch = mixed(kmers[first])
+        if minima > 1:
+            h[first] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            least = np.minimum.reduceat(h, starts)
+            second = (least & low).astype(np.int64)
+            alone = least == np.uint64(0xFFFFFFFFFFFFFFFF)
+            second[alone] = first[alone]
+            left, right = np.minimum(first, second), np.maximum(first, second)
+            sketch = np.where(alone, sketch, mixed(mixed(kmers[left]) * MULTIPLIER + kmers[right]))
+        out[:, s] = sketch + np.uint64(s)
     return out
 
 
-def keys_of(words: np.ndarray, k: int = K, sketches: int = SKETCHES) -> np.ndarray:
-    """Keys of a text; texts that share one are candidates.
+def keys_of_texts(words: np.ndarray, counts: np.ndarray, k: int = K, sketches: int = SKETCHES) -> list[np.ndarray]:
+    """Keys of texts that follow each other in ``words``; texts that share one are candidates.
 
-    One minimum of ``k`` words per hash function, for recall at scattered edits; one order
-    sketch of shorter k-mers per function, which edits at regular distances leave; and all
-    shorter k-mers of a short text, so that no two short texts that are alike are missed.
+    One minimum of ``k`` words per hash function; order sketches of shorter k-mers, which edits
+    at regular distances leave; and all shorter k-mers of a short text, so that no two short
+    texts that are alike are missed. A text without words has no keys.
     """
 
     def named(kind: int, h: np.ndarray) -> np.ndarray:
         return mixed(h * MULTIPLIER + np.uint64(kind * 1000))
 
+    filled = np.flatnonzero(counts > 0)
+    keys: list[np.ndarray] = [np.zeros(0, dtype=np.uint64)] * len(counts)
+    if not len(filled):
+        return keys
+    counts = counts[filled]
     short = min(SHORT_K, k)
-    index = np.arange(sketches, dtype=np.uint64)
-    keys = [named(1, order_sketches(words, k, sketches, 1) + index), named(2, order_sketches(words, short, sketches) + index)]
-    if len(words) <= SHORT_WORDS:
-        keys.append(named(3, occurrence_kmers(words, short)))
-    if len(words) <= TINY_WORDS:
-        keys.append(named(4, occurrence_kmers(words, 2)))
-    return np.concatenate(keys)
+    long_kmers, long_starts = labelled_kmers(words, counts, k)
+    kmers, starts = labelled_kmers(words, counts, short)
+    # The hash functions of both kinds have nothing in common.
+    ones = named(1, order_sketches(long_kmers, long_starts, sketches, 1, 0))
+    twos = named(2, order_sketches(kmers, starts, sketches * ORDERED, MINIMA, 1000))
+    ends = np.append(starts[1:], len(kmers))
+    word_ends = np.cumsum(counts)
+    for n, i in enumerate(filled.tolist()):
+        own = [ones[n], twos[n]]
+        if counts[n] <= SHORT_WORDS:
+            own.append(named(3, kmers[starts[n] : ends[n]]))
+        if counts[n] <= TINY_WORDS:
+            own.append(named(4, occurrence_kmers(words[word_ends[n] - counts[n] : word_ends[n]], 2)))
+        keys[i] = np.concatenate(own)
+    return keys
+
+
+def keys_of(words: np.ndarray, k: int = K, sketches: int = SKETCHES) -> np.ndarray:
+    """The keys of one text."""
+    return keys_of_texts(words, np.array([len(words)]), k, sketches)[0]
 
 
 def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -185,9 +244,9 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     return edits_within(a, b, most) <= most
 
 
-def word_bag(words: np.ndarray) -> bytes:
-    """How many words fall on each of ``BAG`` counters, up to 255."""
-    return np.minimum(np.bincount((words % np.uint64(BAG)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes()
+def word_bag(words: np.ndarray, counters: int = BAG) -> bytes:
+    """How many words fall on each counter, up to 255."""
+    return np.minimum(np.bincount((words % np.uint64(counters)).astype(np.int64), minlength=counters), 255).astype(np.uint8).tobytes()
 
 
 def may_be_alike(roots: np.ndarray, blocks: np.ndarray, lengths: np.ndarray, bags: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -215,33 +274,110 @@ def may_be_alike(roots: np.ndarray, blocks: np.ndarray, lengths: np.ndarray, bag
     return np.concatenate(left), np.concatenate(right)
 
 
-def pairs_left(met: DataFrame, roots: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of all pairs within a key that have different roots and may be alike.
+def candidates_within(ids: np.ndarray, roots: np.ndarray, blocks: np.ndarray, words: list[np.ndarray], similarity: float) -> pd.DataFrame:
+    """(a, b): pairs of texts of different groups that the bounds leave; across two blocks, if there are two."""
+    lengths = np.array([len(w) for w in words])
+    fine = np.stack([np.frombuffer(word_bag(w, BAG * FINE), np.uint8) for w in words])
+    coarse = np.minimum(fine.reshape(len(words), FINE, BAG).sum(axis=1), 255).astype(np.uint8)
+    left, right = may_be_alike(roots, blocks, lengths, coarse, similarity)
+    most = (np.maximum(lengths[left], lengths[right]) * (1 - similarity) + 1e-9).astype(np.int64)
+    good = np.zeros(len(left), dtype=bool)
+    for at in range(0, len(left), 16_384):
+        some = slice(at, at + 16_384)
+        gap = fine[left[some]].astype(np.int16) - fine[right[some]]
+        good[some] = (np.abs(gap).sum(axis=1, dtype=np.int64) + np.abs(gap.sum(axis=1, dtype=np.int64))) // 2 <= most[some]
+    a, b = ids[left[good]], ids[right[good]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def rare_words(texts: DataFrame, similarity: float) -> DataFrame:
+    """(id, key): the rarest words of each text, so many that alike texts have one in common.
+
+    Alike texts of n words differ in (1 - similarity) n of them at most, so that of one more,
+    the first in any order of all words, one is in both. Words count with their occurrence in
+    the text; the order is by frequency among these texts, as far as the ``FREQUENT`` most
+    frequent ones tell it, and by hash.
+    """
+
+    def own(words: bytes) -> np.ndarray:
+        return occurrence_kmers(np.frombuffer(words, np.uint32).astype(np.uint64), 1)
 
-    ``met`` has (id, key, n) with the n texts of each key, ``bags`` (id, n_words, bag).
-    Keys of the same texts are taken once. A key of many texts is cut into blocks that
-    meet pairwise, each two in one row, so that no row and no task holds the whole key.
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                word, n = np.unique(np.concatenate([own(w) for w in frame["words"]]), return_counts=True)
+                yield pd.DataFrame({"word": word.view(np.int64), "n": n})
+
+    counts = texts.select("words").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow().sort_by("word")
+    shared = texts.sparkSession.sparkContext.broadcast((top["word"].to_numpy(), top["n"].to_numpy()))
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, often = shared.value
+        for frame in frames:
+            ids, keys = [], []
+            for i, words in zip(frame["id"], frame["words"]):
+                labelled = own(words).view(np.int64)
+                at = np.minimum(np.searchsorted(known, labelled), max(len(known) - 1, 0))
+                n = np.where(known[at] == labelled, often[at], 0) if len(known) else np.zeros(len(labelled), np.int64)
+                first = np.lexsort((labelled, n))[: int(len(labelled) * (1 - similarity) + 1e-9) + 1]
+                keys.append(labelled[first])
+                ids.append(np.full(len(first), i))
+            if ids:
+                yield pd.DataFrame({"id": np.concatenate(ids), "key": np.concatenate(keys)})
+
+    return texts.select("id", "words").mapInPandas(pick, "id long, key long")
+
+
+def open_groups(met: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, key, root, n, n_words) of the keys of ``met`` (id, key) whose texts are of several groups,
+    with the texts and words of the key. Keys of the same texts are taken once."""
+    crowd = met.join(sizes, "id").join(roots, "id", "left").select("id", "key", "n_words", F.coalesce("root", "id").alias("root"))
+    keys = crowd.groupBy("key").agg(
+        F.min("root").alias("_low"), F.max("root").alias("_high"), F.bit_xor(F.xxhash64("id")).alias("_who"), F.count("*").alias("n"), F.sum("n_words").alias("_words")
+    )
+    keys = keys.where(F.col("_low") < F.col("_high")).groupBy("_who", "n", "_words").agg(F.min("key").alias("key"))
+    return crowd.select("id", "key", "root").join(keys.select("key", "n", F.col("_words").alias("n_words")), "key")
+
+
+def candidates_left(met: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of texts of one key that are of different groups and may be alike.
+
+    ``met`` has (id, key), ``texts`` (id, n_words, words). A key of up to ``BLOCK`` texts is
+    one cell. The texts of larger ones meet by their rarest words; where many share even
+    such a word, they are cut into blocks that meet pairwise, each two in one cell, so that no
+    task holds them all. Cells are read one after the other.
     """
-    crowd = met.where(F.col("n") > 2).join(roots, "id", "left").select("id", "key", "n", F.coalesce("root", "id").alias("root"))
-    open_keys = crowd.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.bit_xor(F.xxhash64("id")).alias("_who"), F.first("n").alias("_n"))
-    open_keys = open_keys.where(F.col("_low") < F.col("_high")).groupBy("_who", "_n").agg(F.min("key").alias("key")).select("key")
-    last = F.ceil(F.col("n") / BLOCK).cast("int") - 1
-    cut = crowd.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), last + 1).cast("int"))
-    dealt = cut.select("*", F.explode(F.sequence(F.lit(0), last)).alias("other")).join(bags, "id")
-    unit = ["key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    units = dealt.groupBy(*unit).agg(F.collect_list(F.struct("id", "root", "block", "n_words", "bag")).alias("m"))
-    units = units.select(*[F.col(f"m.{c}").alias(c) for c in ("id", "root", "block", "n_words", "bag")])
+    sizes = texts.select("id", "n_words")
+    first = stored(open_groups(met, roots, sizes), "open")
+    small = (F.col("n") <= BLOCK) & (F.col("n_words") <= BLOCK_WORDS)
+    crowded = first.where(~small).select("id").distinct()
+    rare = rare_words(texts.join(crowded, "id", "left_semi"), similarity)
+    both = first.where(small).unionByName(open_groups(rare, roots, sizes))
+    last = (F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n_words") / BLOCK_WORDS)) - 1).cast("int")
+    cut = both.select("key", "id", "root", last.alias("last"), F.pmod(F.xxhash64("id", "key"), last + 1).cast("int").alias("block"))
+    dealt = cut.select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    cells = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block").join(texts.select("id", "words"), "id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        cell = None
+
+        def done() -> Iterator[pd.DataFrame]:
+            if len(held) > 1:
+                ids, roots, blocks = (np.array([h[c] for h in held], dtype=np.int64) for c in range(3))
+                yield candidates_within(ids, roots, blocks, [np.frombuffer(h[3], np.uint32) for h in held], similarity)
+
         for frame in frames:
-            for ids, root, block, n_words, bag in zip(*(frame[c] for c in ("id", "root", "block", "n_words", "bag"))):
-                ids, root, block, n_words = (np.asarray(x, dtype=np.int64) for x in (ids, root, block, n_words))
-                bag = np.frombuffer(b"".join(bag), dtype=np.uint8).reshape(len(ids), BAG)
-                i, j = may_be_alike(root, block, n_words, bag, similarity)
-                if len(i):
-                    yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+            for key, i, j, *rest in zip(*(frame[c] for c in ("key", "i", "j", "id", "root", "block", "words"))):
+                if (key, i, j) != cell:
+                    yield from done()
+                    cell, held = (key, i, j), []
+                held.append(rest)
+        yield from done()
 
-    return units.mapInPandas(run, "a long, b long").distinct()
+    ordered = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return ordered.mapInPandas(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -271,6 +407,17 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after more links; what is not in ``roots`` is a group of its own."""
+    side = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
+    named = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    named = named.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b").distinct()
+    further = components(stored(named, "merges"))
+    moved = roots.join(further.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left")
+    moved = moved.select("id", F.coalesce("to", "root").alias("root"))
+    return stored(moved.unionByName(further.join(roots, "id", "left_anti")), "roots")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
     """(_key, doc_id, class_key, n_links) per row of ``docs``; rows of one class are near-duplicates.
 
@@ -284,8 +431,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Alike texts end in different classes only if none of the keys, and no other text, brings
     them together. Each text gives a bounded number of keys, and minima and maxima of a key
-    are combined before the shuffle. The work beyond that grows with the pairs within a key
-    that are of different classes.
+    are combined before the shuffle. The first rounds compare a text with one other per key
+    at most. The last ones work on keys whose texts are of several classes; there the bounds
+    are tested for the pairs of up to ``BLOCK`` texts, or of texts that share a rare word.
     """
 
     def own_words(texts: list[str]) -> list[np.ndarray]:
@@ -294,10 +442,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in text_batches(frames, "text", BATCH):
-            same, keys = [], []
-            for w, h in zip(own_words(part["text"].tolist()), part["same"]):
-                same.append(sequence_hash(w) if len(w) else int(h))
-                keys.append(keys_of(w, k, sketches).view(np.int64) if len(w) else np.zeros(0, np.int64))
+            hashes, counts = word_hashes(part["text"].tolist(), ALNUM)
+            words = np.split(hashes, np.cumsum(counts)[:-1])
+            same = [sequence_hash(w) if len(w) else int(h) for w, h in zip(words, part["same"])]
+            keys = [x.view(np.int64) for x in keys_of_texts(hashes, counts, k, sketches)]
             yield part[["_key", "doc_id"]].assign(same=same, keys=keys)
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -308,18 +456,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ends = dealt.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where(F.col("low") < F.col("high"))
     met = stored(dealt.join(ends.select("key", "low", "n"), "key"), "meetings")
     meets = met.where(F.col("id") != F.col("low"))
-    pairs = stored(meets.select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct()
+    pairs = stored(meets.groupBy("id").agg(F.min("low").alias("a")).select("a", F.col("id").alias("b")), "pairs")
+    involved = met.select(F.col("id").alias("same")).distinct()
     reps = made.groupBy("same").agg(F.min("_key").alias("_key")).join(involved, "same")
 
     def words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in text_batches(frames, "text", BATCH):
             words = own_words(part["text"].tolist())
-            coded, bags = [w.astype(np.uint32).tobytes() for w in words], [word_bag(w) for w in words]
-            yield pd.DataFrame({"id": part["id"], "n_words": [len(w) for w in words], "bag": bags, "words": coded})
+            yield pd.DataFrame({"id": part["id"], "n_words": [len(w) for w in words], "words": [w.astype(np.uint32).tobytes() for w in words]})
 
     fetched = keyed.select("_key", "text").join(reps.withColumnRenamed("same", "id"), "_key").select("id", "text")
-    texts = stored(fetched.mapInPandas(words_of, "id long, n_words long, bag binary, words binary").dropDuplicates(["id"]), "words")
+    texts = stored(fetched.mapInPandas(words_of, "id long, n_words long, words binary").dropDuplicates(["id"]), "words")
+
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             good = [alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for x, y in zip(frame["left"], frame["right"])]
@@ -332,11 +480,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     links = verified(pairs)
     roots = components(links)
-    left = pairs_left(met, roots, texts.select("id", "n_words", "bag"), similarity)
-    more = verified(stored(left.join(pairs, ["a", "b"], "left_anti"), "pairs-left"))
-    if more.limit(1).count():
-        links = links.unionByName(more)
-        roots = components(links)
+    side = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
+    others = meets.select(F.col("low").alias("a"), F.col("id").alias("b")).distinct().join(side("a"), "a", "left").join(side("b"), "b", "left")
+    others = others.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    second = verified(stored(others, "pairs"))
+    roots = merged(roots, second)
+    links = links.unionByName(second)
+    left = candidates_left(met.where("n > 2").select("id", "key"), roots, texts, similarity)
+    left, take = left.join(pairs.unionByName(others), ["a", "b"], "left_anti"), FIRST
+    while True:
+        named = stored(left, "left").join(side("a"), "a", "left").join(side("b"), "b", "left")
+        named = named.select("a", "b", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root")).where("a_root <> b_root")
+        groups = named.select("a", "b", F.least("a_root", "b_root").alias("low"), F.greatest("a_root", "b_root").alias("high"))
+        ranked = stored(groups.withColumn("rank", F.row_number().over(Window.partitionBy("low", "high").orderBy("a", "b"))), "ranked")
+        if not ranked.limit(1).count():
+            break
+        more = verified(ranked.where(F.col("rank") <= take).select("a", "b"))
+        links, roots = links.unionByName(more), merged(roots, more)
+        left, take = ranked.where(F.col("rank") > take).select("a", "b"), take * MORE
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     linked = roots.join(degree, "id").withColumnRenamed("id", "same")
     rooted = made.select("_key", "doc_id", "same").join(linked, "same", "left")
@@ -347,10 +508,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest (id, hash) key; all columns stay."""
-    found = near_duplicates(docs, doc_id, text, **options).where(F.col("_key") == F.col("class_key")).select(F.col("_key").alias("_kept")).distinct()
-    key = F.to_json(row_key(doc_id, text))
-    # Repeated rows share a key and lie in one partition after the join.
-    return docs.join(found, key == F.col("_kept")).dropDuplicates(["_kept"]).select(*[docs[c] for c in docs.columns])
+    found = near_duplicates(docs, doc_id, text, **options)
+    kept = found.where(F.col("_key") == F.col("class_key")).select(F.col("_key").alias("key")).distinct()
+    # Columns travel in a struct, so that no name of theirs can clash. Repeated rows share a
+    # key and lie in one partition after the join.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.to_json(row_key(doc_id, text)).alias("key"))
+    return rows.join(kept, "key").dropDuplicates(["key"]).select("row.*")
 
 
 def op2_order_minhash(spark, sf_dir):

@@ -165,7 +165,7 @@ def test_candidates_at_the_least_similarity():
         bases = [[fresh() for _ in range(n)] for _ in range(300)]
         assert sum(met(a, with_edits(rng, a, n // 5, fresh)) for a in bases) >= 0.98 * 300
         regular = sum(met(a, [fresh() if i % 5 == 4 else w for i, w in enumerate(a)]) for a in bases)
-        assert regular >= 0.7 * 300
+        assert regular >= 0.9 * 300
         assert not any(met(a, b) for a, b in zip(bases, bases[1:]))
 
 
