@@ -30,19 +30,30 @@ END = 2  # the id behind each document
 SENTENCE = 16
 INSIDE = 64
 SEQUENCE = 1
+APART = 16  # sentence ends this close behind another place are not tried
 STEP = 16  # distance of the places inside a sentence, where sentences are longer
 BLOCK = 1_000_000  # tokens that are planned at a time
 OPEN = 8  # windows at the end of a block that are planned anew with the next
 CACHED_UNITS = 1_000_000
 BATCH = 2_000_000  # characters at a time
 TOGETHER = 1024
-_ENDS = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
+_ENDS = tuple(c.encode() for c in ".!?…。！？")
+_CLOSING = "\"'”’»)]"
 _SPACES = bytes.maketrans(b"\n\r\t", b"   ")
 _LOWER = bytes.maketrans(b"\n\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"   abcdefghijklmnopqrstuvwxyz")
 # A single sign behind a letter and before a space is a token of its own.
 _SIGN = re.compile(rb"(?<=[a-z])([.,;:!?])(?= )")
 
 
+# The last bytes of closing signs.
+_CLOSED = frozenset(c.encode()[-1:] for c in _CLOSING)
+
+
+def ends_sentence(unit: bytes) -> bool:
+    """Whether a unit ends with a sentence's last sign, closing quotes and brackets aside."""
+    return unit.decode().rstrip(_CLOSING).encode().endswith(_ENDS)
+
+
 class _Units(dict):
     """Numbers for units; new ones are noted."""
 
@@ -103,15 +114,16 @@ class WordCoder:
     def _learn(self, units: list[bytes]) -> None:
         """Encode new units, many in one string with marks between them."""
         flat, sizes = [self.flat], []
+        number, content = self.mark or (None, b"")
         for at in range(0, len(units), TOGETHER):
             some = units[at : at + TOGETHER]
-            if self.mark is None or any(b"<" in u for u in some):
+            if self.mark is None or b"<" in b"".join(some):
                 ids = [np.array(self._alone(u), dtype="<u4") for u in some]
                 sizes.append(np.array([len(i) for i in ids], dtype=np.int64))
                 flat += ids
                 continue
-            number, content = self.mark
-            ids = np.array(self._alone(content.join(some)), dtype="<u4")
+            # The fast form keeps no offsets.
+            ids = np.array(self.tokenizer.encode_batch_fast([content.join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
             marks = np.flatnonzero(ids == number)
             sizes.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
             flat.append(ids[ids != number])
@@ -120,7 +132,8 @@ class WordCoder:
         self.flat = np.concatenate(flat).astype("<u4")
         self.sizes = np.concatenate([self.sizes, sizes])
         self.used = np.concatenate([self.used, np.zeros(len(sizes), dtype=np.int64)])
-        self.ends = np.concatenate([self.ends, np.array([bool(_ENDS.search(u.decode())) for u in units])])
+        ends = [u.endswith(_ENDS) or (u[-1:] in _CLOSED and ends_sentence(u)) for u in units]
+        self.ends = np.concatenate([self.ends, np.array(ends, dtype=bool)])
 
     def _trim(self) -> None:
         """Keep the more used half of a full cache."""
@@ -174,11 +187,16 @@ def coder_of(definition: str, end: int) -> WordCoder:
 def places(total: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
     """Where cuts may lie, from 0 to ``total``, and their prices.
 
-    Long stretches without an end get places inside; if nothing follows (``last``), all
-    places of the last window do, so that the rest can be cut into powers of two.
+    Of sentence ends close to each other one is taken. Long stretches without an end get
+    places inside; if nothing follows (``last``), all places of the last window do, so that
+    the rest can be cut into powers of two.
     """
     price = np.full(total + 1, -1, dtype=np.int32)
-    price[sentence_ends[(sentence_ends > 0) & (sentence_ends < total)]] = SENTENCE
+    inner = sentence_ends[(sentence_ends > 0) & (sentence_ends < total)]
+    grain = min(APART, max(1, window // 4))
+    if len(inner):
+        # The first end of each stretch of so many tokens.
+        price[inner[np.diff(inner // grain, prepend=-1) > 0]] = SENTENCE
     price[doc_ends[(doc_ends > 0) & (doc_ends < total)]] = 0
     price[0] = price[total] = 0
     known = np.flatnonzero(price >= 0)
