@@ -11,6 +11,7 @@ from sourceloom.operators.fragments import call_edges_of, read_sources
 from sourceloom.operators.graph import new_edges
 from sourceloom.operators.incremental import changed_files, with_hash
 from sourceloom.sources.files import JAVA, scan_files
+from sourceloom.sources.listing import can_list, list_files, qualified, read_files
 from sourceloom.sources.store import CorpusStore
 
 
@@ -35,6 +36,7 @@ def index_files(
     full_rescan: bool = False,
     with_graph: bool = True,
     distinct_texts: bool = False,
+    discovered: int | None = None,
 ) -> int:
     """Index (file_path, content) rows and return the run number.
 
@@ -42,6 +44,7 @@ def index_files(
     back from what was written, so they describe the same bytes as the fragments, and
     the run becomes visible, hashes included, when its log row is written last. Rows
     without a path cannot be told apart or found again; they are not files and not counted.
+    ``discovered`` is their number, where the caller knows it.
     """
     files = files.where(F.col("file_path").isNotNull())
     encoder = encoder or HashingEncoder()
@@ -58,7 +61,8 @@ def index_files(
     found = call_edges_of(written if with_graph else written.limit(0))
     store.write_run("call_edges", run, new_edges(store.call_edges(), found) if known else found)
 
-    discovered = files.select("file_path").count()
+    if discovered is None:
+        discovered = files.select("file_path").count()
     processed = written.count()
     store.commit(
         run,
@@ -81,6 +85,10 @@ def index_folder(
     distinct_texts: bool = False,
     suffix: str = JAVA,
 ) -> int:
-    """Index all files with the suffix below a folder."""
-    files = scan_files(store.spark, root, suffix)
-    return index_files(files, store, encoder, full_rescan, with_graph, distinct_texts)
+    """Index all files with the suffix below a folder, hidden and empty ones too."""
+    listed = None
+    if can_list(qualified(store.spark, root)):
+        listed = list_files(store.spark, root, suffix)
+    files = read_files(listed) if listed is not None else scan_files(store.spark, root, suffix)
+    found = listed.count() if listed is not None else None
+    return index_files(files, store, encoder, full_rescan, with_graph, distinct_texts, found)

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql.types import (
     ArrayType,
-    BinaryType,
     FloatType,
     IntegerType,
     LongType,
     StringType,
     StructField,
     StructType,
-    TimestampType,
 )
 
 RUN = StructField("run", IntegerType())
@@ -51,11 +49,12 @@ RUNS = StructType(
     ]
 )
 
-BINARY_FILES = StructType(
+# What a stream has seen: one row per file, size and time of change.
+SEEN_FILES = StructType(
     [
-        StructField("path", StringType()),
-        StructField("modificationTime", TimestampType()),
-        StructField("length", LongType()),
-        StructField("content", BinaryType()),
+        StructField("file_path", StringType()),
+        StructField("size", LongType()),
+        StructField("modified", LongType()),
+        StructField("listing", LongType()),
     ]
 )

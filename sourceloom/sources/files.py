@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.schemas import BINARY_FILES
+from sourceloom.sources.listing import can_list, list_files, qualified, read_files
 
 JAVA = ".java"
 
@@ -26,7 +28,15 @@ def local_path(path: Column) -> Column:
 
 
 def scan_files(spark: SparkSession, root: str, suffix: str = JAVA) -> DataFrame:
-    """All files below root with the suffix, in any case."""
+    """All files below root with the suffix, in any case, hidden and empty ones too.
+
+    Folders are listed and files read in tasks, where these can open the file system. Where
+    they cannot, Spark's own reader stands in, which passes over empty files and over names
+    that start with ``_`` or ``.``; a warning says so.
+    """
+    if can_list(qualified(spark, root)):
+        return read_files(list_files(spark, root, suffix))
+    warnings.warn(f"hidden and empty files below {root} are not seen", stacklevel=2)
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -36,21 +46,6 @@ def scan_files(spark: SparkSession, root: str, suffix: str = JAVA) -> DataFrame:
     return found.select(local_path(F.col("path")).alias("file_path"), "content")
 
 
-def stream_files(
-    spark: SparkSession, root: str, suffix: str = JAVA, max_files_per_batch: int | None = None
-) -> DataFrame:
-    """The same scan as a stream of newly arriving files."""
-    reader = (
-        spark.readStream.format("binaryFile")
-        .schema(BINARY_FILES)
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", any_case_glob(suffix))
-    )
-    if max_files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
-    return reader.load(root).select(local_path(F.col("path")).alias("file_path"), "content")
-
-
 def files_from_table(table: DataFrame, path: Column, text: Column, suffix: str = JAVA) -> DataFrame:
     """Source files that already sit in a table, one per row."""
     files = table.select(path.alias("file_path"), text.cast("binary").alias("content"))
