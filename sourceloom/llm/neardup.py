@@ -38,11 +38,10 @@ SHORT_K = 3
 SHORT_WORDS = 34  # texts up to this length are met by each of their shorter k-mers
 TINY_WORDS = 5
 FEW = 40  # edits up to which diagonals are followed
+CROWD = 128  # texts of a key that are compared with each other; more meet by rare words
 BLOCK = 512  # texts that one task compares with as many others
-BLOCK_WORDS = 4_000_000  # and the words they have
 FREQUENT = 100_000  # words whose frequency counts; all others are taken to be rarer
 BAG = 256  # counters of a bag of words
-FINE = 4  # times as many are used where the first bound is met
 FIRST = 2  # pairs of two groups that are aligned in the first round, and by how much
 MORE = 8  # more in each later one
 BATCH = 500_000
@@ -244,9 +243,9 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     return edits_within(a, b, most) <= most
 
 
-def word_bag(words: np.ndarray, counters: int = BAG) -> bytes:
-    """How many words fall on each counter, up to 255."""
-    return np.minimum(np.bincount((words % np.uint64(counters)).astype(np.int64), minlength=counters), 255).astype(np.uint8).tobytes()
+def word_bag(words: np.ndarray) -> bytes:
+    """How many words fall on each of ``BAG`` counters, up to 255."""
+    return np.minimum(np.bincount((words % np.uint64(BAG)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes()
 
 
 def may_be_alike(roots: np.ndarray, blocks: np.ndarray, lengths: np.ndarray, bags: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -274,22 +273,6 @@ def may_be_alike(roots: np.ndarray, blocks: np.ndarray, lengths: np.ndarray, bag
     return np.concatenate(left), np.concatenate(right)
 
 
-def candidates_within(ids: np.ndarray, roots: np.ndarray, blocks: np.ndarray, words: list[np.ndarray], similarity: float) -> pd.DataFrame:
-    """(a, b): pairs of texts of different groups that the bounds leave; across two blocks, if there are two."""
-    lengths = np.array([len(w) for w in words])
-    fine = np.stack([np.frombuffer(word_bag(w, BAG * FINE), np.uint8) for w in words])
-    coarse = np.minimum(fine.reshape(len(words), FINE, BAG).sum(axis=1), 255).astype(np.uint8)
-    left, right = may_be_alike(roots, blocks, lengths, coarse, similarity)
-    most = (np.maximum(lengths[left], lengths[right]) * (1 - similarity) + 1e-9).astype(np.int64)
-    good = np.zeros(len(left), dtype=bool)
-    for at in range(0, len(left), 16_384):
-        some = slice(at, at + 16_384)
-        gap = fine[left[some]].astype(np.int16) - fine[right[some]]
-        good[some] = (np.abs(gap).sum(axis=1, dtype=np.int64) + np.abs(gap.sum(axis=1, dtype=np.int64))) // 2 <= most[some]
-    a, b = ids[left[good]], ids[right[good]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
 def rare_words(texts: DataFrame, similarity: float) -> DataFrame:
     """(id, key): the rarest words of each text, so many that alike texts have one in common.
 
@@ -329,35 +312,34 @@ def rare_words(texts: DataFrame, similarity: float) -> DataFrame:
     return texts.select("id", "words").mapInPandas(pick, "id long, key long")
 
 
-def open_groups(met: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(id, key, root, n, n_words) of the keys of ``met`` (id, key) whose texts are of several groups,
-    with the texts and words of the key. Keys of the same texts are taken once."""
-    crowd = met.join(sizes, "id").join(roots, "id", "left").select("id", "key", "n_words", F.coalesce("root", "id").alias("root"))
+def open_groups(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, key, root, n) of the keys of ``met`` (id, key) whose texts are of several groups, with
+    the texts of the key. Keys of the same texts are taken once."""
+    crowd = met.join(roots, "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
     keys = crowd.groupBy("key").agg(
-        F.min("root").alias("_low"), F.max("root").alias("_high"), F.bit_xor(F.xxhash64("id")).alias("_who"), F.count("*").alias("n"), F.sum("n_words").alias("_words")
+        F.min("root").alias("_low"), F.max("root").alias("_high"), F.bit_xor(F.xxhash64("id")).alias("_who"), F.count("*").alias("n")
     )
-    keys = keys.where(F.col("_low") < F.col("_high")).groupBy("_who", "n", "_words").agg(F.min("key").alias("key"))
-    return crowd.select("id", "key", "root").join(keys.select("key", "n", F.col("_words").alias("n_words")), "key")
+    keys = keys.where(F.col("_low") < F.col("_high")).groupBy("_who", "n").agg(F.min("key").alias("key"))
+    return crowd.join(keys.select("key", "n"), "key")
 
 
 def candidates_left(met: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs of texts of one key that are of different groups and may be alike.
 
-    ``met`` has (id, key), ``texts`` (id, n_words, words). A key of up to ``BLOCK`` texts is
+    ``met`` has (id, key), ``texts`` (id, n_words, bag, words). A key of up to ``CROWD`` texts is
     one cell. The texts of larger ones meet by their rarest words; where many share even
     such a word, they are cut into blocks that meet pairwise, each two in one cell, so that no
-    task holds them all. Cells are read one after the other.
+    task holds them all. Cells are read one after the other; bags travel, words do not.
     """
-    sizes = texts.select("id", "n_words")
-    first = stored(open_groups(met, roots, sizes), "open")
-    small = (F.col("n") <= BLOCK) & (F.col("n_words") <= BLOCK_WORDS)
+    first = stored(open_groups(met, roots), "open")
+    small = F.col("n") <= CROWD
     crowded = first.where(~small).select("id").distinct()
     rare = rare_words(texts.join(crowded, "id", "left_semi"), similarity)
-    both = first.where(small).unionByName(open_groups(rare, roots, sizes))
-    last = (F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n_words") / BLOCK_WORDS)) - 1).cast("int")
+    both = first.where(small).unionByName(open_groups(rare, roots))
+    last = F.ceil(F.col("n") / BLOCK).cast("int") - 1
     cut = both.select("key", "id", "root", last.alias("last"), F.pmod(F.xxhash64("id", "key"), last + 1).cast("int").alias("block"))
     dealt = cut.select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
-    cells = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block").join(texts.select("id", "words"), "id")
+    cells = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block").join(texts.select("id", "n_words", "bag"), "id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
@@ -365,11 +347,13 @@ def candidates_left(met: DataFrame, roots: DataFrame, texts: DataFrame, similari
 
         def done() -> Iterator[pd.DataFrame]:
             if len(held) > 1:
-                ids, roots, blocks = (np.array([h[c] for h in held], dtype=np.int64) for c in range(3))
-                yield candidates_within(ids, roots, blocks, [np.frombuffer(h[3], np.uint32) for h in held], similarity)
+                ids, roots, blocks, lengths = (np.array([h[c] for h in held], dtype=np.int64) for c in range(4))
+                bags = np.frombuffer(b"".join(h[4] for h in held), dtype=np.uint8).reshape(len(held), BAG)
+                left, right = may_be_alike(roots, blocks, lengths, bags, similarity)
+                yield pd.DataFrame({"a": np.minimum(ids[left], ids[right]), "b": np.maximum(ids[left], ids[right])})
 
         for frame in frames:
-            for key, i, j, *rest in zip(*(frame[c] for c in ("key", "i", "j", "id", "root", "block", "words"))):
+            for key, i, j, *rest in zip(*(frame[c] for c in ("key", "i", "j", "id", "root", "block", "n_words", "bag"))):
                 if (key, i, j) != cell:
                     yield from done()
                     cell, held = (key, i, j), []
@@ -433,7 +417,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     them together. Each text gives a bounded number of keys, and minima and maxima of a key
     are combined before the shuffle. The first rounds compare a text with one other per key
     at most. The last ones work on keys whose texts are of several classes; there the bounds
-    are tested for the pairs of up to ``BLOCK`` texts, or of texts that share a rare word.
+    are tested for the pairs of up to ``CROWD`` texts, or of texts that share a rare word.
     """
 
     def own_words(texts: list[str]) -> list[np.ndarray]:
@@ -463,10 +447,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in text_batches(frames, "text", BATCH):
             words = own_words(part["text"].tolist())
-            yield pd.DataFrame({"id": part["id"], "n_words": [len(w) for w in words], "words": [w.astype(np.uint32).tobytes() for w in words]})
+            coded, bags = [w.astype(np.uint32) for w in words], [word_bag(w) for w in words]
+            yield pd.DataFrame({"id": part["id"], "n_words": [len(w) for w in words], "bag": bags, "words": [w.tobytes() for w in coded]})
 
     fetched = keyed.select("_key", "text").join(reps.withColumnRenamed("same", "id"), "_key").select("id", "text")
-    texts = stored(fetched.mapInPandas(words_of, "id long, n_words long, words binary").dropDuplicates(["id"]), "words")
+    texts = stored(fetched.mapInPandas(words_of, "id long, n_words long, bag binary, words binary").dropDuplicates(["id"]), "words")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

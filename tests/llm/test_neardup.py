@@ -93,6 +93,7 @@ def test_rare_words_bring_alike_texts_together(spark):
 
 def test_crowded_keys_lose_no_link(spark, monkeypatch):
     """Close copies in a family of one template, all keys of which are taken as crowded."""
+    monkeypatch.setattr(neardup, "CROWD", 5)
     monkeypatch.setattr(neardup, "BLOCK", 5)
     rows = templates(60)
     rng = random.Random(8)
