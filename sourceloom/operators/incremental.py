@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.operators.sizing import BROADCAST_ROWS, at_most, broadcast_if_small
+from sourceloom.operators.keyfilter import might_match
+from sourceloom.operators.sizing import BROADCAST_ROWS, at_most
 from sourceloom.session import cut_lineage
 
 
@@ -18,22 +19,29 @@ def changed_files(
     state: DataFrame,
     full_rescan: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Files whose (path, hash) is not in the state; all of them on a full rescan.
 
     ``files`` may carry wide columns, so they are kept out of shuffles where possible:
     a small state is broadcast; beside a large one the anti join runs on paths and
     hashes alone, and if few files changed their paths are broadcast to pick up the
-    rest. Only a large change of a large corpus shuffles whole rows. Sizes are measured
-    in rows and bytes, of the state itself and not of the versions it was made from.
+    rest. If many changed, a filter of their keys drops the others in the scan, and only
+    changed contents move. ``small`` tells whether the state may be broadcast; where it is
+    not known, the state is written once and measured, in rows and bytes.
     """
     if full_rescan:
         return files
     keys = ["file_path", "hash"]
-    if at_most(state, broadcast_rows):
+    if small is None:
+        state = cut_lineage(state)
+        small = at_most(state, broadcast_rows)
+    if small:
         return files.join(F.broadcast(state), keys, "left_anti")
     changed = cut_lineage(files.select(*keys).join(state, keys, "left_anti"))
-    return files.join(broadcast_if_small(changed, broadcast_rows), keys, "left_semi")
+    if at_most(changed, broadcast_rows):
+        return files.join(F.broadcast(changed), keys, "left_semi")
+    return might_match(files, changed, keys, changed.count()).join(changed, keys, "left_semi")
 
 
 def scan_counters(files: DataFrame, state: DataFrame, full_rescan: bool = False) -> DataFrame:

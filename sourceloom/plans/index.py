@@ -51,7 +51,9 @@ def index_files(
     last, known = store.progress()
     run = last + 1
     hashed = with_hash(files)
-    changed = changed_files(hashed, store.file_hashes(), full_rescan=full_rescan or known == 0)
+    state = store.compacted()
+    all_ = full_rescan or known == 0
+    changed = changed_files(hashed, store.file_hashes(state), all_, small=state.is_small())
     rows = source_rows(changed, encoder, distinct_texts).withColumn(
         "source_key", F.concat(F.col("file_path"), F.lit("\u0000"), F.lit(f"{run:010d}"))
     )
@@ -72,6 +74,10 @@ def index_files(
         full_rescan=int(full_rescan),
         encoder=encoder.name,
         dim=encoder.dim,
+        state=state.version,
+        state_rows=state.rows,
+        state_bytes=state.bytes,
+        delta_rows=state.delta_rows + processed,
     )
     return run
 

@@ -45,10 +45,24 @@ RUNS = StructType(
         StructField("full_rescan", IntegerType()),
         StructField("encoder", StringType()),
         StructField("dim", IntegerType()),
+        # The compacted state that the run started from, and the rows written since.
+        StructField("state", IntegerType()),
+        StructField("state_rows", LongType()),
+        StructField("state_bytes", LongType()),
+        StructField("delta_rows", LongType()),
         RUN,
     ]
 )
 
+HASH_STATE = StructType(
+    [
+        StructField("file_path", StringType()),
+        StructField("hash", StringType()),
+        StructField("run", IntegerType()),
+        StructField("v", IntegerType()),
+    ]
+)
+
 # What a stream has seen: one row per file, size and time of change.
 SEEN_FILES = StructType(
     [

@@ -4,29 +4,53 @@ A run writes its partitions first and its row in ``runs`` last. Readers only see
 up to the last such row, so a run that died half-way is invisible, and its retry takes
 the same number and overwrites what was left. Nothing older is ever rewritten: cost per
 run follows the changed files, not the size of the corpus.
+
+The current hash of each path is kept apart, in ``hash_state``: a compacted version ``v=N``,
+which holds all runs up to N, and the runs since, which are read from ``sources``. A new
+version is written when those have grown to a part of it, so that its cost is spread over
+the rows that were added. The run log points to the version, and its row is written last.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sourceloom.operators.fragments import fragments_of
 from sourceloom.operators.graph import method_nodes
-from sourceloom.schemas import CALL_EDGES, RUNS, SOURCES
+from sourceloom.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS, row_bytes
+from sourceloom.schemas import CALL_EDGES, HASH_STATE, RUNS, SOURCES
 
-TABLES: dict[str, StructType] = {"sources": SOURCES, "call_edges": CALL_EDGES, "runs": RUNS}
+TABLES: dict[str, StructType] = {"sources": SOURCES, "call_edges": CALL_EDGES, "runs": RUNS, "hash_state": HASH_STATE}
+PARTITIONED_BY = {"hash_state": "v"}
 
 # Columns looked up by value; Bloom filters let a lookup skip row groups.
 LOOKUP_COLUMNS = {"sources": ("source_key",), "call_edges": ("caller", "callee")}
+# Rows added since, as a part of the compacted hash state, at which it is written anew.
+COMPACT_AT = 0.25
+
+
+@dataclass
+class HashState:
+    """A compacted version, its rows and bytes, and the rows that later runs have added."""
+
+    version: int = 0
+    rows: int = 0
+    bytes: int = 0
+    delta_rows: int = 0
+
+    def is_small(self) -> bool:
+        return self.rows + self.delta_rows <= BROADCAST_ROWS and self.bytes + self.delta_rows * 200 <= BROADCAST_BYTES
 
 
 class CorpusStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         for name in TABLES:
-            self._empty(name).write.mode("ignore").partitionBy("run").parquet(self.path(name))
+            self._empty(name).write.mode("ignore").partitionBy(PARTITIONED_BY.get(name, "run")).parquet(self.path(name))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -66,13 +90,49 @@ class CorpusStore:
             rows = rows.join(self._latest().select("file_path", "run"), ["file_path", "run"], "left_semi")
         return rows
 
-    def _latest(self) -> DataFrame:
+    def _latest(self, after: int = 0) -> DataFrame:
+        """The newest row of each path among the runs after one."""
         newest = F.max_by(F.struct("hash", "run"), "run").alias("newest")
-        return self._committed("sources").groupBy("file_path").agg(newest).select("file_path", "newest.*")
-
-    def file_hashes(self) -> DataFrame:
+        return self._committed("sources").where(F.col("run") > after).groupBy("file_path").agg(newest).select("file_path", "newest.*")
+
+    def state(self) -> HashState:
+        """The hash state as of the last run, from the run log alone."""
+        row = self.runs().orderBy(F.desc("run")).select("state", "state_rows", "state_bytes", "delta_rows").first()
+        if not row:
+            return HashState()
+        if row["delta_rows"] is None:  # a log from before there was a state
+            return HashState(delta_rows=self.progress()[1])
+        return HashState(*row)
+
+    def _hashes(self, state: HashState) -> DataFrame:
+        """(file_path, hash, run): the compacted version and, over it, what came later."""
+        if not state.version:
+            return self._latest()
+        base = self._all("hash_state").where(F.col("v") == state.version).drop("v")
+        if not state.delta_rows:
+            return base
+        later = self._latest(state.version)
+        small = F.broadcast(later) if state.delta_rows <= BROADCAST_ROWS else later
+        return base.join(small, "file_path", "left_anti").unionByName(later)
+
+    def file_hashes(self, state: HashState | None = None) -> DataFrame:
         """Current hash per path: each file's newest run wins."""
-        return self._latest().select("file_path", "hash")
+        return self._hashes(state or self.state()).select("file_path", "hash")
+
+    def compacted(self) -> HashState:
+        """The hash state for a new run: compacted up to the last run, if enough was added.
+
+        The new version counts once a run that started from it is committed.
+        """
+        state, last = self.state(), self.last_run()
+        if not last or state.delta_rows <= COMPACT_AT * state.rows:
+            return state
+        path = f"{self.path('hash_state')}/v={last}"
+        # In the order of paths, so that a look-up of some skips row groups.
+        self._hashes(state).repartitionByRange("file_path").sortWithinPartitions("file_path").write.mode("overwrite").parquet(path)
+        written = self._all("hash_state").where(F.col("v") == last).drop("v")
+        size = written.agg(F.count("*").alias("n"), F.sum(row_bytes(written)).alias("bytes")).first()
+        return HashState(last, size["n"], size["bytes"] or 0, 0)
 
     def searchable(self, latest_only: bool = False) -> DataFrame:
         """Files with at least one fragment and a vector. The width is a column of its
@@ -119,4 +179,4 @@ class CorpusStore:
     def clear(self, name: str) -> None:
         # A dynamic overwrite of no partitions would remove nothing.
         writer = self._empty(name).write.mode("overwrite").option("partitionOverwriteMode", "static")
-        writer.partitionBy("run").parquet(self.path(name))
+        writer.partitionBy(PARTITIONED_BY.get(name, "run")).parquet(self.path(name))
