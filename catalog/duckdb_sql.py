@@ -430,7 +430,10 @@ SELECT type, substr(symbol, 1, 60) AS symbol, 64 AS dims FROM (
   SELECT * FROM fragments ORDER BY file_path, type, symbol LIMIT 25)""",
     "index_errors": f"""
 WITH {FRAGMENTS}
-SELECT 1 AS run, file_path, type, symbol FROM fragments WHERE contains(code, '@') OR length(code) % 5 = 0""",
+SELECT 1 AS run, file_path, type, symbol,
+       'ValueError: ' || CASE WHEN contains(code, '@') THEN 'not encoded'
+                              ELSE 'the model returned a vector of another width' END AS error
+FROM fragments WHERE contains(code, '@') OR length(code) % 5 = 0""",
     "index_runs": """
 SELECT 1 AS run, count(*) AS discovered, 0 AS skipped, count(*) AS processed FROM documents
 UNION ALL SELECT 2, count(*), count_if(lang <> 'de'), count_if(lang = 'de') FROM documents

@@ -69,17 +69,21 @@ class ModelEncoder:
 
     ``load`` is called once per Python worker and returns a function from a list of
     texts to a sequence of vectors. A text the model fails on, or for which it returns
-    another width than ``dim``, gets a null vector; the rest of its batch is kept.
+    another width than ``dim``, gets a null vector and the reason; the rest of its batch is kept.
     """
 
     def __init__(self, name: str, dim: int, load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]]):
         self.name, self.dim, self.load = name, dim, load
 
     def column(self, text: Column) -> Column:
+        return self.result(text)["vector"]
+
+    def result(self, text: Column) -> Column:
+        """Vector and reason of failure, in one pass of the model."""
         load, dim = self.load, self.dim
 
-        @F.pandas_udf("array<float>")
-        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.pandas_udf("vector array<float>, error string")
+        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             model = load()
 
             def vector(values) -> np.ndarray:
@@ -90,19 +94,20 @@ class ModelEncoder:
 
             def one(text: str):
                 try:
-                    return vector(model([text])[0])
-                except Exception:
-                    return None
+                    return vector(model([text])[0]), None
+                except Exception as error:
+                    return None, f"{type(error).__name__}: {error}"
 
             for batch in batches:
                 texts = batch.dropna().tolist()
                 try:
-                    vectors = [vector(v) for v in model(texts)] if texts else []
-                    if len(vectors) != len(texts):
+                    found = [(vector(v), None) for v in model(texts)] if texts else []
+                    if len(found) != len(texts):
                         raise ValueError("the model returned another number of vectors")
                 except Exception:
-                    vectors = [one(t) for t in texts]
-                found = iter(vectors)
-                yield pd.Series([None if missing else next(found) for missing in batch.isna()], dtype=object)
+                    found = [one(t) for t in texts]
+                left = iter(found)
+                rows = [(None, None) if missing else next(left) for missing in batch.isna()]
+                yield pd.DataFrame({"vector": pd.Series([v for v, _ in rows], dtype=object), "error": pd.Series([e for _, e in rows], dtype=object)})
 
         return encode(text)

@@ -48,11 +48,12 @@ def on_grid(score: Column) -> Column:
     return F.rint(score * F.lit(SCORE_GRID)) / F.lit(SCORE_GRID)
 
 
-def cosine_to(vector: Column, values: Sequence[float]) -> Column:
-    """Cosine similarity to one fixed vector, whose norm is worked out once, not per row."""
+def cosine_to(vector: Column, values: Sequence[float], length: Column | None = None) -> Column:
+    """Cosine similarity to one fixed vector, whose norm is worked out once, not per row.
+    ``length`` is the norm of the vector, where it is stored."""
     fixed = np.asarray(values, dtype=np.float32).astype(np.float64)
-    length = math.sqrt(float(fixed @ fixed))
-    score = F.try_divide(dot(vector, literal_vector(values)), norm(vector) * F.lit(length))
+    own = norm(vector) if length is None else F.coalesce(length, norm(vector))
+    score = F.try_divide(dot(vector, literal_vector(values)), own * F.lit(math.sqrt(float(fixed @ fixed))))
     return on_grid(F.coalesce(score, F.lit(0.0)))
 
 

@@ -42,28 +42,37 @@ def graph_counts(edges: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(edges: DataFrame, n: int = 10, targets: DataFrame | None = None) -> DataFrame:
+def neighbours(edges: DataFrame, n: int = 10, targets: DataFrame | None = None, by_callee: DataFrame | None = None) -> DataFrame:
     """Callers and callees per method, at most n each, first by name.
 
     ``targets`` (one column ``target``) restricts the methods looked up. One scan of
-    the edges serves both directions. A few targets become a filter that Parquet can
-    answer per row group; more are joined, and every method is cut to n neighbours
-    before its group is shuffled.
+    the edges serves both directions, unless ``by_callee`` gives those whose callees are
+    looked for apart. A few targets become a filter that Parquet can answer per row group;
+    more are joined, and every method is cut to n neighbours before its group is shuffled.
     """
     few = few_values(targets, "target") if targets is not None else None
-    if few is not None:
-        edges = edges.where(any_of(F.col("caller"), few) | any_of(F.col("callee"), few))
-    ends = edges.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("callee").alias("target"), F.lit("in").alias("side"), F.col("caller").alias("name")),
-                F.struct(F.col("caller").alias("target"), F.lit("out").alias("side"), F.col("callee").alias("name")),
+
+    def side(edges: DataFrame, target: str, name: str, kind: str) -> DataFrame:
+        if few is not None:
+            edges = edges.where(any_of(F.col(target), few))
+        return edges.select(F.col(target).alias("target"), F.lit(kind).alias("side"), F.col(name).alias("name"))
+
+    if by_callee is not None:
+        ends = side(by_callee, "callee", "caller", "in").unionByName(side(edges, "caller", "callee", "out"))
+    else:
+        if few is not None:
+            edges = edges.where(any_of(F.col("caller"), few) | any_of(F.col("callee"), few))
+        ends = edges.select(
+            F.inline(
+                F.array(
+                    F.struct(F.col("callee").alias("target"), F.lit("in").alias("side"), F.col("caller").alias("name")),
+                    F.struct(F.col("caller").alias("target"), F.lit("out").alias("side"), F.col("callee").alias("name")),
+                )
             )
         )
-    )
-    if few is not None:
-        ends = ends.where(any_of(F.col("target"), few))
-    elif targets is not None:
+        if few is not None:
+            ends = ends.where(any_of(F.col("target"), few))
+    if few is None and targets is not None:
         ends = ends.join(broadcast_if_small(targets), "target", "left_semi")
     near = top_n(ends, ["target", "side"], [F.col("name")], n)
 

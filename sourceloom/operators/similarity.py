@@ -43,7 +43,8 @@ def check_k(k: int) -> None:
 
 
 def top_k(base: DataFrame, query: Sequence[float], k: int, *tie_break: str) -> DataFrame:
-    """The k best rows for one vector, with their score in place of the vector.
+    """The k best rows for one vector, with their score in place of the vector (and of its
+    ``norm``, if that is stored beside it).
 
     The score is a JVM expression and the sort keeps k rows per task. Rows without a
     vector score null and sort last; they are dropped behind the limit, because a filter
@@ -51,8 +52,9 @@ def top_k(base: DataFrame, query: Sequence[float], k: int, *tie_break: str) -> D
     """
     check_k(k)
     vector = F.col("embedding")
-    score = F.when(is_valid(vector), cosine_to(vector, query))
-    scored = base.withColumn("score", score).drop("embedding")
+    length = F.col("norm") if "norm" in base.columns else None
+    score = F.when(is_valid(vector), cosine_to(vector, query, length))
+    scored = base.withColumn("score", score).drop("embedding", "norm")
     return scored.orderBy(F.desc("score"), *tie_break).limit(k).where(F.col("score").isNotNull())
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions.encoder import HashingEncoder
+from sourceloom.functions.vectors import norm
 from sourceloom.operators.embed import embed, embed_distinct
 from sourceloom.operators.fragments import call_edges_of, read_sources
 from sourceloom.operators.graph import new_edges
@@ -23,8 +24,9 @@ def source_rows(files: DataFrame, encoder, distinct_texts: bool = False) -> Data
     return (
         read_sources(files)
         .withColumn("_encode", F.when(F.col("n_fragments") > 0, F.col("code")))
-        .transform(attach, "_encode", encoder)
+        .transform(attach, "_encode", encoder, error="error")
         .withColumn("dims", F.coalesce(F.size("embedding"), F.lit(0)))
+        .withColumn("norm", F.when(F.col("dims") > 0, norm(F.col("embedding"))))
         .drop("_encode")
     )
 
@@ -61,7 +63,7 @@ def index_files(
 
     written = store.read_run("sources", run)
     found = call_edges_of(written if with_graph else written.limit(0))
-    store.write_run("call_edges", run, new_edges(store.call_edges(), found) if known else found)
+    store.write_edges(run, new_edges(store.call_edges(), found) if known else found)
 
     if discovered is None:
         discovered = files.select("file_path").count()

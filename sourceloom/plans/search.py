@@ -14,7 +14,7 @@ from sourceloom.operators.ranking import top_n
 from sourceloom.operators.similarity import check_k, top_k, top_k_batch
 from sourceloom.operators.sizing import any_of, at_most, broadcast_if_small, few_values
 from sourceloom.session import cut_lineage
-from sourceloom.sources.store import CorpusStore
+from sourceloom.sources.store import LISTED_PARTS, CorpusStore
 
 CONTEXT_TOP = 5
 SEARCH_NEIGHBOURS = 10
@@ -44,15 +44,15 @@ def search(
     if indexed and indexed != (encoder.name, encoder.dim):
         raise ValueError(f"the corpus is encoded with {indexed}, not {(encoder.name, encoder.dim)}")
     files = store.sources()
-    ranked = rank_fragments(store.searchable(latest_only), files, queries, k, encoder)
+    ranked = rank_fragments(store.vectors(latest_only), files, queries, k, encoder)
     hits = ranked
     if with_graph:
-        hits = cut_lineage(with_context(ranked, store.call_edges(), neighbour_limit, context_top))
+        hits = cut_lineage(with_context(ranked, store, neighbour_limit, context_top))
     return fetch_code(files, hits)
 
 
 def rank_fragments(
-    searchable: DataFrame, files: DataFrame, queries: str | DataFrame, k: int, encoder
+    vectors: DataFrame, files: DataFrame, queries: str | DataFrame, k: int, encoder
 ) -> DataFrame:
     """Top k fragments over the searchable files, without their code.
 
@@ -60,26 +60,32 @@ def rank_fragments(
     k best fragments sit in the k best files, and only those files are opened up. The
     result is narrow and read several times, so it is materialised.
     """
-    near = cut_lineage(nearest_sources(searchable, queries, k, encoder))
-    found = lookup(files.drop("code", "embedding"), near)
+    near = cut_lineage(nearest_sources(vectors, queries, k, encoder))
+    found = lookup(files.drop("code", "embedding", "norm", "error"), near)
     order = [F.desc("score"), F.col("source_key"), F.col("symbol"), F.col("type")]
-    columns = ["query_id", "rank", "score", "type", "symbol", "file_path", "source_key"]
+    columns = ["query_id", "rank", "score", "type", "symbol", "file_path", "source_key", "part"]
     return cut_lineage(top_n(fragments_of(found), ["query_id"], order, k).select(*columns))
 
 
 def fetch_code(files: DataFrame, hits: DataFrame) -> DataFrame:
     """Add the code of each hit's file."""
     code = files.select("source_key", "code")
-    return lookup(code, hits).select(*[c for c in hits.columns if c != "source_key"], "code")
+    return lookup(code, hits).select(*[c for c in hits.columns if c not in ("source_key", "part")], "code")
 
 
 def lookup(files: DataFrame, hits: DataFrame) -> DataFrame:
     """Join materialised hits to their files by key. A few keys become a filter, so that
-    Bloom filters find their rows. Hits are broadcast if they are few enough; of more, the
-    distinct keys are, and only files that were hit are shuffled to meet them."""
+    Bloom filters find their rows. Of more, the stored files that hold them do, as each hit
+    knows its ``part``: files without a hit are not opened. Hits are broadcast if they are few
+    enough; of more, the distinct keys are, and only files that were hit are shuffled to meet
+    them."""
     few = few_values(hits, "source_key")
     if few is not None:
         files = files.where(any_of(F.col("source_key"), few))
+    else:
+        parts = few_values(hits, "part", LISTED_PARTS)
+        if parts is not None:
+            files = files.where(F.col("_metadata.file_name").isin(parts))
     if at_most(hits, HIT_ROWS):
         return files.join(F.broadcast(hits), "source_key")
     if few is None:
@@ -88,10 +94,11 @@ def lookup(files: DataFrame, hits: DataFrame) -> DataFrame:
     return files.join(hits, "source_key")
 
 
-def nearest_sources(sources: DataFrame, queries: str | DataFrame, k: int, encoder) -> DataFrame:
-    """(query_id, source_key, score) of the k best files per query."""
-    spark = sources.sparkSession
-    base = sources.select(F.col("source_key").alias("key"), "embedding")
+def nearest_sources(vectors: DataFrame, queries: str | DataFrame, k: int, encoder) -> DataFrame:
+    """(query_id, source_key, part, score) of the k best files per query."""
+    spark = vectors.sparkSession
+    # The part travels behind the key, which is unique, so that it decides no tie.
+    base = vectors.select(F.concat("source_key", F.lit("\u0000"), "part").alias("key"), "embedding", "norm")
     if isinstance(queries, str):
         asked = spark.createDataFrame([(0, queries)], "query_id long, text string")
         vector = embed(asked, "text", encoder).first()["embedding"]
@@ -100,15 +107,17 @@ def nearest_sources(sources: DataFrame, queries: str | DataFrame, k: int, encode
         near = top_k(base, vector, k, "key").select(F.lit(0).cast("long").alias("query_id"), "key", "score")
     else:
         near = top_k_batch(base, embed(queries, "text", encoder), k).drop("rank")
-    return near.withColumnRenamed("key", "source_key")
+    part = F.substring_index("key", "\u0000", -1)
+    source_key = F.expr("substr(key, 1, length(key) - length(part) - 1)")
+    return near.withColumn("part", part).withColumn("source_key", source_key).drop("key")
 
 
-def with_context(hits: DataFrame, edges: DataFrame, n: int, context_top: int | None) -> DataFrame:
+def with_context(hits: DataFrame, store: CorpusStore, n: int, context_top: int | None) -> DataFrame:
     """Add callers and callees, at most n each, to the hits ranked up to context_top
     (all for None). Other hits, and hits without edges, get empty lists."""
     wanted = hits if context_top is None else hits.where(F.col("rank") <= context_top)
-    symbols = wanted.select(F.col("symbol").alias("target")).distinct()
-    near = neighbours(edges, n, symbols)
+    symbols = cut_lineage(wanted.select(F.col("symbol").alias("target")).distinct())
+    near = neighbours(store.edges_of("caller", symbols), n, symbols, store.edges_of("callee", symbols))
     empty = F.array().cast("array<string>")
     in_range = F.lit(True) if context_top is None else F.col("rank") <= context_top
     return (

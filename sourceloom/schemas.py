@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql.types import (
     ArrayType,
+    DoubleType,
     FloatType,
     IntegerType,
     LongType,
@@ -29,6 +30,8 @@ SOURCES = StructType(
         StructField("n_fragments", IntegerType()),
         StructField("dims", IntegerType()),
         StructField("embedding", ArrayType(FloatType())),
+        StructField("norm", DoubleType()),
+        StructField("error", StringType()),
         RUN,
     ]
 )
@@ -37,6 +40,17 @@ CALL_EDGES = StructType(
     [StructField("caller", StringType()), StructField("callee", StringType()), RUN]
 )
 
+# Which stored file of edges holds which names: ``side`` is the column it is ordered by.
+EDGE_FILES = StructType(
+    [
+        StructField("side", StringType()),
+        StructField("part", StringType()),
+        StructField("low", StringType()),
+        StructField("high", StringType()),
+        RUN,
+    ]
+)
+
 RUNS = StructType(
     [
         StructField("discovered", LongType()),

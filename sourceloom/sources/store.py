@@ -13,8 +13,12 @@ the rows that were added. The run log points to the version, and its row is writ
 
 from __future__ import annotations
 
+import sys
+from bisect import bisect_right
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -22,13 +26,23 @@ from pyspark.sql.types import StructType
 from sourceloom.operators.fragments import fragments_of
 from sourceloom.operators.graph import method_nodes
 from sourceloom.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS, row_bytes
-from sourceloom.schemas import CALL_EDGES, HASH_STATE, RUNS, SOURCES
+from sourceloom.schemas import CALL_EDGES, EDGE_FILES, HASH_STATE, RUNS, SOURCES
+from sourceloom.session import cut_lineage
 
 TABLES: dict[str, StructType] = {"sources": SOURCES, "call_edges": CALL_EDGES, "runs": RUNS, "hash_state": HASH_STATE}
+TABLES |= {"callee_edges": CALL_EDGES, "edge_files": EDGE_FILES}
 PARTITIONED_BY = {"hash_state": "v"}
 
+# Executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Columns looked up by value; Bloom filters let a lookup skip row groups.
-LOOKUP_COLUMNS = {"sources": ("source_key",), "call_edges": ("caller", "callee")}
+LOOKUP_COLUMNS = {"sources": ("source_key",), "call_edges": ("caller", "callee"), "callee_edges": ("caller", "callee")}
+# Edges of a stored file, which is what a look-up of many names reads or leaves; the files
+# that one may name in a filter.
+EDGE_FILE_ROWS = 1_000_000
+LISTED_PARTS = 20_000
+SIDES = {"caller": "call_edges", "callee": "callee_edges"}
 # Rows added since, as a part of the compacted hash state, at which it is written anew.
 COMPACT_AT = 0.25
 
@@ -139,17 +153,67 @@ class CorpusStore:
         own, so that the filter reaches Parquet and the vectors need not be read."""
         return self.sources(latest_only).where("n_fragments > 0 and dims > 0")
 
+    def vectors(self, latest_only: bool = False) -> DataFrame:
+        """(source_key, part, embedding, norm) of the searchable files; ``part`` is the stored
+        file that the row lies in, so that a hit knows where its code is."""
+        rows = self._committed("sources").where("n_fragments > 0 and dims > 0")
+        rows = rows.select("source_key", F.col("_metadata.file_name").alias("part"), "embedding", "norm", "file_path", "run")
+        if latest_only:
+            rows = rows.join(self._latest().select("file_path", "run"), ["file_path", "run"], "left_semi")
+        return rows.select("source_key", "part", "embedding", "norm")
+
     def fragments(self, latest_only: bool = False) -> DataFrame:
         return fragments_of(self.searchable(latest_only))
 
     def index_errors(self) -> DataFrame:
-        """Fragments left out because their text could not be encoded."""
+        """Fragments left out because their text could not be encoded, with the reason."""
         failed = self.sources().where("n_fragments > 0 and dims = 0")
-        return fragments_of(failed).select("run", "file_path", "type", "symbol")
+        return fragments_of(failed).select("run", "file_path", "type", "symbol", "error")
 
     def call_edges(self) -> DataFrame:
         return self._committed("call_edges").select("caller", "callee")
 
+    def edges_of(self, side: str, names: DataFrame) -> DataFrame:
+        """Edges whose ``side``, caller or callee, is among the names (one column ``target``).
+
+        The edges are stored twice, in the order of either side, and the run log's table of
+        files tells which can hold a name: only these are read. Names that touch more files
+        than a filter may list are joined with all.
+        """
+        table = SIDES[side]
+        if side == "callee" and not self.runs().where(F.col("state").isNull()).isEmpty():
+            table = "call_edges"  # runs from before there was a second order
+        edges = self._committed(table)
+        parts = self._parts(side, names)
+        if parts is not None:
+            edges = edges.where(F.col("_metadata.file_name").isin(parts))
+        return edges.select("caller", "callee")
+
+    def _parts(self, side: str, names: DataFrame) -> list[str] | None:
+        """The stored files that can hold one of the names; None if they are not known or too many."""
+        if not self.runs().where(F.col("state").isNull()).isEmpty():
+            return None
+        files = self._committed("edge_files").where(F.col("side") == side).select("run", "low", "high", "part").toArrow().to_pylist()
+        of_run: dict[int, list] = {}
+        for row in files:
+            of_run.setdefault(row["run"], []).append((row["low"], row["high"], row["part"]))
+        ordered = [sorted(rows) for rows in of_run.values()]
+
+        def run(frames):
+            for frame in frames:
+                found = set()
+                for name in frame["target"].dropna():
+                    for rows in ordered:
+                        # Files of a run lie one behind the other; a name may stand in several.
+                        i = bisect_right(rows, name, key=lambda r: r[0]) - 1
+                        while i >= 0 and rows[i][1] >= name:
+                            found.add(rows[i][2])
+                            i -= 1
+                yield pd.DataFrame({"part": sorted(found)})
+
+        hit = names.select("target").mapInPandas(run, "part string").distinct().limit(LISTED_PARTS + 1).toArrow()["part"].to_pylist()
+        return hit if len(hit) <= LISTED_PARTS else None
+
     def methods(self) -> DataFrame:
         return method_nodes(self.call_edges())
 
@@ -158,14 +222,28 @@ class CorpusStore:
     def run_path(self, name: str, run: int) -> str:
         return f"{self.path(name)}/run={run}"
 
-    def write_run(self, name: str, run: int, rows: DataFrame) -> None:
-        """Write one run's partition of a table; a retry of the run replaces it."""
+    def write_run(self, name: str, run: int, rows: DataFrame, max_rows: int = 0) -> None:
+        """Write one run's partition of a table, with at most ``max_rows`` in a file if given; a
+        retry of the run replaces it."""
         columns = [f.name for f in TABLES[name].fields if f.name != "run"]
-        writer = rows.select(*columns).write.mode("overwrite")
+        writer = rows.select(*columns).write.mode("overwrite").option("maxRecordsPerFile", max_rows)
         for column in LOOKUP_COLUMNS.get(name, ()):
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.parquet(self.run_path(name, run))
 
+    def write_edges(self, run: int, edges: DataFrame) -> None:
+        """Write a run's edges in both orders, and which file holds which names."""
+        edges = cut_lineage(edges.select("caller", "callee"))
+        files = None
+        for side, name in SIDES.items():
+            other = "callee" if side == "caller" else "caller"
+            ordered = edges.repartitionByRange(side, other).sortWithinPartitions(side, other)
+            self.write_run(name, run, ordered, max_rows=EDGE_FILE_ROWS)
+            held = self.read_run(name, run).select(F.col("_metadata.file_name").alias("part"), side).groupBy("part")
+            held = held.agg(F.min(side).alias("low"), F.max(side).alias("high")).withColumn("side", F.lit(side))
+            files = held if files is None else files.unionByName(held)
+        self.write_run("edge_files", run, files.coalesce(1))
+
     def read_run(self, name: str, run: int) -> DataFrame:
         """One run's partition, committed or not."""
         schema = StructType([f for f in TABLES[name].fields if f.name != "run"])
