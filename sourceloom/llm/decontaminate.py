@@ -8,6 +8,7 @@ says zero, the windows with this suffix and prefix are compared directly.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import uuid
 from collections import defaultdict
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import row_key, table, whole_text
+from sourceloom.llm.common import row_key, stored, table, whole_text
 
 WINDOW = 10
 PATTERN_BYTES = 8 << 20  # of benchmark text that one search holds
@@ -171,10 +172,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
 
         return rows.select(*columns, "text").mapInPandas(run, f"{schema}, n_words long, ranges {ranges}, items array<string>")
 
-    shards = list(pattern_shards(benchmark, item_id, item_text, shard_bytes))
-    if len(shards) == 1:
-        return one_pass(keyed, ["doc_id"], f"doc_id {kind}", shards[0])
-    passes = [one_pass(keyed, ["_key"], "_key string", s) for s in shards]
+    shards = pattern_shards(benchmark, item_id, item_text, shard_bytes)
+    first = next(shards)
+    second = next(shards, None)
+    if second is None:
+        return one_pass(keyed, ["doc_id"], f"doc_id {kind}", first)
+    # One part of the benchmark at a time: its hits are written before the next is fetched.
+    passes = [stored(one_pass(keyed, ["_key"], "_key string", s), "hits") for s in itertools.chain([first, second], shards)]
     flat = functools.reduce(DataFrame.unionByName, passes)
 
     def step(state, r):
@@ -198,16 +202,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     Null texts have no words and stay.
     """
     context = docs.sparkSession.sparkContext
-    for items in pattern_shards(benchmark, item_id, item_text, shard_bytes):
+    shards = pattern_shards(benchmark, item_id, item_text, shard_bytes)
+    first = next(shards)
+    second = next(shards, None)
+
+    def kept(shared: _Shard, batches: Iterator[pa.RecordBatch], clean: bool) -> Iterator[pa.RecordBatch]:
+        searcher = _searcher(shared, window)
+        for batch in batches:
+            told = [searcher.clean(t) is clean for t in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array(told, pa.bool_()))
+
+    if second is None:
+        shared = _Shard(context.broadcast(first))
+        return docs.mapInArrow(lambda batches: kept(shared, batches, True), docs.schema)
+    # Of more parts, each writes the keys of the texts it finds before the next is fetched.
+    found = []
+    rows = docs.select(docs[text].cast("string").alias(text))
+    for items in itertools.chain([first, second], shards):
         shared = _Shard(context.broadcast(items))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searcher = _searcher(shared, window)
-            for batch in batches:
-                yield batch.filter(pa.array([searcher.clean(t) for t in batch.column(text).to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        hit = rows.mapInArrow(lambda batches, shared=shared: kept(shared, batches, False), rows.schema)
+        found.append(stored(hit.select(F.sha2(F.col(text), 256).alias("_hit")).distinct(), "hits"))
+    hits = functools.reduce(DataFrame.unionByName, found).distinct()
+    return docs.join(hits, F.sha2(docs[text].cast("string"), 256) == hits["_hit"], "left_anti")
 
 
 def op9_benchmark_windows(spark, sf_dir):

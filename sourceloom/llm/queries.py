@@ -22,6 +22,7 @@ QUERIES = {
 
 # The others cannot be told in SQL; tests compare them with brute force.
 SQL = {
+    "op3_zip_packages": warczip.SQL,
     "op4_prefix_targets": chat.SQL,
     "op9_benchmark_windows": decontaminate.SQL,
     "op11_collocation_automata": collocations.SQL,

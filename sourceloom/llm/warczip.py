@@ -10,21 +10,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.llm.common import stored, table
-from sourceloom.session import scratch_dir
+from sourceloom.operators.sizing import broadcast_if_small
+from sourceloom.session import cut_lineage, scratch_dir
 
 ARCHIVE_BYTES = 32 << 20  # compressed records per package
 RANGE_BYTES = 4 << 20  # records read together
+SLICE_BYTES = 1 << 20  # of an archive without an index, read at a time
 DATE = "1970-01-01T00:00:00Z"  # of records whose source has none
 _MAX32 = 0xFFFFFFFF
 
@@ -43,14 +47,18 @@ def base32_sha1(data: bytes) -> str:
 # -- records ---------------------------------------------------------------------
 
 
-def record(page: str, url: str, payload: bytes | None, size: int, digest: str, refers_to: str | None) -> bytes:
-    """One compressed WARC record; a revisit has the HTTP head of the payload but not the payload."""
+def record(page: str | None, url: str, payload: bytes | None, size: int, digest: str, refers_to: str | None) -> bytes:
+    """One compressed WARC record; a revisit has the HTTP head of the payload but not the payload.
+
+    Ids are percent-encoded, so that those of any characters come back; a null id is no id.
+    """
+    named = lambda i: "<urn:page>" if i is None else f"<urn:page:{quote(i, safe='')}>"
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = head + (payload or b"")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page}>",
+        f"WARC-Record-ID: {named(page)}",
         f"WARC-Date: {DATE}",
         "WARC-Target-URI: " + re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url),
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -58,38 +66,96 @@ def record(page: str, url: str, payload: bytes | None, size: int, digest: str, r
         f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        lines.append(f"WARC-Refers-To: {named(refers_to)}")
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
     data = "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
     return packer.compress(data) + packer.flush()
 
 
-def parsed(data: bytes) -> dict:
-    """Fields of an uncompressed record; the payload is None for a revisit."""
+def parsed(data: bytes) -> dict | None:
+    """Fields of an uncompressed record; the payload is None for a revisit.
+
+    None for records of other types, which hold no page.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:])
-    http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
-    size = int(re.search(rb"(?im)^Content-Length: *(\d+)", http)[1])
-    bare = lambda name: fields[name][len("<urn:page:") : -1] if name in fields else None
-    revisit = fields["WARC-Type"] == "revisit"
+    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    fields = {name.strip().lower(): value.strip() for name, _, value in lines}
+    kind = fields.get("warc-type")
+    if kind not in ("response", "revisit"):
+        return None
+    http, _, payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")
+    told = re.search(rb"(?im)^Content-Length: *(\d+)", http)
+
+    def bare(name: str) -> str | None:
+        value = fields.get(name)
+        if value is None or value == "<urn:page>":
+            return None
+        return unquote(value[len("<urn:page:") : -1]) if value.startswith("<urn:page:") else value.strip("<>")
+
+    revisit = kind == "revisit"
     return {
-        "page": bare("WARC-Record-ID"),
-        "url": fields["WARC-Target-URI"],
-        "record_type": fields["WARC-Type"],
-        "refers_to": bare("WARC-Refers-To"),
+        "page": bare("warc-record-id"),
+        "url": fields.get("warc-target-uri"),
+        "record_type": kind,
+        "refers_to": bare("warc-refers-to"),
         "payload": None if revisit else payload,
-        "payload_bytes": size if revisit else len(payload),
-        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else base32_sha1(payload),
+        "payload_bytes": (int(told[1]) if told else None) if revisit else len(payload),
+        "payload_digest": fields.get("warc-payload-digest", "sha1:").removeprefix("sha1:") or None if revisit else base32_sha1(payload),
     }
 
 
-def members_of(data: bytes) -> Iterator[bytes]:
-    """The uncompressed records of consecutive compressed ones."""
-    while data:
-        unpacker = zlib.decompressobj(31)
-        yield unpacker.decompress(data) + unpacker.flush()
-        data = unpacker.unused_data
+def members_of(read, at: int, size: int, lengths: list[int] | None = None) -> Iterator[bytes]:
+    """The records of a range, uncompressed; ``read(offset, length)`` reads a part of the file.
+
+    With the lengths of its records the range is read at once and cut. Without, it is read in
+    slices: as compressed members one after the other, or, where it does not start like one,
+    as plain records.
+    """
+    if lengths is not None:
+        data, begin = memoryview(read(at, size)), 0
+        for length in lengths:
+            yield zlib.decompress(data[begin : begin + length], 31)
+            begin += length
+        return
+    slices = (read(at + i, min(SLICE_BYTES, size - i)) for i in range(0, size, SLICE_BYTES))
+    first = next(slices, b"")
+    whole = itertools.chain([first], slices)
+    yield from unpacked(whole) if first[:2] == b"\x1f\x8b" else plain_records(whole)
+
+
+def unpacked(slices: Iterator[bytes]) -> Iterator[bytes]:
+    """Compressed members of any size, in slices that are cut anywhere."""
+    unpacker, parts = zlib.decompressobj(31), []
+    for data in slices:
+        while data:
+            parts.append(unpacker.decompress(data))
+            data = unpacker.unused_data
+            if unpacker.eof:
+                yield b"".join(parts)
+                unpacker, parts = zlib.decompressobj(31), []
+
+
+def plain_records(slices: Iterator[bytes]) -> Iterator[bytes]:
+    """Records that are not compressed: a head with the length of the block, and the block."""
+    held = bytearray()
+    wanted = 0
+    for data in slices:
+        held += data
+        while len(held) >= wanted:
+            end = held.find(b"\r\n\r\n")
+            if end < 0:
+                wanted = len(held) + 1
+                break
+            length = re.search(rb"(?im)^Content-Length: *(\d+)", bytes(held[:end]))
+            if not length:
+                raise ValueError("a WARC record has no length")
+            wanted = end + 4 + int(length[1]) + 4
+            if len(held) < wanted:
+                break
+            yield bytes(held[:wanted])
+            del held[:wanted]
+            wanted = 0
 
 
 # -- packages ---------------------------------------------------------------------
@@ -159,7 +225,8 @@ def data_start(read, entry: dict) -> int:
 
 def record_ranges(read, size: int) -> Iterator[tuple[int, int, list[int] | None]]:
     """(offset, length, record lengths) of the stored archives of a package, in ranges of some
-    megabytes; an archive without an index is one range, with lengths None."""
+    megabytes; an archive without an index is one range, with lengths None. A member that is
+    compressed inside the package raises ValueError: it has no ranges to read."""
     entries = directory_of(read, size)
     indexes = {e["name"].rpartition("/")[2].removesuffix(".cdx"): e for e in entries if e["name"].startswith("indexes/")}
     for entry in entries:
@@ -197,12 +264,15 @@ def deduplicated(pages: DataFrame, page_id: str, html: str, url: str | None, min
         F.coalesce(F.col(html).cast("string"), none).cast("binary").alias("payload"),
     )
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    groups = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n"))
-    repeated = groups.where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
-    judged = rows.join(repeated, "digest", "left")
+    # Payloads with equal SHA-1 are known; equal SHA-256 and lengths make them the same.
+    same = F.sha2("payload", 256)
+    groups = rows.where(F.col("payload_bytes") >= min_bytes).groupBy(same.alias("same"), "payload_bytes").agg(F.max("id").alias("first"), F.count("*").alias("n"))
+    repeated = cut_lineage(groups.where((F.col("n") > 1) & F.col("first").isNotNull()).select("same", "first"))
+    # Only the few keys of repeated payloads move, as long as they are few.
+    judged = rows.withColumn("same", same).join(broadcast_if_small(repeated), "same", "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")) & (F.col("payload_bytes") >= min_bytes)
     return judged.select(
-        F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("page"),
+        F.col("id").cast("string").alias("page"),
         "url",
         F.when(~revisit, F.col("payload")).alias("payload"),
         "payload_bytes",
@@ -237,7 +307,7 @@ def write_packages(pages: DataFrame, folder: str, page_id: str = "page_id", html
             for row in frame.itertuples(index=False):
                 digest = base64.b32encode(bytes.fromhex(row.digest)).decode()
                 coded = record(row.page, row.url, row.payload, row.payload_bytes, digest, row.refers_to)
-                lines.append((re.sub(r"\s", "_", row.page), len(body), len(coded)))
+                lines.append((quote(row.page or "", safe="") or "-", len(body), len(coded)))
                 body += coded
                 if len(body) >= archive_bytes:
                     yield flush()
@@ -251,7 +321,12 @@ def write_packages(pages: DataFrame, folder: str, page_id: str = "page_id", html
 
 def read_packages(manifest: DataFrame, payload: bool = True) -> DataFrame:
     """The records of the packages of a manifest (path, bytes): page, url, record_type, refers_to,
-    payload_bytes, payload_digest, and on demand the payload, null for revisits."""
+    payload_bytes, payload_digest, and on demand the payload, null for revisits.
+
+    Packages of others are read as well, if their archives are stored: with an index in
+    ranges, without one from end to end in slices, compressed record by record or plain. Ids
+    of other forms come without their angle brackets; records that are no responses or
+    revisits are passed over."""
 
     def locate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -260,7 +335,7 @@ def read_packages(manifest: DataFrame, payload: bool = True) -> DataFrame:
                 with system.open_input_file(inner) as file:
                     read = lambda at, n, file=file: file.read_at(n, at)
                     found = list(record_ranges(read, file.size()))
-                yield pd.DataFrame({"path": path, "at": [f[0] for f in found], "bytes": [f[1] for f in found]})
+                yield pd.DataFrame({"path": path, "at": [f[0] for f in found], "bytes": [f[1] for f in found], "lengths": [f[2] for f in found]})
 
     columns = ["page", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * payload
     schema = "page string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string" + ", payload binary" * payload
@@ -270,10 +345,18 @@ def read_packages(manifest: DataFrame, payload: bool = True) -> DataFrame:
             for row in frame.itertuples(index=False):
                 system, inner = opened(row.path)
                 with system.open_input_file(inner) as file:
-                    data = file.read_at(row.bytes, row.at)
-                yield pd.DataFrame([parsed(r) for r in members_of(data)], columns=columns)
-
-    ranges = manifest.select("path").mapInPandas(locate, "path string, at long, bytes long")
+                    read = lambda at, n, file=file: file.read_at(n, at)
+                    lengths = None if row.lengths is None else [int(n) for n in row.lengths]
+                    held, size = [], 0
+                    for told in filter(None, map(parsed, members_of(read, row.at, row.bytes, lengths))):
+                        held.append(told)
+                        size += len(told["payload"] or b"")
+                        if size > RANGE_BYTES:
+                            yield pd.DataFrame(held, columns=columns)
+                            held, size = [], 0
+                    yield pd.DataFrame(held, columns=columns)
+
+    ranges = manifest.select("path").mapInPandas(locate, "path string, at long, bytes long, lengths array<long>")
     # As many tasks as the bytes call for; the rows alone would look too small to spread.
     total = manifest.agg(F.sum("bytes")).first()[0] or 0
     return ranges.repartition(max(1, total // RANGE_BYTES), "path", "at").mapInPandas(read_ranges, schema)
@@ -284,5 +367,17 @@ def op3_zip_packages(spark, sf_dir):
     kind = pages.schema["page_id"].dataType
     manifest = write_packages(pages, scratch_dir(spark, "packages"))
     told = read_packages(manifest, payload=False)
-    number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)
-    return told.select(number("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return told.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+# Five hex digits make four letters of base 32.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(list_transform([15, 10, 5, 0],
+    lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, CAST(5 * g + 1 AS INTEGER), 5))::INTEGER >> b) & 31), 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d
+"""
