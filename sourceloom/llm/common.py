@@ -36,7 +36,18 @@ def stored(rows: DataFrame, label: str, **options: str) -> DataFrame:
     spark = rows.sparkSession
     path = scratch_dir(spark, label)
     rows.write.options(**options).parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    kept = spark.read.schema(rows.schema).parquet(path)
+    kept.stored_at = path  # for discard()
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of stored tables that nothing reads any more; other tables are left."""
+    for rows in tables:
+        if path := getattr(rows, "stored_at", None):
+            spark = rows.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def text_batches(frames: Iterable[pd.DataFrame], text: str, chars: int = BATCH_CHARS) -> Iterator[pd.DataFrame]:

@@ -24,8 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import row_key, stored, table, text_batches, whole_text
+from sourceloom.llm.common import discard, row_key, stored, table, text_batches, whole_text
 from sourceloom.llm.wordarrays import ALNUM, MULTIPLIER, gram_hashes, mixed, powers, word_hashes
+from sourceloom.operators.sizing import broadcast_if_small
 
 K = 5  # words of a k-mer
 SIMILARITY = 0.8  # 1 - edits / words of the longer text
@@ -273,6 +274,23 @@ def may_be_alike(roots: np.ndarray, blocks: np.ndarray, lengths: np.ndarray, bag
     return np.concatenate(left), np.concatenate(right)
 
 
+def bounded(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that the bounds on lengths and bags leave."""
+    side = lambda end: texts.select(F.col("id").alias(end), F.col("n_words").alias(f"n_{end}"), F.col("bag").alias(f"bag_{end}"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                n, m = frame["n_a"].to_numpy(), frame["n_b"].to_numpy()
+                bags = [np.frombuffer(b"".join(frame[c]), np.uint8).reshape(len(frame), BAG).astype(np.int16) for c in ("bag_a", "bag_b")]
+                gap = bags[0] - bags[1]
+                lost = (np.abs(gap).sum(axis=1, dtype=np.int64) + np.abs(gap.sum(axis=1, dtype=np.int64))) // 2
+                most = (np.maximum(n, m) * (1 - similarity) + 1e-9).astype(np.int64)
+                yield frame.loc[(np.abs(n - m) <= most) & (lost <= most), ["a", "b"]]
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+
+
 def rare_words(texts: DataFrame, similarity: float) -> DataFrame:
     """(id, key): the rarest words of each text, so many that alike texts have one in common.
 
@@ -442,7 +460,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     meets = met.where(F.col("id") != F.col("low"))
     pairs = stored(meets.groupBy("id").agg(F.min("low").alias("a")).select("a", F.col("id").alias("b")), "pairs")
     involved = met.select(F.col("id").alias("same")).distinct()
-    reps = made.groupBy("same").agg(F.min("_key").alias("_key")).join(involved, "same")
+    reps = stored(made.groupBy("same").agg(F.min("_key").alias("_key")).join(involved, "same"), "involved")
 
     def words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in text_batches(frames, "text", BATCH):
@@ -450,7 +468,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             coded, bags = [w.astype(np.uint32) for w in words], [word_bag(w) for w in words]
             yield pd.DataFrame({"id": part["id"], "n_words": [len(w) for w in words], "bag": bags, "words": [w.tobytes() for w in coded]})
 
-    fetched = keyed.select("_key", "text").join(reps.withColumnRenamed("same", "id"), "_key").select("id", "text")
+    # Few keys go to the texts; of many, the texts come to them.
+    asked = broadcast_if_small(reps.withColumnRenamed("same", "id"))
+    fetched = keyed.select("_key", "text").join(asked, "_key").select("id", "text")
     texts = stored(fetched.mapInPandas(words_of, "id long, n_words long, bag binary, words binary").dropDuplicates(["id"]), "words")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -459,27 +479,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield frame.loc[np.array(good, dtype=bool), ["a", "b"]]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda end, name: texts.select(F.col("id").alias(end), F.col("words").alias(name))
-        compared = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right")
+        """The links among pairs (a, b). Words of pairs alone are read and moved."""
+        near = broadcast_if_small(pairs)
+        side = lambda end, name: texts.select("id", F.col("words").alias(name)).join(near, F.col("id") == F.col(end)).drop("id")
+        compared = side("a", "left").join(side("b", "right"), ["a", "b"]).select("a", "b", "left", "right")
         return stored(compared.mapInPandas(verify, "a long, b long"), "links")
 
-    links = verified(pairs)
+    links = verified(stored(bounded(pairs, texts, similarity), "near"))
     roots = components(links)
     side = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
     others = meets.select(F.col("low").alias("a"), F.col("id").alias("b")).distinct().join(side("a"), "a", "left").join(side("b"), "b", "left")
     others = others.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    second = verified(stored(others, "pairs"))
+    others = stored(others, "pairs")
+    second = verified(stored(bounded(others, texts, similarity), "near"))
     roots = merged(roots, second)
     links = links.unionByName(second)
     left = candidates_left(met.where("n > 2").select("id", "key"), roots, texts, similarity)
-    left, take = left.join(pairs.unionByName(others), ["a", "b"], "left_anti"), FIRST
+    left, take = stored(left.join(pairs.unionByName(others), ["a", "b"], "left_anti"), "left"), FIRST
+    discard(met, pairs, others)
     while True:
-        named = stored(left, "left").join(side("a"), "a", "left").join(side("b"), "b", "left")
+        named = left.join(side("a"), "a", "left").join(side("b"), "b", "left")
         named = named.select("a", "b", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root")).where("a_root <> b_root")
         groups = named.select("a", "b", F.least("a_root", "b_root").alias("low"), F.greatest("a_root", "b_root").alias("high"))
         ranked = stored(groups.withColumn("rank", F.row_number().over(Window.partitionBy("low", "high").orderBy("a", "b"))), "ranked")
         if not ranked.limit(1).count():
             break
+        discard(left)
         more = verified(ranked.where(F.col("rank") <= take).select("a", "b"))
         links, roots = links.unionByName(more), merged(roots, more)
         left, take = ranked.where(F.col("rank") > take).select("a", "b"), take * MORE
@@ -487,6 +512,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked = roots.join(degree, "id").withColumnRenamed("id", "same")
     rooted = made.select("_key", "doc_id", "same").join(linked, "same", "left")
     rooted = stored(rooted.select("_key", "doc_id", F.coalesce("root", "same").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "classes")
+    discard(made, texts)
     heads = rooted.groupBy("root").agg(F.min("_key").alias("class_key"))
     return rooted.join(heads, "root").select("_key", "doc_id", "class_key", "n_links")
 
