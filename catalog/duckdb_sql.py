@@ -453,6 +453,13 @@ UNION ALL SELECT 'methods', count(*) FROM (SELECT caller FROM edges UNION SELECT
 UNION ALL SELECT 'calls', count(*) FROM edges""",
     "index_fragments": fragment_copies(2),
     "index_latest": fragment_copies(1),
+    "index_replaced": f"""
+WITH {FRAGMENTS}
+SELECT file_path, type, symbol, count(*) AS copies FROM fragments WHERE lang <> 'fr' GROUP BY ALL""",
+    "index_replaced_edges": f"""
+WITH {EDGES}, {edges_of("lang <> 'fr'", "left_edges")}
+SELECT caller, callee FROM left_edges""",
+    "index_hidden": PAGE_INDEX,
     "index_files": PAGE_INDEX,
     "index_stream": PAGE_INDEX,
     "purge_counts": f"""

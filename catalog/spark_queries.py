@@ -552,6 +552,38 @@ def index_latest(spark, sf_dir):
     return rows.groupBy("file_path", "type", "symbol").agg(F.count("*").alias("copies"))
 
 
+def replaced_store(spark, sf_dir, label) -> CorpusStore:
+    """A store after a run over all files and one that replaces: the German files are edited,
+    the French ones gone, the full rescan between them would have doubled all others."""
+    store, corpus = java_store(spark, sf_dir, label), java_files(spark, sf_dir)
+    left = corpus.where(~F.startswith("file_path", F.lit("/corpus/fr/")))
+    edited = F.when(
+        F.startswith("file_path", F.lit("/corpus/de/")), F.concat("content", F.lit(bytearray(b"// edited\n")))
+    ).otherwise(F.col("content"))
+    index.index_files(left.withColumn("content", edited), store, ENCODER, replace=True)
+    return store
+
+
+def index_replaced(spark, sf_dir):
+    """Fragments after a run that replaces."""
+    rows = replaced_store(spark, sf_dir, "index-replaced").fragments()
+    return rows.groupBy("file_path", "type", "symbol").agg(F.count("*").alias("copies"))
+
+
+def index_replaced_edges(spark, sf_dir):
+    """The graph after a run that replaces."""
+    return replaced_store(spark, sf_dir, "replaced-edges").call_edges()
+
+
+def index_hidden(spark, sf_dir):
+    """Files in hidden folders, and empty ones, are scanned like others."""
+    store = new_store(spark, "index-hidden")
+    folder = f"{store.root}/input"
+    write_page_files(spark, sf_dir, f"{folder}/_generated/.pages")
+    index.index_folder(store, folder, ENCODER, suffix=".txt")
+    return _page_index(store)
+
+
 def write_page_files(spark, sf_dir, folder: str) -> None:
     """Each page as a file of its own, its links turned into methods."""
     pages = table(spark, sf_dir, "pages")
@@ -644,6 +676,9 @@ QUERIES = {
     "index_summary": index_summary,
     "index_fragments": index_fragments,
     "index_latest": index_latest,
+    "index_replaced": index_replaced,
+    "index_replaced_edges": index_replaced_edges,
+    "index_hidden": index_hidden,
     "index_files": index_files,
     "index_stream": index_stream,
     "purge_counts": purge_counts,

@@ -27,9 +27,13 @@ from sourceloom.session import cut_lineage
 # by rows and bytes.
 QUERY_BYTES = 8 << 20
 STATE_BYTES = 512 << 20
-HIT_BYTES = 200  # a score and a key with the tuple that holds them
+HIT_BYTES = 120  # a score, and a key with the pointer to it
+FIRST_TASKS = 64  # tasks from which on a first part is worth a pass of its own
 BLOCK_ROWS = 65_536
 BLOCK_BYTES = 128 << 20
+# Rows that one task may hold of all others' best; more are found by a threshold.
+TOP_ROWS = 100_000
+SCORE_BINS = 1 << 16
 _TILE_CELLS = 4 << 20
 
 # The scorers below travel to the executors as code, so that the package need not be
@@ -55,17 +59,54 @@ def top_k(base: DataFrame, query: Sequence[float], k: int, *tie_break: str) -> D
     length = F.col("norm") if "norm" in base.columns else None
     score = F.when(is_valid(vector), cosine_to(vector, query, length))
     scored = base.withColumn("score", score).drop("embedding", "norm")
+    if k > TOP_ROWS:
+        return _top_many(scored, k, tie_break)
     return scored.orderBy(F.desc("score"), *tie_break).limit(k).where(F.col("score").isNotNull())
 
 
+def _top_many(scored: DataFrame, k: int, tie_break: Sequence[str]) -> DataFrame:
+    """The k best rows where k is too many for one task.
+
+    A histogram of the scores gives a threshold that k rows reach. These are put in order by
+    ranges and counted by range, so that a row's place is that of its range and its own in it.
+    """
+    place = F.least(F.floor((1 - F.col("score")) / 2 * SCORE_BINS), F.lit(SCORE_BINS - 1)).cast("int")
+    binned = scored.where(F.col("score").isNotNull()).withColumn("_bin", F.greatest(place, F.lit(0)))
+    counts = sorted((r["_bin"], r["count"]) for r in binned.groupBy("_bin").count().collect())
+    total, last = 0, -1
+    for bin_, n in counts:
+        if total >= k:
+            break
+        total, last = total + n, bin_
+    kept = cut_lineage(binned.where(F.col("_bin") <= last).drop("_bin"))
+    order = [F.desc("score"), *map(F.col, tie_break)]
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = kept.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", at))
+    before, offsets = 0, []
+    for part, n in sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect()):
+        offsets.append((part, before))
+        before += n
+    starts = scored.sparkSession.createDataFrame(offsets, "_part int, _start long")
+    best = placed.join(F.broadcast(starts), "_part").where(F.col("_start") + F.col("_at") < k)
+    return best.drop("_part", "_at", "_start")
+
+
 def top_k_batch(
-    base: DataFrame, queries: DataFrame, k: int, query_bytes: int = QUERY_BYTES, block_rows: int = BLOCK_ROWS
+    base: DataFrame,
+    queries: DataFrame,
+    k: int,
+    query_bytes: int = QUERY_BYTES,
+    block_rows: int = BLOCK_ROWS,
+    first: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, key, score, rank) of the k best keys for every query.
 
     While the query vectors and their hits fit the byte limits, each task scores its rows
     against all of them and passes on k rows per query: the base is read once and never
-    shuffled. Larger sets of queries go through block_join_top_k. Rows and queries without
+    shuffled. ``first`` may name a part of the base that is cheap to read: its k-th best score
+    is a lower bound for all, and no task passes on rows below it. Larger sets of queries go
+    through block_join_top_k. Rows and queries without
     a vector are passed over where vectors are read. ``query_id`` may have any type, but
     each value only once.
     """
@@ -78,15 +119,21 @@ def top_k_batch(
     twice = queries.groupBy("query_id").count().where("count > 1").first()
     if twice:
         raise ValueError(f"query_id {twice['query_id']!r} occurs {twice['count']} times")
-    first = queries.select("embedding").where(is_valid(F.col("embedding"))).first()
-    width = len(first["embedding"]) if first else 1
+    one = queries.select("embedding").where(is_valid(F.col("embedding"))).first()
+    width = len(one["embedding"]) if one else 1
     most = max(1, min(query_bytes // (4 * width), STATE_BYTES // (HIT_BYTES * max(k, 1))))
     block_rows = max(1, min(block_rows, BLOCK_BYTES // (8 * width)))
     held = queries.limit(most + 1).toArrow()
     if held.num_rows <= most:
         ids, vectors = _vectors(held, "query_id", width)
-        scorer = _scan_scorer(ids, vectors, k, held.schema.field("query_id").type)
-        near = base.mapInArrow(scorer, _near_schema(base, queries))
+        id_type, schema = held.schema.field("query_id").type, _near_schema(base, queries)
+        floors = None
+        if first is not None and k:
+            part = first.where(F.col("key").isNotNull()).select("key", vector)
+            least = top_n(part.mapInArrow(_scan_scorer(ids, vectors, k, id_type), schema), ["query_id"], [F.desc("score"), F.col("key")], k)
+            of = {r["query_id"]: r["score"] for r in least.where(F.col("rank") == k).collect()}
+            floors = np.array([of.get(i, -np.inf) for i in ids])
+        near = base.mapInArrow(_scan_scorer(ids, vectors, k, id_type, floors), schema)
     else:
         near = block_join_top_k(base, queries, k, width, block_rows, most)
     return top_n(near, ["query_id"], [F.desc("score"), F.col("key")], k)
@@ -139,12 +186,12 @@ def _vectors(rows: pa.Table | pa.RecordBatch, id_column: str, width: int) -> tup
     return rows[id_column].to_pylist(), values.astype(np.float64).reshape(-1, width)
 
 
-def _scan_scorer(ids: list, vectors: np.ndarray, k: int, id_type: pa.DataType):
+def _scan_scorer(ids: list, vectors: np.ndarray, k: int, id_type: pa.DataType, floors: np.ndarray | None = None):
     width = vectors.shape[1]
     vectors = vectors.astype(np.float32)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, key_type = _Best(ids, vectors.astype(np.float64), k), None
+        best, key_type = _Best(ids, vectors.astype(np.float64), k, floors), None
         for batch in batches:
             key_type = batch.schema.field("key").type
             best.add(*_vectors(batch, "key", width))
@@ -155,19 +202,26 @@ def _scan_scorer(ids: list, vectors: np.ndarray, k: int, id_type: pa.DataType):
 
 
 class _Best:
-    """Running top k of each query over the rows seen so far."""
+    """Running top k of each query over the rows seen so far, as arrays of scores and keys.
 
-    def __init__(self, ids: list, vectors: np.ndarray, k: int):
+    ``floors`` are scores that a row must reach to be kept at all.
+    """
+
+    def __init__(self, ids: list, vectors: np.ndarray, k: int, floors: np.ndarray | None = None):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.norms = np.linalg.norm(vectors, axis=1)
-        self.best: list[list[tuple[float, object]]] = [[] for _ in ids]
+        self.floors = np.full(len(ids), -np.inf) if floors is None else floors
+        none = np.zeros(0)
+        self.scores: list[np.ndarray] = [none] * len(ids)
+        self.keys: list[np.ndarray] = [none.astype(object)] * len(ids)
 
     def add(self, keys: list, rows: np.ndarray) -> None:
         if not keys or self.k == 0:
             return
         # In key order, the earlier of two tied rows is the one to keep.
         order = sorted(range(len(keys)), key=keys.__getitem__)
-        keys, rows = [keys[i] for i in order], rows[order]
+        rows, named = rows[order], np.empty(len(keys), dtype=object)
+        named[:] = [keys[i] for i in order]
         norms = np.linalg.norm(rows, axis=1)
         step = max(1, _TILE_CELLS // len(keys))
         for start in range(0, len(self.ids), step):
@@ -177,28 +231,32 @@ class _Best:
             scores = np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
             scores = np.rint(scores * SCORE_GRID) / SCORE_GRID
             for i, line in enumerate(scores, start):
-                self._merge(i, line, keys)
+                self._merge(i, line, named)
 
-    def _merge(self, i: int, scores: np.ndarray, keys: list) -> None:
-        have, k = self.best[i], self.k
+    def _merge(self, i: int, scores: np.ndarray, keys: np.ndarray) -> None:
+        have, k, floor = self.scores[i], self.k, self.floors[i]
         if len(have) == k:
-            floor = -have[-1][0]
+            floor = max(floor, have[-1])
         elif len(scores) > k:
-            floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        else:
-            floor = -np.inf
+            floor = max(floor, np.partition(scores, len(scores) - k)[len(scores) - k])
         found = np.flatnonzero(scores >= floor)
         if len(found) > k:
             found = found[np.argsort(-scores[found], kind="stable")[:k]]
-        if len(found):
-            self.best[i] = sorted(have + [(-scores[j], keys[j]) for j in found])[:k]
+        if not len(found):
+            return
+        both, names = np.concatenate([have, scores[found]]), np.concatenate([self.keys[i], keys[found]])
+        order = np.argsort(-both, kind="stable")
+        if len(have) and (np.diff(both[order]) == 0).any():  # ties go by key
+            order = np.array(sorted(range(len(both)), key=lambda j: (-both[j], names[j])))
+        self.scores[i], self.keys[i] = both[order[:k]], names[order[:k]]
 
     def table(self, id_type: pa.DataType, key_type: pa.DataType) -> pa.Table:
-        flat = [(i, key, -neg) for i, near in zip(self.ids, self.best) for neg, key in near]
+        sizes = np.array([len(s) for s in self.scores], dtype=np.int64)
+        number = np.repeat(np.arange(len(self.ids)), sizes)
         return pa.table(
             {
-                "query_id": pa.array([f[0] for f in flat], id_type),
-                "key": pa.array([f[1] for f in flat], key_type),
-                "score": pa.array([float(f[2]) for f in flat], pa.float64()),
+                "query_id": pa.array(self.ids, id_type).take(pa.array(number)),
+                "key": pa.array([key for keys in self.keys for key in keys], key_type),
+                "score": pa.array(np.concatenate([np.zeros(0), *self.scores]), pa.float64()),
             }
         )

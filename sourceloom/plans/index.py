@@ -39,6 +39,8 @@ def index_files(
     with_graph: bool = True,
     distinct_texts: bool = False,
     discovered: int | None = None,
+    replace: bool = False,
+    paths: DataFrame | None = None,
 ) -> int:
     """Index (file_path, content) rows and return the run number.
 
@@ -46,12 +48,16 @@ def index_files(
     back from what was written, so they describe the same bytes as the fragments, and
     the run becomes visible, hashes included, when its log row is written last. Rows
     without a path cannot be told apart or found again; they are not files and not counted.
-    ``discovered`` is their number, where the caller knows it.
+    ``discovered`` is their number and ``paths`` a table of them, where the caller has them.
+
+    Rescans append. With ``replace`` the run takes back what it supersedes: older versions of
+    files that it indexes, and files that are not among ``files`` any more. Both vanish from
+    search, graph, counts and hashes when the run is committed; the rows stay on disk.
     """
     files = files.where(F.col("file_path").isNotNull())
     encoder = encoder or HashingEncoder()
-    last, known = store.progress()
-    run = last + 1
+    head = store.head()
+    run, known = head.run + 1, head.processed
     hashed = with_hash(files)
     state = store.compacted()
     all_ = full_rescan or known == 0
@@ -65,6 +71,13 @@ def index_files(
     found = call_edges_of(written if with_graph else written.limit(0))
     store.write_edges(run, new_edges(store.call_edges(), found) if known else found)
 
+    removed = 0
+    if replace:
+        known_paths = store.file_hashes(state).select("file_path")
+        there = (files if paths is None else paths).select("file_path").distinct()
+        again = written.select("file_path").join(known_paths, "file_path", "left_semi")
+        store.write_run("removed", run, known_paths.join(there, "file_path", "left_anti").unionByName(again))
+        removed = store.read_run("removed", run).count()
     if discovered is None:
         discovered = files.select("file_path").count()
     processed = written.count()
@@ -80,6 +93,7 @@ def index_files(
         state_rows=state.rows,
         state_bytes=state.bytes,
         delta_rows=state.delta_rows + processed,
+        removed=removed,
     )
     return run
 
@@ -92,6 +106,7 @@ def index_folder(
     with_graph: bool = True,
     distinct_texts: bool = False,
     suffix: str = JAVA,
+    replace: bool = False,
 ) -> int:
     """Index all files with the suffix below a folder, hidden and empty ones too."""
     listed = None
@@ -99,4 +114,4 @@ def index_folder(
         listed = list_files(store.spark, root, suffix)
     files = read_files(listed) if listed is not None else scan_files(store.spark, root, suffix)
     found = listed.count() if listed is not None else None
-    return index_files(files, store, encoder, full_rescan, with_graph, distinct_texts, found)
+    return index_files(files, store, encoder, full_rescan, with_graph, distinct_texts, found, replace, listed)

@@ -40,6 +40,9 @@ CALL_EDGES = StructType(
     [StructField("caller", StringType()), StructField("callee", StringType()), RUN]
 )
 
+# A run that replaces notes the paths it has indexed anew, and those that are gone.
+REMOVED = StructType([StructField("file_path", StringType()), RUN])
+
 # Which stored file of edges holds which names: ``side`` is the column it is ordered by.
 EDGE_FILES = StructType(
     [
@@ -64,6 +67,8 @@ RUNS = StructType(
         StructField("state_rows", LongType()),
         StructField("state_bytes", LongType()),
         StructField("delta_rows", LongType()),
+        # Paths whose older versions the run has taken back.
+        StructField("removed", LongType()),
         RUN,
     ]
 )

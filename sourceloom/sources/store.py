@@ -9,6 +9,9 @@ The current hash of each path is kept apart, in ``hash_state``: a compacted vers
 which holds all runs up to N, and the runs since, which are read from ``sources``. A new
 version is written when those have grown to a part of it, so that its cost is spread over
 the rows that were added. The run log points to the version, and its row is written last.
+
+A run that replaces writes the paths whose older versions no longer hold to ``removed``.
+Nothing is deleted: readers leave out rows that are older than the note on their path.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sourceloom.operators.fragments import fragments_of
+from sourceloom.operators.fragments import call_edges_of, fragments_of
 from sourceloom.operators.graph import method_nodes
 from sourceloom.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS, row_bytes
-from sourceloom.schemas import CALL_EDGES, EDGE_FILES, HASH_STATE, RUNS, SOURCES
+from sourceloom.schemas import CALL_EDGES, EDGE_FILES, HASH_STATE, REMOVED, RUNS, SOURCES
 from sourceloom.session import cut_lineage
 
 TABLES: dict[str, StructType] = {"sources": SOURCES, "call_edges": CALL_EDGES, "runs": RUNS, "hash_state": HASH_STATE}
-TABLES |= {"callee_edges": CALL_EDGES, "edge_files": EDGE_FILES}
+TABLES |= {"callee_edges": CALL_EDGES, "edge_files": EDGE_FILES, "removed": REMOVED}
 PARTITIONED_BY = {"hash_state": "v"}
 
 # Executors need not have the package installed.
@@ -47,6 +50,17 @@ SIDES = {"caller": "call_edges", "callee": "callee_edges"}
 COMPACT_AT = 0.25
 
 
+@dataclass
+class Head:
+    """The last run, the files that all runs have indexed, notes of removed paths, and runs from
+    before the log told of a hash state."""
+
+    run: int = 0
+    processed: int = 0
+    removed: int = 0
+    old_runs: int = 0
+
+
 @dataclass
 class HashState:
     """A compacted version, its rows and bytes, and the rows that later runs have added."""
@@ -75,21 +89,30 @@ class CorpusStore:
     def _all(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(self.path(name))
 
-    def _committed(self, name: str) -> DataFrame:
-        return self._all(name).where(F.col("run") <= self.last_run())
+    def _committed(self, name: str, head: Head | None = None) -> DataFrame:
+        return self._all(name).where(F.col("run") <= (head or self.head()).run)
+
+    def _visible(self, rows: DataFrame, head: Head) -> DataFrame:
+        """Rows (file_path, run, ..) without those that a later run has taken back."""
+        if not head.removed:
+            return rows
+        notes = self._committed("removed", head).groupBy(F.col("file_path").alias("_path")).agg(F.max("run").alias("_until"))
+        notes = F.broadcast(notes) if head.removed <= BROADCAST_ROWS else notes
+        return rows.join(notes, (F.col("file_path") == F.col("_path")) & (F.col("run") < F.col("_until")), "left_anti")
 
     # -- reading ---------------------------------------------------------------
 
     def runs(self) -> DataFrame:
         return self._all("runs")
 
-    def progress(self) -> tuple[int, int]:
-        """Last run and rows in ``sources`` so far, from the run log alone."""
-        row = self.runs().agg(F.max("run").alias("run"), F.sum("processed").alias("rows")).first()
-        return row["run"] or 0, row["rows"] or 0
+    def head(self) -> Head:
+        """The last run and what all runs add up to, from the run log alone."""
+        sums = [F.sum("processed"), F.sum("removed"), F.count_if(F.col("state").isNull())]
+        row = self.runs().agg(F.max("run"), *sums).first()
+        return Head(*[n or 0 for n in row])
 
     def last_run(self) -> int:
-        return self.progress()[0]
+        return self.head().run
 
     def encoder(self) -> tuple[str, int] | None:
         """Name and width of the encoder of the last run."""
@@ -99,15 +122,16 @@ class CorpusStore:
     def sources(self, latest_only: bool = False) -> DataFrame:
         """Indexed files. By default every indexed version of a file, as appended;
         ``latest_only`` keeps the newest version of each path."""
-        rows = self._committed("sources")
+        head = self.head()
+        rows = self._visible(self._committed("sources", head), head)
         if latest_only:
-            rows = rows.join(self._latest().select("file_path", "run"), ["file_path", "run"], "left_semi")
+            rows = rows.join(self._latest(head).select("file_path", "run"), ["file_path", "run"], "left_semi")
         return rows
 
-    def _latest(self, after: int = 0) -> DataFrame:
+    def _latest(self, head: Head, after: int = 0) -> DataFrame:
         """The newest row of each path among the runs after one."""
         newest = F.max_by(F.struct("hash", "run"), "run").alias("newest")
-        return self._committed("sources").where(F.col("run") > after).groupBy("file_path").agg(newest).select("file_path", "newest.*")
+        return self._committed("sources", head).where(F.col("run") > after).groupBy("file_path").agg(newest).select("file_path", "newest.*")
 
     def state(self) -> HashState:
         """The hash state as of the last run, from the run log alone."""
@@ -115,17 +139,21 @@ class CorpusStore:
         if not row:
             return HashState()
         if row["delta_rows"] is None:  # a log from before there was a state
-            return HashState(delta_rows=self.progress()[1])
+            return HashState(delta_rows=self.head().processed)
         return HashState(*row)
 
     def _hashes(self, state: HashState) -> DataFrame:
         """(file_path, hash, run): the compacted version and, over it, what came later."""
+        head = self.head()
+        return self._visible(self._versions(state, head), head)
+
+    def _versions(self, state: HashState, head: Head) -> DataFrame:
         if not state.version:
-            return self._latest()
+            return self._latest(head)
         base = self._all("hash_state").where(F.col("v") == state.version).drop("v")
         if not state.delta_rows:
             return base
-        later = self._latest(state.version)
+        later = self._latest(head, state.version)
         small = F.broadcast(later) if state.delta_rows <= BROADCAST_ROWS else later
         return base.join(small, "file_path", "left_anti").unionByName(later)
 
@@ -156,10 +184,11 @@ class CorpusStore:
     def vectors(self, latest_only: bool = False) -> DataFrame:
         """(source_key, part, embedding, norm) of the searchable files; ``part`` is the stored
         file that the row lies in, so that a hit knows where its code is."""
-        rows = self._committed("sources").where("n_fragments > 0 and dims > 0")
-        rows = rows.select("source_key", F.col("_metadata.file_name").alias("part"), "embedding", "norm", "file_path", "run")
+        head = self.head()
+        rows = self._committed("sources", head).where("n_fragments > 0 and dims > 0")
+        rows = self._visible(rows.select("source_key", F.col("_metadata.file_name").alias("part"), "embedding", "norm", "file_path", "run"), head)
         if latest_only:
-            rows = rows.join(self._latest().select("file_path", "run"), ["file_path", "run"], "left_semi")
+            rows = rows.join(self._latest(head).select("file_path", "run"), ["file_path", "run"], "left_semi")
         return rows.select("source_key", "part", "embedding", "norm")
 
     def fragments(self, latest_only: bool = False) -> DataFrame:
@@ -171,7 +200,11 @@ class CorpusStore:
         return fragments_of(failed).select("run", "file_path", "type", "symbol", "error")
 
     def call_edges(self) -> DataFrame:
-        return self._committed("call_edges").select("caller", "callee")
+        """The stored edges; once paths were removed, those of the files that are left."""
+        head = self.head()
+        if head.removed:
+            return call_edges_of(self.sources())
+        return self._committed("call_edges", head).select("caller", "callee")
 
     def edges_of(self, side: str, names: DataFrame) -> DataFrame:
         """Edges whose ``side``, caller or callee, is among the names (one column ``target``).
@@ -180,20 +213,23 @@ class CorpusStore:
         files tells which can hold a name: only these are read. Names that touch more files
         than a filter may list are joined with all.
         """
-        table = SIDES[side]
-        if side == "callee" and not self.runs().where(F.col("state").isNull()).isEmpty():
+        table, head = SIDES[side], self.head()
+        if head.removed:
+            return self.call_edges()
+        if side == "callee" and head.old_runs:
             table = "call_edges"  # runs from before there was a second order
-        edges = self._committed(table)
-        parts = self._parts(side, names)
+        edges = self._committed(table, head)
+        parts = self._parts(side, names, head)
         if parts is not None:
             edges = edges.where(F.col("_metadata.file_name").isin(parts))
         return edges.select("caller", "callee")
 
-    def _parts(self, side: str, names: DataFrame) -> list[str] | None:
+    def _parts(self, side: str, names: DataFrame, head: Head | None = None) -> list[str] | None:
         """The stored files that can hold one of the names; None if they are not known or too many."""
-        if not self.runs().where(F.col("state").isNull()).isEmpty():
+        head = head or self.head()
+        if head.old_runs:
             return None
-        files = self._committed("edge_files").where(F.col("side") == side).select("run", "low", "high", "part").toArrow().to_pylist()
+        files = self._committed("edge_files", head).where(F.col("side") == side).select("run", "low", "high", "part").toArrow().to_pylist()
         of_run: dict[int, list] = {}
         for row in files:
             of_run.setdefault(row["run"], []).append((row["low"], row["high"], row["part"]))

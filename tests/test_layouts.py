@@ -13,7 +13,7 @@ from sourceloom.operators.graph import neighbours
 from sourceloom.plans import search as search_plan
 from sourceloom.sources import store as store_module
 
-RUN = {"discovered": 0, "skipped": 0, "processed": 0, "full_rescan": 0, "encoder": "hashing-64", "dim": 64, "state": 0, "state_rows": 0, "state_bytes": 0, "delta_rows": 0}
+RUN = {"discovered": 0, "skipped": 0, "processed": 0, "full_rescan": 0, "encoder": "hashing-64", "dim": 64, "state": 0, "state_rows": 0, "state_bytes": 0, "delta_rows": 0, "removed": 0}
 
 
 @pytest.fixture

@@ -138,3 +138,45 @@ def test_executors_do_not_need_the_package(tmp_path):
         cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180,
     )
     assert "passed" in done.stdout, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("k", [1, 7, 400])
+def test_a_first_part_bounds_the_others(spark, data, k):
+    from sourceloom.operators import similarity
+
+    base, queries = data
+    table, asked = frame(spark, base).repartition(6), frame(spark, queries, "query_id")
+    passed = []
+    plain = similarity.top_n
+
+    def counting(rows, *args):
+        passed.append(rows.count())
+        return plain(rows, *args)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(similarity, "top_n", counting)
+        assert rows_of(top_k_batch(table, asked, k)) == brute(base, queries, k)
+        whole = passed.pop()
+        near = top_k_batch(table, asked, k, first=table.where("key % 3 = 0"))
+        assert rows_of(near) == brute(base, queries, k)
+    assert passed[-1] <= whole and (k != 7 or passed[-1] < 0.75 * whole)
+
+
+@pytest.mark.parametrize("k", [0, 1, 123, 250, 400, 10_000])
+def test_many_best_rows_by_a_threshold(spark, data, monkeypatch, k):
+    """The same rows as one sorted list, ties at the threshold included."""
+    from sourceloom.operators import similarity
+
+    base, queries = data
+    table = frame(spark, base).repartition(6)
+    for query in (queries[0][1], queries[30][1]):  # the last one ties for two fifths
+        monkeypatch.setattr(similarity, "TOP_ROWS", 100_000)
+        want = [(r.key, r.score) for r in top_k(table, query, k, "key").collect()]
+        monkeypatch.setattr(similarity, "TOP_ROWS", -1)
+        got = top_k(table, query, k, "key")
+        assert sorted((-r.score, r.key) for r in got.collect()) == sorted((-s, key) for key, s in want)
+        assert got.columns == ["key", "score"]
+        # No task sorts or holds the best of all others.
+        from tests.conftest import plan_of
+
+        assert "TakeOrdered" not in plan_of(got) and "Limit" not in plan_of(got)

@@ -70,7 +70,7 @@ def test_logs_without_a_state(spark, tmp_path):
     """Stores written before there was a hash state go on."""
     store = sl.CorpusStore(spark, str(tmp_path / "store"))
     sl.index_files(as_files(spark, {"/a.java": "class A { }"}), store)
-    old = store.read_run("runs", 1).drop("state", "state_rows", "state_bytes", "delta_rows").collect()
+    old = store.read_run("runs", 1).drop("state", "state_rows", "state_bytes", "delta_rows", "removed").collect()
     spark.createDataFrame(old, "discovered long, skipped long, processed long, full_rescan int, encoder string, dim int").write.mode("overwrite").parquet(store.run_path("runs", 1))
     assert store.state() == store_module.HashState(delta_rows=1)
     sl.index_files(as_files(spark, {"/a.java": "class A { }", "/b.java": "class B { }"}), store)
@@ -115,3 +115,47 @@ def test_null_keys_pass_the_filter(spark):
     state = files.where("hash = '2'").select("file_path", "hash")
     passed = keyfilter.might_match(files, files, ["file_path", "hash"], 3)
     assert passed.count() == 3 and state.count() == 1
+
+
+def test_replaced_and_deleted_paths_vanish(spark, tmp_path):
+    """From search, fragments, hashes and graph; what is left is what one run would give."""
+
+    def code(name, call):
+        return f"class {name} {{ public void run() {{ {call}(); }} public void {call}() {{ }} }}"
+
+    first = {"/a.java": code("A", "alpha"), "/b.java": code("B", "beta"), "/c.java": code("C", "gamma")}
+    second = {"/a.java": code("A", "delta"), "/b.java": first["/b.java"], "/d.java": code("D", "alpha")}
+    store, fresh = (sl.CorpusStore(spark, str(tmp_path / n)) for n in ("store", "fresh"))
+    sl.index_files(as_files(spark, first), store)
+    sl.index_files(as_files(spark, second), store, replace=True)
+    sl.index_files(as_files(spark, second), fresh)
+
+    def seen(s):
+        return (
+            sorted((r.file_path, r.type, r.symbol) for r in s.fragments().collect()),
+            sorted(map(tuple, s.call_edges().collect())),
+            sorted(map(tuple, s.file_hashes().collect())),
+            sorted(r.name for r in s.methods().collect()),
+            [(r.rank, r.symbol, r.callers, r.callees) for r in sl.search(s, "alpha run", k=20, with_graph=True, context_top=None).orderBy("rank").collect()],
+        )
+
+    assert seen(store) == seen(fresh)
+    last = store.runs().where("run = 2").first()
+    assert (last.discovered, last.skipped, last.processed, last.removed) == (3, 1, 2, 2)
+    assert store._all("sources").count() == 5  # the rows are still there
+    # A file that comes back is indexed again, and compaction keeps to the notes.
+    third = {**second, "/c.java": first["/c.java"]}
+    sl.index_files(as_files(spark, third), store, replace=True)
+    sl.index_files(as_files(spark, third), fresh)
+    assert seen(store) == seen(fresh) and store.state().version == 2
+    sl.index_files(as_files(spark, {"/a.java": second["/a.java"]}), store, replace=True)
+    assert [r.file_path for r in store.file_hashes().collect()] == ["/a.java"]
+    sl.reset(store)
+    assert store.head() == store_module.Head()
+
+
+def test_an_unfinished_replacement_takes_nothing_back(spark, tmp_path):
+    store = sl.CorpusStore(spark, str(tmp_path / "store"))
+    sl.index_files(as_files(spark, {"/a.java": "class A { }"}), store)
+    store.write_run("removed", 2, spark.createDataFrame([("/a.java",)], "file_path string"))
+    assert store.fragments().count() == 1
