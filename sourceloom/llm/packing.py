@@ -11,7 +11,7 @@ besides.
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,19 +30,19 @@ END = 2  # the id behind each document
 SENTENCE = 16
 INSIDE = 64
 SEQUENCE = 1
-APART = 16  # sentence ends this close behind another place are not tried
+APART = 32  # sentence ends this close behind another place are not tried
 STEP = 16  # distance of the places inside a sentence, where sentences are longer
 BLOCK = 1_000_000  # tokens that are planned at a time
 OPEN = 8  # windows at the end of a block that are planned anew with the next
 CACHED_UNITS = 1_000_000
 BATCH = 2_000_000  # characters at a time
-TOGETHER = 1024
+TOGETHER = 128
 _ENDS = tuple(c.encode() for c in ".!?…。！？")
 _CLOSING = "\"'”’»)]"
 _SPACES = bytes.maketrans(b"\n\r\t", b"   ")
 _LOWER = bytes.maketrans(b"\n\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"   abcdefghijklmnopqrstuvwxyz")
-# A single sign behind a letter and before a space is a token of its own.
-_SIGN = re.compile(rb"(?<=[a-z])([.,;:!?])(?= )")
+# A single sign behind letters is a token of its own.
+_SIGNS = frozenset(b".,;:!?")
 
 
 # The last bytes of closing signs.
@@ -70,9 +70,10 @@ class _Units(dict):
 class WordCoder:
     """A tokenizer that drops white space and case, in one worker.
 
-    Its tokens never cross a space, nor the place before a sign that follows a letter, so
-    that what lies between is encoded apart, each distinct unit once while the cache lasts.
-    A definition that does otherwise is refused.
+    Its tokens never cross a space, nor the place before a sign that follows letters, so that
+    the units between spaces are encoded apart, each distinct one once while the cache lasts,
+    and those with a sign as their word and the sign. A definition that does otherwise is
+    refused.
     """
 
     def __init__(self, definition: str, end: int = END):
@@ -91,49 +92,100 @@ class WordCoder:
         # An added token that is split off before all else can stand between units.
         marks = [(i, t.content.encode()) for i, t in special if not t.normalized]
         self.mark = marks[-1] if marks else None
-        sample = "One, TWO\n\tThree's  É1 ok. no; A: b! c? " + "".join(t.content for _, t in special)
-        apart = [i for w in self.cut(sample) for i in self._alone(w)]
-        if self._alone(sample.encode()) != apart:
-            raise ValueError("words of this tokenizer cannot be encoded apart")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # whether a token ends a word
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.units = _Units()
         self.units[None] = 0  # the end of a document
         self.flat = np.array([end], dtype="<u4")
         self.starts, self.sizes, self.used = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
         self.ends = np.zeros(1, dtype=bool)
+        self.sign_ids = {sign: self._alone(bytes([sign])) for sign in _SIGNS}
+        sample = "One, TWO\n\tThree's  É1 ok. no; A: b! c? " + "".join(t.content for _, t in special)
+        if any(len(i) != 1 for i in self.sign_ids.values()) or self.encode([sample])[0].tolist() != [*self._alone(sample.encode()), end]:
+            raise ValueError("words of this tokenizer cannot be encoded apart")
 
     def cut(self, text: str) -> list[bytes]:
         """The units of a text."""
         data = text.encode("utf-8", "replace")
         if any(s in data.lower() for s in self.special):  # the case of these counts
             return data.translate(_SPACES).split(b" ")
-        return _SIGN.sub(rb" \1", data.translate(_LOWER)).split(b" ")
+        return data.translate(_LOWER).split(b" ")
 
     def _alone(self, unit: bytes) -> list[int]:
         return self.tokenizer.encode(unit.decode(), add_special_tokens=False).ids
 
-    def _learn(self, units: list[bytes]) -> None:
-        """Encode new units, many in one string with marks between them."""
-        flat, sizes = [self.flat], []
+    def _joined(self, some: list[bytes], between: bytes) -> np.ndarray:
+        """The tokens of units in one string; the fast form keeps no offsets."""
+        return np.array(self.tokenizer.encode_batch_fast([between.join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _ids_of(self, units: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of units and how many each has, many units in one string: words with spaces
+        between them, as a mark in their last token tells them apart, others with added tokens."""
+        flat, sizes = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
         number, content = self.mark or (None, b"")
         for at in range(0, len(units), TOGETHER):
             some = units[at : at + TOGETHER]
-            if self.mark is None or b"<" in b"".join(some):
-                ids = [np.array(self._alone(u), dtype="<u4") for u in some]
-                sizes.append(np.array([len(i) for i in ids], dtype=np.int64))
-                flat += ids
+            if words:
+                ids = self._joined(some, b" ")
+                marks = np.flatnonzero(self.last[ids])
+                if len(marks) == len(some):
+                    sizes.append(np.diff(marks, prepend=-1))
+                    flat.append(ids)
+                    continue
+            elif self.mark is not None and b"<" not in b"".join(some):
+                ids = self._joined(some, content)
+                marks = np.flatnonzero(ids == number)
+                sizes.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+                flat.append(ids[ids != number])
                 continue
-            # The fast form keeps no offsets.
-            ids = np.array(self.tokenizer.encode_batch_fast([content.join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-            marks = np.flatnonzero(ids == number)
-            sizes.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
-            flat.append(ids[ids != number])
-        sizes = np.concatenate(sizes)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.flat = np.concatenate(flat).astype("<u4")
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.used = np.concatenate([self.used, np.zeros(len(sizes), dtype=np.int64)])
-        ends = [u.endswith(_ENDS) or (u[-1:] in _CLOSED and ends_sentence(u)) for u in units]
-        self.ends = np.concatenate([self.ends, np.array(ends, dtype=bool)])
+            each = [np.array(self._alone(u), dtype="<u4") for u in some]
+            sizes.append(np.array([len(i) for i in each], dtype=np.int64))
+            flat += each
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _learn(self) -> None:
+        """Encode the new units: words of ASCII letters, such words with a sign, and others."""
+        first, numbers = len(self.sizes), self.units
+        plain, other, signed, cores, signs = [], [], [], [], []
+        new, numbers.new = numbers.new, []
+        while new:  # the words of signed units may be new as well
+            for unit in new:
+                if unit.isalpha():
+                    plain.append(unit)
+                elif unit and unit[-1] in _SIGNS and unit[:-1].isalpha():
+                    signed.append(unit)
+                    cores.append(numbers[unit[:-1]])
+                    signs.append(self.sign_ids[unit[-1]][0])
+                else:
+                    other.append(unit)
+            new, numbers.new = numbers.new, []
+        more = len(numbers) - first
+        self.sizes = np.concatenate([self.sizes, np.zeros(more, dtype=np.int64)])
+        self.starts = np.concatenate([self.starts, np.zeros(more, dtype=np.int64)])
+        self.used = np.concatenate([self.used, np.zeros(more, dtype=np.int64)])
+        self.ends = np.concatenate([self.ends, np.zeros(more, dtype=bool)])
+        for units, words in ((plain, True), (other, False)):
+            flat, sizes = self._ids_of(units, words)
+            self._place(units, flat, sizes)
+        if signed:
+            core = np.array(cores, dtype=np.int64)
+            sizes = self.sizes[core] + 1
+            stops = np.cumsum(sizes)
+            place = np.repeat(self.starts[core] - (stops - sizes), sizes) + np.arange(int(stops[-1]))
+            flat = self.flat[np.minimum(place, len(self.flat) - 1)]
+            flat[stops - 1] = signs
+            self._place(signed, flat, sizes)
+        for units in (other, signed):
+            told = [u.endswith(_ENDS) or (u[-1:] in _CLOSED and ends_sentence(u)) for u in units]
+            self.ends[[numbers[u] for u in units]] = told
+
+    def _place(self, units: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        number = np.fromiter(map(self.units.__getitem__, units), dtype=np.int64, count=len(units))
+        self.sizes[number] = sizes
+        self.starts[number] = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, flat]).astype("<u4", copy=False)
 
     def _trim(self) -> None:
         """Keep the more used half of a full cache."""
@@ -160,8 +212,7 @@ class WordCoder:
             counts[i] = len(part) + 1
         number = np.fromiter(map(self.units.__getitem__, words), dtype=np.int64, count=len(words))
         if self.units.new:
-            new, self.units.new = self.units.new, []
-            self._learn(new)
+            self._learn()
         self.used += np.bincount(number, minlength=len(self.used))
         sizes = self.sizes[number]
         stops = np.cumsum(sizes)
@@ -202,7 +253,7 @@ def places(total: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, window:
     known = np.flatnonzero(price >= 0)
     step = min(STEP, max(1, window // 4))
     gaps = np.diff(known)
-    wide = np.flatnonzero(gaps > 3 * step)
+    wide = np.flatnonzero(gaps > 8 * step)
     if len(wide):
         many = (gaps[wide] - 1) // step
         nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + 1
