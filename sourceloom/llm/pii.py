@@ -80,6 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # -- words and their shapes --------------------------------------------------------
 
 _SIGNS = "@.-+_/()%[]"
+LEADING_ZERO = 31
 
 
 def _classes() -> np.ndarray:
@@ -110,31 +111,41 @@ class Words:
         bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         self.text = np.searchsorted(bounds, start, side="right") - 1
         self.start, self.end = start - bounds[self.text], end - bounds[self.text]
-        self.fine, self.coarse = self._shapes(classes, start, end)
+        self.fine, self.coarse = self._shapes(classes, start, end, code[start] == ord("0"))
         alone = np.zeros(1, dtype=np.int64)
         same = self.text[1:] == self.text[:-1]
         self.before = np.concatenate([alone, np.where(same, self.coarse[:-1], 0)]) if len(start) else alone[:0]
         self.after = np.concatenate([np.where(same, self.coarse[1:], 0), alone]) if len(start) else alone[:0]
 
     @staticmethod
-    def _shapes(classes, start, end):
-        """Hashed shapes: runs of classes with the lengths of digit runs, and without."""
+    def _shapes(classes, start, end, zero):
+        """Hashed shapes: runs of classes with the lengths of digit runs, and without.
+
+        In the first kind a leading zero is a class of its own: dialling codes have one,
+        numbers of things do not.
+        """
         if not len(start):
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         length = end - start
         offset = np.cumsum(length) - length
         own = classes[np.arange(int(length.sum())) + np.repeat(start - offset, length)]
-        new = np.diff(own, prepend=255) != 0
-        new[offset] = True
-        at = np.flatnonzero(new)
-        run = np.diff(at, append=len(own))
-        kind = own[at].astype(np.uint64)
-        first = np.searchsorted(at, offset)
-        runs = np.diff(first, append=len(at))
-        power = powers(int(runs.max()))[np.arange(len(at)) - np.repeat(first, runs)]
-        sized = kind + np.where(kind == 3, np.minimum(run, 20) * 16, 0).astype(np.uint64)
-        fine = mixed(np.add.reduceat((sized + np.uint64(1)) * power, first)) % np.uint64(FINE - 1)
-        coarse = mixed(np.add.reduceat((kind + np.uint64(1)) * power, first)) % np.uint64(COARSE - 1)
+
+        def hashed(own: np.ndarray, sized: bool) -> np.ndarray:
+            new = np.diff(own, prepend=255) != 0
+            new[offset] = True
+            at = np.flatnonzero(new)
+            run = np.diff(at, append=len(own))
+            kind = own[at].astype(np.uint64)
+            first = np.searchsorted(at, offset)
+            runs = np.diff(first, append=len(at))
+            power = powers(int(runs.max()))[np.arange(len(at)) - np.repeat(first, runs)]
+            if sized:
+                kind += np.where(kind == 3, np.minimum(run, 20) * 16, 0).astype(np.uint64)
+            return mixed(np.add.reduceat((kind + np.uint64(1)) * power, first))
+
+        marked = own.copy()
+        marked[offset[zero]] = LEADING_ZERO
+        fine, coarse = hashed(marked, True) % np.uint64(FINE - 1), hashed(own, False) % np.uint64(COARSE - 1)
         return fine.astype(np.int64) + 1, coarse.astype(np.int64) + 1
 
     def features(self) -> list[np.ndarray]:
@@ -313,6 +324,62 @@ LABELLED = (
     "call 911 or 112 in an emergency",
     "mean 0.123456789 with error 0.000012",
     "size 1024x768 at 60 Hz",
+    "call {{phone:0221 555 0134}} before six",
+    "home {{phone:040 5550 1177}} or work",
+    "tel {{phone:0161 496 0345}} in Manchester",
+    "mobile {{phone:07700 900456}} is best",
+    "office {{phone:020 7946 0123}} in London",
+    "dial {{phone:0033 1 5550 0142}} from abroad",
+    "ring {{phone:0049 89 5550133}} in Munich",
+    "phone {{phone:01632 960 555}} now",
+    "{{phone:0891 555 0166}} is her number",
+    "his number: {{phone:0711 555 0155}}, ask for Tim",
+    "reach him at {{phone:030/555 01 77}} today",
+    "fax {{phone:089/5550 1234}} for forms",
+    "call {{phone:0151/5550188}} at once",
+    "a message to {{phone:07911 123 456}} works",
+    "number {{phone:0044 20 7946 0999}} for guests",
+    "under {{phone:0531/555 02 33}} you get an answer",
+    "the line {{phone:01632 960 001}} is open all day",
+    "tel: {{phone:(0221) 555 0166}} or in person",
+    "ask {{email:tom(at)example.org}} about it",
+    "mail {{email:eve(at)uni.example.edu}} first",
+    "e-mail {{email:lee[at]shop.example.com}} with orders",
+    "send to {{email:a.lopez(at)example.co.uk}} please",
+    "contact {{email:hr(at)firm.example.net}} for jobs",
+    "write {{email:d.kim[at]example.org}} or call",
+    "questions to {{email:max_b[at]mail.example.de}} only",
+    "from {{email:office(at)town.example.fr}} since May",
+    "address: {{email:j-p(at)lab.example.org}}, room 12",
+    "copy {{email:ops[at]node.example.io}} on this",
+    "card {{card:5500.0000.0000.0004}} was refused",
+    "pay with {{card:4000/0566/5566/5556}} here",
+    "billed to {{card:6011.0009.9013.9424}} in June",
+    "add 500 000 and 20 000 to it",
+    "the years 1914 1918 1939 1945 in a row",
+    "some 1 000 000 people and 40 000 cars",
+    "scores of 21 15 19 and 30 points",
+    "codes 0001 0002 0003 in order",
+    "lines 100 200 300 of the log",
+    "from 10 000 to 20 000 units a year",
+    "2020 2021 2022 were hard years",
+    "at (noon) or (at) night",
+    "look [at] this and (at) that",
+    "parts 12/34 and 56/78 of the set",
+    "sums of 12 345 678 and 9 876 543",
+    "grid 040 050 060 by 010 020",
+    "times 09 30 and 17 45 each day",
+    "in 1871 the 555 men of the 20th",
+    "rates of 0.25 0.50 0.75 in turn",
+    "london line {{phone:020 7946 0311}} again",
+    "ring {{phone:028 9018 0456}} in Belfast",
+    "tel {{phone:0041 44 5550188}} in Zurich",
+    "from home {{phone:0043 1 5550177}} or Vienna",
+    "under {{phone:040/555 03 22}} from nine",
+    "desk {{phone:0341/555 08 41}} is free",
+    "sales {{phone:023 9249 0221}}, ask for Joe",
+    "dates 2001 2002 2003 in a list",
+    "keys 0010 0020 0030 of the map",
 )
 _MARK = re.compile(r"\{\{(\w+):(.*?)\}\}")
 LABELLED_SCHEMA = "text string, spans array<struct<kind:string,start:int,end:int>>"
@@ -358,12 +425,15 @@ def pattern_labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return rows.join(F.broadcast(picked), "_hash", "left_semi").select("text").mapInPandas(run, LABELLED_SCHEMA)
 
 
-def train(labelled: DataFrame, max_rows: int = SAMPLE_ROWS, rounds: int = 60) -> ShapeCrf:
-    """A model from at most ``max_rows`` labelled rows, those of the smallest text hashes.
+def train(labelled: DataFrame, max_rows: int = SAMPLE_ROWS, rounds: int = 60, always: DataFrame | None = None) -> ShapeCrf:
+    """A model from at most ``max_rows`` labelled rows, those of the smallest text hashes, and all
+    rows of a small table that is ``always`` learned from.
 
     Rows with null or empty texts are left out; without rows the model finds nothing.
     """
     rows = labelled.where(F.length("text") > 0).orderBy(F.xxhash64("text"), "text").limit(max_rows).collect()
+    if always is not None:
+        rows += always.where(F.length("text") > 0).limit(max_rows).collect()
     words = Words([r["text"] for r in rows])
     if not len(words.text):
         return ShapeCrf()
@@ -449,7 +519,7 @@ def _count(kind: str) -> Column:
 
 def op1_shape_crf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = train(labelled_table(spark).unionByName(pattern_labelled(docs)))
+    model = train(pattern_labelled(docs), always=labelled_table(spark))
     found = find_personal_data(docs, model)
     return found.select(
         "doc_id",
