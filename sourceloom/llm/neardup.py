@@ -244,33 +244,80 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     return edits_within(a, b, most) <= most
 
 
-def word_bag(words: np.ndarray) -> bytes:
-    """How many words fall on each of ``BAG`` counters, up to 255."""
-    return np.minimum(np.bincount((words % np.uint64(BAG)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes()
+def level_of(n: np.ndarray) -> np.ndarray:
+    """How often the words of a text are halved until at most ``BAG`` are expected to be left."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / BAG))).astype(np.int64)
 
 
-def may_be_alike(roots: np.ndarray, blocks: np.ndarray, lengths: np.ndarray, bags: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+def word_bag(words: np.ndarray, similarity: float = SIMILARITY) -> bytes:
+    """How many words fall on each of ``BAG`` counters, up to 255.
+
+    Counters would say nothing about a long text, so that of its words, each with the number of
+    its occurrence, a part is counted that their hashes choose alike in every text. A text that
+    is nearly long enough for the next smaller part has a second bag, of that one.
+    """
+    n = len(words)
+    level = int(level_of(np.array([n]))[0])
+    next_too = n > similarity * BAG * 2**level
+    items = occurrence_kmers(words.astype(np.uint64), 1) if level or next_too else words
+
+    def counted(chosen: np.ndarray) -> bytes:
+        return np.minimum(np.bincount((chosen % np.uint64(BAG)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes()
+
+    def part(level: int) -> bytes:
+        return counted(items[items & np.uint64((1 << level) - 1) == 0] >> np.uint64(32))
+
+    return (part(level) if level else counted(words)) + (part(level + 1) if next_too else b"")
+
+
+def split_bags(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """First and second bags as matrices; a missing one is empty."""
+    none = bytes(BAG)
+    both = [b"".join(x[at : at + BAG] or none for x in bags) for at in (0, BAG)]
+    first, second = (np.frombuffer(x, np.uint8).reshape(len(bags), BAG).astype(np.int16) for x in both)
+    return first, second
+
+
+def bags_allow(n: np.ndarray, m: np.ndarray, a: tuple, b: tuple, similarity: float) -> np.ndarray:
+    """Whether texts of ``n`` and ``m`` words with bags ``a`` and ``b`` (first, second) may be alike.
+
+    An edit changes the length by one at most, and takes at most one word from the bag of each
+    text. Where a part of the words is counted, the edits in it may exceed their share by
+    five standard deviations, which fewer than one in a million alike pairs do.
+    """
+    most = (np.maximum(n, m) * (1 - similarity) + 1e-9).astype(np.int64)
+    x, y = level_of(n), level_of(m)
+    higher = np.maximum(x, y)
+    left = np.where((x < higher)[:, None], a[1], a[0])
+    right = np.where((y < higher)[:, None], b[1], b[0])
+    gap = left - right
+    lost = (np.abs(gap).sum(axis=1, dtype=np.int64) + np.abs(gap.sum(axis=1, dtype=np.int64))) // 2
+    share = most / 2.0**higher
+    limit = np.where(higher == 0, most, share + 5 * np.sqrt(share) + 1)
+    # Texts more than one level apart have no bags of the same part.
+    return (np.abs(n - m) <= most) & ((lost <= limit) | (np.abs(x - y) > 1))
+
+
+def may_be_alike(roots: np.ndarray, blocks: np.ndarray, lengths: np.ndarray, bags: list[bytes], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places of texts with different roots that the bounds leave.
 
-    If there are two blocks, pairs lie across them. An edit changes the length by one at
-    most, and takes at most one word from the bag of each text.
+    If there are two blocks, pairs lie across them.
     """
     across = blocks.min() != blocks.max()
-    bags = bags.astype(np.int16)
+    first, second = split_bags(bags)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(len(roots) - 1):
         most = (np.maximum(lengths[i + 1 :], lengths[i]) * (1 - similarity) + 1e-9).astype(np.int64)
         open_ = (roots[i + 1 :] != roots[i]) & (np.abs(lengths[i + 1 :] - lengths[i]) <= most)
         if across:
             open_ &= blocks[i + 1 :] != blocks[i]
-        at = np.flatnonzero(open_)
+        at = i + 1 + np.flatnonzero(open_)
         if not len(at):
             continue
-        gap = bags[i + 1 + at] - bags[i]
-        lost = (np.abs(gap).sum(axis=1, dtype=np.int64) + np.abs(gap.sum(axis=1, dtype=np.int64))) // 2
-        at = at[lost <= most[at]]
+        own = np.full(len(at), i)
+        at = at[bags_allow(lengths[own], lengths[at], (first[own], second[own]), (first[at], second[at]), similarity)]
         left.append(np.full(len(at), i))
-        right.append(i + 1 + at)
+        right.append(at)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -281,12 +328,9 @@ def bounded(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                n, m = frame["n_a"].to_numpy(), frame["n_b"].to_numpy()
-                bags = [np.frombuffer(b"".join(frame[c]), np.uint8).reshape(len(frame), BAG).astype(np.int16) for c in ("bag_a", "bag_b")]
-                gap = bags[0] - bags[1]
-                lost = (np.abs(gap).sum(axis=1, dtype=np.int64) + np.abs(gap.sum(axis=1, dtype=np.int64))) // 2
-                most = (np.maximum(n, m) * (1 - similarity) + 1e-9).astype(np.int64)
-                yield frame.loc[(np.abs(n - m) <= most) & (lost <= most), ["a", "b"]]
+                bags = [split_bags(frame[c].tolist()) for c in ("bag_a", "bag_b")]
+                good = bags_allow(frame["n_a"].to_numpy(), frame["n_b"].to_numpy(), *bags, similarity)
+                yield frame.loc[good, ["a", "b"]]
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
@@ -366,8 +410,7 @@ def candidates_left(met: DataFrame, roots: DataFrame, texts: DataFrame, similari
         def done() -> Iterator[pd.DataFrame]:
             if len(held) > 1:
                 ids, roots, blocks, lengths = (np.array([h[c] for h in held], dtype=np.int64) for c in range(4))
-                bags = np.frombuffer(b"".join(h[4] for h in held), dtype=np.uint8).reshape(len(held), BAG)
-                left, right = may_be_alike(roots, blocks, lengths, bags, similarity)
+                left, right = may_be_alike(roots, blocks, lengths, [h[4] for h in held], similarity)
                 yield pd.DataFrame({"a": np.minimum(ids[left], ids[right]), "b": np.maximum(ids[left], ids[right])})
 
         for frame in frames:
@@ -465,7 +508,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in text_batches(frames, "text", BATCH):
             words = own_words(part["text"].tolist())
-            coded, bags = [w.astype(np.uint32) for w in words], [word_bag(w) for w in words]
+            coded, bags = [w.astype(np.uint32) for w in words], [word_bag(w, similarity) for w in words]
             yield pd.DataFrame({"id": part["id"], "n_words": [len(w) for w in words], "bag": bags, "words": [w.tobytes() for w in coded]})
 
     # Few keys go to the texts; of many, the texts come to them.

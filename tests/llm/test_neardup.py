@@ -107,3 +107,31 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _kept int, _key string")
     kept = neardup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("n", [200, 250, 256, 300, 500, 2000, 9000])
+def test_bags_of_long_texts(n):
+    """Alike pairs of any length pass, also across two levels; unlike ones hardly do."""
+    rng = np.random.default_rng(n)
+    often = rng.integers(0, 2**60, size=40)
+
+    def text(size):
+        some = rng.integers(0, 2**60, size=size)
+        return np.where(rng.random(size) < 0.4, rng.choice(often, size), some).astype(np.uint64)
+
+    texts = []
+    for _ in range(30):
+        base = text(n)
+        copy = base.copy()
+        at = rng.choice(n, size=n // 5, replace=False)
+        copy[at] = rng.integers(0, 2**60, size=len(at)).astype(np.uint64)
+        longer = np.concatenate([base, text(n // 5)])
+        texts += [base, copy, longer]
+    lengths = np.array([len(t) for t in texts])
+    groups = np.arange(len(texts))
+    left, right = neardup.may_be_alike(groups, np.zeros(len(texts), int), lengths, [neardup.word_bag(t) for t in texts])
+    found = set(zip(left.tolist(), right.tolist()))
+    for i in range(0, len(texts), 3):
+        assert {(i, i + 1), (i, i + 2)} <= found
+    others = [(i, j) for i, j in found if i // 3 != j // 3]
+    assert len(others) < 0.02 * len(texts) ** 2 / 2

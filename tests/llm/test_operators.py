@@ -203,7 +203,7 @@ def test_bounds_leave_every_alike_pair():
         base = [rng.randint(0, 400) for _ in range(rng.randint(1, 60))]
         texts += [base, [x for x in base if rng.random() < 0.9], [rng.randint(0, 400) if rng.random() < 0.1 else x for x in base]]
     texts = [np.array(t or [1], dtype=np.uint64) for t in texts]
-    bags = np.stack([np.frombuffer(neardup.word_bag(t), np.uint8) for t in texts])
+    bags = [neardup.word_bag(t) for t in texts]
     n = len(texts)
     i, j = neardup.may_be_alike(np.arange(n), np.zeros(n, int), np.array([len(t) for t in texts]), bags)
     alike = {(a, b) for a in range(n) for b in range(a + 1, n) if neardup.alike(texts[a], texts[b])}
