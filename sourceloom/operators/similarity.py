@@ -34,7 +34,10 @@ BLOCK_BYTES = 128 << 20
 # Rows that one task may hold of all others' best; more are found by a threshold.
 TOP_ROWS = 100_000
 SCORE_BINS = 1 << 16
+# Blocks grow beyond the size asked for, up to the limits above, before a row is copied more often.
+BLOCK_COPIES = 8
 _TILE_CELLS = 4 << 20
+_PAIRS = 1 << 16
 
 # The scorers below travel to the executors as code, so that the package need not be
 # installed there.
@@ -122,7 +125,6 @@ def top_k_batch(
     one = queries.select("embedding").where(is_valid(F.col("embedding"))).first()
     width = len(one["embedding"]) if one else 1
     most = max(1, min(query_bytes // (4 * width), STATE_BYTES // (HIT_BYTES * max(k, 1))))
-    block_rows = max(1, min(block_rows, BLOCK_BYTES // (8 * width)))
     held = queries.limit(most + 1).toArrow()
     if held.num_rows <= most:
         ids, vectors = _vectors(held, "query_id", width)
@@ -139,17 +141,26 @@ def top_k_batch(
     return top_n(near, ["query_id"], [F.desc("score"), F.col("key")], k)
 
 
+def block_count(rows: int, size: int, limit: int) -> int:
+    """How many blocks: of ``size`` rows as long as these are few, then of more rows, at most
+    ``limit``. Each row is copied once per block of the other side."""
+    size = max(size, -(-rows // BLOCK_COPIES))
+    return max(1, -(-rows // max(1, min(size, limit))))
+
+
 def block_join_top_k(
     base: DataFrame, queries: DataFrame, k: int, width: int, base_rows: int, query_rows: int
 ) -> DataFrame:
     """k candidates per query and pair of blocks, for any number of queries.
 
     Rows fall into blocks by a hash of their own id, so blocks are even whatever the
-    data repeats. Each block meets each block of the other side once; a pair of blocks
+    data repeats. Blocks are as large as a task can hold where there are many, so that rows
+    are copied and merged seldom. Each block meets each block of the other side once; a pair of blocks
     passes on k rows per query, never its pairs.
     """
-    base_blocks = max(1, -(-base.count() // base_rows))
-    query_blocks = max(1, -(-queries.count() // query_rows))
+    hits = STATE_BYTES // (HIT_BYTES * max(k, 1))
+    base_blocks = block_count(base.count(), base_rows, min(BLOCK_ROWS, BLOCK_BYTES // (8 * width)))
+    query_blocks = block_count(queries.count(), query_rows, min(QUERY_BYTES // (4 * width), hits))
 
     def block(name: str, n: int):
         return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
@@ -201,6 +212,16 @@ def _scan_scorer(ids: list, vectors: np.ndarray, k: int, id_type: pa.DataType, f
     return scan
 
 
+def _units(vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """The vectors at length 1, in 32 bits; those without a length stay as they are."""
+    return (vectors / np.where(norms > 0, norms, 1.0)[:, None]).astype(np.float32)
+
+
+def _cosines(dots: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    scores = np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
+    return np.rint(scores * SCORE_GRID) / SCORE_GRID
+
+
 class _Best:
     """Running top k of each query over the rows seen so far, as arrays of scores and keys.
 
@@ -210,6 +231,9 @@ class _Best:
     def __init__(self, ids: list, vectors: np.ndarray, k: int, floors: np.ndarray | None = None):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.norms = np.linalg.norm(vectors, axis=1)
+        self.units = _units(vectors, self.norms)
+        # What a product of two rounded unit vectors may be off by.
+        self.slack = (vectors.shape[1] + 16) * 2.4e-7
         self.floors = np.full(len(ids), -np.inf) if floors is None else floors
         none = np.zeros(0)
         self.scores: list[np.ndarray] = [none] * len(ids)
@@ -223,16 +247,46 @@ class _Best:
         rows, named = rows[order], np.empty(len(keys), dtype=object)
         named[:] = [keys[i] for i in order]
         norms = np.linalg.norm(rows, axis=1)
+        units = _units(rows, norms) if np.isfinite(norms).all() and np.isfinite(self.norms).all() else None
         step = max(1, _TILE_CELLS // len(keys))
         for start in range(0, len(self.ids), step):
+            if units is not None:
+                self._add_near(slice(start, start + step), rows, norms, units, named)
+                continue
             tile = slice(start, start + step)
-            lengths = np.outer(self.norms[tile], norms)
-            dots = self.vectors[tile] @ rows.T
-            scores = np.divide(dots, lengths, out=np.zeros_like(dots), where=lengths > 0)
-            scores = np.rint(scores * SCORE_GRID) / SCORE_GRID
+            scores = _cosines(self.vectors[tile] @ rows.T, np.outer(self.norms[tile], norms))
             for i, line in enumerate(scores, start):
                 self._merge(i, line, named)
 
+    def _add_near(self, tile: slice, rows: np.ndarray, norms: np.ndarray, units: np.ndarray, named: np.ndarray) -> None:
+        """Products of 32-bit unit vectors tell which rows can be among the best of a query; these
+        alone are scored in 64 bits."""
+        near = self.units[tile] @ units.T
+        have = self.scores[tile]
+        least = np.array([max(f, s[-1]) if len(s) == self.k else f for f, s in zip(self.floors[tile], have)])
+        if len(named) > self.k:
+            open_ = np.flatnonzero([len(s) < self.k for s in have])
+            at = len(named) - self.k
+            if len(open_):
+                reached = np.partition(near[open_], at, axis=1)[:, at]
+                least[open_] = np.maximum(least[open_], reached - self.slack)
+        hit = near >= (least - self.slack - 2 / SCORE_GRID).astype(np.float32)[:, None]
+        # Where many rows are near, as with copies, all are scored at once.
+        for i in np.flatnonzero(np.count_nonzero(hit, axis=1) > len(named) // 32):
+            q = tile.start + i
+            self._merge(q, _cosines(rows @ self.vectors[q], self.norms[q] * norms), named)
+            hit[i] = False
+        of, found = np.nonzero(hit)
+        scores = np.empty(len(of))
+        for start in range(0, len(of), _PAIRS):
+            some = slice(start, start + _PAIRS)
+            q, r = of[some] + tile.start, found[some]
+            scores[some] = _cosines(np.einsum("ij,ij->i", self.vectors[q], rows[r]), self.norms[q] * norms[r])
+        ends = np.searchsorted(of, np.arange(len(have) + 1))
+        for i in np.unique(of):
+            some = slice(ends[i], ends[i + 1])
+            self._merge(tile.start + i, scores[some], named[found[some]])
+
     def _merge(self, i: int, scores: np.ndarray, keys: np.ndarray) -> None:
         have, k, floor = self.scores[i], self.k, self.floors[i]
         if len(have) == k:
