@@ -2,15 +2,62 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sourceloom.functions.text import WORD
 
+# Executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Up to U+024F, Java, RE2 and Python tell the same words and lower-case them alike.
+NOT_LATIN = r"[^\x00-\x{24f}]"
+# Bytes of text whose words are counted at once, or one longer text.
+COUNTED_BYTES = 8 << 20
+
+
+def slots_of(words: pa.Array, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of words as they stand in texts, one behind the other, and how many each word has."""
+
+    def hashed(parts: list[bytes]) -> np.ndarray:
+        digests = b"".join([hashlib.md5(part, usedforsecurity=False).digest() for part in parts])
+        return np.frombuffer(digests, dtype=">u4")[::4].astype(np.int64) % slots
+
+    # Words of several parts: where the case changes, or that a lower-cased letter cuts.
+    cut = pc.match_substring_regex(words, "[a-z0-9][A-Z]|\u0130").to_numpy(zero_copy_only=False)
+    found = np.where(cut, 0, pc.binary_length(words).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
+    split = [re.findall(r"\w+", re.sub("(?<=[a-z0-9])(?=[A-Z])", " ", words[int(i)].as_py()).lower()) for i in np.flatnonzero(cut)]
+    found[cut] = [len(parts) for parts in split]
+    flat = np.empty(found.sum(), dtype=np.int64)
+    of_cut = np.repeat(cut, found)
+    flat[of_cut] = hashed([part.encode() for parts in split for part in parts])
+    whole = pc.utf8_lower(words.filter(pa.array((found > 0) & ~cut)))
+    flat[~of_cut] = hashed(whole.cast(pa.large_binary() if pa.types.is_large_string(whole.type) else pa.binary()).to_pylist())
+    return flat, found
+
+
+def slot_counts(texts: pa.Array, slots: int) -> np.ndarray:
+    """How often the words of each text fall into each slot; each distinct word is hashed once."""
+    words = pc.split_pattern_regex(texts, r"[^\pL\pN_]+")
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    coded = words.flatten().dictionary_encode()
+    flat, many = slots_of(coded.dictionary, slots)
+    number = coded.indices.to_numpy(zero_copy_only=False)
+    n = many[number]
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    slot = flat[np.repeat((np.cumsum(many) - many)[number], n) + inside]
+    return np.bincount(np.repeat(owner, n) * slots + slot, minlength=len(texts) * slots).reshape(len(texts), slots)
+
 
 def tokens_of(text: Column) -> Column:
     """Lower-case words; camelCase names are split at the case change."""
@@ -21,8 +68,10 @@ def tokens_of(text: Column) -> Column:
 class HashingEncoder:
     """Signed feature hashing of word counts as one column expression.
 
-    The vector is a projection of its own row: no shuffle, no Python. Its numbers are
-    whole, so dot products and norms are exact in any order of addition.
+    The vector is a projection of its own row: no shuffle. Words are counted in Arrow
+    batches, where each word is hashed once; texts beyond Latin letters, which Java and
+    Python may read differently, are encoded by Spark's functions. The numbers are whole,
+    so dot products and norms are exact in any order of addition.
     """
 
     def __init__(self, dim: int = 64):
@@ -32,6 +81,27 @@ class HashingEncoder:
         self.name = f"hashing-{dim}"
 
     def column(self, text: Column) -> Column:
+        """The vector of a text; null for null."""
+        dim = self.dim
+
+        @F.arrow_udf("array<float>")
+        def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                texts = batch.fill_null("")
+                part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // COUNTED_BYTES
+                vectors = np.zeros((len(batch), dim), dtype=np.float32)
+                for some in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(part)) + 1):
+                    if len(some):
+                        counts = slot_counts(texts.slice(some[0], len(some)), 2 * dim)
+                        vectors[some] = counts[:, :dim] - counts[:, dim:]
+                offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dim)
+                yield pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()), mask=batch.is_null())
+
+        latin = counted(F.when(~text.rlike(NOT_LATIN), text))
+        return F.coalesce(latin, self.projected(text))
+
+    def projected(self, text: Column) -> Column:
+        """The same by Spark's functions, for texts in any script."""
         dim, slots = self.dim, 2 * self.dim
 
         def slot(token: Column) -> Column:

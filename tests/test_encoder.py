@@ -66,3 +66,31 @@ def test_one_encoding_per_distinct_text(spark):
     assert once.count() == 300 and plain.exceptAll(once).count() == 0
     nulls = spark.createDataFrame([(1, None)], "id int, text string")
     assert embed_distinct(nulls, "text", encoder).select(F.col("embedding").isNull()).first()[0]
+
+
+def test_words_counted_in_batches_are_those_of_spark(spark):
+    latin = [chr(i) for i in range(1, 0x250)]
+    texts = ["".join(latin), " ".join(latin), " ".join(f"a{c}B{c}9{c}" for c in latin), "İzmirXy fooBar9Baz", "x" * 100_000]
+    texts += ["ΣΑΣ Σ.", "день ДеньXy", "中文 á", "", None, "fooBar " * 3]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(2)
+    for dim in (1, 7, 64):
+        encoder = HashingEncoder(dim)
+        got = rows.select(encoder.column(F.col("text")).alias("a"), encoder.projected(F.col("text")).alias("b"))
+        assert got.where("not (a <=> b)").count() == 0
+
+
+def test_latin_words_are_hashed_in_batches(spark):
+    plan = spark.range(1).select(HashingEncoder(4).column(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
+
+
+def test_slots_of_a_batch():
+    import pyarrow as pa
+
+    from sourceloom.functions import encoder
+
+    texts = ["aB c", "", "c c", "x" * 50, "\u0130 a"] * 3
+    for kind in (pa.string(), pa.large_string()):
+        counts = encoder.slot_counts(pa.array(texts, kind), 14)
+        assert [[a - b for a, b in zip(row[:7], row[7:])] for row in counts.tolist()] == [by_hand(t, 7) for t in texts]
+        assert encoder.slot_counts(pa.array([""], kind), 4).tolist() == [[0, 0, 0, 0]]
