@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions import java, text
+from sourceloom.operators.sizing import broadcast_if_small
+from sourceloom.session import cut_lineage
 
 
 def read_sources(files: DataFrame) -> DataFrame:
@@ -81,6 +83,31 @@ def call_edges_of(sources: DataFrame) -> DataFrame:
     )
 
 
+def split_by_sharing(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files with calls, as (package, classes, _prefix, methods, calls) with distinct names: those
+    whose package and class no other file has, and those that share them.
+
+    A full name is this prefix, a dot and a name without dots, so that an edge can only be
+    found in several files where these have one prefix.
+    """
+    prefix = F.concat_ws(".", F.col("package"), F.get("classes", F.lit(0)))
+    distinct = [F.array_distinct(c).alias(c) for c in ("methods", "calls")]
+    files = sources.where("size(methods) > 0 and size(calls) > 0").select("package", "classes", prefix.alias("_prefix"), *distinct)
+    shared = files.groupBy("_prefix").count().where("count > 1").select("_prefix")
+    shared = broadcast_if_small(cut_lineage(shared))
+    return files.join(shared, "_prefix", "left_anti"), files.join(shared, "_prefix", "left_semi")
+
+
+def edge_lists_of(files: DataFrame, side: str) -> DataFrame:
+    """(side, _prefix, _others): all edges of a file by their caller or callee, the other ends
+    as bare names behind a prefix."""
+    near, far = ("methods", "calls") if side == "caller" else ("calls", "methods")
+    named = files.select("package", "classes", "_prefix", F.explode(near).alias("_name"), F.col(far).alias("_others"))
+    name = java.method_fqn(F.col("package"), F.col("classes"), F.col("_name"))
+    others = F.array_remove("_others", F.col("_name"))
+    return named.select(name.alias(side), "_prefix", others.alias("_others")).where(F.size("_others") > 0)
+
+
 def edges_of_fragments(fragments: DataFrame) -> DataFrame:
     """The same edges from a table of fragments."""
     return (

@@ -68,8 +68,11 @@ def index_files(
     store.write_run("sources", run, rows)
 
     written = store.read_run("sources", run)
-    found = call_edges_of(written if with_graph else written.limit(0))
-    store.write_edges(run, new_edges(store.call_edges(), found) if known else found)
+    graphed = written if with_graph else written.limit(0)
+    if known:
+        store.write_edges(run, new_edges(store.call_edges(), call_edges_of(graphed)))
+    else:
+        store.write_edges_of(run, graphed)
 
     removed = 0
     if replace:

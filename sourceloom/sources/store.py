@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import sys
 from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sourceloom.operators.fragments import call_edges_of, fragments_of
+from sourceloom.operators.fragments import call_edges_of, edge_lists_of, fragments_of, split_by_sharing
 from sourceloom.operators.graph import method_nodes
 from sourceloom.operators.sizing import BROADCAST_BYTES, BROADCAST_ROWS, row_bytes
 from sourceloom.schemas import CALL_EDGES, EDGE_FILES, HASH_STATE, REMOVED, RUNS, SOURCES
@@ -270,11 +271,32 @@ class CorpusStore:
     def write_edges(self, run: int, edges: DataFrame) -> None:
         """Write a run's edges in both orders, and which file holds which names."""
         edges = cut_lineage(edges.select("caller", "callee"))
+        self._write_sides(run, edges, lambda side: None)
+
+    def write_edges_of(self, run: int, sources: DataFrame) -> None:
+        """Write the edges of the first run's files in both orders.
+
+        Only edges of files that share package and class can be found twice and are made
+        distinct. The others move as lists, one for each name, and are opened up behind the shuffle.
+        """
+        alone, shared = split_by_sharing(sources)
+        self._write_sides(run, cut_lineage(call_edges_of(shared)), lambda side: edge_lists_of(alone, side))
+
+    def _write_sides(self, run: int, edges: DataFrame, lists: Callable[[str], DataFrame | None]) -> None:
         files = None
         for side, name in SIDES.items():
             other = "callee" if side == "caller" else "caller"
-            ordered = edges.repartitionByRange(side, other).sortWithinPartitions(side, other)
-            self.write_run(name, run, ordered, max_rows=EDGE_FILE_ROWS)
+            rows, at = edges, [side, other]
+            if (listed := lists(side)) is not None:
+                # A list stays together; edges of names that many files share may be parted.
+                single = edges.select(side, F.lit("").alias("_prefix"), F.array(other).alias("_others"), F.col(other).alias("_at"))
+                rows, at = listed.withColumn("_at", F.lit("")).unionByName(single), [side, "_at"]
+            ordered = rows.repartitionByRange(*at)
+            if listed is not None:
+                ends = ordered.select(side, "_prefix", F.explode("_others").alias("_end"))
+                full = F.when(F.col("_prefix") == "", F.col("_end")).otherwise(F.concat_ws(".", "_prefix", "_end"))
+                ordered = ends.select(side, full.alias(other))
+            self.write_run(name, run, ordered.sortWithinPartitions(side, other), max_rows=EDGE_FILE_ROWS)
             held = self.read_run(name, run).select(F.col("_metadata.file_name").alias("part"), side).groupBy("part")
             held = held.agg(F.min(side).alias("low"), F.max(side).alias("high")).withColumn("side", F.lit(side))
             files = held if files is None else files.unionByName(held)
