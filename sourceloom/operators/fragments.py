@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions import java, text
+from sourceloom.operators.keyfilter import might_match
 from sourceloom.operators.sizing import broadcast_if_small
 from sourceloom.session import cut_lineage
 
@@ -108,6 +109,21 @@ def edge_lists_of(files: DataFrame, side: str) -> DataFrame:
     return named.select(name.alias(side), "_prefix", others.alias("_others")).where(F.size("_others") > 0)
 
 
+def with_new_names(sources: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Files that can hold an edge that no indexed file holds: none has their package, class,
+    methods and calls, in whatever order. Only indexed files that a filter lets through move."""
+    keys = ["_prefix", "_methods", "_calls"]
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        names = [F.array_sort(F.array_distinct(c)).alias(f"_{c}") for c in ("methods", "calls")]
+        prefix = F.concat_ws(".", F.col("package"), F.get("classes", F.lit(0)))
+        return rows.where("size(methods) > 0 and size(calls) > 0").select("package", "classes", "methods", "calls", prefix.alias("_prefix"), *names)
+
+    found = keyed(sources)
+    seen = might_match(keyed(indexed).select(*keys), found.select(*keys), keys, found.count())
+    return found.join(seen.distinct(), keys, "left_anti")
+
+
 def edges_of_fragments(fragments: DataFrame) -> DataFrame:
     """The same edges from a table of fragments."""
     return (

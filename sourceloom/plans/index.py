@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sourceloom.functions.encoder import HashingEncoder
 from sourceloom.functions.vectors import norm
 from sourceloom.operators.embed import embed, embed_distinct
-from sourceloom.operators.fragments import call_edges_of, read_sources
+from sourceloom.operators.fragments import call_edges_of, read_sources, with_new_names
 from sourceloom.operators.graph import new_edges
 from sourceloom.operators.incremental import changed_files, with_hash
 from sourceloom.sources.files import JAVA, scan_files
@@ -70,9 +70,11 @@ def index_files(
     written = store.read_run("sources", run)
     graphed = written if with_graph else written.limit(0)
     if known:
-        store.write_edges(run, new_edges(store.call_edges(), call_edges_of(graphed)))
+        if store.holds_all_edges(head):
+            graphed = with_new_names(graphed, store.sources())
+        store.write_edges(run, new_edges(store.call_edges(), call_edges_of(graphed)), with_graph)
     else:
-        store.write_edges_of(run, graphed)
+        store.write_edges_of(run, graphed, with_graph)
 
     removed = 0
     if replace:

@@ -46,6 +46,8 @@ LOOKUP_COLUMNS = {"sources": ("source_key",), "call_edges": ("caller", "callee")
 # that one may name in a filter.
 EDGE_FILE_ROWS = 1_000_000
 LISTED_PARTS = 20_000
+# A row of this side and no file notes that a run stored all edges of its files.
+WHOLE = "all"
 SIDES = {"caller": "call_edges", "callee": "callee_edges"}
 # Rows added since, as a part of the compacted hash state, at which it is written anew.
 COMPACT_AT = 0.25
@@ -251,6 +253,12 @@ class CorpusStore:
         hit = names.select("target").mapInPandas(run, "part string").distinct().limit(LISTED_PARTS + 1).toArrow()["part"].to_pylist()
         return hit if len(hit) <= LISTED_PARTS else None
 
+    def holds_all_edges(self, head: Head) -> bool:
+        """Whether the graph as stored has all edges of all indexed files: every run has noted
+        that it stored its own, and none was taken back."""
+        noted = self._committed("edge_files", head).where(F.col("side") == WHOLE).select("run").distinct()
+        return not head.removed and noted.count() == head.run
+
     def methods(self) -> DataFrame:
         return method_nodes(self.call_edges())
 
@@ -268,22 +276,25 @@ class CorpusStore:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.parquet(self.run_path(name, run))
 
-    def write_edges(self, run: int, edges: DataFrame) -> None:
-        """Write a run's edges in both orders, and which file holds which names."""
+    def write_edges(self, run: int, edges: DataFrame, whole: bool = False) -> None:
+        """Write a run's edges in both orders, and which file holds which names. ``whole`` tells
+        that no edge of the run's files is missing in the graph then."""
         edges = cut_lineage(edges.select("caller", "callee"))
-        self._write_sides(run, edges, lambda side: None)
+        self._write_sides(run, edges, lambda side: None, whole)
 
-    def write_edges_of(self, run: int, sources: DataFrame) -> None:
+    def write_edges_of(self, run: int, sources: DataFrame, whole: bool = False) -> None:
         """Write the edges of the first run's files in both orders.
 
         Only edges of files that share package and class can be found twice and are made
         distinct. The others move as lists, one for each name, and are opened up behind the shuffle.
         """
         alone, shared = split_by_sharing(sources)
-        self._write_sides(run, cut_lineage(call_edges_of(shared)), lambda side: edge_lists_of(alone, side))
+        self._write_sides(run, cut_lineage(call_edges_of(shared)), lambda side: edge_lists_of(alone, side), whole)
 
-    def _write_sides(self, run: int, edges: DataFrame, lists: Callable[[str], DataFrame | None]) -> None:
-        files = None
+    def _write_sides(self, run: int, edges: DataFrame, lists: Callable[[str], DataFrame | None], whole: bool) -> None:
+        files = self._empty("edge_files").drop("run")
+        if whole:
+            files = self.spark.createDataFrame([(WHOLE,)], "side string").select(*[F.col(c) if c == "side" else F.lit(None).cast("string").alias(c) for c in files.columns])
         for side, name in SIDES.items():
             other = "callee" if side == "caller" else "caller"
             rows, at = edges, [side, other]
@@ -299,7 +310,7 @@ class CorpusStore:
             self.write_run(name, run, ordered.sortWithinPartitions(side, other), max_rows=EDGE_FILE_ROWS)
             held = self.read_run(name, run).select(F.col("_metadata.file_name").alias("part"), side).groupBy("part")
             held = held.agg(F.min(side).alias("low"), F.max(side).alias("high")).withColumn("side", F.lit(side))
-            files = held if files is None else files.unionByName(held)
+            files = files.unionByName(held)
         self.write_run("edge_files", run, files.coalesce(1))
 
     def read_run(self, name: str, run: int) -> DataFrame:

@@ -56,3 +56,40 @@ def test_edges_of_unshared_files_move_as_lists(spark, tmp_path, monkeypatch):
     want = {(f"p.K{k}.{m}", f"p.K{k}.{o}") for k in {0, 1, *range(4, 12)} for m, others in names.items() for o in others}
     got = [tuple(r) for r in store.call_edges().collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def edges_of_runs(spark, path, *runs, **options):
+    store = sl.CorpusStore(spark, str(path))
+    for i, files in enumerate(runs):
+        rows = [(f"/{name}.java", bytearray(code.encode())) for name, code in files.items()]
+        more = {k: v[i] for k, v in options.items()}
+        sl.index_files(spark.createDataFrame(rows, "file_path string, content binary"), store, **more)
+    return store, sorted((r.run, r.caller, r.callee) for r in store._all("call_edges").collect())
+
+
+A = "class A { public void f() { g(); } public void g() { } }"
+B = "class A { public void g() { } public void f() { g(); f(); } }"
+
+
+def test_files_of_known_names_are_not_opened_up(spark, tmp_path, monkeypatch):
+    from sourceloom.plans import index
+
+    seen = []
+    real = index.new_edges
+    monkeypatch.setattr(index, "new_edges", lambda existing, found: seen.append(found.count()) or real(existing, found))
+    first = {"a": A, "x": "class X { public void h() { i(); } public void i() { } }"}
+    second = {**first, "a": "// edited\n" + B, "n": A.replace("class A", "class N"), "k": "class K { }"}
+    _, edges = edges_of_runs(spark, tmp_path / "s", first, second, second, full_rescan=[False, False, True])
+    assert seen == [2, 0]  # of the new file alone; both directions, as a declaration reads like a call
+    one = [(1, "A.f", "A.g"), (1, "A.g", "A.f"), (1, "X.h", "X.i"), (1, "X.i", "X.h")]
+    assert edges == one + [(2, "N.f", "N.g"), (2, "N.g", "N.f")]
+
+
+def test_edges_of_runs_without_a_graph_come_later(spark, tmp_path):
+    _, edges = edges_of_runs(spark, tmp_path / "s", {"a": A}, {"a": A}, with_graph=[False, True], full_rescan=[False, True])
+    assert edges == [(2, "A.f", "A.g"), (2, "A.g", "A.f")]
+
+
+def test_edges_are_found_again_once_files_were_taken_back(spark, tmp_path):
+    store, _ = edges_of_runs(spark, tmp_path / "s", {"a": A}, {"b": "class B { }"}, {"c": A}, replace=[False, True, False])
+    assert sorted(map(tuple, store.call_edges().collect())) == [("A.f", "A.g"), ("A.g", "A.f")]
