@@ -8,6 +8,12 @@ class and which start with what kind of comment.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +22,7 @@ from sourceloom.operators import embed, fragments, graph, incremental, similarit
 from sourceloom.plans import index, report, reset, search, summary
 from sourceloom.session import scratch_dir
 from sourceloom.sources import files
+from sourceloom.sources.listing import can_list, opened, qualified
 from sourceloom.sources.store import CorpusStore
 from sourceloom.streaming.incremental import index_stream as start_index_stream
 
@@ -589,7 +596,36 @@ def write_page_files(spark, sf_dir, folder: str) -> None:
     pages = table(spark, sf_dir, "pages")
     body = F.regexp_replace("html", 'href="/([A-Za-z]+)"', " private void $1() { }")
     code = F.concat(F.lit("class Page"), F.col("page_id").cast("string"), F.lit("\n"), body)
-    pages.select(code.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    write_texts(pages.select(code.alias("value")), folder)
+
+
+def write_texts(rows: DataFrame, folder: str) -> None:
+    """One file per row of the column ``value``, with a line end, as Spark's text writer leaves
+    them with one record per file. Tasks write them where they can open the folder: Hadoop's
+    local files start processes to set the rights of each. A row that is written again, by a
+    retry or a second attempt, gets the name it had."""
+    root = qualified(rows.sparkSession, folder)
+    if not can_list(root):
+        rows.write.option("maxRecordsPerFile", 1).text(folder)
+        return
+    there, inside, _ = opened(root)
+    there.create_dir(inside)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (there, inside, _), task, seen = opened(root), TaskContext.get(), Counter()
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                digest = hashlib.md5(content, usedforsecurity=False).hexdigest()
+                name = f"{inside}/part-{task.partitionId():05d}-{digest}-{seen[digest]}.txt"
+                seen[digest] += 1
+                begun = f"{name}.{task.taskAttemptId()}"
+                with there.open_output_stream(begun, compression=None) as out:
+                    out.write(content)
+                there.move(begun, name)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    lines = F.concat(F.coalesce("value", F.lit("")), F.lit("\n")).cast("binary")
+    rows.select(lines.alias("content")).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
 def _page_index(store):
