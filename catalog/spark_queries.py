@@ -78,7 +78,7 @@ def java_source() -> Column:
         F.concat(F.lit("public class Doc"), F.col("doc_id").cast("string"), F.lit(" {\n")),
     )
     with_calls = F.regexp_replace("text", r"(\p{L}),", "$1(),")
-    body = F.regexp_replace(with_calls, r"([a-z]{2,4})\.\n", "private void $1() { $1(); }\n")
+    body = F.regexp_replace(with_calls, r"([a-z]{2,4}+)\.\n", "private void $1() { $1(); }\n")
     tail = F.when(F.col("lang") == "en", F.concat(F.lit("}\nclass Aux"), F.col("doc_id").cast("string"), F.lit(" {\n")))
     none = F.lit("")
     return F.concat(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -22,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Up to U+024F, Java, RE2 and Python tell the same words and lower-case them alike.
 NOT_LATIN = r"[^\x00-\x{24f}]"
+# Which code points up to there are part of a word.
+IN_WORDS = np.array([chr(c) == "_" or unicodedata.category(chr(c))[0] in "LN" for c in range(0x250)])
 # Bytes of text whose words are counted at once, or one longer text.
 COUNTED_BYTES = 8 << 20
 
@@ -41,22 +44,51 @@ def slots_of(words: pa.Array, slots: int) -> tuple[np.ndarray, np.ndarray]:
     flat = np.empty(found.sum(), dtype=np.int64)
     of_cut = np.repeat(cut, found)
     flat[of_cut] = hashed([part.encode() for parts in split for part in parts])
-    whole = pc.utf8_lower(words.filter(pa.array((found > 0) & ~cut)))
-    flat[~of_cut] = hashed(whole.cast(pa.large_binary() if pa.types.is_large_string(whole.type) else pa.binary()).to_pylist())
+    whole = pc.utf8_lower(words.filter(pa.array((found > 0) & ~cut))).cast(pa.large_string())
+    if len(whole):
+        _, ends, data = whole.buffers()
+        ends, data = np.frombuffer(ends, dtype=np.int64)[whole.offset : whole.offset + len(whole) + 1].tolist(), data.to_pybytes()
+        flat[~of_cut] = hashed([data[a:b] for a, b in zip(ends, ends[1:])])
     return flat, found
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts up to U+024F as they stand there, and the text of each: runs of letters,
+    digits and ``_``, told apart byte by byte."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    first, ends = ends[0], ends - ends[0]
+    if not ends[-1]:
+        return pa.array([], pa.string()), np.zeros(0, dtype=np.int64)
+    data = data.slice(first, ends[-1])
+    code = np.frombuffer(data, dtype=np.uint8)
+    inside = IN_WORDS[code]
+    leads = np.flatnonzero(code >= 0xC0)  # of two bytes, as all letters beyond ASCII up to there
+    inside[leads] = inside[leads + 1] = IN_WORDS[(code[leads].astype(np.int64) & 0x1F) << 6 | code[leads + 1] & 0x3F]
+    cut = np.ones(len(code) + 1, dtype=bool)
+    np.not_equal(inside[1:], inside[:-1], out=cut[1:-1])
+    cut[ends] = True
+    bounds = np.flatnonzero(cut)
+    runs = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds), data])
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(bounds, ends)))
+    is_word = inside[bounds[:-1]]
+    return runs.filter(pa.array(is_word)), owner[is_word]
+
+
 def slot_counts(texts: pa.Array, slots: int) -> np.ndarray:
     """How often the words of each text fall into each slot; each distinct word is hashed once."""
-    words = pc.split_pattern_regex(texts, r"[^\pL\pN_]+")
-    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
-    coded = words.flatten().dictionary_encode()
+    words, owner = words_of(texts)
+    coded = words.dictionary_encode()
     flat, many = slots_of(coded.dictionary, slots)
-    number = coded.indices.to_numpy(zero_copy_only=False)
-    n = many[number]
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    slot = flat[np.repeat((np.cumsum(many) - many)[number], n) + inside]
-    return np.bincount(np.repeat(owner, n) * slots + slot, minlength=len(texts) * slots).reshape(len(texts), slots)
+    number, start = coded.indices.to_numpy(zero_copy_only=False), np.cumsum(many) - many
+    if (many == 1).all():
+        slot = flat[number]
+    else:
+        n = many[number]
+        slot = flat[np.repeat(start[number] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        owner = np.repeat(owner, n)
+    return np.bincount(owner * slots + slot, minlength=len(texts) * slots).reshape(len(texts), slots)
 
 
 def tokens_of(text: Column) -> Column:

@@ -37,8 +37,8 @@ METHOD = (
     rf")({WORD}++){SPACE}*+\([^\n]*?\){SPACE}*+\{{"
     rf"|[^\n]*+)"
 )
-# The look-behind changes no match: a name that fails from its start fails from within.
-CALL = rf"((?<!{WORD}){WORD}++){SPACE}*+\("
+# Read from a parenthesis backwards: blanks, then a name.
+CALL_BACKWARDS = rf"\A{SPACE}*+({WORD}++)"
 
 
 def package_of(text: Column) -> Column:
@@ -57,8 +57,15 @@ def methods_of(text: Column) -> Column:
 
 
 def call_sites_of(text: Column) -> Column:
-    """All names followed by an opening parenthesis, in order, duplicates kept."""
-    return F.regexp_extract_all(text, F.lit(CALL), F.lit(1))
+    """All names followed by an opening parenthesis, in order, duplicates kept.
+
+    Each name is read backwards from its parenthesis, so that no other word is tried.
+    """
+    before = F.split(text, r"\(")
+    found = F.transform(before, lambda part: F.regexp_extract(F.reverse(part), CALL_BACKWARDS, 1))
+    # Behind the last parenthesis there is no call; of one that follows no name, none is left.
+    names = F.filter(F.slice(found, 1, F.size(found) - 1), lambda name: name != "")
+    return F.transform(names, lambda name: F.reverse(name))
 
 
 def local_calls(call_sites: Column, methods: Column) -> Column:

@@ -94,3 +94,20 @@ def test_slots_of_a_batch():
         counts = encoder.slot_counts(pa.array(texts, kind), 14)
         assert [[a - b for a, b in zip(row[:7], row[7:])] for row in counts.tolist()] == [by_hand(t, 7) for t in texts]
         assert encoder.slot_counts(pa.array([""], kind), 4).tolist() == [[0, 0, 0, 0]]
+
+
+def test_words_are_told_apart_by_bytes():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from sourceloom.functions import encoder
+
+    every = "".join(f"x{chr(c)}y {chr(c)} " for c in range(0x250))
+    texts = ["", "ab", "cd", "", "é", "éa_1,b×c", every, "x" * 9]
+    for kind in (pa.string(), pa.large_string()):
+        for array in (pa.array(texts, kind), pa.array(["zz", *texts], kind).slice(1)):
+            words, owner = encoder.words_of(array)
+            split = pc.split_pattern_regex(array, r"[^\pL\pN_]+").to_pylist()
+            want = [(i, w) for i, found in enumerate(split) for w in found if w]
+            assert list(zip(owner.tolist(), words.to_pylist())) == want
+    assert encoder.words_of(pa.array(["", ""]))[0].to_pylist() == []

@@ -119,3 +119,26 @@ def test_every_pair_of_a_file_is_an_edge(spark):
     edges = call_edges_of(sources(spark, **files))
     assert edges.count() == want
     assert edges.where(F.col("caller") == F.col("callee")).count() == 0
+
+
+def test_calls_read_backwards_are_those_of_the_pattern(values):
+    from sourceloom.functions.text import SPACE, WORD
+
+    forward = rf"((?<!{WORD}){WORD}++){SPACE}*+\("  # as it was matched word by word
+    rng = random.Random(7)
+    alphabet = ["a", "Z9", "_", "é", "\U0001d538", "٣", "(", "(", ")", " ", "\n", "\t", "\x1c", "\x85", " ", ",", "́", "-"]
+    texts = ["".join(rng.choices(alphabet, k=rng.choice([0, 1, 3, 8, 40]))) for _ in range(400)] + ["f(", "(", "f", "", None, "f (g(", "é (x)"]
+    want = values(lambda v: F.regexp_extract_all(v, F.lit(forward), F.lit(1)), texts)
+    assert values(java.call_sites_of, texts) == want
+    plan = values(lambda v: F.get(F.transform(F.array(java.call_sites_of(v)), lambda names: F.size(names)), F.lit(0)), ["f(g(x)) (h (", None])
+    assert plan == [3, None]
+
+
+def test_derived_sources_are_those_of_the_plain_pattern(spark, values):
+    from catalog.spark_queries import java_source
+
+    texts = ["hello.\nabcdefgh.\na.\nab.\nABc.\nhe11o.\n x.y.\nabc.d.\n", ",", "", "ab,cd.\nef,\U0001d538,"]
+    plain = lambda v: F.regexp_replace(F.regexp_replace(v, r"(\p{L}),", "$1(),"), r"([a-z]{2,4})\.\n", "private void $1() { $1(); }\n")
+    docs = spark.createDataFrame([(i, t, "es", "src9") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = [r.code for r in docs.select("doc_id", java_source().alias("code")).orderBy("doc_id").collect()]
+    assert got == [body + "\n}\n" for body in values(plain, texts)]
