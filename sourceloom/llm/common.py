@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from sourceloom.session import scratch_dir
 
 BATCH_CHARS = 4_000_000
+# Spark removes the shuffle files of a query when it ends, not when its plan is collected.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +33,16 @@ def stored(rows: DataFrame, label: str, **options: str) -> DataFrame:
     """Write rows once to the shared folder, with the options of the writer, and read them back.
 
     The copy outlives lost executors, is evaluated once however often it is read, and
-    gives the planner its true size.
+    gives the planner its true size. The shuffle files behind it go once it is written.
     """
     spark = rows.sparkSession
     path = scratch_dir(spark, label)
-    rows.write.options(**options).parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        rows.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     kept = spark.read.schema(rows.schema).parquet(path)
     kept.stored_at = path  # for discard()
     return kept

@@ -43,6 +43,8 @@ CROWD = 128  # texts of a key that are compared with each other; more meet by ra
 BLOCK = 512  # texts that one task compares with as many others
 FREQUENT = 100_000  # words whose frequency counts; all others are taken to be rarer
 BAG = 256  # counters of a bag of words
+FOLDED = 32  # sums of neighbouring counters that are compared first
+PAIRS = 1 << 17  # pairs that are compared at once
 FIRST = 2  # pairs of two groups that are aligned in the first round, and by how much
 MORE = 8  # more in each later one
 BATCH = 500_000
@@ -298,26 +300,43 @@ def bags_allow(n: np.ndarray, m: np.ndarray, a: tuple, b: tuple, similarity: flo
     return (np.abs(n - m) <= most) & ((lost <= limit) | (np.abs(x - y) > 1))
 
 
-def may_be_alike(roots: np.ndarray, blocks: np.ndarray, lengths: np.ndarray, bags: list[bytes], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places of texts with different roots that the bounds leave.
+def may_be_alike(roots: np.ndarray, blocks: np.ndarray, lengths: np.ndarray, bags: list[bytes], similarity: float = SIMILARITY, cells: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of texts of one cell with different roots that the bounds leave.
 
-    If there are two blocks, pairs lie across them.
+    ``cells`` numbers the cells of the texts, which follow each other; without it all are of one.
+    In a cell with two blocks, pairs lie across them. Pairs are made and tested many at a time;
+    sums of neighbouring counters of the bags, of which the bound holds too, reject most.
     """
-    across = blocks.min() != blocks.max()
-    first, second = split_bags(bags)
+    new = np.ones(len(roots), dtype=bool)
+    new[1:] = False if cells is None else cells[1:] != cells[:-1]
+    begin = np.flatnonzero(new)
+    sizes = np.diff(begin, append=len(roots))
+    across = np.repeat(np.minimum.reduceat(blocks, begin) != np.maximum.reduceat(blocks, begin), sizes) if len(begin) else new
+    bags_of = split_bags(bags)
+    folded = [x.reshape(len(x), FOLDED, BAG // FOLDED).sum(axis=2, dtype=np.int16) for x in bags_of]
+    partners = np.repeat(begin + sizes, sizes) - np.arange(len(roots)) - 1
+    made = np.cumsum(partners)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(len(roots) - 1):
-        most = (np.maximum(lengths[i + 1 :], lengths[i]) * (1 - similarity) + 1e-9).astype(np.int64)
-        open_ = (roots[i + 1 :] != roots[i]) & (np.abs(lengths[i + 1 :] - lengths[i]) <= most)
-        if across:
-            open_ &= blocks[i + 1 :] != blocks[i]
-        at = i + 1 + np.flatnonzero(open_)
-        if not len(at):
-            continue
-        own = np.full(len(at), i)
-        at = at[bags_allow(lengths[own], lengths[at], (first[own], second[own]), (first[at], second[at]), similarity)]
-        left.append(np.full(len(at), i))
-        right.append(at)
+
+    def allowed(a: np.ndarray, b: np.ndarray, of: list) -> tuple[np.ndarray, np.ndarray]:
+        good = bags_allow(lengths[a], lengths[b], tuple(x[a] for x in of), tuple(x[b] for x in of), similarity)
+        return a[good], b[good]
+
+    low = 0
+    while low < len(roots):
+        high = max(low + 1, int(np.searchsorted(made, (made[low - 1] if low else 0) + PAIRS, side="right")))
+        n = partners[low:high]
+        a = np.repeat(np.arange(low, high), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        most = (np.maximum(lengths[a], lengths[b]) * (1 - similarity) + 1e-9).astype(np.int64)
+        open_ = (roots[a] != roots[b]) & (np.abs(lengths[a] - lengths[b]) <= most) & (~across[a] | (blocks[a] != blocks[b]))
+        a, b = allowed(a[open_], b[open_], folded)
+        for at in range(0, len(a), PAIRS * FOLDED // BAG):
+            some = slice(at, at + PAIRS * FOLDED // BAG)
+            x, y = allowed(a[some], b[some], bags_of)
+            left.append(x)
+            right.append(y)
+        low = high
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -397,29 +416,35 @@ def candidates_left(met: DataFrame, roots: DataFrame, texts: DataFrame, similari
     small = F.col("n") <= CROWD
     crowded = first.where(~small).select("id").distinct()
     rare = rare_words(texts.join(crowded, "id", "left_semi"), similarity)
-    both = first.where(small).unionByName(open_groups(rare, roots))
+    # Stored, so that the shuffles behind it are gone when bags move.
+    both = stored(first.where(small).unionByName(open_groups(rare, roots)), "open")
     last = F.ceil(F.col("n") / BLOCK).cast("int") - 1
     cut = both.select("key", "id", "root", last.alias("last"), F.pmod(F.xxhash64("id", "key"), last + 1).cast("int").alias("block"))
     dealt = cut.select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
     cells = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block").join(texts.select("id", "n_words", "bag"), "id")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list = []
-        cell = None
+    def new_cells(rows: pd.DataFrame) -> np.ndarray:
+        """Where a cell begins."""
+        at = rows[["key", "i", "j"]].to_numpy()
+        return np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)])
 
-        def done() -> Iterator[pd.DataFrame]:
-            if len(held) > 1:
-                ids, roots, blocks, lengths = (np.array([h[c] for h in held], dtype=np.int64) for c in range(4))
-                left, right = may_be_alike(roots, blocks, lengths, [h[4] for h in held], similarity)
-                yield pd.DataFrame({"a": np.minimum(ids[left], ids[right]), "b": np.maximum(ids[left], ids[right])})
+    def pairs_of(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, roots, blocks, lengths = (rows[c].to_numpy() for c in ("id", "root", "block", "n_words"))
+        left, right = may_be_alike(roots, blocks, lengths, rows["bag"].tolist(), similarity, np.cumsum(new_cells(rows)))
+        return pd.DataFrame({"a": np.minimum(ids[left], ids[right]), "b": np.maximum(ids[left], ids[right])})
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the last cell may go on in the next batch
         for frame in frames:
-            for key, i, j, *rest in zip(*(frame[c] for c in ("key", "i", "j", "id", "root", "block", "n_words", "bag"))):
-                if (key, i, j) != cell:
-                    yield from done()
-                    cell, held = (key, i, j), []
-                held.append(rest)
-        yield from done()
+            if not len(frame):
+                continue
+            rows = pd.concat([*held, frame], ignore_index=True)
+            last = int(np.flatnonzero(new_cells(rows))[-1])
+            if last:
+                yield pairs_of(rows[:last])
+            held = [rows[last:]]
+        for rows in held:
+            yield pairs_of(rows)
 
     ordered = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return ordered.mapInPandas(run, "a long, b long").distinct()

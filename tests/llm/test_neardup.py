@@ -135,3 +135,30 @@ def test_bags_of_long_texts(n):
         assert {(i, i + 1), (i, i + 2)} <= found
     others = [(i, j) for i, j in found if i // 3 != j // 3]
     assert len(others) < 0.02 * len(texts) ** 2 / 2
+
+
+def test_pairs_of_many_cells_are_those_of_each(monkeypatch):
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(neardup, "PAIRS", 50)
+    texts, cells = [], []
+    for cell, n in enumerate((1, 30, 2, 12, 1, 9)):
+        own = rng.integers(0, 1 << 63, 400 if cell % 2 else 30, dtype=np.uint64)
+        for _ in range(n):
+            words = own[: int(len(own) * rng.uniform(0.7, 1))].copy()
+            words[rng.integers(0, len(words), len(words) // 8)] = rng.integers(0, 1 << 63, len(words) // 8, dtype=np.uint64)
+            texts.append(words)
+            cells.append(cell)
+    cells, lengths = np.array(cells), np.array([len(t) for t in texts])
+    roots, blocks = rng.integers(0, 12, len(texts)), np.where(cells == 3, rng.integers(0, 2, len(texts)), 0)
+    bags = [neardup.word_bag(t) for t in texts]
+    want = []
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            if cells[i] != cells[j] or roots[i] == roots[j] or (cells[i] == 3 and blocks[i] == blocks[j]):
+                continue
+            one = [neardup.split_bags([bags[x]]) for x in (i, j)]
+            if neardup.bags_allow(lengths[i : i + 1], lengths[j : j + 1], *one, neardup.SIMILARITY)[0]:
+                want.append((i, j))
+    left, right = neardup.may_be_alike(roots, blocks, lengths, bags, cells=cells)
+    assert len(want) > 50 and sorted(zip(left.tolist(), right.tolist())) == want
+    assert [len(x) for x in neardup.may_be_alike(*(x[:0] for x in (roots, blocks, lengths)), [])] == [0, 0]
