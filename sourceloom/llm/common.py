@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,17 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.struct(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.xxhash64(whole_text(text)).alias("hash"))
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run inside leave no shuffle files."""
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
 def stored(rows: DataFrame, label: str, **options: str) -> DataFrame:
     """Write rows once to the shared folder, with the options of the writer, and read them back.
 
@@ -37,12 +49,8 @@ def stored(rows: DataFrame, label: str, **options: str) -> DataFrame:
     """
     spark = rows.sparkSession
     path = scratch_dir(spark, label)
-    before = spark.conf.get(FREE_SHUFFLES, "false")
-    spark.conf.set(FREE_SHUFFLES, "true")
-    try:
+    with shuffles_freed(spark):
         rows.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(FREE_SHUFFLES, before)
     kept = spark.read.schema(rows.schema).parquet(path)
     kept.stored_at = path  # for discard()
     return kept

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import discard, row_key, stored, table, text_batches, whole_text
+from sourceloom.llm.common import discard, row_key, shuffles_freed, stored, table, text_batches, whole_text
 from sourceloom.llm.wordarrays import MULTIPLIER, VISIBLE, mixed, word_hashes
 from sourceloom.operators.keyfilter import might_match
 from sourceloom.operators.sizing import BROADCAST_ROWS
@@ -30,6 +31,7 @@ HEAD = 400_000  # n-grams that make up at least this part of the trusted text ar
 QUANTILE = 0.995
 BOS, EOS = np.uint64(1), np.uint64(2)
 BATCH = 500_000
+PARTS = 2  # of the rows, which are scored one after the other
 BLOOM_WORDS = 1 << 22  # 64-bit words of the filter, at most
 BLOOM_CHUNK = 1 << 16  # of them in one row
 
@@ -96,6 +98,9 @@ def ngram_weights(counts: DataFrame) -> tuple[DataFrame, dict, tuple[DataFrame,
     """The additive weights of all n-grams, (k, u, v, w, weight, n), the constants, and the
     stored tables that the weights are read from.
 
+    Trigrams meet their contexts and the shorter n-grams one after the other, in stored
+    steps, so that the shuffles of one step alone are on disk.
+
     ``n`` is how often the n-gram ends in the training text. The constants are the
     log-probability of an unknown word and the back-off weights of the start.
     """
@@ -113,9 +118,13 @@ def ngram_weights(counts: DataFrame) -> tuple[DataFrame, dict, tuple[DataFrame,
     p2 = bi.join(c1, "v").join(p1.select("w", "p1"), "w")
     p2 = p2.select("v", "w", "b1", "p1", "seen", ((F.col("n") - _discounted("n", d2)) / F.col("t1") + F.col("b1") * F.col("p1")).alias("p2"))
     c2 = tri.groupBy("u", "v").agg(F.sum("n").alias("t2"), F.sum(_discounted("n", d3)).alias("l2"))
-    c2 = c2.select("u", "v", "t2", (F.col("l2") / F.col("t2")).alias("b2"))
-    p3 = tri.join(c2, ["u", "v"]).join(p2.select("v", "w", "p2"), ["v", "w"])
-    p3 = p3.select("u", "v", "w", F.col("n").alias("seen"), "b2", "p2", ((F.col("n") - _discounted("n", d3)) / F.col("t2") + F.col("b2") * F.col("p2")).alias("p3"))
+    c2 = stored(c2.select("u", "v", "t2", (F.col("l2") / F.col("t2")).alias("b2")), "contexts")
+    own = ((F.col("n") - _discounted("n", d3)) / F.col("t2")).alias("own")
+    met = stored(tri.join(c2, ["u", "v"]).select("u", "v", "w", F.col("n").alias("seen"), "b2", own), "met-contexts")
+    events = tri.agg(F.sum("n")).first()[0]
+    discard(tri)
+    p3 = met.join(p2.select("v", "w", "p2"), ["v", "w"])
+    p3 = p3.select("u", "v", "w", "seen", "b2", "p2", (F.col("own") + F.col("b2") * F.col("p2")).alias("p3"))
     zero, none = F.lit(0.0), F.lit(0).cast("long")
     one = p1.join(c1.withColumnRenamed("v", "w"), "w", "left").select(
         F.lit(1).alias("k"), none.alias("u"), none.alias("v"), "w", (F.log("p1") - math.log(unknown) + F.coalesce(F.log("b1"), zero)).alias("weight"), "seen"
@@ -127,8 +136,8 @@ def ngram_weights(counts: DataFrame) -> tuple[DataFrame, dict, tuple[DataFrame,
     three = p3.select(F.lit(3).alias("k"), "u", "v", "w", F.log(F.col("p3") / (F.col("b2") * F.col("p2"))).alias("weight"), "seen")
     mark = int(BOS)
     start = c1.where(F.col("v") == mark).select(F.log("b1").alias("b")).unionByName(c2.where((F.col("u") == mark) & (F.col("v") == mark)).select(F.log("b2").alias("b")))
-    constants = {"unknown": math.log(unknown), "start": start.agg(F.sum("b")).first()[0] or 0.0, "events": tri.agg(F.sum("n")).first()[0]}
-    return one.unionByName(two).unionByName(three), constants, (tri, bi, uni)
+    constants = {"unknown": math.log(unknown), "start": start.agg(F.sum("b")).first()[0] or 0.0, "events": events}
+    return one.unionByName(two).unionByName(three), constants, (met, c2, bi, uni)
 
 
 def keyed_weights(weights: DataFrame) -> DataFrame:
@@ -185,9 +194,10 @@ def filter_of(keys: DataFrame) -> Bloom:
         return pa.table([rows["chunk"][:1], pa.array([np.bitwise_or.reduce(bits).tobytes()])], schema=schema)
 
     few = keys.select("key").coalesce(keys.sparkSession.sparkContext.defaultParallelism)
-    united = few.mapInArrow(fill, "chunk int, bits binary").groupBy("chunk").applyInArrow(unite, "chunk int, bits binary")
+    with shuffles_freed(keys.sparkSession):
+        rows = few.mapInArrow(fill, "chunk int, bits binary").groupBy("chunk").applyInArrow(unite, "chunk int, bits binary").toArrow()
     bloom = Bloom(size)
-    for row in united.toArrow().to_pylist():
+    for row in rows.to_pylist():
         bits, at = np.frombuffer(row["bits"], np.uint64), row["chunk"] * BLOOM_CHUNK
         bloom.bits[at : at + len(bits)] = bits
     return bloom
@@ -210,7 +220,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", te
         none = F.lit(None).cast("double")
         return keyed.select("_key", "doc_id", "lang", F.lit(None).cast("long").alias("n_words"), none.alias("log_prob"), none.alias("perplexity"))
     weights, constants, tables = ngram_weights(counts)
-    weights = stored(keyed_weights(weights), "weights")
+    longest = F.col("k") == 3
+    parts = [stored(keyed_weights(weights.where(which)), "weights") for which in (longest, ~longest)]
+    weights = parts[0].unionByName(parts[1])
     discard(*tables)
     frequent = F.col("seen") >= constants["events"] / HEAD
     head = weights.where(frequent).select("key", "weight").toArrow().sort_by("key")
@@ -247,15 +259,23 @@ def perplexities(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", te
                 yield pd.DataFrame({"_row": rows[owner[some]], "key": missed[some]}).assign(**nothing)
 
     # One stream carries the rows and, behind each, the n-grams that are still to be looked
-    # up: (_row, key) with nothing else. So the texts are read once and no n-gram is stored.
+    # up: (_row, key) with nothing else. So each part of the texts is read once and no n-gram is stored.
     schema = f"_row long, key long, _key string, doc_id {kind}, lang string, events long, head double"
     nothing = dict.fromkeys(("_key", "doc_id", "lang", "events", "head"))
-    numbered = keyed.withColumn("_row", F.monotonically_increasing_id())
     own = F.struct("_key", "doc_id", "lang", "events", "head")
-    dealt = numbered.mapInPandas(run, schema).select("_row", "key", F.when(F.col("events").isNotNull(), own).alias("own"))
     tail = tail.withColumnRenamed("key", "known")
-    met = dealt.join(tail, (F.col("key") == F.col("known")) & F.col("own").isNull(), "left")
-    scored = met.groupBy("_row").agg(F.first("own", ignorenulls=True).alias("own"), F.sum("weight").alias("more")).select("own.*", "more")
+
+    def summed(some: DataFrame) -> DataFrame:
+        numbered = some.withColumn("_row", F.monotonically_increasing_id())
+        dealt = numbered.mapInPandas(run, schema).select("_row", "key", F.when(F.col("events").isNotNull(), own).alias("own"))
+        met = dealt.join(tail, (F.col("key") == F.col("known")) & F.col("own").isNull(), "left")
+        return met.groupBy("_row").agg(F.first("own", ignorenulls=True).alias("own"), F.sum("weight").alias("more")).select("own.*", "more")
+
+    # The n-grams of a part of the rows are on disk at a time.
+    part = F.pmod(F.xxhash64("_key"), F.lit(PARTS))
+    done = [stored(summed(keyed.where(part == i)), "scores") for i in range(PARTS)]
+    discard(*parts)
+    scored = reduce(DataFrame.unionByName, done)
     log_prob = F.col("head") + F.coalesce("more", F.lit(0.0))
     return scored.select("_key", "doc_id", "lang", (F.col("events") - 1).alias("n_words"), log_prob.alias("log_prob"), F.exp(-log_prob / F.col("events")).alias("perplexity"))
 

@@ -1,5 +1,7 @@
 """The quality model is trained on all trusted text."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,3 +39,22 @@ def test_small_filter_changes_no_score(spark, monkeypatch):
     whole = {r["doc_id"]: r["log_prob"] for r in quality.judge(docs, labels).collect()}
     monkeypatch.setattr(quality, "BLOOM_WORDS", 1)
     assert {r["doc_id"]: r["log_prob"] for r in quality.judge(docs, labels).collect()} == pytest.approx(whole)
+
+
+def test_steps_of_the_model_free_their_shuffles_and_tables(spark, monkeypatch):
+    """What a step of the job stores and shuffles does not lie beside that of later steps."""
+    docs = spark.createDataFrame([(i, f"one two w{i % 7} three w{i % 5}", "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    monkeypatch.setattr(quality, "HEAD", 1)
+    there, plain = {}, quality.stored
+
+    def noting(rows, label, **options):
+        kept = plain(rows, label, **options)
+        there.setdefault(label, []).append(kept)
+        return kept
+
+    monkeypatch.setattr(quality, "stored", noting)
+    scores = quality.judge(docs, labels)
+    gone = [label for label, tables in there.items() for kept in tables if not os.path.exists(kept.stored_at)]
+    assert sorted(gone) == ["bigrams", "contexts", "met-contexts", "trigrams", "unigrams", "weights", "weights"]
+    assert len(there["scores"]) == quality.PARTS and scores.count() == 60
