@@ -42,7 +42,7 @@ FEW = 40  # edits up to which diagonals are followed
 CROWD = 128  # texts of a key that are compared with each other; more meet by rare words
 BLOCK = 512  # texts that one task compares with as many others
 FREQUENT = 100_000  # words whose frequency counts; all others are taken to be rarer
-BAG = 256  # counters of a bag of words
+BAG = 256  # bytes of a bag: counters of words, or bits of pairs of words of a text of more
 FOLDED = 32  # sums of neighbouring counters that are compared first
 PAIRS = 1 << 17  # pairs that are compared at once
 FIRST = 2  # pairs of two groups that are aligned in the first round, and by how much
@@ -247,96 +247,129 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
-    """How often the words of a text are halved until at most ``BAG`` are expected to be left."""
+    """0 for texts whose words are counted; of others, how often the pairs of words are halved, and one."""
     return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / BAG))).astype(np.int64)
 
 
 def word_bag(words: np.ndarray, similarity: float = SIMILARITY) -> bytes:
-    """How many words fall on each of ``BAG`` counters, up to 255.
+    """How many words fall on each of ``BAG`` counters, up to 255; of a long text, bits of pairs of words.
 
-    Counters would say nothing about a long text, so that of its words, each with the number of
-    its occurrence, a part is counted that their hashes choose alike in every text. A text that
-    is nearly long enough for the next smaller part has a second bag, of that one.
+    Counters would say nothing about a long text, and most words of unlike ones are the same. Of
+    its pairs of neighbouring words, each with the number of its occurrence, a part sets bits that
+    their hashes choose alike in every text: all at the first level, half at each further one. A
+    text that is nearly long enough for the next level has a second bag, of that one.
     """
     n = len(words)
     level = int(level_of(np.array([n]))[0])
     next_too = n > similarity * BAG * 2**level
-    items = occurrence_kmers(words.astype(np.uint64), 1) if level or next_too else words
+    items = occurrence_kmers(words.astype(np.uint64), 2) if level or next_too else words
 
-    def counted(chosen: np.ndarray) -> bytes:
-        return np.minimum(np.bincount((chosen % np.uint64(BAG)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes()
+    def counted() -> bytes:
+        return np.minimum(np.bincount((words % np.uint64(BAG)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes()
 
     def part(level: int) -> bytes:
-        return counted(items[items & np.uint64((1 << level) - 1) == 0] >> np.uint64(32))
+        bits = np.zeros(BAG * 8, dtype=np.uint8)
+        bits[(items[items & np.uint64((1 << (level - 1)) - 1) == 0] >> np.uint64(32)) % np.uint64(BAG * 8)] = 1
+        return np.packbits(bits).tobytes()
 
-    return (part(level) if level else counted(words)) + (part(level + 1) if next_too else b"")
+    return (part(level) if level else counted()) + (part(level + 1) if next_too else b"")
 
 
 def split_bags(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """First and second bags as matrices; a missing one is empty."""
+    """First and second bags as matrices of bytes; a missing one is empty."""
     none = bytes(BAG)
     both = [b"".join(x[at : at + BAG] or none for x in bags) for at in (0, BAG)]
-    first, second = (np.frombuffer(x, np.uint8).reshape(len(bags), BAG).astype(np.int16) for x in both)
+    first, second = (np.frombuffer(x, np.uint8).reshape(len(bags), BAG) for x in both)
     return first, second
 
 
+def counts_allow(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether texts of ``n`` and ``m`` words may be alike by counters ``a`` and ``b`` of their words.
+
+    An edit takes at most one word from the bag of each text. Sums of counters obey the same bound.
+    """
+    gap = a.astype(np.int16) - b
+    lost = (np.abs(gap).sum(axis=1, dtype=np.int64) + np.abs(gap.sum(axis=1, dtype=np.int64))) // 2
+    return lost <= (np.maximum(n, m) * (1 - similarity) + 1e-9).astype(np.int64)
+
+
+def bits_allow(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
+    """The same by bits of pairs of words of one level, of which an edit takes at most two.
+
+    Where a part of the pairs is taken, the lost ones in it may exceed their share by five
+    standard deviations, which fewer than one in a million alike pairs do.
+    """
+    x, y = a.view(np.uint64), b.view(np.uint64)
+    lost = np.maximum(np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+    most = 2 * (np.maximum(n, m) * (1 - similarity) + 1e-9).astype(np.int64)
+    share = most / 2.0 ** (level - 1)
+    return lost <= np.where(level == 1, most, share + 5 * np.sqrt(share) + 1)
+
+
 def bags_allow(n: np.ndarray, m: np.ndarray, a: tuple, b: tuple, similarity: float) -> np.ndarray:
     """Whether texts of ``n`` and ``m`` words with bags ``a`` and ``b`` (first, second) may be alike.
 
-    An edit changes the length by one at most, and takes at most one word from the bag of each
-    text. Where a part of the words is counted, the edits in it may exceed their share by
-    five standard deviations, which fewer than one in a million alike pairs do.
+    An edit changes the length by one at most. Texts more than one level apart have no bags of
+    the same kind.
     """
-    most = (np.maximum(n, m) * (1 - similarity) + 1e-9).astype(np.int64)
     x, y = level_of(n), level_of(m)
     higher = np.maximum(x, y)
-    left = np.where((x < higher)[:, None], a[1], a[0])
-    right = np.where((y < higher)[:, None], b[1], b[0])
-    gap = left - right
-    lost = (np.abs(gap).sum(axis=1, dtype=np.int64) + np.abs(gap.sum(axis=1, dtype=np.int64))) // 2
-    share = most / 2.0**higher
-    limit = np.where(higher == 0, most, share + 5 * np.sqrt(share) + 1)
-    # Texts more than one level apart have no bags of the same part.
-    return (np.abs(n - m) <= most) & ((lost <= limit) | (np.abs(x - y) > 1))
+    good = np.abs(n - m) <= (np.maximum(n, m) * (1 - similarity) + 1e-9).astype(np.int64)
+    near = good & (np.abs(x - y) <= 1)
+    at = np.flatnonzero(near & (higher == 0))
+    good[at] = counts_allow(n[at], m[at], a[0][at], b[0][at], similarity)
+    at = np.flatnonzero(near & (higher > 0))
+    left = np.where((x[at] < higher[at])[:, None], a[1][at], a[0][at])
+    right = np.where((y[at] < higher[at])[:, None], b[1][at], b[0][at])
+    good[at] = bits_allow(n[at], m[at], left, right, higher[at], similarity)
+    return good
 
 
-def may_be_alike(roots: np.ndarray, blocks: np.ndarray, lengths: np.ndarray, bags: list[bytes], similarity: float = SIMILARITY, cells: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places of texts of one cell with different roots that the bounds leave.
+def pairs_of_cells(cells: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of one cell, about ``PAIRS`` at a time; in a cell with two blocks, across them.
 
-    ``cells`` numbers the cells of the texts, which follow each other; without it all are of one.
-    In a cell with two blocks, pairs lie across them. Pairs are made and tested many at a time;
-    sums of neighbouring counters of the bags, of which the bound holds too, reject most.
+    ``cells`` numbers the cells, which follow each other.
     """
-    new = np.ones(len(roots), dtype=bool)
-    new[1:] = False if cells is None else cells[1:] != cells[:-1]
+    new = np.ones(len(cells), dtype=bool)
+    new[1:] = cells[1:] != cells[:-1]
     begin = np.flatnonzero(new)
-    sizes = np.diff(begin, append=len(roots))
+    sizes = np.diff(begin, append=len(cells))
     across = np.repeat(np.minimum.reduceat(blocks, begin) != np.maximum.reduceat(blocks, begin), sizes) if len(begin) else new
-    bags_of = split_bags(bags)
-    folded = [x.reshape(len(x), FOLDED, BAG // FOLDED).sum(axis=2, dtype=np.int16) for x in bags_of]
-    partners = np.repeat(begin + sizes, sizes) - np.arange(len(roots)) - 1
+    partners = np.repeat(begin + sizes, sizes) - np.arange(len(cells)) - 1
     made = np.cumsum(partners)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-    def allowed(a: np.ndarray, b: np.ndarray, of: list) -> tuple[np.ndarray, np.ndarray]:
-        good = bags_allow(lengths[a], lengths[b], tuple(x[a] for x in of), tuple(x[b] for x in of), similarity)
-        return a[good], b[good]
-
     low = 0
-    while low < len(roots):
+    while low < len(cells):
         high = max(low + 1, int(np.searchsorted(made, (made[low - 1] if low else 0) + PAIRS, side="right")))
         n = partners[low:high]
         a = np.repeat(np.arange(low, high), n)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        good = ~across[a] | (blocks[a] != blocks[b])
+        yield a[good], b[good]
+        low = high
+
+
+def may_be_alike(roots: np.ndarray, blocks: np.ndarray, lengths: np.ndarray, bags: list[bytes], similarity: float = SIMILARITY, cells: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of texts of one cell with different roots that the bounds leave.
+
+    ``cells`` numbers the cells of the texts, which follow each other; without it all are of one.
+    In a cell with two blocks, pairs lie across them. Sums of neighbouring counters of the bags
+    reject most pairs of shorter texts.
+    """
+    bags_of = split_bags(bags)
+    folded = bags_of[0].reshape(len(bags), FOLDED, BAG // FOLDED).sum(axis=2, dtype=np.int16)
+    levels = level_of(lengths)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in pairs_of_cells(np.zeros(len(roots), np.int64) if cells is None else cells, blocks):
         most = (np.maximum(lengths[a], lengths[b]) * (1 - similarity) + 1e-9).astype(np.int64)
-        open_ = (roots[a] != roots[b]) & (np.abs(lengths[a] - lengths[b]) <= most) & (~across[a] | (blocks[a] != blocks[b]))
-        a, b = allowed(a[open_], b[open_], folded)
+        good = (roots[a] != roots[b]) & (np.abs(lengths[a] - lengths[b]) <= most)
+        at = np.flatnonzero(good & (levels[a] == 0) & (levels[b] == 0))
+        good[at] = counts_allow(lengths[a[at]], lengths[b[at]], folded[a[at]], folded[b[at]], similarity)
+        a, b = a[good], b[good]
         for at in range(0, len(a), PAIRS * FOLDED // BAG):
-            some = slice(at, at + PAIRS * FOLDED // BAG)
-            x, y = allowed(a[some], b[some], bags_of)
-            left.append(x)
-            right.append(y)
-        low = high
+            x, y = a[at : at + PAIRS * FOLDED // BAG], b[at : at + PAIRS * FOLDED // BAG]
+            good = bags_allow(lengths[x], lengths[y], tuple(z[x] for z in bags_of), tuple(z[y] for z in bags_of), similarity)
+            left.append(x[good])
+            right.append(y[good])
     return np.concatenate(left), np.concatenate(right)
 
 
