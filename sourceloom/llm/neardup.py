@@ -10,8 +10,8 @@ Pairs are taken in rounds. Each text is first compared with the smallest id that
 then with the smallest id of each of its keys that is not in its group by then; this joins
 most families of copies. Where a key still holds several groups, pairs across them are
 tested by bounds that all alike texts meet. Texts of a key that many share meet there by
-their rarest words instead, of which alike texts have one in common. Of the pairs that are
-left, some for each two groups are aligned, then more, until the groups are one or no pair
+their rarest words instead, long ones by pairs of neighbouring words, of which alike texts have
+one in common near the same place. Of the pairs that are left, some for each two groups are aligned, then more, until the groups are one or no pair
 is left.
 """
 
@@ -40,8 +40,10 @@ SHORT_WORDS = 34  # texts up to this length are met by each of their shorter k-m
 TINY_WORDS = 5
 FEW = 40  # edits up to which diagonals are followed
 CROWD = 128  # texts of a key that are compared with each other; more meet by rare words
-BLOCK = 512  # texts that one task compares with as many others
-FREQUENT = 100_000  # words whose frequency counts; all others are taken to be rarer
+BLOCK = 512  # texts of a rare word that one task compares with as many others
+LONG_WORDS = 64  # texts of more words meet by rare pairs of neighbouring words, not by rare words
+FREQUENT = 100_000  # words whose frequency counts, and pairs of them; all others are taken to be rarer
+RARE = "key long, size int, rank int, first int, last int"
 BAG = 256  # bytes of a bag: counters of words, or bits of pairs of words of a text of more
 FOLDED = 32  # sums of neighbouring counters that are compared first
 PAIRS = 1 << 17  # pairs that are compared at once
@@ -388,42 +390,157 @@ def bounded(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def rare_words(texts: DataFrame, similarity: float) -> DataFrame:
-    """(id, key): the rarest words of each text, so many that alike texts have one in common.
+    """The rarest words of each text, so many that alike texts have one in common.
 
-    Alike texts of n words differ in (1 - similarity) n of them at most, so that of one more,
-    the first in any order of all words, one is in both. Words count with their occurrence in
-    the text; the order is by frequency among these texts, as far as the ``FREQUENT`` most
-    frequent ones tell it, and by hash.
-    """
-
-    def own(words: bytes) -> np.ndarray:
-        return occurrence_kmers(np.frombuffer(words, np.uint32).astype(np.uint64), 1)
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                word, n = np.unique(np.concatenate([own(w) for w in frame["words"]]), return_counts=True)
-                yield pd.DataFrame({"word": word.view(np.int64), "n": n})
+    The columns of ``texts`` but its words, and ``key``; ``size``, which is 2 for keys of two
+    neighbouring words, by which texts of more than ``LONG_WORDS`` meet (near that length texts
+    meet both ways); ``rank``, the words or pairs of the text before it; its ``first`` and ``last`` place.
 
-    counts = texts.select("words").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow().sort_by("word")
-    shared = texts.sparkSession.sparkContext.broadcast((top["word"].to_numpy(), top["n"].to_numpy()))
+    In an alignment of alike texts, (1 - similarity) n of n words at most have no partner, and
+    twice as many pairs, so that of one more, the first in any order of all words, one has. The
+    order is by frequency among these texts, as far as the ``FREQUENT`` most frequent ones tell
+    it; of other pairs by the product of those of their words; and by hash.
+    """
+    paired = 2 * (1 - similarity) <= 1
+
+    def grams_of(words: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Size, words and grams, for each way in which a text meets others."""
+        own = np.frombuffer(words, np.uint32).astype(np.uint64)
+        if len(own) <= LONG_WORDS or not paired:
+            yield 1, own, gram_hashes(own, 1, 1)
+        if len(own) > similarity * LONG_WORDS and paired:
+            yield 2, own, gram_hashes(own, 2, 2)
+
+    def frequent(size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The most frequent words or pairs, and how often they occur."""
+
+        def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if size == 1:
+                    held = [np.frombuffer(w, np.uint32).astype(np.uint64) for w in frame["words"]]
+                else:
+                    held = [grams for w in frame["words"] for n, _, grams in grams_of(w) if n == size]
+                if held:
+                    item, n = np.unique(np.concatenate(held), return_counts=True)
+                    yield pd.DataFrame({"item": item.view(np.int64), "n": n})
+
+        counts = texts.select("words").mapInPandas(count, "item long, n long").groupBy("item").agg(F.sum("n").alias("n"))
+        top = counts.where("n > 1").orderBy(F.desc("n"), "item").limit(FREQUENT).toArrow()
+        item, n = top["item"].to_numpy().view(np.uint64), top["n"].to_numpy()
+        order = np.argsort(item)
+        return item[order], n[order]
+
+    shared = texts.sparkSession.sparkContext.broadcast((frequent(1), frequent(2)))
+    kept = [c for c in texts.columns if c != "words"]
 
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, often = shared.value
-        for frame in frames:
-            ids, keys = [], []
-            for i, words in zip(frame["id"], frame["words"]):
-                labelled = own(words).view(np.int64)
-                at = np.minimum(np.searchsorted(known, labelled), max(len(known) - 1, 0))
-                n = np.where(known[at] == labelled, often[at], 0) if len(known) else np.zeros(len(labelled), np.int64)
-                first = np.lexsort((labelled, n))[: int(len(labelled) * (1 - similarity) + 1e-9) + 1]
-                keys.append(labelled[first])
-                ids.append(np.full(len(first), i))
-            if ids:
-                yield pd.DataFrame({"id": np.concatenate(ids), "key": np.concatenate(keys)})
+        def often(items: np.ndarray, size: int) -> np.ndarray:
+            known, n = shared.value[size - 1]
+            if not len(known):
+                return np.zeros(len(items))
+            at = np.minimum(np.searchsorted(known, items), len(known) - 1)
+            return np.where(known[at] == items, n[at], 0).astype(np.float64)
 
-    return texts.select("id", "words").mapInPandas(pick, "id long, key long")
+        for frame in frames:
+            found = []
+            for row, words in enumerate(frame["words"]):
+                for size, own, grams in grams_of(words):
+                    weight = often(own, 1)
+                    if size == 2:
+                        single = np.maximum(weight, 1)
+                        weight = often(grams, 2) * 1e18 + (single[:-1] * single[1:])[: len(grams)]
+                    places = np.lexsort((grams, weight))
+                    ordered = grams[places]
+                    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+                    most = size * int(len(own) * (1 - similarity) + 1e-9) + size - 1
+                    n = int(np.searchsorted(starts, most, side="right"))
+                    ends = np.minimum.reduceat(places, starts)[:n], np.maximum.reduceat(places, starts)[:n]
+                    found.append((np.full(n, row), ordered[starts[:n]].view(np.int64), np.full(n, size), starts[:n], *ends))
+            if found:
+                row, *rest = (np.concatenate(x) for x in zip(*found))
+                yield frame[kept].iloc[row].reset_index(drop=True).assign(**dict(zip(("key", "size", "rank", "first", "last"), rest)))
+
+    schema = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept)
+    return texts.mapInPandas(pick, f"{schema}, {RARE}")
+
+
+def rare_allow(a: dict, b: dict, similarity: float) -> np.ndarray:
+    """Whether texts that share a rare word may be alike by their lengths, groups, ranks and places.
+
+    Of the first word that an alignment pairs, the words before it in either text are lost, and
+    its places are no further apart than the edits; words that the longer text has more are edits too.
+    """
+    n, m = a["n_words"], b["n_words"]
+    most = (np.maximum(n, m) * (1 - similarity) + 1e-9).astype(np.int64)
+    lost = a["size"] * most
+    good = (a["root"] != b["root"]) & (np.abs(n - m) <= most)
+    good &= (a["rank"] <= lost - np.maximum(m - n, 0)) & (b["rank"] <= lost - np.maximum(n - m, 0))
+    return good & (a["first"] - b["last"] <= most) & (b["first"] - a["last"] <= most)
+
+
+def whole_cells(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of whole cells, which follow each other, with the number of the cell."""
+
+    def numbers(rows: pd.DataFrame) -> np.ndarray:
+        at = rows[by].to_numpy()
+        return np.cumsum(np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)]))
+
+    held: list[pd.DataFrame] = []  # the last cell may go on in the next batch
+    for frame in frames:
+        if not len(frame):
+            continue
+        rows = pd.concat([*held, frame], ignore_index=True)
+        cells = numbers(rows)
+        last = int(np.searchsorted(cells, cells[-1]))
+        if last:
+            yield rows[:last], cells[:last]
+        held = [rows[last:]]
+    for rows in held:
+        yield rows, numbers(rows)
+
+
+def rare_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): texts that share a rare word and may be alike by ``rare_allow``, some of them repeated.
+
+    ``rows`` are those of ``rare_words`` for texts (id, root, n_words). They are narrow, and meet
+    without their bags. What more than ``BLOCK`` texts share is passed on and cut into blocks that
+    meet pairwise, each two in one cell, so that no task compares them all.
+    """
+    columns = ["id", "root", "n_words", "key", "size", "rank", "first", "last"]
+    passed = f"a long, b long, {', '.join(f'{c} {rows.schema[c].dataType.simpleString()}' for c in columns)}, crowded boolean"
+
+    def pairs_of(rows: pd.DataFrame, cells: np.ndarray, blocks: np.ndarray) -> pd.DataFrame:
+        values = {c: rows[c].to_numpy(np.int64) for c in columns}
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in pairs_of_cells(cells, blocks):
+            good = rare_allow({c: x[a] for c, x in values.items()}, {c: x[b] for c, x in values.items()}, similarity)
+            a, b = values["id"][a[good]], values["id"][b[good]]
+            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, cells in whole_cells(frames, ["key"]):
+            n = np.bincount(cells)[cells]
+            some = (n > 1) & (n <= BLOCK)
+            yield pairs_of(rows[some], cells[some], np.zeros(some.sum(), np.int64)).assign(**dict.fromkeys(columns, 0), crowded=False)
+            if (n > BLOCK).any():
+                yield rows.loc[n > BLOCK, columns].assign(a=0, b=0, crowded=True)
+
+    def meet_across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, cells in whole_cells(frames, ["key", "i", "j"]):
+            yield pairs_of(rows, cells, rows["block"].to_numpy())
+
+    met = stored(rows.select(columns).repartition("key").sortWithinPartitions("key").mapInPandas(meet, passed), "met")
+    pairs, crowd = met.where("not crowded").select("a", "b"), met.where("crowded").select(columns)
+    if not crowd.limit(1).count():
+        return pairs
+    last = F.ceil(F.col("n") / BLOCK).cast("int") - 1
+    cut = crowd.join(crowd.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("last_block", last)
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("last_block") + 1).cast("int"))
+    dealt = cut.select("*", F.explode(F.sequence(F.lit(0), "last_block")).alias("other"))
+    cells = dealt.select(*columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    ordered = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return pairs.unionByName(ordered.mapInPandas(meet_across, "a long, b long"))
 
 
 def open_groups(met: DataFrame, roots: DataFrame) -> DataFrame:
@@ -441,46 +558,25 @@ def candidates_left(met: DataFrame, roots: DataFrame, texts: DataFrame, similari
     """(a, b): pairs of texts of one key that are of different groups and may be alike.
 
     ``met`` has (id, key), ``texts`` (id, n_words, bag, words). A key of up to ``CROWD`` texts is
-    one cell. The texts of larger ones meet by their rarest words; where many share even
-    such a word, they are cut into blocks that meet pairwise, each two in one cell, so that no
-    task holds them all. Cells are read one after the other; bags travel, words do not.
+    one cell. The texts of larger ones meet by their rarest words. Cells are read one after the
+    other; bags travel to the cells of keys and to the pairs of rare words, words do not.
     """
     first = stored(open_groups(met, roots), "open")
     small = F.col("n") <= CROWD
-    crowded = first.where(~small).select("id").distinct()
-    rare = rare_words(texts.join(crowded, "id", "left_semi"), similarity)
+    crowded = broadcast_if_small(first.where(~small).select("id", "root").distinct())
+    rare = rare_words(texts.select("id", "n_words", "words").join(crowded, "id"), similarity)
     # Stored, so that the shuffles behind it are gone when bags move.
-    both = stored(first.where(small).unionByName(open_groups(rare, roots)), "open")
-    last = F.ceil(F.col("n") / BLOCK).cast("int") - 1
-    cut = both.select("key", "id", "root", last.alias("last"), F.pmod(F.xxhash64("id", "key"), last + 1).cast("int").alias("block"))
-    dealt = cut.select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
-    cells = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block").join(texts.select("id", "n_words", "bag"), "id")
-
-    def new_cells(rows: pd.DataFrame) -> np.ndarray:
-        """Where a cell begins."""
-        at = rows[["key", "i", "j"]].to_numpy()
-        return np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)])
-
-    def pairs_of(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, roots, blocks, lengths = (rows[c].to_numpy() for c in ("id", "root", "block", "n_words"))
-        left, right = may_be_alike(roots, blocks, lengths, rows["bag"].tolist(), similarity, np.cumsum(new_cells(rows)))
-        return pd.DataFrame({"a": np.minimum(ids[left], ids[right]), "b": np.maximum(ids[left], ids[right])})
+    many = bounded(broadcast_if_small(stored(rare_pairs(rare, similarity).distinct(), "met")), texts, similarity)
+    cells = first.where(small).select("key", "id", "root").join(texts.select("id", "n_words", "bag"), "id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # the last cell may go on in the next batch
-        for frame in frames:
-            if not len(frame):
-                continue
-            rows = pd.concat([*held, frame], ignore_index=True)
-            last = int(np.flatnonzero(new_cells(rows))[-1])
-            if last:
-                yield pairs_of(rows[:last])
-            held = [rows[last:]]
-        for rows in held:
-            yield pairs_of(rows)
+        for rows, cells in whole_cells(frames, ["key"]):
+            ids, roots, lengths = (rows[c].to_numpy() for c in ("id", "root", "n_words"))
+            left, right = may_be_alike(roots, np.zeros(len(rows), np.int64), lengths, rows["bag"].tolist(), similarity, cells)
+            yield pd.DataFrame({"a": np.minimum(ids[left], ids[right]), "b": np.maximum(ids[left], ids[right])})
 
-    ordered = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return ordered.mapInPandas(run, "a long, b long").distinct()
+    few = cells.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
+    return few.unionByName(many).distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -536,7 +632,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     them together. Each text gives a bounded number of keys, and minima and maxima of a key
     are combined before the shuffle. The first rounds compare a text with one other per key
     at most. The last ones work on keys whose texts are of several classes; there the bounds
-    are tested for the pairs of up to ``CROWD`` texts, or of texts that share a rare word.
+    are tested for the pairs of up to ``CROWD`` texts, or of texts that share a rare word or pair of words.
     """
 
     def own_words(texts: list[str]) -> list[np.ndarray]:
